@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 #: Bytes of text that one Python task holds at a time.
 BLOCK_BYTES = 16 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named Parquet table of a data folder."""
@@ -35,10 +37,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh table in the shared folder and read it back (cuts the lineage)."""
+    """Write ``df`` to a fresh table in the shared folder and read it back (cuts the lineage).
+
+    The shuffle files of the write go as soon as it has ended.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
