@@ -12,6 +12,7 @@ size is fixed by the vocabulary.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,11 @@ from .shared import blocks, pack, shards_for, text_bytes, unpack, with_fields, w
 _PIECES = "block long, shard int, doc_ids binary, numbers binary, data binary"
 
 
+def _squeeze(data: bytes) -> bytes:
+    """What travels is compressed in the tasks; word numbers shrink by a third beyond what shuffles do."""
+    return zlib.compress(data, 1)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes -> id, from a rank file (a base64 token and its id on each line)."""
     with open(path, "rb") as lines:
@@ -53,14 +59,14 @@ def split_words(docs: DataFrame, pattern: str, shards: int, doc_id: str = "doc_i
                 counts.append(len(got))
                 numbers.append(np.fromiter((words.setdefault(w, len(words)) for w in got), dtype=np.uint32, count=len(got)))
             ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            rows = [(block, -1, ids.tobytes(), np.array(counts, dtype=np.int32).tobytes(), pack(np.concatenate(numbers)))]
+            rows = [(block, -1, ids.tobytes(), np.array(counts, dtype=np.int32).tobytes(), _squeeze(pack(np.concatenate(numbers))))]
             spread: dict[int, list[tuple[int, bytes]]] = {}
             for w, n in words.items():
                 raw = w.encode()
                 spread.setdefault(xxh3_64_intdigest(raw) % shards, []).append((n, raw))
             for shard, own in spread.items():
                 lengths = pack(np.array([len(w) for _, w in own]))
-                rows.append((block, shard, lengths, pack(np.array([n for n, _ in own])), b"".join(w for _, w in own)))
+                rows.append((block, shard, lengths, pack(np.array([n for n, _ in own])), _squeeze(b"".join(w for _, w in own))))
             block += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "shard", "doc_ids", "numbers", "data"])
 
@@ -79,6 +85,7 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
         lengths, ids = [], []
         for sizes, data in zip(group["doc_ids"].to_pylist(), group["data"].to_pylist()):
             ends = np.cumsum(unpack(sizes)).tolist()
+            data = zlib.decompress(data)
             out, start = [], 0
             for end in ends:
                 word = data[start:end]
@@ -87,7 +94,7 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
                     known[word] = got = merge(word)
                 out.append(got)
             lengths.append(pack(np.array([len(x) for x in out])))
-            ids.append(pack(np.array([i for x in out for i in x])))
+            ids.append(_squeeze(pack(np.array([i for x in out for i in x]))))
         return pa.table({"block": group["block"], "shard": group["shard"], "doc_ids": pa.array(lengths, pa.binary()), "numbers": group["numbers"], "data": pa.array(ids, pa.binary())})
 
     return words.groupBy("shard").applyInArrow(encode, _PIECES)
@@ -97,7 +104,7 @@ def _assemble(group: pa.Table) -> pa.Table:
     """A block's documents with ids in place of word numbers."""
     shard = np.array(group["shard"])
     sizes, data, numbers = (group[c].to_pylist() for c in ("doc_ids", "data", "numbers"))
-    parts = [(unpack(numbers[i]), unpack(sizes[i]), unpack(data[i])) for i in np.flatnonzero(shard >= 0)]
+    parts = [(unpack(numbers[i]), unpack(sizes[i]), unpack(zlib.decompress(data[i]))) for i in np.flatnonzero(shard >= 0)]
     total = sum(len(n) for n, _, _ in parts)
     size, start = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
     flat = np.concatenate([ids for _, _, ids in parts]) if parts else np.empty(0, dtype=np.int64)
@@ -107,7 +114,7 @@ def _assemble(group: pa.Table) -> pa.Table:
         base += len(ids)
     own = int(np.flatnonzero(shard < 0)[0])
     doc_ids, counts = np.frombuffer(sizes[own], dtype=np.int64), np.frombuffer(numbers[own], dtype=np.int32)
-    words = unpack(data[own])
+    words = unpack(zlib.decompress(data[own]))
     ends = np.concatenate(([0], np.cumsum(counts)))
     lists, offsets = [], [0]
     for a, b in zip(ends[:-1], ends[1:]):

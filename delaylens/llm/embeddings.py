@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, shards_for, written
+from .shared import connected_components, shards_for, spread_labels, written
 
 COSINE = 0.95
 #: Chance that a pair just at the threshold meets in no table.
@@ -115,12 +115,7 @@ def _hold(cosine: float, bits: int, tables: int, dim: int):
             i, j = i[cross], j[cross]
             if not len(i):
                 continue
-            while True:
-                low = np.minimum(label[i], label[j])
-                if (label[i] == low).all() and (label[j] == low).all():
-                    break
-                np.minimum.at(label, i, low)
-                np.minimum.at(label, j, low)
+            spread_labels(label, i, j)
             who, at = np.unique(np.concatenate((i, j)), return_inverse=True)
             own = sign_codes(x[who], bits, tables)
             for s in range(0, len(i), 20_000):

@@ -9,9 +9,10 @@ groups of near duplicates.
 
 With 32 bands of 6 coordinates, a pair of similarity 0.85 shares no band with
 a chance of 3e-7.  Inside a band's bucket not all pairs are formed: documents
-with equal word sequences are one class; each class is first held against one
-centre, and only classes that are still in different components and share a
-bucket are then compared with each other.
+with equal word sequences are one class; each class is first held against the
+member that has the least of its own, and only classes that are still in different components, share a
+bucket and have enough shingles in common with anyone are then compared with
+each other.
 """
 
 from __future__ import annotations
@@ -23,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordNumbers, blocks, byte_texts, connected_components, mix64, with_fields, written
+from .shared import WordNumbers, blocks, byte_texts, connected_components, mix64, shards_for, spread_labels, with_fields, written
 
 SHINGLE = 5
 #: Link when 100 * common >= PERCENT * all shingles of the two.
 PERCENT = 85
 BANDS, ROWS = 32, 6
+#: Documents of a tile's side; a larger bucket is cut into more tiles.
+TILE = 512
+#: Bytes of shingles that one task compares.
+SHARD_BYTES = 16 << 20
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
@@ -152,20 +157,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     whole = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(whole.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     buckets = whole.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    low = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("bucket", "a")
-    crowded = written(buckets.join(low, "bucket").select("bucket", "doc_id", "n_shingles", "a"), "buckets")
-
-    stars = crowded.groupBy("doc_id").agg(F.min("a").alias("a")).select("a", F.col("doc_id").alias("b"))
-    centred = written(stars, "stars")
-    texts = docs.select(F.col(doc_id).cast("long").alias("b"), F.col(text).cast("string").alias("text")).join(centred.select("b"), "b", "left_semi").dropDuplicates(["b"])
-    sets = written(shingle_sets(texts.withColumnRenamed("b", "doc_id"), shingle), "sets")
-    links = written(confirmed(centred.where("a <> b"), sets, percent), "links")
+    crowded = written(buckets.join(_lowest(buckets), "bucket").select("bucket", "doc_id", "n_shingles"), "buckets")
+
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    sets = written(shingle_sets(texts.join(crowded.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
+    able = crowded.join(_lonely(sets), "doc_id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).drop("lonely").where(f"100 * shared >= {percent} * n_shingles")
+    able = written(able, "able")
+
+    central = F.struct((F.col("shared") / F.col("n_shingles")).alias("part"), (-F.col("doc_id")).alias("id"))
+    centres = able.groupBy("bucket").agg(F.max(central).alias("c"), F.count("*").alias("n")).where("n > 1").select("bucket", "c")
+    stars = able.join(centres, "bucket").groupBy("doc_id").agg((-F.max("c").id).alias("a")).where("a <> doc_id")
+    stars = stars.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+    stars = written(stars, "stars")
+    links = written(confirmed(stars, sets, percent), "links")
     groups = connected_components(links)
-
-    cross = _cross_pairs(crowded, groups, percent)
-    tested = centred.select("a", "b")
-    more = confirmed(cross.join(tested, ["a", "b"], "left_anti"), sets, percent)
-    groups = connected_components(links.unionByName(more))
+    groups = connected_components(links.unionByName(_cross_links(able, groups, sets, percent)))
     named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component"))
@@ -173,14 +179,89 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _cross_pairs(crowded: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket, are near enough in size and not yet in one group."""
-    member = crowded.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("g"))
-    mixed = member.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = written(member.join(mixed, "bucket", "left_semi"), "open")
-    one, two = open_.alias("x"), open_.alias("y")
-    near = F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")
-    return one.join(two, F.expr("x.bucket = y.bucket and x.g <> y.g and x.doc_id < y.doc_id") & near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+def _lowest(buckets: DataFrame) -> DataFrame:
+    """The smallest id ``a`` of each bucket that has company."""
+    return buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("bucket", "a")
+
+
+def _lonely(sets: DataFrame) -> DataFrame:
+    """How many of a document's shingles no other candidate has (``doc_id``, ``lonely``).
+
+    They are common to no pair, which bounds what a document can share.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "shingles"):
+            own = [np.frombuffer(x, dtype=np.int64) for x in batch.column("shingles").to_pylist()]
+            ids = np.repeat(np.asarray(batch.column("doc_id")), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(own))], names=["doc_id", "shingle"])
+
+    each = sets.select("doc_id", "shingles").mapInArrow(spread, "doc_id long, shingle long")
+    return each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("lonely"))
+
+
+def _cross_links(able: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What links documents that share a bucket but are not yet in one group: each with the smallest it hangs together with.
+
+    Every pair of a bucket is held against the full sets, but inside the
+    tasks: a bucket is cut into tiles of at most 2 * TILE documents and a
+    tile reports one row a document at most.
+    """
+    member = able.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id")).drop("component")
+    mixed = member.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    met = member.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    met = met.select("bucket", "doc_id", "g", "n_shingles", "block", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    tiles = written(met.select("bucket", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "doc_id", "g", "n_shingles"), "tiles")
+    amount = tiles.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)) * 8 + F.count("*") * 64).first()[0]
+    shards = shards_for(able.sparkSession, amount, SHARD_BYTES)
+
+    def hold(group: pa.Table) -> pa.Table:
+        names = ["bucket", "ti", "tj", "block", "doc_id"]
+        cols = [np.asarray(group[c]) for c in names]
+        order = np.lexsort(cols[::-1])
+        bucket, ti, tj, block, ids = (c[order] for c in cols)
+        g, raw = np.asarray(group["g"])[order], group["shingles"].take(pa.array(order))
+        label = ids.copy()
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(bucket) != 0) | (np.diff(ti) != 0) | (np.diff(tj) != 0))))
+        for s, e in zip(new.tolist(), [*new[1:].tolist(), len(ids)]):
+            own = [np.frombuffer(x, dtype=np.uint64) for x in raw[s:e].to_pylist()]
+            i, j = similar_pairs(own, percent)
+            cross = (g[s + i] != g[s + j]) & ((ti[s] == tj[s]) | (block[s + i] != block[s + j]))
+            spread_labels(label, s + i[cross], s + j[cross])
+        some = label != ids
+        return pa.table({"a": label[some], "b": ids[some]})
+
+    dealt = tiles.join(sets.select("doc_id", "shingles"), "doc_id").withColumn("shard", F.pmod(F.xxhash64("bucket", "ti", "tj"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(hold, "a long, b long").distinct()
+
+
+def similar_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs i < j of sorted distinct hashes that are similar enough, by exact counts.
+
+    Hashes of one set alone are left out of the counting; a set of too many
+    such hashes pairs with nothing and is left out too.
+    """
+    sizes = np.array([len(x) for x in sets])
+    hashes, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(row[counts[inverse] > 1], minlength=len(sets))
+    able = 100 * shared >= percent * sizes
+    number = np.cumsum(counts > 1) - 1
+    use = (counts[inverse] > 1) & able[row]
+    place = np.cumsum(able) - 1
+    r, c = place[row[use]], number[inverse[use]]
+    n, width = int(able.sum()), int((counts > 1).sum())
+    both = np.zeros((n, n), dtype=np.float32)
+    for start in range(0, width, 4096):
+        part = (c >= start) & (c < start + 4096)
+        has = np.zeros((n, min(4096, width - start)), dtype=np.float32)
+        has[r[part], c[part] - start] = 1
+        both += has @ has.T
+    both = both.astype(np.int64)
+    size = sizes[able]
+    i, j = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
+    back = np.flatnonzero(able)
+    return back[i], back[j]
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:

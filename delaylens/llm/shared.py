@@ -122,6 +122,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def spread_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give rows linked by the pairs ``i``, ``j``, directly or through others, the smallest of their labels."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        if (label[i] == low).all() and (label[j] == low).all():
+            return
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+
+
 class WordNumbers(dict):
     """Word -> 64-bit hash, remembered; forgets all once it holds ``limit`` words."""
 
