@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, embeddings, lines, minhash
+from . import bpe, chat, decontaminate, embeddings, licences, lines, minhash
 from .shared import table, written
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,9 +47,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find_hits(docs, benchmark, keep=["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op5_embedding_near_dedup, op6_chat_format, op7_line_dedup, op9_bpe_round_trip, op10_decontaminate)}
+def _templates_sql() -> str:
+    return ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in sorted(licences.TEMPLATES.items()))
+
+
+_WORDS_SQL = "list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_BIGRAMS_SQL = "case when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end"
+
+QUERIES = {f.__name__: f for f in (op3_license_scan, op4_minhash_near_dedup, op5_embedding_near_dedup, op6_chat_format, op7_line_dedup, op9_bpe_round_trip, op10_decontaminate)}
 
 ORACLE_SQL = {
+    "op3_license_scan": f"""
+with template as (
+  select licence, b from (select licence, {_BIGRAMS_SQL} as b from (select licence, {_WORDS_SQL.format('text')} as w from (values {_templates_sql()}) t(licence, text)))
+), unit as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as u from documents
+  union all select doc_id, text from documents where contains(text, chr(10))
+), sized as (
+  select doc_id, {_BIGRAMS_SQL} as b from (select doc_id, {_WORDS_SQL.format('u')} as w from unit) where len(w) > 0
+), held as (
+  select doc_id, licence, 2.0 * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b)) as dice
+  from sized s join template t on len(s.b) between len(t.b) * 0.8 / 1.2 and len(t.b) * 1.2 / 0.8
+)
+select doc_id, licence, count(*) as n_units, round(max(dice), 6) as best_dice from held where dice >= 0.8 group by doc_id, licence
+""",
     "op6_chat_format": r"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
