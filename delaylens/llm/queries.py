@@ -6,12 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embeddings, licences, lines, minhash, pages
+from . import bpe, chat, decontaminate, embeddings, licences, lines, minhash, pages, quality
 from .shared import table, written
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -60,7 +69,7 @@ def _templates_sql() -> str:
 _WORDS_SQL = "list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 _BIGRAMS_SQL = "case when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end"
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op3_license_scan, op4_minhash_near_dedup, op5_embedding_near_dedup, op6_chat_format, op7_line_dedup, op9_bpe_round_trip, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_license_scan, op4_minhash_near_dedup, op5_embedding_near_dedup, op6_chat_format, op7_line_dedup, op9_bpe_round_trip, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op3_license_scan": f"""
