@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embeddings, licences, lines, minhash, pages, quality
+from . import bpe, chat, decontaminate, embeddings, licences, lines, minhash, pages, quality, suffixes
 from .shared import table, written
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -51,6 +51,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(lines.dedup_lines(docs.select("doc_id", "text"), lines.LineIndex.build(docs)))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANK_FILE))
     encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -69,7 +73,7 @@ def _templates_sql() -> str:
 _WORDS_SQL = "list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 _BIGRAMS_SQL = "case when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end"
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_license_scan, op4_minhash_near_dedup, op5_embedding_near_dedup, op6_chat_format, op7_line_dedup, op9_bpe_round_trip, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_license_scan, op4_minhash_near_dedup, op5_embedding_near_dedup, op6_chat_format, op7_line_dedup, op8_suffix_dedup, op9_bpe_round_trip, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op3_license_scan": f"""
