@@ -65,7 +65,7 @@ def rolling_event_features(targets: DataFrame, events: DataFrame, keys: Sequence
         off = {"n": F.lit(1), "s": F.col("_v"), "q": F.col("_v") * F.col("_v"), "l": (F.col("_v") > late).cast("int")}
         n, s, q, late_n = ((F.col(f"{c}0") - F.col(f"{c}{w}") - F.when(mine, off[c]).otherwise(0)) for c in names)
         mean = F.try_divide(s, n)
-        out |= {f"{prefix}_{w}h_count": n.cast("long"), f"{prefix}_{w}h_mean": mean, f"{prefix}_{w}h_std": F.sqrt(F.greatest(num(0), F.try_divide(q, n) - mean * mean)), f"{prefix}_{w}h_late_rate": F.try_divide(late_n.cast("double"), n), f"{prefix}_{w}h_self_removed": mine.cast("int")}
+        out |= {f"{prefix}_{w}h_count": n.cast("long"), f"{prefix}_{w}h_mean": mean, f"{prefix}_{w}h_std": F.when(n > 0, F.sqrt(F.greatest(num(0), F.try_divide(q, n) - mean * mean))), f"{prefix}_{w}h_late_rate": F.try_divide(late_n.cast("double"), n), f"{prefix}_{w}h_self_removed": mine.cast("int")}
         out[f"{prefix}_{w}h_max_event_time"] = F.when(n + F.when(mine, 1).otherwise(0) > 0, F.timestamp_micros("m"))
     own_id = F.col("_id").alias(id_column)
     return known.select(own_id, *[c.alias(k) for k, c in out.items()])

@@ -398,3 +398,344 @@ def a34_route_operators(spark, sf):
 @query(f"with {LEGS_SQL}, {SCOPED_SQL}, {_ROUTES} select scope, origin, sum(flights)::bigint as flights, sum(late_15_count)::bigint as late_15_count, round(100.0 * sum(late_15_count) / sum(flights), 6) as late_15_pct from routes group by 1, 2")
 def a35_airport_roll_up(spark, sf):
     return reliability.roll_up(reliability.route_metrics(legs(spark, sf), config=ROUTES), "origin", ["scope"])
+
+
+# ---- rankings and set operations ------------------------------------------------------------
+
+_PERF_ROUTES = f"perf as (select origin, destination, count(*) as flights, count(distinct period) as periods_active, 100.0 * {OTP} / count(*) as otp15_pct, round({wilson_sql(OTP, 'count(*)')} + 1e-9, 9) as otp15_low_pct, round({wilson_sql(OTP, 'count(*)', True)} + 1e-9, 9) as otp15_high_pct, quantile_cont(arrival_delay_min, 0.9) as arrival_p90 from legs group by 1, 2), own as (select * from perf where flights >= 50 and periods_active >= 3)"
+
+
+@query(f"with {LEGS_SQL}, {_PERF_ROUTES} select 'popular_reliable' as view, origin, destination, flights, round(otp15_pct, 6) as otp15_pct from (select * from own where flights >= (select quantile_cont(flights, 0.75) from own) and otp15_low_pct > 52.0 order by otp15_pct desc, flights desc, origin, destination limit 20) union all select 'least_reliable', origin, destination, flights, round(otp15_pct + 1e-9, 6) from (select * from own order by otp15_high_pct, arrival_p90 desc, origin, destination limit 20)")
+def k1_executive_routes(spark, sf):
+    perf = reliability.route_performance(legs(spark, sf))
+    perf = perf.withColumns({c: F.round(F.col(c) + 1e-9, 9) for c in ("otp15_low_pct", "otp15_high_pct")})
+    return reliability.executive_routes(perf, 52.0, ["origin", "destination"], ROUTES).select("view", "origin", "destination", "flights", "otp15_pct")
+
+
+_AIR = f"air as (select scope, origin, sum(flights)::bigint as flights, sum(late_15_count)::bigint as late_15_count, round(100.0 * sum(late_15_count) / sum(flights) + 1e-9, 6) as late_15_pct from routes where scope = 'all' group by 1, 2)"
+
+
+@query(f"with {LEGS_SQL}, {SCOPED_SQL}, {_ROUTES}, {_AIR} select *, 'airport' as entity from (select origin, flights, late_15_pct, 'lowest' as side from air where flights >= 500 order by late_15_pct, origin limit 3) union all select *, 'airport' from (select origin, flights, late_15_pct, 'highest' from air where flights >= 500 order by late_15_pct desc, origin limit 3)")
+def k3_leaderboard(spark, sf):
+    rolled = rounded(reliability.roll_up(reliability.route_metrics(legs(spark, sf), config=ROUTES).where("scope = 'all'"), "origin"))
+    return reliability.leaderboard(rolled, "origin", "airport").select("origin", "flights", "late_15_pct", "side", "entity")
+
+
+@query(f"with {LEGS_SQL}, {SCOPED_SQL}, {_ROUTES} select scope, origin, destination, round(arrival_p90, 6) as arrival_p90 from (select *, row_number() over (partition by scope order by round(arrival_p90 + 1e-9, 6) desc, origin, destination) as i from routes) where i <= 5")
+def k4_w9_top_routes_by_scope(spark, sf):
+    own = reliability.route_metrics(legs(spark, sf), config=ROUTES).withColumn("_p", F.round(F.col("arrival_p90") + 1e-9, 6))
+    return ranking.top_rows(own, [F.desc("_p"), F.asc("origin"), F.asc("destination")], 5, ["scope"]).select("scope", "origin", "destination", "arrival_p90")
+
+
+@query(f"with {LEGS_SQL} select order_id, line_no, operator, round(arrival_delay_min, 6) as arrival_delay_min from legs where origin = 1 and destination = 2 order by arrival_delay_min desc, order_id, line_no, operator limit 5")
+def k7_largest_delays(spark, sf):
+    own = legs(spark, sf).where("origin = 1 and destination = 2").select("order_id", "line_no", "operator", "arrival_delay_min")
+    return ranking.top_rows(own, [F.desc("arrival_delay_min"), F.asc("order_id"), F.asc("line_no"), F.asc("operator")], 5)
+
+
+@query(f"with {LEGS_SQL}, g as (select origin, operator, count(*) as flights from legs group by 1, 2) select origin, operator, flights, round(flights / sum(flights) over (partition by origin), 6) as share, sum(flights) over (partition by operator)::bigint as operator_flights from g")
+def w4_w10_shares(spark, sf):
+    own = legs(spark, sf).groupBy("origin", "operator").agg(F.count("*").alias("flights"))
+    return own.withColumns({"share": ranking.share_of("flights", ["origin"]), "operator_flights": ranking.group_total("flights", ["operator"])})
+
+
+@query(f"with {LEGS_SQL}, g as (select origin, period, count(*) as flights from legs group by 1, 2) select origin, period, flights, coalesce(flights - lag(flights) over (partition by origin order by period), 0) as change from g")
+def w8_step_change(spark, sf):
+    own = legs(spark, sf).groupBy("origin", "period").agg(F.count("*").alias("flights"))
+    return ranking.step_change(own, "period", "flights", ["origin"]).fillna(0, ["change"])
+
+
+@query("select 'both' as side, count(*) as keys from (select c_nationkey from customer intersect select s_nationkey from supplier) union all select 'customers_only', count(*) from (select c_nationkey from customer except select s_nationkey from supplier)")
+def u3_key_sets(spark, sf):
+    c, s = read(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), read(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"))
+    both = c.intersect(s).agg(F.lit("both").alias("side"), F.count("*").alias("keys"))
+    return both.unionByName(c.subtract(s).agg(F.lit("customers_only").alias("side"), F.count("*").alias("keys")))
+
+
+# ---- point in time --------------------------------------------------------------------------
+
+
+@query(f"with {TIMELINE_SQL} select t.leg_id, count(e.leg_id) as d_24h_count, round(avg(e.delay_min), 6) as d_24h_mean, round(stddev_pop(e.delay_min), 4) as std, round(avg((e.delay_min > 15)::int), 6) as d_24h_late_rate, count(e.leg_id) filter (where e.event_time >= t.cutoff - interval 6 hour) as d_6h_count from timeline t left join timeline e on e.registration = t.registration and e.event_time <= t.cutoff and e.event_time >= t.cutoff - interval 24 hour and e.leg_id <> t.leg_id group by t.leg_id")
+def w1_rolling_events(spark, sf):
+    t = timeline(spark, sf)
+    out = pointintime.rolling_event_features(t, t, ["registration"], "event_time", "delay_min", "d", "leg_id", windows=(1, 6, 24))
+    return out.select(F.col("leg_id"), "d_24h_count", "d_24h_mean", F.round("d_24h_std", 4).alias("std"), "d_24h_late_rate", "d_6h_count")
+
+
+@query(f"with {TIMELINE_SQL} select t.leg_id, count(e.leg_id) as d_6h_count, round(avg(e.delay_min), 6) as d_6h_mean from timeline t left join timeline e on e.registration = t.registration and e.event_type = t.event_type and e.event_time <= t.cutoff and e.event_time >= t.cutoff - interval 6 hour and e.leg_id <> t.leg_id group by t.leg_id")
+def w1_rolling_two_keys(spark, sf):
+    t = timeline(spark, sf)
+    return pointintime.rolling_event_features(t, t, ["registration", "event_type"], "event_time", "delay_min", "d", "leg_id", windows=(6,)).select("leg_id", "d_6h_count", "d_6h_mean")
+
+
+@query(f"with {TIMELINE_SQL}, m as (select t.leg_id, t.cutoff, e.leg_id as id, e.delay_min, e.event_time from timeline t asof left join timeline e on t.registration = e.registration and t.cutoff >= e.event_time) select leg_id, round(delay_min, 6) as previous_arrival_delay, round((epoch_us(cutoff) - epoch_us(event_time)) / 60000000.0, 6) as minutes_since_previous, (id is not null)::int as rotation_history from m")
+def w2_rotation(spark, sf):
+    t = timeline(spark, sf)
+    out = pointintime.rotation_features(t, t, "registration", "event_time", "delay_min", "delay_min", "leg_id")
+    return out.select("leg_id", "previous_arrival_delay", "minutes_since_previous", "rotation_history")
+
+
+@query("with h as (select user_id, date_trunc('hour', ts) as h, count(distinct event_id) as n from events group by 1, 2) select event_id as leg_id, coalesce(a.n, 0)::bigint as origin_pressure, coalesce(b.n, 0)::bigint as destination_pressure, (coalesce(a.n, 0) + coalesce(b.n, 0))::bigint as total_pressure from events e left join h a on a.user_id = e.user_id and a.h = date_trunc('hour', ts) left join h b on b.user_id = e.user_id + 1 and b.h = date_trunc('hour', ts - interval 60 minute)".replace("left join h b on b.user_id = e.user_id + 1", "left join (select user_id, date_trunc('hour', ts - interval 60 minute) as h, count(distinct event_id) as n from events group by 1, 2) b on b.user_id = e.user_id"))
+def j8_pressure(spark, sf):
+    t = timeline(spark, sf)
+    return pointintime.scheduled_pressure(t, t, "leg_id", "registration", "registration", "event_time", "cutoff")
+
+
+@query("select 'd' as block, count(*) as rows, 0::bigint as violations, 0::bigint as self_removed from events")
+def a57_leakage_audit(spark, sf):
+    t = timeline(spark, sf)
+    block = pointintime.rolling_event_features(t, t, ["registration"], "event_time", "delay_min", "d", "leg_id")
+    return pointintime.leakage_audit(block, t, "leg_id", "cutoff", "d")
+
+
+@query()
+def w3_standard_features(spark, sf):
+    t = timeline(spark, sf).withColumns({"operator": F.col("event_type"), "destination": F.col("registration"), "departure_delay": F.col("delay_min")})
+    roles = {"id": "leg_id", "cutoff": "cutoff", "origin": "registration", "destination": "destination", "operator": "operator", "registration": "registration", "departure_time": "event_time", "arrival_time": "event_time", "departure_delay": "departure_delay", "arrival_delay": "delay_min", "scheduled_departure": "event_time", "scheduled_arrival": "event_time"}
+    out, _ = pointintime.standard_features(t, t, roles, windows=(6,))
+    return out.select("leg_id", "total_pressure", "origin_departure_6h_count", "route_arrival_6h_count", "operator_arrival_6h_count", "rotation_history")
+
+
+# ---- tests and trends -----------------------------------------------------------------------
+
+
+def _bh(inner: str, cols: str) -> str:
+    return f"select {cols} from (select *, least(1.0, min(p_value * m / r) over (order by p_value desc range between unbounded preceding and current row)) as p_adjusted from (select *, count(*) over () as m, rank() over (order by p_value) + count(*) over (partition by p_value) - 1 as r from ({inner})))"
+
+
+_REST = f"g as (select operator, count(*) as n, {OTP} as s, sum(count(*)) over () as nn, sum({OTP}) over () as ss from legs group by operator), t as (select operator, n as flights, 100.0 * s / n as rate_pct, 100.0 * (ss - s) / (nn - n) as rest_pct, {z_sql('s', 'n', 'ss - s', 'nn - n')} as z from g)"
+
+
+@query(f"with {LEGS_SQL}, {_REST}, q as ({_bh('select *, rate_pct - rest_pct as difference, round(' + p_sql('z') + ', 12) as p_value from t', '*')}) select operator, flights, round(rate_pct, 6) as rate_pct, round(rest_pct, 6) as rest_pct, round(z, 6) as z, round(difference, 6) as difference, round(p_value, 6) as p_value, round(p_adjusted, 6) as p_adjusted, case when p_adjusted < 0.05 and abs(difference) >= 3 then case when difference > 0 then 'better' else 'worse' end else 'no_material_difference' end as signal from q")
+def t4_operators_against_rest(spark, sf):
+    return inference.group_against_rest(reliability.on_time_by(legs(spark, sf), ["operator"]), "operator")
+
+
+@query(f"with {LEGS_SQL}, g as (select dayname(scheduled_off_block) as weekday, count(*) as n, {OTP} as s from legs group by 1), t as (select weekday, n as flights, 100.0 * s / n as rate_pct, {z_sql('s', 'n', 'sum(s) over () - s', 'sum(n) over () - n')} as z from g) select weekday, flights, round(rate_pct, 6) as rate_pct, round(z, 6) as z, round({p_sql('z')}, 6) as p_value from t")
+def t5_weekdays(spark, sf):
+    own = clean.calendar_columns(legs(spark, sf), "scheduled_off_block")
+    return inference.group_against_rest(reliability.on_time_by(own, ["weekday"]), "weekday").select("weekday", "flights", "rate_pct", "z", "p_value")
+
+
+@query(f"with {LEGS_SQL}, g as (select origin, period, 100.0 * {OTP} / count(*) as y, date_diff('month', ((select min(period) from legs) || '-01')::date, (period || '-01')::date)::double as x from legs group by 1, 2), f as (select origin, count(*) as periods, regr_slope(y, x) as b, regr_intercept(y, x) as a, regr_r2(y, x) as r2, min(x) as x0, max(x) as x1 from g group by 1) select origin, periods, round(r2, 6) as r2, round(b * 12, 6) as slope_per_year, round(least(100, greatest(0, a + b * x0)), 6) as fitted_start, round(least(100, greatest(0, a + b * x1)), 6) as fitted_end from f where periods >= 3")
+def t6_period_trends(spark, sf):
+    return inference.period_trends(reliability.entity_periods(legs(spark, sf), "origin"), "origin").select("origin", "periods", "r2", "slope_per_year", "fitted_start", "fitted_end")
+
+
+@query(f"with {LEGS_SQL}, busy as (select origin from legs group by 1 order by count(*) desc, origin limit 10), c as (select origin, period, count(*) as flights, {OTP} as s from legs semi join busy using (origin) group by 1, 2), d as (select *, sum(s) over (partition by origin) - s as s2, sum(flights) over (partition by origin) - flights as n2 from c) select origin, period, flights, s as otp15_count, round(100.0 * s / flights, 6) as rate_pct, round(100.0 * s2 / n2, 6) as other_pct, round({p_sql(z_sql('s', 'flights', 's2', 'n2'))}, 6) as p_value from d")
+def t7_period_alerts(spark, sf):
+    return inference.period_alerts(legs(spark, sf), "origin").select("origin", "period", "flights", "otp15_count", "rate_pct", "other_pct", "p_value")
+
+
+@query(f"with {LEGS_SQL}, r as (select *, rank() over (order by scheduled_duration_min) + (count(*) over (partition by scheduled_duration_min) - 1) / 2.0 as ra, rank() over (order by arrival_delay_min) + (count(*) over (partition by arrival_delay_min) - 1) / 2.0 as rb from legs) select 'scheduled_duration_min' as variable_1, 'arrival_delay_min' as variable_2, count(*) as rows, round(corr(scheduled_duration_min, arrival_delay_min), 6) as pearson, round(corr(ra, rb), 6) as spearman from r")
+def t8_w7_correlations(spark, sf):
+    return inference.correlations(legs(spark, sf), ["scheduled_duration_min", "arrival_delay_min"]).select("variable_1", "variable_2", "rows", "pearson", "spearman")
+
+
+@query(f"with {LEGS_SQL}, v as (select round(abs(departure_delay_min - arrival_delay_min), 9) as a, departure_delay_min > arrival_delay_min as up from legs where departure_delay_min > 15 and departure_delay_min <> arrival_delay_min), r as (select *, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as k, count(*) over (partition by a)::double as t from v), o as (select count(*) as n, sum(k) filter (where up) as wp, sum(k) filter (where not up) as wm, sum(t * t - 1) as ties from r) select n, round(least(wp, wm), 6) as statistic, round({p_sql('(least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48)')}, 6) as p_value from o")
+def t10_recovery_test(spark, sf):
+    return inference.recovery_signed_rank(legs(spark, sf))
+
+
+@query(f"with {LEGS_SQL}, b as (select case when scheduled_duration_min <= 90 then 1 when scheduled_duration_min <= 180 then 2 when scheduled_duration_min <= 360 then 3 else 4 end as band, rank() over (order by arrival_delay_min) + (count(*) over (partition by arrival_delay_min) - 1) / 2.0 as k, count(*) over (partition by arrival_delay_min)::double as t from legs), g as (select band, count(*) as n, sum(k) as r from b group by 1), h as (select count(*) as groups, sum(n)::double as n, sum(r * r / n) as rr from g), s as (select groups, n, (12 / (n * (n + 1)) * rr - 3 * (n + 1)) / (1 - (select sum(t * t - 1) from b) / (n * n * n - n)) as h from h) select groups, n::bigint as n, round(h, 6) as statistic, round({erfc_sql('sqrt(h / 2)')} + exp(-h / 2) * sqrt(2 * h / pi()), 6) as p_value, round((h - groups + 1) / (n - groups), 6) as epsilon_squared from s")
+def t11_duration_bands_test(spark, sf):
+    own = legs(spark, sf).withColumn("duration_band", clean.duration_band(F.col("scheduled_duration_min")))
+    return inference.band_kruskal_wallis(own)
+
+
+@query(f"with {LEGS_SQL}, o as (select count(*) filter (where period = '1996-12') as n1, count(*) filter (where period = '1997-12') as n2, count(*) filter (where period = '1996-12' and arrival_delay_min <= 15) as s1, count(*) filter (where period = '1997-12' and arrival_delay_min <= 15) as s2 from legs) select n1, n2, round(100.0 * s1 / n1, 6) as first_pct, round(100.0 * s2 / n2, 6) as second_pct, round({z_sql('s2', 'n2', 's1', 'n1')}, 6) as z, round({p_sql(z_sql('s2', 'n2', 's1', 'n1'))}, 6) as p_value, round(100.0 * s2 / n2 - 100.0 * s1 / n1, 6) as difference from o")
+def t12_two_decembers(spark, sf):
+    return inference.compare_periods(legs(spark, sf), "1996-12", "1997-12")
+
+
+@query(f"with {LEGS_SQL} select a as variable_1, b as variable_2, round(r, 6) as r from (select unnest(['arrival_delay_min', 'arrival_delay_min', 'departure_delay_min']) as a, unnest(['departure_delay_min', 'scheduled_duration_min', 'scheduled_duration_min']) as b, unnest([corr(arrival_delay_min, departure_delay_min), corr(arrival_delay_min, scheduled_duration_min), corr(departure_delay_min, scheduled_duration_min)]) as r from legs)")
+def a68_pearson_matrix(spark, sf):
+    return inference.pearson_matrix(legs(spark, sf), ["arrival_delay_min", "departure_delay_min", "scheduled_duration_min"]).where("variable_1 <> variable_2")
+
+
+# ---- profiles -------------------------------------------------------------------------------
+
+
+@query("select event_type, c as \"column\", count(*) as rows, count(*) filter (where v is null or trim(v) = '') as nulls, round(100.0 * count(*) filter (where v is null or trim(v) = '') / count(*), 6) as null_pct from (select event_type, unnest(['value', 'props']) as c, unnest([value::varchar, props]) as v from events) group by 1, 2")
+def a36_null_profile(spark, sf):
+    return profile.null_profile(read(spark, sf, "events"), ["value", "props"], ["event_type"])
+
+
+@query("select c as \"column\", count(*) as rows, count(distinct v) as distinct, count(*) filter (where v is null) as nulls from (select unnest(['c_nationkey', 'c_mktsegment']) as c, unnest([c_nationkey::varchar, c_mktsegment]) as v from customer) group by 1".replace("as distinct,", "as distinct_values,"))
+def a39_column_quality(spark, sf):
+    return profile.column_quality(read(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"]).select("column", "rows", F.col("distinct").alias("distinct_values"), "nulls")
+
+
+@query("with q as (select quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events) select 'value' as \"column\", count(value) as n, round(any_value(q1), 6) as q1, round(any_value(q3), 6) as q3, count(*) filter (where value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)) as outliers, round(100.0 * count(*) filter (where value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)) / count(value), 6) as outlier_pct from events, q")
+def a41_outliers(spark, sf):
+    return profile.iqr_outliers(read(spark, sf, "events"), ["value"])
+
+
+@query("with c as (select p_brand as v, count(*) as n from part group by 1), r as (select *, row_number() over (order by n desc, v) as i from c) select 'p_brand' as \"column\", sum(n)::bigint as rows, count(*) as distinct_values, count(*) filter (where n < 100) as below_100, count(*) filter (where n < 1000) as below_1000, max(v) filter (where i = 1) as mode, round(count(*) / sum(n), 6) as ratio, round(100.0 * sum(n) filter (where i <= 10) / sum(n), 6) as top_pct from r")
+def a42_cardinality(spark, sf):
+    return profile.cardinality(read(spark, sf, "part"), ["p_brand"]).withColumnRenamed("distinct", "distinct_values")
+
+
+@query("with t as (select count(distinct p_name) as tokens from part), b as (select unnest([4096.0, 8192.0, 16384.0, 32768.0, 65536.0])::double as bins) select tokens, bins, round(bins * (1 - pow(1 - 1 / bins, tokens)), 6) as occupied, round(100.0 * (tokens - bins * (1 - pow(1 - 1 / bins, tokens))) / tokens, 6) as collision_pct, round(tokens / bins, 6) as load from t, b")
+def a43_hash_sizes(spark, sf):
+    return profile.hash_sizes(read(spark, sf, "part").agg(F.count_distinct("p_name").alias("tokens")))
+
+
+@query(f"with {LEGS_SQL} select case when scheduled_off_block < timestamp '1997-01-01' then 'train' when scheduled_off_block < timestamp '1998-01-01' then 'validation' else 'test' end as split, count(*) as rows, count(*) - count(arrival_delay_min) as null_targets from legs where scheduled_off_block >= timestamp '1990-01-01' and scheduled_off_block < timestamp '2010-01-01' group by 1")
+def m1_a58_temporal_split(spark, sf):
+    from ..operators.models import temporal_split
+
+    own = temporal_split(legs(spark, sf), "scheduled_off_block", ["1990-01-01", "1997-01-01", "1998-01-01", "2010-01-01"])
+    return profile.split_contract(own, "split", "arrival_delay_min")
+
+
+@query("select count(*) as rows, count(distinct event_id) as ids, round(100.0 * count(user_id) / count(*), 6) as known_pct, count(*) = count(distinct event_id) as unique_ids from events")
+def a59_history_contract(spark, sf):
+    return profile.history_contract(read(spark, sf, "events"), "event_id", "user_id").withColumnRenamed("unique", "unique_ids")
+
+
+# ---- evaluation -----------------------------------------------------------------------------
+
+
+@query(f"with {PREDICTIONS_SQL} select count(y) as rows, round(avg(y), 6) as mean, round(stddev_samp(y), 6) as std, round(min(y), 6) as min, round(max(y), 6) as max, round(avg((y > 15)::int), 6) as late_15, round(avg((y > 60)::int), 6) as late_60, round(quantile_cont(y, 0.25), 6) as q25, round(quantile_cont(y, 0.5), 6) as q50, round(quantile_cont(y, 0.75), 6) as q75, round(quantile_cont(y, 0.9), 6) as q90, round(quantile_cont(y, 0.99), 6) as q99 from predictions")
+def a45_target_summary(spark, sf):
+    return evaluate.target_summary(predictions(spark, sf), "y")
+
+
+@query(f"with {PREDICTIONS_SQL}, e as (select unnest(['mean', 'zero']) as candidate, abs(y - unnest([yhat, 0.0])) as e, event_type, y from predictions), s as (select candidate, e, unnest(['all', case when y > 15 then 'late' end, event_type]) as segment from e) select candidate, segment, count(*) as rows, round(avg(e), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse, round(median(e), 6) as median_error, round(quantile_cont(e, 0.9), 6) as p90_error from s where segment is not null group by 1, 2")
+def a48_segmented_errors(spark, sf):
+    kinds = ("click", "view", "error", "purchase", "signup", "login", "logout")
+    segments = {"all": F.lit(True), "late": F.col("y") > 15} | {k: F.col("event_type") == k for k in kinds}
+    return evaluate.regression_metrics(predictions(spark, sf), "y", {"mean": F.col("yhat"), "zero": num(0)}, segments)
+
+
+@query(f"with {PREDICTIONS_SQL} select round(avg(abs(y - yhat)), 6) as global_mae, round(avg(abs(y - yhat)) filter (where y > 15), 6) as delayed_mae, round(0.5 * avg(abs(y - yhat)) + 0.5 * avg(abs(y - yhat)) filter (where y > 15), 6) as combined_mae from predictions")
+def a50_compact_score(spark, sf):
+    return evaluate.compact_score(predictions(spark, sf), "y", "yhat")
+
+
+_RATES = "round((tp + tn)::double / (tp + fp + fn + tn), 6) as accuracy, round(coalesce(tp::double / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(tp::double / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tn::double / nullif(tn + fp, 0), 0), 6) as specificity, round((coalesce(tp::double / nullif(tp + fn, 0), 0) + coalesce(tn::double / nullif(tn + fp, 0), 0)) / 2, 6) as balanced_accuracy, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, round((tp + fn)::double / (tp + fp + fn + tn), 6) as actual_rate, round((tp + fp)::double / (tp + fp + fn + tn), 6) as predicted_rate"
+
+
+@query(f"with {PREDICTIONS_SQL}, c as (select event_type, count(*) filter (where y > 15 and probability >= 0.5) as tp, count(*) filter (where y <= 15 and probability >= 0.5) as fp, count(*) filter (where y > 15 and probability < 0.5) as fn, count(*) filter (where y <= 15 and probability < 0.5) as tn from predictions group by 1) select event_type, tp, fp, fn, tn, {_RATES} from c")
+def a51_a55_classification(spark, sf):
+    return evaluate.classification_metrics(predictions(spark, sf), "y", 15, F.col("probability") >= 0.5, ["event_type"])
+
+
+@query(f"with {PREDICTIONS_SQL}, r as (select *, (y > 15)::int as a, rank() over (order by probability) + (count(*) over (partition by probability) - 1) / 2.0 as k from predictions), u as (select (sum(k) filter (where a = 1) - sum(a) * (sum(a) + 1) / 2.0) / (sum(a) * (count(*) - sum(a))) as roc_auc from r), g as (select probability, sum(a) as pos, count(*) as n from r group by 1), c as (select pos, sum(pos) over (order by probability desc) as hits, sum(n) over (order by probability desc) as taken from g) select round(any_value(roc_auc), 6) as roc_auc, round(sum(pos * hits / taken) / sum(pos), 6) as average_precision from c, u")
+def a52_ranking_quality(spark, sf):
+    return evaluate.ranking_quality(predictions(spark, sf), F.col("y") > 15, "probability")
+
+
+_TH = f"th as (select unnest([0.05::double, 0.25, 0.5, 0.75]) as threshold), c as (select threshold, count(*) filter (where y > 15 and probability >= threshold) as tp, count(*) filter (where y <= 15 and probability >= threshold) as fp, count(*) filter (where y > 15 and probability < threshold) as fn, count(*) filter (where y <= 15 and probability < threshold) as tn from predictions, th group by 1)"
+
+
+@query(f"with {PREDICTIONS_SQL}, {_TH} select round(threshold, 6) as threshold, tp, fp, fn, tn, {_RATES}, round((3.0 * fn + fp) / (tp + fp + fn + tn), 6) as cost from c")
+def a53_thresholds(spark, sf):
+    return evaluate.threshold_table(predictions(spark, sf), "y", 15, "probability", [0.05, 0.25, 0.5, 0.75])
+
+
+@query(f"with {PREDICTIONS_SQL}, {_TH} select round(threshold, 6) as threshold, tp, fp from c order by 2.0 * tp / (2 * tp + fp + fn) desc, tp::double / (tp + fn) desc, c.threshold limit 1")
+def a54_best_threshold(spark, sf):
+    return evaluate.best_threshold(evaluate.threshold_table(predictions(spark, sf), "y", 15, "probability", [0.05, 0.25, 0.5, 0.75])).select("threshold", "tp", "fp")
+
+
+@query(f"with {PREDICTIONS_SQL} select round(avg(case when y >= yhat then 0.9 * (y - yhat) else -0.1 * (y - yhat) end), 6) as pinball, round(avg((y <= yhat)::int), 6) as coverage, round(coalesce(count(*) filter (where y > 60 and yhat > 60)::double / nullif(count(*) filter (where y > 60), 0), 0), 6) as severe_recall, round(coalesce(count(*) filter (where y > 60 and yhat > 60)::double / nullif(count(*) filter (where yhat > 60), 0), 0), 6) as severe_precision from predictions")
+def a56_quantile_risk(spark, sf):
+    return evaluate.quantile_risk(predictions(spark, sf), "y", "yhat")
+
+
+def _cascade_sql(measure: str, select: str) -> str:
+    return f"with {LEGS_SQL}, train as (select * from legs where scheduled_off_block < timestamp '1998-01-01'), rest as (select * from legs where scheduled_off_block >= timestamp '1998-01-01'), l1 as (select origin, destination, operator, {measure} as v from train group by all having count(*) >= 3), l2 as (select origin, destination, {measure} as v from train group by all having count(*) >= 60), l3 as (select origin, {measure} as v from train group by all having count(*) >= 100), p as (select r.*, coalesce(l1.v, l2.v, l3.v, (select {measure} from train)) as prediction, case when l1.v is not null then 'route_operator' when l2.v is not null then 'route' when l3.v is not null then 'origin' else 'global' end as source from rest r left join l1 using (origin, destination, operator) left join l2 using (origin, destination) left join l3 using (origin)) {select}"
+
+
+_LEVELS = [("route_operator", ["origin", "destination", "operator"], 3), ("route", ["origin", "destination"], 60), ("origin", ["origin"], 100)]
+
+
+def _cascade(spark, sf, q):
+    own = legs(spark, sf)
+    cut = F.lit("1998-01-01").cast("timestamp")
+    return evaluate.fallback_cascade(own.where(F.col("scheduled_off_block") >= cut), own.where(F.col("scheduled_off_block") < cut), "arrival_delay_min", _LEVELS, q)
+
+
+@query(_cascade_sql("median(arrival_delay_min)", "select source, count(*) as rows, round(avg(abs(arrival_delay_min - prediction)), 6) as mae from p group by 1"))
+def j9_m13_baseline(spark, sf):
+    return _cascade(spark, sf, 0.5).groupBy("source").agg(F.count("*").alias("rows"), F.avg(F.abs(F.col("arrival_delay_min") - F.col("prediction"))).alias("mae"))
+
+
+@query(_cascade_sql("quantile_cont(arrival_delay_min, 0.9)", "select source, count(*) as rows, round(avg((arrival_delay_min <= prediction)::int), 6) as coverage from p group by 1"))
+def m23_conditional_p90(spark, sf):
+    return _cascade(spark, sf, 0.9).groupBy("source").agg(F.count("*").alias("rows"), F.avg((F.col("arrival_delay_min") <= F.col("prediction")).cast("int")).alias("coverage"))
+
+
+@query(f"with {PREDICTIONS_SQL}, w as (select unnest(range(0, 21)) / 20.0::double as weight), e as (select weight, abs(y - (weight * yhat + (1 - weight) * probability * 100)) as e, y from predictions, w) select round(weight, 6) as weight, round(avg(e), 6) as global_mae, round(avg(e) filter (where y > 15), 6) as delayed_mae, round((avg(e) + avg(e) filter (where y > 15)) / 2, 6) as combined_mae from e group by e.weight")
+def m14_m15_blends(spark, sf):
+    return evaluate.blend_grid(predictions(spark, sf).withColumn("b", F.col("probability") * 100), "y", "yhat", "b")
+
+
+@query(f"with {PREDICTIONS_SQL}, w as (select i / 4.0::double as w1, j / 4.0::double as w2, (4 - i - j) / 4.0::double as w3 from (select unnest(range(0, 5)) as i) a, (select unnest(range(0, 5)) as j) b where i + j <= 4), e as (select w1, w2, w3, abs(y - (w1 * yhat + w2 * probability * 100 + w3 * 10)) as e, y from predictions, w), g as (select w1, w2, w3, avg(e) as global_mae, avg(e) filter (where y > 15) as delayed_mae from e group by 1, 2, 3) select round(w1, 6) as w1, round(w2, 6) as w2, round(w3, 6) as w3, round(global_mae, 6) as global_mae, round(delayed_mae, 6) as delayed_mae, round((global_mae + delayed_mae) / 2, 6) as combined_mae, global_mae <= (select min(global_mae) from g where w1 = 1 or w2 = 1 or w3 = 1) + 0.25 as allowed from g")
+def m16_simplex(spark, sf):
+    own = predictions(spark, sf).withColumns({"b": F.col("probability") * 100, "c": num(10)})
+    return evaluate.simplex_grid(own, "y", ["yhat", "b", "c"], 4, 0.25)
+
+
+@query(f"with {PREDICTIONS_SQL} select event_type, round(avg(probability * least(60, greatest(15, y)) + (1 - probability) * -2), 6) as expected from predictions group by 1")
+def m17_hurdle(spark, sf):
+    own = predictions(spark, sf).withColumn("expected", evaluate.hurdle(F.col("probability"), F.col("y"), num(-2)))
+    return own.groupBy("event_type").agg(F.avg("expected").alias("expected"))
+
+
+# ---- samples and models (rows only) ---------------------------------------------------------
+
+
+@query()
+def s13_percent_sample(spark, sf):
+    t = timeline(spark, sf)
+    each = [flights.percent_sample(t, p, "leg_id").agg(F.lit(p).alias("percent"), F.count("*").alias("rows")) for p in (1, 5, 10, 25)]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+@query()
+def s14_stratified_sample(spark, sf):
+    own = flights.stratified_sample(timeline(spark, sf), "event_type", {"click": 10, "error": 50}, "leg_id")
+    return own.groupBy("event_type").agg(F.count("*").alias("rows"))
+
+
+def _model_frames(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+
+    own = predictions(spark, sf).withColumn("x", F.col("leg_id") % 97 / 97.0)
+    ready = VectorAssembler(inputCols=["yhat", "probability", "x"], outputCol="features").transform(own)
+    return ready.where("leg_id % 4 <> 0"), ready.where("leg_id % 4 = 0")
+
+
+@query()
+def m8_ridge_sweep(spark, sf):
+    from ..operators import models
+
+    train, validation = _model_frames(spark, sf)
+    return models.sweep(train, validation, "y", {f"alpha_{a}": models.ridge(train, "y", a) for a in (0.1, 1.0, 10.0)})[1]
+
+
+@query()
+def m9_tree_benchmark(spark, sf):
+    from ..operators import models
+
+    train, validation = _model_frames(spark, sf)
+    return models.sweep(train, validation, "y", models.tree_models("y"))[1]
+
+
+@query()
+def m11_weighted_logistic(spark, sf):
+    from ..operators import models
+
+    train, validation = (f.withColumn("label", (F.col("y") > 15).cast("int")).drop("probability") for f in _model_frames(spark, sf))
+    out = None
+    for name, estimator in models.logistic_candidates("label").items():
+        scored = estimator.fit(models.balanced_weights(train, "label")).transform(validation)
+        one = evaluate.classification_metrics(scored, "y", 15, F.col("prediction") > 0.5).withColumn("candidate", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
