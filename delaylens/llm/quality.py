@@ -104,10 +104,10 @@ def _add_up(group: pa.Table) -> pa.Table:
 
 
 def discounts(n: tuple[int, int, int, int]) -> tuple[float, float, float]:
-    """The three discounts from the numbers of n-grams seen once to four times, kept within [0, 1], [0, 2], [0, 3]."""
+    """The three discounts from the numbers of n-grams seen once to four times, kept within 0.05 and 1, 2 and 3: lower orders always have a say."""
     n1, n2, n3, n4 = n
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-    return tuple(min(max(k - (k + 1) * y * b / a if a else 0.5 * k, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    return tuple(min(max(k - (k + 1) * y * b / a if a else 0.5 * k, 0.05), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
 def model_levels(grams: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, tuple[float, float, float]]]:
