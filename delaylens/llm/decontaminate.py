@@ -75,19 +75,27 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_w
     Null or empty texts and items have no words and no hits.
     """
     keep = docs.columns if keep is None else keep
+    out = _hits(docs, benchmark, window, max_windows, doc_id, text, item_id, item_text, keep)
+    return out.select(*[F.col(f"_row.`{c}`") for c in keep], "n_words", "n_hit", "hit_items", "hit_words")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``find_hits`` with the document's own columns in one, ``_row``, where no name can clash."""
     wanted = benchmark_windows(benchmark, window, item_id, item_text)
     n = wanted.count()
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("_row")
+    rows = docs.select(row, F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     if n > max_windows:
-        return _joined(docs, wanted, window, doc_id, text, keep)
+        return _joined(rows, wanted, window)
     found: dict[int, dict[int, dict[bytes, list[str]]]] = defaultdict(lambda: defaultdict(dict))
     for size, h, words, items in wanted.collect():  # at most max_windows rows, counted above
         found[size][h][bytes(words)] = items
-    return _scanned(docs, {s: dict(x) for s, x in found.items()}, text, keep)
+    return _scanned(rows, {s: dict(x) for s, x in found.items()})
 
 
-def _scanned(docs: DataFrame, found: dict, text: str, keep: list[str]) -> DataFrame:
-    windows = docs.sparkSession.sparkContext.broadcast(found)
-    schema = with_fields(docs.select(*keep), "n_words long, n_hit long, hit_items array<string>, hit_words array<int>")
+def _scanned(rows: DataFrame, found: dict) -> DataFrame:
+    windows = rows.sparkSession.sparkContext.broadcast(found)
+    schema = with_fields(rows.select("_row"), "n_words long, n_hit long, hit_items array<string>, hit_words array<int>")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, wanted = WordNumbers(), windows.value
@@ -110,12 +118,12 @@ def _scanned(docs: DataFrame, found: dict, text: str, keep: list[str]) -> DataFr
                 hit = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
                 out.append((len(words), len(hit), sorted(items), hit.tolist()))
             cols = [pa.array(x, type=k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*keep, "n_words", "n_hit", "hit_items", "hit_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["_row", "n_words", "n_hit", "hit_items", "hit_words"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(scan, schema)
+    return rows.select("_row", "_text").mapInArrow(scan, schema)
 
 
-def _joined(docs: DataFrame, wanted: DataFrame, window: int, doc_id: str, text: str, keep: list[str]) -> DataFrame:
+def _joined(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The same by a join of windows, for a benchmark too large to broadcast; ``doc_id`` must be unique."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,18 +139,18 @@ def _joined(docs: DataFrame, wanted: DataFrame, window: int, doc_id: str, text:
                     yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array([size] * n, pa.int32()), pa.array(hashes), pa.array([b" ".join(words[k : k + size]) for k in range(n)], pa.binary())], names=["doc_id", "at", "size", "hash", "words"])
 
     sizes = [r[0] for r in wanted.select("size").distinct().collect()]  # at most `window` rows
-    cuts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(cut, "doc_id long, at int, size int, hash long, words binary").where(F.col("size").isin(sizes))
+    cuts = rows.select(F.col("_id").alias("doc_id"), "_text").mapInArrow(cut, "doc_id long, at int, size int, hash long, words binary").where(F.col("size").isin(sizes))
     hits = cuts.join(wanted, ["size", "hash", "words"])
     spans = hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1))))).alias("hit_words"))
     items = hits.select("doc_id", F.explode("items").alias("item")).groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("hit_items"))
     own = spans.join(items, "doc_id").withColumnRenamed("doc_id", "_hit_id")
-    n_words = F.size(F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != ""))
-    return docs.join(own, F.col(doc_id).cast("long") == F.col("_hit_id"), "left").select(*keep, n_words.cast("long").alias("n_words"), F.coalesce(F.size("hit_words"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"), F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"))
+    n_words = F.size(F.filter(F.split(F.translate(F.coalesce("_text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != ""))
+    return rows.join(own, F.col("_id") == F.col("_hit_id"), "left").select("_row", n_words.cast("long").alias("n_words"), F.coalesce(F.size("hit_words"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"), F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """Only the documents in which no benchmark window occurs, with their own columns."""
-    return find_hits(docs, benchmark, **how).where("n_hit = 0").select(*docs.columns)
+    return _hits(docs, benchmark, **how).where("n_hit = 0").select("_row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
@@ -150,7 +158,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **ho
 
     Untouched documents keep their text to the byte; null stays null.
     """
-    names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -158,7 +165,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **ho
         word = re.compile(rb"[0-9a-zA-Z\x80-\xff]+")
         for batch in batches:
             texts = []
-            for t, hit in zip(batch.column(names.index(text)).to_pylist(), batch.column(len(names)).to_pylist()):
+            for t, hit in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if hit:
                     drop, raw, at, parts = set(hit), t.encode(), 0, []
                     for k, m in enumerate(word.finditer(raw)):
@@ -167,11 +174,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **ho
                             at = m.end()
                     t = b"".join([*parts, raw[at:]]).decode()
                 texts.append(t)
-            cols = [pa.array(texts, pa.string()) if c == text else batch.column(k) for k, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_row", "_text"])
 
-    hits = find_hits(docs, benchmark, text=text, **how).select(*names, "hit_words")
-    return hits.mapInArrow(cut, docs.schema)
+    hits = _hits(docs, benchmark, text=text, **how).select("_row", F.col(f"_row.`{text}`").cast("string").alias("_text"), "hit_words")
+    done = hits.mapInArrow(cut, with_fields(hits.select("_row"), "_text string"))
+    return done.select(*[F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def report(hits: DataFrame) -> DataFrame:
