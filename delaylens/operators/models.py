@@ -71,6 +71,12 @@ def median_imputer(columns: Sequence[str]) -> Imputer:
     return Imputer(strategy="median", inputCols=list(columns), outputCols=[f"{c}_filled" for c in columns])
 
 
+def median_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Nulls filled with exact medians; the imputer of a pipeline takes approximate ones."""
+    mid = df.agg(*[F.median(c).alias(f"_{c}") for c in columns])
+    return df.join(F.broadcast(mid)).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
 def categorical_stages(few: Sequence[str], many: Sequence[str], bins: int = 1 << 15) -> list:
     """Indexed and one-hot columns for those with few values, hashed ones for the others; unseen values are kept."""
     index = StringIndexer(inputCols=list(few), outputCols=[f"{c}_index" for c in few], handleInvalid="keep")
