@@ -75,7 +75,60 @@ _BIGRAMS_SQL = "case when len(w) = 1 then w else list_distinct(list_transform(ra
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_license_scan, op4_minhash_near_dedup, op5_embedding_near_dedup, op6_chat_format, op7_line_dedup, op8_suffix_dedup, op9_bpe_round_trip, op10_decontaminate)}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL = {
+    "op4_minhash_near_dedup": f"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), sets as (
+  select distinct doc_id, s from (select doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w where len(w) > 0)
+), n as (
+  select doc_id, count(*) as n from sets group by doc_id
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2
+), link as (
+  select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+), reach as (
+  select doc_id as id, doc_id as root from documents union select l.b, r.root from reach r join link l on l.a = r.id
+)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.root) as component_id, d.doc_id = min(r.root) as kept
+from documents d join reach r on r.id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
+""",
+    "op5_embedding_near_dedup": """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where embedding is not null
+), u as (
+  select vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as e from v where list_sum(list_transform(e, lambda y: y * y)) > 0
+), link as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id where list_dot_product(a.e, b.e) >= 0.95
+), reach as (
+  select vec_id as id, vec_id as root from embeddings union select l.b, r.root from reach r join link l on l.a = r.id
+), n as (
+  select a, count(*) as n from link group by a
+)
+select e.vec_id, coalesce(any_value(n.n), 0) as n_links, min(r.root) as component_id, e.vec_id = min(r.root) as kept
+from embeddings e join reach r on r.id = e.vec_id left join n on n.a = e.vec_id group by e.vec_id
+""",
+    "op10_decontaminate": f"""
+with d as (
+  select doc_id, list_filter(string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents
+), b as (
+  select item_id, list_filter(string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from benchmark
+), wanted as (
+  select item_id, least(len(w), 10) as size, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) as win from b where len(w) > 0
+), cuts as (
+  select doc_id, size, unnest(range(1, len(w) - size + 2)) as k, w from d, (select distinct size from wanted) where len(w) >= size
+), hits as (
+  select distinct doc_id, k, c.size, item_id from cuts c join wanted t on t.size = c.size and t.win = array_to_string(w[k:k + c.size - 1], ' ')
+), spots as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + size)) as p from hits) group by 1
+), items as (
+  select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as own from (select distinct doc_id, item_id::varchar as i from hits) group by 1
+)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(own, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join spots s on s.doc_id = d.doc_id left join items i on i.doc_id = d.doc_id
+""",
     "op3_license_scan": f"""
 with template as (
   select licence, b from (select licence, {_BIGRAMS_SQL} as b from (select licence, {_WORDS_SQL.format('text')} as w from (values {_templates_sql()}) t(licence, text)))
