@@ -44,7 +44,7 @@ def erfc(x: Column) -> Column:
 
 def two_sided_p(z: Column) -> Column:
     """The two-sided tail probability of a standard normal value."""
-    return erfc(F.abs(z) / num(2**0.5))
+    return F.when(z.isNotNull(), F.least(num(1), erfc(F.abs(z) / num(2**0.5))))
 
 
 def two_proportion_z(s1: Column, n1: Column, s2: Column, n2: Column) -> Column:
