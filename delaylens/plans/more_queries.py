@@ -236,3 +236,105 @@ def s11_rows_by_file(spark, sf):
 @query()
 def s12_bernoulli_sample(spark, sf):
     return flights.bernoulli_sample(legs(spark, sf)).groupBy("period").agg(F.count("*").alias("rows"))
+
+
+# ---- fitted models (rows only) --------------------------------------------------------------
+
+
+def _numeric(spark, sf):
+    own = predictions(spark, sf).withColumn("x", (F.col("leg_id") % 97) / num(97))
+    return own.where("leg_id % 4 <> 0"), own.where("leg_id % 4 = 0")
+
+
+@query()
+def m3_m4_transforms(spark, sf):
+    from ..operators import models
+
+    own = read(spark, sf, "events")
+    lam = models.fit_yeo_johnson(own, "value")
+    out = models.ValueTransformer(columns=["value"], applyLog=True, applyYeoJohnson=True, lambdas=[lam]).transform(own)
+    return out.groupBy("event_type").agg(F.avg("value_log").alias("mean_log"), F.skewness("value_yj").alias("skew_yj"))
+
+
+@query()
+def m2_m6_preprocessing(spark, sf):
+    from ..operators import models
+
+    train, validation = _numeric(spark, sf)
+    fitted = models.preprocessor(train, ["event_type"], ["leg_id"], ["yhat", "x"], 256).fit(train)
+    size = lambda name, df: fitted.transform(df).agg(F.lit(name).alias("part"), F.count("features").alias("rows"))
+    return size("train", train).unionByName(size("validation", validation))
+
+
+@query()
+def m18_two_stage(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators import models
+
+    ready = VectorAssembler(inputCols=["yhat", "x"], outputCol="features")
+    train, validation = (ready.transform(f) for f in _numeric(spark, sf))
+    model, reference = models.two_stage(train, "y")
+    out = models.expected_delay(validation, model, reference, "probability")
+    return evaluate.compact_score(out, "y", "expected")
+
+
+@query()
+def m19_ablation(spark, sf):
+    from ..operators import models
+
+    train, validation = _numeric(spark, sf)
+    return models.ablation(train, validation, "y", {"type": ["yhat"], "score": ["probability"], "noise": ["x"]})
+
+
+@query()
+def m20_delayed_weights(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators import models
+
+    ready = VectorAssembler(inputCols=["yhat", "x"], outputCol="features")
+    train, validation = (ready.transform(f) for f in _numeric(spark, sf))
+    weighted = {f"share_{s}": models.ridge(w := models.delayed_weights(train, "y", s), "y", 1.0, "weight").fit(w) for s in (0.5, 1.0)}
+    out = None
+    for name, model in weighted.items():
+        one = evaluate.compact_score(model.transform(validation), "y", "prediction").withColumn("candidate", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def m21_learning_curve(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators import models
+
+    ready = VectorAssembler(inputCols=["yhat", "x"], outputCol="features")
+    train, validation = (ready.transform(f) for f in _numeric(spark, sf))
+    return ranking.step_change(models.learning_curve(train, validation, "y", "leg_id", (10, 25, 50)), "percent", "combined_mae")
+
+
+@query()
+def m24_frozen_scoring(spark, sf):
+    from ..operators import models
+
+    train, validation = _numeric(spark, sf)
+    late = train.withColumn("label", (F.col("y") > 15).cast("int"))
+    from pyspark.ml import Pipeline
+
+    prepared = models.preprocessor(train, ["event_type"], [], ["yhat", "x"])
+    minutes = Pipeline(stages=[prepared, models.ridge(train, "y", 1.0)]).fit(train).transform(validation).select("leg_id", "y", F.col("prediction").alias("minutes"))
+    chance = Pipeline(stages=[prepared, *models.logistic_candidates("label", (0.01,), None).values()]).fit(late.drop("probability")).transform(validation.drop("probability")).select("leg_id", (F.col("prediction") > 0.5).alias("late_15"))
+    joint = flights.prediction_table([minutes, chance], "leg_id").withColumn("band", clean.severity_band(F.col("minutes")))
+    return joint.select("leg_id", "y", "minutes", "late_15", "band")
+
+
+@query()
+def g7_public_tables(spark, sf):
+    from .jobs import public_tables
+
+    out = None
+    for name, df in public_tables(legs(spark, sf), ROUTES).items():
+        one = df.agg(F.lit(name).alias("tbl"), F.count("*").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
