@@ -1,11 +1,14 @@
 """Chat formatting as a prefix tree: turns that conversations share at their beginning are emitted once.
 
 A node of the forest is a distinct beginning of conversations; its segment is
-its last turn in the template.  Depth-first order is the order of the paths of
-node keys, so a range-partitioned sort and a running length give each segment
-its place in its tree; its position ids go on from its parent's, and it may
-attend to its ancestors' segments and itself.  A tree shared by many
-conversations is spread over as many tasks as any other rows.
+its last turn in the template.  In the order of their paths of node keys, each
+conversation emits the turns that none before it has: that is depth-first
+order, and each conversation's new turns are one run of the emitted sequence.
+Position ids go on from the parent's.  A node attends to its own run up to
+itself and to the ends of earlier runs in which its other ancestors lie, so
+attention takes one interval for each branching above it, not for each turn.
+Ranks and places come from range-partitioned sorts with running totals, so a
+tree that many conversations share is spread over tasks like any other rows.
 """
 
 from __future__ import annotations
@@ -55,51 +58,111 @@ def conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 def with_paths(convs: DataFrame) -> DataFrame:
     """Conversations with ``path``, the key of each beginning: a hash of the parent's key, the role and the text."""
-    step = lambda acc, t: F.concat(acc, F.array(F.md5(F.concat_ws("\x00", F.coalesce(F.element_at(acc, -1), F.lit("")), F.md5(t.role), F.md5(t.text)))))
-    rooted = F.aggregate("turns", F.array(F.lit("")), step)
-    return convs.withColumn("path", F.slice(rooted, 2, F.greatest(F.size("turns"), F.lit(1))))
 
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128
 
-def prefix_forest(paths: DataFrame) -> DataFrame:
-    """Every node once, with its place.
-
-    ``node``, ``tree`` (its root's key), ``depth``, ``path``, ``role``,
-    ``segment`` (formatted text), ``start`` and ``end`` in the tree's emitted
-    sequence (code points), ``position`` (id of its first code point; the rest
-    count on), ``attends`` (intervals of its ancestors and itself) and
-    ``loss_start``, ``loss_end`` (learnt code points, equal if none).
+        for batch in batches:
+            paths = []
+            for turns in batch.column("turns").to_pylist():
+                key, own = b"", []
+                for t in turns:
+                    role, text = t["role"].encode(), t["text"].encode()
+                    h = xxh3_128(key)
+                    h.update(len(role).to_bytes(8, "little") + role + text)
+                    key = h.digest()
+                    own.append(key.hex())
+                paths.append(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(pa.string()))], names=[*batch.schema.names, "path"])
+
+    return convs.mapInArrow(chain, with_fields(convs, "path array<string>"))
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over all rows that come before in ``order`` (unique values).
+
+    A range-partitioned sort sums inside each partition; the partitions' sums,
+    one row each, give the offsets.
     """
-    each = paths.select("path", F.posexplode("turns").alias("k", "t")).select(F.slice("path", 1, F.col("k") + 1).alias("path"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
-    body = escape(F.col("text"))
-    head = F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n"))
-    nodes = each.select(F.element_at("path", -1).alias("node"), "path", "role", F.concat(head, body, F.lit(END + "\n")).alias("segment"), F.char_length(head).alias("head"), F.char_length(body).alias("body"))
-    nodes = nodes.dropDuplicates(["node"]).withColumn("length", F.char_length("segment").cast("long"))
-    ordered = nodes.repartitionByRange("path").sortWithinPartitions("path")
+    ordered = df.repartitionByRange(order).sortWithinPartitions(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
-            length = np.asarray(batch.column("length"))
-            before = total + np.cumsum(length) - length
-            total += int(length.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, dtype=np.int32)), pa.array(before)], names=[*batch.schema.names, "part", "before"])
+            own = np.asarray(batch.column(value))
+            before = total + np.cumsum(own) - own
+            total += int(own.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(own), part, dtype=np.int32)), pa.array(before.astype(np.int64))], names=[*batch.schema.names, "_part", "_before"])
 
-    placed = written(ordered.mapInArrow(run, with_fields(ordered, "part int, before long")), "nodes")
-    sums = sorted(tuple(r) for r in placed.groupBy("part").agg(F.sum("length")).collect())  # a row for each partition
+    placed = written(ordered.mapInArrow(run, with_fields(ordered, "_part int, _before long")), "totals")
     offsets, total = [], 0
-    for part, length in sums:
+    for part, amount in sorted(tuple(r) for r in placed.groupBy("_part").agg(F.sum(value)).collect()):  # a row for each partition
         offsets.append((part, total))
-        total += length
-    base = placed.sparkSession.createDataFrame(offsets, "part int, base long")
-    placed = placed.join(F.broadcast(base), "part").withColumn("at", F.col("base") + F.col("before")).withColumn("tree", F.element_at("path", 1))
-    roots = placed.where(F.size("path") == 1).select(F.col("node").alias("tree"), F.col("at").alias("tree_at"))
-    placed = placed.join(roots, "tree").withColumn("start", F.col("at") - F.col("tree_at"))
-    spot = placed.select(F.col("node").alias("up"), F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span"))
-    up = placed.select("node", F.explode("path").alias("up")).join(spot, "up").groupBy("node").agg(F.array_sort(F.collect_list("span")).alias("attends"))
-    out = placed.join(up, "node")
-    own = F.aggregate("attends", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]) - F.col("length")
-    learnt = F.when(F.col("role") == LEARNT, F.col("body")).otherwise(F.lit(0))
-    return out.select("node", "tree", F.size("path").alias("depth"), "path", "role", "segment", "start", (F.col("start") + F.col("length")).alias("end"), own.alias("position"), "attends", (F.col("start") + F.col("head")).alias("loss_start"), (F.col("start") + F.col("head") + learnt).alias("loss_end"))
+        total += amount
+    base = placed.sparkSession.createDataFrame(offsets, "_part int, _base long")
+    return placed.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_before")).drop("_part", "_before", "_base")
+
+
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The new turns of each conversation as segments with their places."""
+    for batch in batches:
+        rows = []
+        for rank, tree, path, turns, shared, run_start in zip(*(batch.column(c).to_pylist() for c in ("rank", "tree", "path", "turns", "shared", "run_start"))):
+            position, at = 0, run_start
+            for depth, (node, t) in enumerate(zip(path, turns)):
+                esc = lambda x: x.replace("\\", "\\\\").replace("<|", "<\\|")
+                head, body = START + esc(t["role"]).replace("\n", "\\n") + "\n", esc(t["text"])
+                length = len(head) + len(body) + len(END) + 1
+                if depth >= shared:
+                    loss = (at + len(head), at + len(head) + (len(body) if t["role"] == LEARNT else 0))
+                    rows.append((rank, node, tree, depth + 1, t["role"], head + body + END + "\n", at, at + length, position, run_start, *loss))
+                    at += length
+                position += length
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 6)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows), kinds)], names=["rank", "node", "tree", "depth", "role", "segment", "start", "end", "position", "run_start", "loss_start", "loss_end"])
+
+
+_NODES = "rank long, node string, tree string, depth int, role string, segment string, start long, end long, position long, run_start long, loss_start long, loss_end long"
+
+
+def prefix_forest(paths: DataFrame) -> DataFrame:
+    """Every node once, with its place.
+
+    ``node``, ``tree`` (its root's key), ``depth``, ``role``, ``segment``
+    (formatted text), ``start`` and ``end`` in the tree's emitted sequence
+    (code points), ``position`` (id of its first code point; the rest count
+    on), ``attends`` (intervals of the sequence that its ancestors and itself
+    take up) and ``loss_start``, ``loss_end`` (learnt code points, equal if
+    none).
+    """
+    leaf = F.element_at("path", -1)
+    first = paths.groupBy(leaf.alias("leaf")).agg(F.min(F.coalesce("conv_id", F.lit(-(1 << 62)))).alias("_first"))
+    one = paths.withColumns({"leaf": leaf, "_id": F.coalesce("conv_id", F.lit(-(1 << 62)))}).join(first, "leaf").where("_id = _first")
+    one = one.select("path", "turns", F.lit(1).alias("_one"))  # conversations that say the same are one
+    ranked = written(running_total(one, "path", "_one", "rank").drop("_one"), "ranked")
+
+    each = ranked.select("rank", F.posexplode("path").alias("depth", "node"))
+    owner = written(each.groupBy("node").agg(F.min("rank").alias("owner")), "owners")
+    owned = each.join(owner, "node")
+    new = owned.where("owner = rank").groupBy("rank").agg(F.min("depth").alias("shared"))
+    # the last turn of each earlier run on a path
+    ends = owned.where("owner <> rank").groupBy("rank", "owner").agg(F.max(F.struct("depth", "node")).alias("e")).select("rank", F.col("e.node").alias("node"), F.col("e.depth").alias("depth"))
+
+    esc = lambda c: F.char_length(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|")))
+    size = lambda t: esc(t.text) + F.char_length(_escape_role(t.role)) + len(START) + len(END) + 2
+    runs = ranked.join(new, "rank").withColumn("tree", F.element_at("path", 1))
+    runs = runs.withColumn("length", F.aggregate(F.slice("turns", F.col("shared") + 1, F.size("turns")), F.lit(0).cast("long"), lambda a, t: a + size(t)))
+    placed = written(running_total(runs.select("rank", "tree", "shared", "length"), "rank", "length", "at"), "places")
+    roots = placed.groupBy("tree").agg(F.min("at").alias("tree_at"))
+    placed = placed.join(roots, "tree").select("rank", "tree", "shared", (F.col("at") - F.col("tree_at")).alias("run_start"))
+    nodes = written(ranked.join(placed, "rank").mapInArrow(_emit, _NODES), "segments")
+
+    spot = nodes.select("node", F.col("run_start").alias("from"), F.col("end").alias("to"))
+    above = ends.join(spot, "node").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct(F.col("from").alias("start"), F.col("to").alias("end")))).alias("above"))
+    own = F.array(F.struct(F.col("run_start").alias("start"), "end"))
+    out = nodes.join(above, "rank", "left").withColumn("attends", F.concat(F.coalesce("above", F.array().cast("array<struct<start:bigint,end:bigint>>")), own))
+    return out.drop("rank", "run_start", "above")
 
 
 def read_back(paths: DataFrame, forest: DataFrame) -> DataFrame:
