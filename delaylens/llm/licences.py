@@ -56,14 +56,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, dice: float =
     """
     wanted = template_bigrams(docs.sparkSession, TEMPLATES if templates is None else templates)
     wanted = [(name, own) for name, own in wanted if own]
-    least = min(len(own) for _, own in wanted) * dice / (2 - dice)
-    most = max(len(own) for _, own in wanted) * (2 - dice) / dice
+    slack = 1e-9  # a unit just at a bound is compared
+    low, high = dice / (2 - dice) - slack, (2 - dice) / dice + slack
+    least, most = min(len(own) for _, own in wanted) * low, max(len(own) for _, own in wanted) * high
     own = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     units = F.when(F.size(own) > 1, F.concat(own, F.array(F.coalesce(F.col(text), F.lit(""))))).otherwise(own)
     # a bigram takes two bytes at least, so short units fall out before they are cut into words
     each = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.filter(units, lambda u: F.octet_length(u) >= int(least) * 2)).alias("unit"))
-    sized = each.select("doc_id", words(F.col("unit")).alias("w")).where(F.size("w") >= int(least)).select("doc_id", bigrams(F.col("w")).alias("b")).where(F.size("b").between(least, most))
+    # each distinct word but the first ends a bigram of its own, so too many of them rule a unit out before its bigrams are made
+    sized = each.select("doc_id", words(F.col("unit")).alias("w")).where((F.size("w") >= int(least)) & (F.size(F.array_distinct("w")) - 1 <= most)).select("doc_id", bigrams(F.col("w")).alias("b")).where(F.size("b").between(least, most))
     score = lambda grams: F.lit(2.0) * F.size(F.array_intersect("b", F.array(*map(F.lit, grams)))) / (F.size("b") + len(grams))
-    held = F.array(*[F.struct(F.lit(name).alias("licence"), F.when(F.size("b").between(len(grams) * dice / (2 - dice), len(grams) * (2 - dice) / dice), score(grams)).alias("dice")) for name, grams in wanted])
+    held = F.array(*[F.struct(F.lit(name).alias("licence"), F.when(F.size("b").between(len(grams) * low, len(grams) * high), score(grams)).alias("dice")) for name, grams in wanted])
     found = sized.select("doc_id", F.explode(F.filter(held, lambda x: x.dice >= dice)).alias("m")).select("doc_id", "m.licence", "m.dice")
     return found.groupBy("doc_id", "licence").agg(F.count("*").alias("n_units"), F.round(F.max("dice"), 6).alias("best_dice"))
