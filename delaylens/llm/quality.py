@@ -11,6 +11,7 @@ threshold is a quantile of these documents' perplexities.
 
 from __future__ import annotations
 
+import bz2
 import zlib
 from collections.abc import Iterator
 
@@ -70,7 +71,7 @@ def _split(docs: DataFrame, order: int, shards: int, grams: bool) -> DataFrame:
             place += 1
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             if not grams:
-                rows = [(block, -1, ids.tobytes(), sizes.tobytes(), zlib.compress(whole, 1))]
+                rows = [(block, -1, ids.tobytes(), sizes.tobytes(), bz2.compress(whole))]
             else:
                 trusted = np.array(batch.column(2).to_pylist(), dtype=bool)
                 keys, _ = ngrams(texts, order)
@@ -82,15 +83,21 @@ def _split(docs: DataFrame, order: int, shards: int, grams: bool) -> DataFrame:
                 rows = []
                 for s in np.unique(shard).tolist():
                     mine = shard == s
-                    rows.append((block, s, zlib.compress(np.diff(keys[mine], prepend=np.uint64(0)).tobytes(), 1), pack(c[mine]), b""))
+                    rows.append((block, s, _dump(keys[mine]), pack(c[mine]), b""))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "shard", "numbers", "counts", "data"])
 
     return docs.select("doc_id", "text", "trusted").mapInArrow(split, _PIECES)
 
 
+def _dump(keys: np.ndarray) -> bytes:
+    """Sorted n-grams: their differences, byte by byte from the lowest, compressed."""
+    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 6)
+
+
 def _keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), dtype=np.uint64), dtype=np.uint64)
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _add_up(group: pa.Table) -> pa.Table:
@@ -157,7 +164,7 @@ def _summer(order: int):
             raise ValueError("the documents changed between two reads: write them to a table first")
         numbers, counts, data = (group[c].to_pylist() for c in ("numbers", "counts", "data"))
         ids, sizes = np.frombuffer(numbers[own[0]], dtype=np.int64), np.frombuffer(counts[own[0]], dtype=np.int64)
-        whole, ends = zlib.decompress(data[own[0]]), np.cumsum(sizes)
+        whole, ends = bz2.decompress(data[own[0]]), np.cumsum(sizes)
         rest = np.flatnonzero(shard >= 0).tolist()
         keys = np.concatenate([_keys(numbers[i]) for i in rest]) if rest else np.empty(0, np.uint64)
         lp = np.concatenate([np.frombuffer(data[i], dtype=np.float32) for i in rest]) if rest else np.empty(0, np.float32)
