@@ -4,7 +4,8 @@ The suffixes of the whole corpus fall into groups that never share a passage:
 every 50-byte window is led by its rarest-hashed 16-byte string (its anchor),
 and equal windows have equal anchors.  Anchors are dealt over shards with a
 fingerprint of the text that they lead, which settles those whose text is the
-same everywhere.  Where it differs, one text for each variant goes on: the
+same everywhere, and of the bytes on either side, which settles variants that
+can share nothing.  One text for each variant that is left goes on: the
 Burrows-Wheeler transforms of parts of a shard are merged by refining their
 interleave once for each of the 50 bytes, and the blocks that are left, the
 intervals of suffixes with a common prefix of 50 bytes, name the repeated
@@ -37,12 +38,17 @@ _SPANS = "block long, start int, stop int"
 
 
 class Anchors:
-    """The anchors of a block of texts: ``mark`` (40 bits of hash), ``print`` (56 bits), and the windows they lead, ``first`` to ``last``."""
+    """The anchors of a block of texts: ``mark`` (40 bits of hash), ``print`` (56 bits), and the windows they lead, ``first`` to ``last``.
+
+    ``left`` and ``right`` (24 bits, 0 where there are too few bytes) stand
+    for the 17 bytes on either side of the anchor: two different texts round
+    an anchor that share a window share one of these.
+    """
 
     def __init__(self, whole: bytes, sizes: np.ndarray):
         raw = np.frombuffer(whole, dtype=np.uint8)
         n = len(raw)
-        self.mark = self.print = np.empty(0, np.uint64)
+        self.mark = self.print = self.left = self.right = np.empty(0, np.uint64)
         self.first = self.last = np.empty(0, np.int64)
         if n < LENGTH:
             return
@@ -74,6 +80,9 @@ class Anchors:
         shape = ((self.last - self.first) * 64 + lead - self.first).astype(np.uint64)
         self.mark = mix64(h[lead]) >> np.uint64(24)
         self.print = mix64(span + mix64(shape)) >> np.uint64(8)
+        side = lambda at, ok: np.where(ok, (mix64(word[np.where(ok, at, 0)] + mix64(word[np.where(ok, at + 8, 0)] + mix64(raw[np.where(ok, at + 16, 0)].astype(np.uint64)))) >> np.uint64(40)) | np.uint64(1), np.uint64(0))
+        self.left = side(lead - 17, lead - self.first >= 17)
+        self.right = side(lead + ANCHOR, self.last + LENGTH >= lead + ANCHOR + 17)
 
     def document(self, sizes: np.ndarray) -> np.ndarray:
         """The number of the text that each anchor is in."""
@@ -110,7 +119,7 @@ def _split(docs: DataFrame, shards: int, anchors: bool) -> DataFrame:
                 shard, doc = (found.mark % np.uint64(shards)).astype(np.int64), ids[found.document(sizes)] if len(found.mark) else ids[:0]
                 for s in np.unique(shard).tolist():
                     own = shard == s
-                    packed = np.concatenate((found.mark[own].view(np.uint8).reshape(-1, 8)[:, :5], found.print[own].view(np.uint8).reshape(-1, 8)[:, :7]), axis=1)
+                    packed = np.concatenate((found.mark[own].view(np.uint8).reshape(-1, 8)[:, :5], found.print[own].view(np.uint8).reshape(-1, 8)[:, :7], found.left[own].view(np.uint8).reshape(-1, 8)[:, :3], found.right[own].view(np.uint8).reshape(-1, 8)[:, :3]), axis=1)
                     rows.append((block, s, _dump(doc[own]), b"", packed.tobytes()))
             else:
                 rows.append((block, -1, ids.tobytes(), sizes.tobytes(), zlib.compress(whole, 1)))
@@ -129,17 +138,22 @@ def _wide(packed: np.ndarray) -> np.ndarray:
 def _settle(group: pa.Table) -> pa.Table:
     """What becomes of each anchor's windows: 0 nothing, 1 all repeated, 2 to be compared with other variants."""
     docs = [_load(x) for x in group["ids"].to_pylist()]
-    packed = np.frombuffer(b"".join(group["data"].to_pylist()), dtype=np.uint8).reshape(-1, 12)
-    mark, kind, doc = _wide(packed[:, :5]), _wide(packed[:, 5:]), np.concatenate(docs)
+    packed = np.frombuffer(b"".join(group["data"].to_pylist()), dtype=np.uint8).reshape(-1, 18)
+    mark, kind, doc = _wide(packed[:, :5]), _wide(packed[:, 5:12]), np.concatenate(docs)
     order = np.lexsort((doc, kind, mark))
-    mark, kind, doc = mark[order], kind[order], doc[order]
+    mark, kind, doc, sides = mark[order], kind[order], doc[order], packed[order, 12:]
     one = np.concatenate(([True], mark[1:] != mark[:-1]))
     variant = one | np.concatenate(([True], kind[1:] != kind[:-1]))
     starts, firsts = np.flatnonzero(one), np.flatnonzero(variant)
     in_group, in_variant = np.cumsum(one) - 1, np.cumsum(variant) - 1
     earliest = doc[firsts][in_variant]
     several = (np.bincount(in_group[firsts]) > 1) & (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
-    verdict = np.where(doc > earliest, 1, np.where(several[in_group], 2, 0)).astype(np.uint8)
+    near = np.zeros(len(firsts), dtype=bool)
+    for k in (0, 3):  # the text on one side is that of another variant
+        side = _wide(sides[firsts, k : k + 3])
+        _, inverse, counts = np.unique((in_group[firsts].astype(np.uint64) << np.uint64(24)) | side, return_inverse=True, return_counts=True)
+        near |= (counts[inverse] > 1) & (side > 0)
+    verdict = np.where(doc > earliest, 1, np.where(several[in_group] & near[in_variant], 2, 0)).astype(np.uint8)
     back = np.empty(len(order), dtype=np.uint8)
     back[order] = verdict
     cuts = np.cumsum([len(d) for d in docs])[:-1]
