@@ -14,6 +14,11 @@ from delaylens.llm import bpe, decontaminate, lines, minhash, quality
 from delaylens.llm.queries import RANK_FILE, trusted_ids
 from delaylens.llm.shared import table, written
 
+#: Link documents when 100 * common >= NEAR_PERCENT * all shingles of the two.
+NEAR_PERCENT = 80
+#: So many bands of six miss a pair just at NEAR_PERCENT with 5e-7.
+NEAR_BANDS = 48
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less likely than nearly all trusted ones of their language go."""
@@ -30,8 +35,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return minhash.drop_near_duplicates(docs)
+    """Of each group of near duplicates (similarity 0.8 or more) the document with the smallest id stays."""
+    return minhash.drop_near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

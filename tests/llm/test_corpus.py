@@ -386,3 +386,15 @@ def test_pipeline_stages(spark, tmp_path):
         sizes.append(docs.count())
     assert sizes[1] <= sizes[0] and sizes[2] == sizes[1] and sizes[3] < sizes[2] and sizes[4] <= sizes[3] and sizes[5] == sizes[4]
     assert "n_tokens" in docs.columns
+
+
+def test_pipeline_links_from_four_fifths(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = [f"w{k}" for k in range(204)]
+    texts = [(1, " ".join(base)), (2, " ".join([*base[:50], "x", *base[51:100], "y", *base[101:150], "z", *base[151:200], *base[200:]]))]
+    texts += [(3, " ".join([*base[:182], *[f"v{k}" for k in range(22)]])), (4, " ".join([*base[:170], *[f"u{k}" for k in range(34)]]))]
+    sets, _ = near(texts)
+    alike = lambda i: len(sets[1] & sets[i]) / len(sets[1] | sets[i])
+    assert alike(2) >= 0.85 and 0.8 <= alike(3) < 0.85 and alike(4) < 0.8
+    kept = pipeline.near_duplicate_stage(spark, shared.written(spark.createDataFrame(texts, DOCS), "docs"), "")
+    assert {r["doc_id"] for r in kept.collect()} == {1, 4}
