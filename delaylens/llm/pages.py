@@ -1,10 +1,11 @@
 """Main text of web pages by consensus on host paths.
 
-Each page's containers are scored by the text they hold; the page votes for
-the generalised path (tags and classes, digits made equal) of its best one.
+Each page's containers are scored by the text they hold; the best one stands
+for the article round it, and the page votes for that one's generalised path
+(tags and classes, digits made equal).
 Votes are counted per host in Spark, and every page is extracted again from
-the containers on its host's winning path; a page that has none uses its own
-best container.
+the containers on its host's winning path; a page that has none, or no text in
+them, uses its own best container.
 """
 
 from __future__ import annotations
@@ -55,9 +56,9 @@ def _attributes(tag: str, raw: str, strict: bool) -> tuple[str, bool]:
     return part, marked and tag not in KEPT
 
 
-def containers(html: str, strict: bool = True) -> list[tuple[str, int, int, float, list[tuple[int, str]]]]:
-    """A page's containers in page order: path, depth, number of the enclosing one (-1: none), score, own blocks (place, text)."""
-    found: list[list] = [["", 0, -1, 0.0, []]]
+def containers(html: str, strict: bool = True) -> list[tuple[str, int, int, float, list[tuple[int, str]], int]]:
+    """A page's containers in page order: path, depth, number of the enclosing one (-1: none), score, own blocks (place, text), unlinked less linked length of these."""
+    found: list[list] = [["", 0, -1, 0.0, [], 0]]
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, container, dropped
     text: list[str] = []
     linked, in_link, place = 0, False, 0
@@ -70,6 +71,7 @@ def containers(html: str, strict: bool = True) -> list[tuple[str, int, int, floa
             place += 1
             k, worth = stack[-1][1], max(0, len(block) - 2 * linked)
             found[k][4].append((place, block))
+            found[k][5] += len(block) - 2 * linked
             while k >= 0 and worth >= 1:
                 found[k][3] += worth
                 k, worth = found[k][2], worth * FADE
@@ -125,7 +127,7 @@ def containers(html: str, strict: bool = True) -> list[tuple[str, int, int, floa
         drop = stack[-1][2] or marked or name in DROPPED
         if name in CONTAINERS and not drop:
             up = stack[-1][1]
-            found.append([f"{found[up][0]}>{part}" if up else part, found[up][1] + 1, up, 0.0, []])
+            found.append([f"{found[up][0]}>{part}" if up else part, found[up][1] + 1, up, 0.0, [], 0])
             stack.append((name, len(found) - 1, False))
         elif name in BLOCKS or drop:
             stack.append((name, stack[-1][1], drop))
@@ -140,11 +142,42 @@ def best_container(found: list) -> int:
     return k if found[k][3] > 0 or any(x[4] for x in found) else -1
 
 
+def _tags(path: str) -> list[str]:
+    return [part.split(".")[0] for part in path.split(">")]
+
+
+def article_round(found: list, k: int) -> int:
+    """The outermost container round ``k`` that is of the same article; ``k`` itself if there is none.
+
+    That is an enclosing article, a main where no article is nearer, or a
+    container with unlinked text of its own (body only outside of those two);
+    what it adds must not be mostly links.
+    """
+    worth = [x[5] for x in found]
+    for i in range(len(found) - 1, 0, -1):  # inner ones come later
+        worth[found[i][2]] += worth[i]
+    up = found[k][2]
+    while up > 0:
+        tag, inner = _tags(found[up][0])[-1], _tags(found[k][0])
+        named = tag == "article" or tag == "main" and "article" not in inner
+        own = found[up][5] > 0 and (tag not in ("html", "body") or "article" not in inner and "main" not in inner)
+        if (named or own) and worth[up] >= worth[k]:
+            k = up
+        up = found[up][2]
+    return k
+
+
+def article_container(found: list) -> int:
+    """The container of the page's article; -1 if the page has no text."""
+    k = best_container(found)
+    return article_round(found, k) if k >= 0 else k
+
+
 def text_of(found: list, path: str | None) -> str:
-    """The blocks inside the containers on ``path`` (inside the page's best container if none is there)."""
-    chosen = {k for k, x in enumerate(found) if x[0] == path} if path is not None else set()
+    """The blocks of the articles round the containers on ``path`` (of the page's own article if none is there or none has text)."""
+    chosen = {article_round(found, k) for k, x in enumerate(found) if x[0] == path} if path is not None else set()
     if not chosen:
-        k = best_container(found)
+        k = article_container(found)
         chosen = {k} if k >= 0 else set()
     own: list[tuple[int, str]] = []
     inside: set[int] = set()
@@ -152,6 +185,8 @@ def text_of(found: list, path: str | None) -> str:
         if k in chosen or x[2] in inside:
             inside.add(k)
             own += x[4]
+    if not own and path is not None:
+        return text_of(found, None)
     return "\n".join(b for _, b in sorted(own))
 
 
@@ -169,7 +204,7 @@ def host_of(url: Column) -> Column:
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """The winning path of each host: ``host``, ``path``.
 
-    A page votes once, for its best container's path.  Most votes win, then
+    A page votes once, for the path of its article's container.  Most votes win, then
     the higher score, then the path that sorts first.
     """
 
@@ -178,7 +213,7 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
             rows = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = parsed(page)
-                if (k := best_container(found)) >= 0:
+                if (k := article_container(found)) >= 0:
                     rows.append((host, found[k][0], int(found[k][3])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["host", "path", "score"])

@@ -348,6 +348,25 @@ def test_consensus_rules_the_host(spark):
     assert got[9]["text"] == "short text" and got[0]["text"] == (long + "0").strip() and got[10]["text"] == got[11]["text"] == "" and got[12]["text"] == "only"
 
 
+def test_article_keeps_what_stands_round_its_largest_container(spark):
+    page = lambda body: f"<html><body><nav>n n n</nav>{body}<footer>f</footer></body></html>"
+    long, links = "word " * 40, "<div class='x'>" + "<a href=y>see this other one</a> " * 5 + "</div>"
+    bodies = [
+        f"<article><h1>Title</h1><p>lead</p><div class=body><p>{long}</p></div><p>close</p></article>",
+        f"<div class=post><h1>Title</h1><p>lead</p><section><p>{long}</p></section><p>close</p></div>{links}",
+        f"<main><div class=top><h1>Title</h1><p>lead</p></div><div class=body><p>{long}</p></div><p>close</p></main>{links}",
+        f"<h1>Title</h1><p>lead</p><blockquote>{long}</blockquote><p>close</p>",
+    ]
+    whole = "\n".join(["Title", "lead", long.strip(), "close"])
+    data = [(k, f"http://h{k}.example/", page(b)) for k, b in enumerate(bodies)]
+    data += [(k, "http://many.example/", page(f"<article><div class=body><p>{long}</p></div></article>")) for k in (10, 11, 12)]
+    data += [(13, "http://many.example/", page(bodies[0])), (14, "http://many.example/", page(f"<article> </article><div class=z><p>{long}</p></div>"))]
+    data += [(15, "http://l.example/", page(f"<main>{links}<div class=body><p>short</p><p>{long}</p></div></main>"))]
+    got = rows(pages.extract(spark.createDataFrame(data, "page_id long, url string, html string")), "page_id")
+    assert [got[k]["text"] for k in range(4)] == [whole] * 4 and got[13]["text"] == whole
+    assert got[10]["text"] == got[14]["text"] == long.strip() and got[15]["text"] == "short\n" + long.strip()
+
+
 def test_licences_equal_brute_force(spark):
     import re
 
