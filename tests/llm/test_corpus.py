@@ -389,6 +389,15 @@ def test_licences_equal_brute_force(spark):
     assert {(r["doc_id"], r["licence"]): (r["n_units"], r["best_dice"]) for r in got} == want and (3, "mit") in want
 
 
+def test_licences_complete_texts(spark):
+    assert licences.TEMPLATES["mit"].endswith("OTHER DEALINGS IN THE SOFTWARE.")
+    whole = [" ".join(p) for p in licences.PARAGRAPHS.values()]
+    assert all(t.count("LIABLE") == 1 for t in whole)
+    texts = [(k, t) for k, t in enumerate(whole)] + [(9, "Licensed under CC BY-SA 4.0")]
+    got = {(r["doc_id"], r["licence"]): r["best_dice"] for r in licences.scan(spark.createDataFrame(texts, DOCS)).collect()}
+    assert all(got[k, name] == 1.0 for k, name in enumerate(licences.PARAGRAPHS)) and got[9, "cc-by-sa-4.0-line"] == 1.0
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     texts = [(i, (t or "") + ("\nA line that is everywhere" if i % 2 else ""), "en", "s", len(t or "")) for i, t in corpus(10)]
