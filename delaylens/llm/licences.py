@@ -3,11 +3,19 @@
 Each line of a text and the text as a whole are normalised to lower-case words
 and held against the licence templates.  A unit's number of distinct bigrams
 bounds its coefficient with a template, so templates of unfit size are never
-compared.  All of it is DataFrame functions: no Python runs on the executors.
+compared.  Where neither matches, runs of words inside the text are tried.
+A match needs two thirds of a template's bigrams at least, so units without
+any of a few words that touch more than the rest of each template fall out
+first.  All of it is DataFrame functions: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +62,12 @@ PARAGRAPHS = {
 TEMPLATES |= {name: " ".join(parts) for name, parts in PARAGRAPHS.items()}
 TEMPLATES |= {f"{name}/{k}": part for name, parts in PARAGRAPHS.items() for k, part in enumerate(parts, 1)}
 
+#: Words too common to tell a licence by.
+COMMON = frozenset("a above all an and any are as at be by even following for from if in including is it may must not of on one or other see shall should software that the this to under use was will with without you your".split())
+
+#: Short words that hardly occur outside of licences.
+SHORT = frozenset("cc gnu mit mpl nc sa".split())
+
 
 def words(text: Column) -> Column:
     """The words of a text: A-Z in lower case, runs of ASCII letters and digits and of what lies outside ASCII."""
@@ -73,26 +87,111 @@ def template_bigrams(spark: SparkSession, templates: dict[str, str]) -> list[tup
     return [(r[0], r[1]) for r in rows.select("licence", bigrams(words(F.col("text")))).orderBy("licence").collect()]
 
 
+def telling_words(wanted: list[tuple[str, list[str]]], dice: float) -> list[str]:
+    """A few words of which every text that matches a template has one.
+
+    A match has ``dice / (2 - dice)`` of the template's bigrams at least, so
+    words that touch more than the rest of them cannot all be missing.
+    """
+    left = {name: (set(own), len(own) - math.ceil(len(own) * dice / (2 - dice) - 1e-9) + 1) for name, own in wanted}
+    chosen: list[str] = []
+    while left:
+        gain: Counter = Counter()
+        for grams, need in left.values():
+            for word, n in Counter(w for g in grams for w in set(g.split(" "))).items():
+                gain[word] += min(n, need)
+        usual = {w: n for w, n in gain.items() if w not in COMMON and (len(w) > 6 or w in SHORT)} or gain
+        word = min(usual, key=lambda w: (-usual[w], w))
+        chosen.append(word)
+        for name, (grams, need) in list(left.items()):
+            touched = {g for g in grams if word in g.split(" ")}
+            left[name] = (grams - touched, need - len(touched))
+            if need <= len(touched):
+                del left[name]
+    return chosen
+
+
+def has_word(text: Column, chosen: list[str]) -> Column:
+    """Whether a text can have one of the words; a longer word that holds one will do too."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tests = [lambda x, w=w: F.contains(x, F.lit(w)) for w in chosen if len(w) >= 5]
+    if short := [re.escape(w) for w in chosen if len(w) < 5]:
+        tests.append(lambda x: x.rlike(rf"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])"))
+    # a variable of its own, so that the text is put into lower case once
+    return F.exists(F.array(lower), lambda x: reduce(lambda a, b: a | b, [test(x) for test in tests], F.lit(False)))
+
+
+def _constant(grams: list[str]) -> Column:
+    return F.split(F.lit("\n".join(grams)), "\n")
+
+
+def scan_runs(docs: DataFrame, wanted: list[tuple[str, list[str]]], lengths: dict[str, int], dice: float) -> DataFrame:
+    """The best run of words for each template: ``doc_id``, ``licence``, ``dice`` (at least ``dice``).
+
+    A run has at most ``(2 - dice) / dice`` times as many bigrams as the
+    template and begins with one of the template's.  Bigrams are compared as
+    64-bit hashes.
+    """
+    share, most = dice / (2 - dice), (2 - dice) / dice
+    # the explodes are outer because a filter, also one that Spark infers from an inner one, would be pushed down and work out the arrays at each use
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    each = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", pairs(F.col("w")).alias("g"))
+    each = each.withColumn("own", F.array_distinct("g"))
+    fit = [F.when(F.size(F.array_intersect("own", _constant(own))) >= len(own) * share - 1e-9, F.struct(F.lit(name).alias("licence"), F.transform(_constant(own), lambda x: F.xxhash64(x)).alias("t"), F.lit(math.floor(max(lengths[name], len(own)) * most + 1e-9)).alias("most"))) for name, own in wanted]
+    each = each.select("doc_id", F.transform("g", lambda x: F.xxhash64(x)).alias("g"), F.explode_outer(F.filter(F.array(*fit), lambda x: x.isNotNull())).alias("m")).where("m is not null").select("doc_id", "g", "m.*")
+    # a bigram counts in a run if it was not there before: if its last place is before the run's first
+    last = lambda i: F.array_position(F.reverse(F.slice("g", F.greatest(i - F.col("most"), F.lit(0)) + 1, F.least(i, F.col("most")))), F.get("g", i))
+    seen = F.transform(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.struct(i.alias("i"), F.when(last(i) > 0, i - last(i)).otherwise(F.lit(-1)).alias("last"), F.array_contains("t", F.get("g", i)).cast("int").alias("in")))
+    each = each.withColumn("s", seen)
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("c"), F.lit(0.0).alias("best"))
+
+    def step(first: Column):
+        def add(a: Column, x: Column) -> Column:
+            new = (x["last"] < first["i"]).cast("int")
+            n, c = a["n"] + new, a["c"] + new * x["in"]
+            return F.struct(n.alias("n"), c.alias("c"), F.greatest(a["best"], F.lit(2.0) * c / (n + F.size("t"))).alias("best"))
+
+        return add
+
+    runs = F.transform(F.filter("s", lambda x: x["in"] == 1), lambda x: F.aggregate(F.slice("s", x["i"] + 1, F.col("most")), zero, step(x), lambda a: a["best"]))
+    best = F.filter(F.array(F.array_max(runs)), lambda x: x >= dice)
+    return each.select("doc_id", "licence", F.explode_outer(best).alias("dice")).where("dice is not null")
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, dice: float = DICE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The licences found: ``doc_id``, ``licence``, ``n_units`` (lines, or the whole text, that match), ``best_dice``.
 
     A document's units are its lines and, if it has several, the whole of it;
     a unit matches a template when the Dice coefficient of their bigrams is at
-    least ``dice``.  Documents without a match, null and empty texts give no
+    least ``dice``.  Where no unit matches a template, the document's best run
+    of words is the one unit; a run that matches a paragraph alone counts only
+    if the licence as a whole is not found.  Licences that differ in a few
+    words match together; ``best_dice`` tells them apart.  Documents without a match, null and empty texts give no
     row.  Repeated ids are counted together.
     """
-    wanted = template_bigrams(docs.sparkSession, TEMPLATES if templates is None else templates)
+    templates = TEMPLATES if templates is None else templates
+    wanted = template_bigrams(docs.sparkSession, templates)
     wanted = [(name, own) for name, own in wanted if own]
+    lengths = {name: len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", templates[name])) for name, _ in wanted}
+    chosen = telling_words(wanted, dice)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(has_word(F.col("text"), chosen))
     slack = 1e-9  # a unit just at a bound is compared
     low, high = dice / (2 - dice) - slack, (2 - dice) / dice + slack
     least, most = min(len(own) for _, own in wanted) * low, max(len(own) for _, own in wanted) * high
-    own = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    units = F.when(F.size(own) > 1, F.concat(own, F.array(F.coalesce(F.col(text), F.lit(""))))).otherwise(own)
+    own = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    units = F.when(F.size(own) > 1, F.concat(own, F.array(F.coalesce(F.col("text"), F.lit(""))))).otherwise(own)
     # a bigram takes two bytes at least, so short units fall out before they are cut into words
-    each = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.filter(units, lambda u: F.octet_length(u) >= int(least) * 2)).alias("unit"))
+    each = docs.select("doc_id", F.explode(F.filter(units, lambda u: F.octet_length(u) >= int(least) * 2)).alias("unit")).where(has_word(F.col("unit"), chosen))
     # each distinct word but the first ends a bigram of its own, so too many of them rule a unit out before its bigrams are made
     sized = each.select("doc_id", words(F.col("unit")).alias("w")).where((F.size("w") >= int(least)) & (F.size(F.array_distinct("w")) - 1 <= most)).select("doc_id", bigrams(F.col("w")).alias("b")).where(F.size("b").between(least, most))
-    score = lambda grams: F.lit(2.0) * F.size(F.array_intersect("b", F.array(*map(F.lit, grams)))) / (F.size("b") + len(grams))
+    score = lambda grams: F.lit(2.0) * F.size(F.array_intersect("b", _constant(grams))) / (F.size("b") + len(grams))
     held = F.array(*[F.struct(F.lit(name).alias("licence"), F.when(F.size("b").between(len(grams) * low, len(grams) * high), score(grams)).alias("dice")) for name, grams in wanted])
     found = sized.select("doc_id", F.explode(F.filter(held, lambda x: x.dice >= dice)).alias("m")).select("doc_id", "m.licence", "m.dice")
-    return found.groupBy("doc_id", "licence").agg(F.count("*").alias("n_units"), F.round(F.max("dice"), 6).alias("best_dice"))
+    units = found.groupBy("doc_id", "licence").agg(F.count("*").alias("n_units"), F.max("dice").alias("best"), F.lit(0).alias("run"))
+    runs = scan_runs(docs, wanted, lengths, dice)
+    runs = runs.groupBy("doc_id", "licence").agg(F.count("*").alias("n_units"), F.max("dice").alias("best"), F.lit(1).alias("run"))
+    both = units.unionByName(runs).groupBy("doc_id").agg(F.collect_list(F.struct("licence", "n_units", "best", "run")).alias("m"))
+    named = lambda run: F.transform(F.filter("m", lambda x: x["run"] <= run), lambda x: x["licence"])
+    extra = lambda x: ~F.array_contains(named(0), x["licence"]) & (~F.contains(x["licence"], F.lit("/")) | ~F.array_contains(named(1), F.substring_index(x["licence"], "/", 1)))
+    kept = both.select("doc_id", F.explode(F.filter("m", lambda x: (x["run"] == 0) | extra(x))).alias("m"))
+    return kept.select("doc_id", "m.licence", "m.n_units", F.round("m.best", 6).alias("best_dice"))

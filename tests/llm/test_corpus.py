@@ -389,6 +389,24 @@ def test_licences_equal_brute_force(spark):
     assert {(r["doc_id"], r["licence"]): (r["n_units"], r["best_dice"]) for r in got} == want and (3, "mit") in want
 
 
+def test_licences_inside_other_text(spark):
+    import textwrap
+
+    rng = random.Random(5)
+    prose = " ".join(f"p{rng.randrange(400)}" for _ in range(900))
+    wrapped = lambda name: "\n".join(" * " + x for x in textwrap.wrap(licences.TEMPLATES[name], 60))
+    whole = ("mit", "bsd-2-clause", "bsd-3-clause", "isc", "gpl-3.0", "gpl-2.0", "apache-2.0", "mpl-2.0")
+    texts = [(k, f"{prose}\n/*\n{wrapped(name)}\n */\n{prose}") for k, name in enumerate(whole)]
+    texts += [(20, "This document is Released under the MIT License."), (21, "As you may well know by now it is released under the MIT license and so on"), (22, prose), (23, f"{prose} the license of this software is not known {prose}"), (24, f"{prose}\n{wrapped('bsd-2-clause/1')}\n{prose}")]
+    got = defaultdict(dict)
+    for r in licences.scan(spark.createDataFrame(texts, DOCS)).collect():
+        got[r["doc_id"]][r["licence"]] = r["best_dice"]
+        assert r["n_units"] == 1
+    for k, name in enumerate(whole):
+        assert got[k][name] == 1.0 and max(d for x, d in got[k].items() if "/" not in x and x != "apache-2.0-line") == 1.0, name
+    assert got[20] == got[21] == {"mit-line": 1.0} and 22 not in got and 23 not in got and got[24]["bsd-2-clause/1"] == 1.0
+
+
 def test_licences_complete_texts(spark):
     assert licences.TEMPLATES["mit"].endswith("OTHER DEALINGS IN THE SOFTWARE.")
     whole = [" ".join(p) for p in licences.PARAGRAPHS.values()]
