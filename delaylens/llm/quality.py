@@ -7,11 +7,16 @@ documents, the shards add them up, the levels of the model are joins between
 the shards' tables, and the probabilities travel back to the blocks, which sum
 them by document.  One trusted document in five trains nothing: a language's
 threshold is a quantile of these documents' perplexities.
+
+Text that repeats itself is likely under so short a context.  Each text is
+therefore deflated too, in pieces of 2 KB so that its length does not matter,
+and must not shrink more than nearly all of the held-out documents.
 """
 
 from __future__ import annotations
 
 import bz2
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +33,8 @@ ORDER = 5
 QUANTILE = 0.99
 #: One in so many trusted documents, by a hash of the id, is held out of training for the thresholds.
 HELD_OUT = 5
-#: Fewest held-out documents of a language that set a threshold of its own; others use that of all languages together.
-LEAST_TRUSTED = 20
+#: Bytes of a text that are deflated together.
+PIECE = 2048
 #: Most ids of trusted documents that are broadcast; beyond, the documents are joined with them by a shuffle.
 MAX_BROADCAST_IDS = 5_000_000
 BLOCK = 8 << 20
@@ -156,6 +161,22 @@ def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table({"block": asked["block"], "shard": asked["shard"], "numbers": asked["numbers"], "counts": asked["counts"], "data": pa.array(out, pa.binary())})
 
 
+def least_trusted(quantile: float) -> int:
+    """Fewest held-out documents of which neither the quantile nor its opposite is the extreme; languages with fewer use the thresholds of all together."""
+    return math.floor(1 / (1 - quantile) + 1e-6) + 1 if quantile < 1 else 1
+
+
+def density(text: bytes) -> float | None:
+    """What deflating leaves of a text, as a share; None for an empty one."""
+    if not text:
+        return None
+    left = 0
+    for k in range(0, len(text), PIECE):
+        packer = zlib.compressobj(6, wbits=-15)
+        left += len(packer.compress(text[k : k + PIECE])) + len(packer.flush())
+    return left / len(text)
+
+
 def _summer(order: int):
     def add(group: pa.Table) -> pa.Table:
         shard = np.asarray(group["shard"])
@@ -179,13 +200,14 @@ def _summer(order: int):
             e = np.cumsum(n)
             sums[start:stop] = total[e] - total[e - n]
             start = stop
-        return pa.table({"doc_id": ids, "n_bytes": sizes, "log_p": sums})
+        left = pa.array([density(whole[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist())], pa.float64())
+        return pa.table({"doc_id": ids, "n_bytes": sizes, "log_p": sums, "density": left})
 
     return add
 
 
 def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Every document's perplexity: ``doc_id``, ``lang``, ``role``, ``n_bytes``, ``perplexity`` (null for an empty text).
+    """Every document's perplexity: ``doc_id``, ``lang``, ``role``, ``n_bytes``, ``perplexity`` and ``density`` (null for an empty text).
 
     ``trusted`` holds the ids of the documents to learn from; their ``role``
     is ``trains`` or ``held_out``.
@@ -203,22 +225,23 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER, doc_id: str =
     asked = written(_split(rows, order, shards, True), "ngrams")
     grams = written(asked.groupBy("shard").applyInArrow(_add_up, "shard int, key long, c long"), "counts")
     answered = asked.groupBy("shard").cogroup(probabilities(grams, order).groupBy("shard")).applyInArrow(_answer, _PIECES)
-    sums = _split(rows, order, shards, False).unionByName(answered).groupBy("block").applyInArrow(_summer(order), "doc_id long, n_bytes long, log_p double")
+    sums = _split(rows, order, shards, False).unionByName(answered).groupBy("block").applyInArrow(_summer(order), "doc_id long, n_bytes long, log_p double, density double")
     sums = written(sums.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes")))), "perplexity")
     meta = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang")).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    return sums.join(meta, "doc_id", "left").join(ids, "doc_id", "left").select("doc_id", "lang", "role", "n_bytes", "perplexity")
+    return sums.join(meta, "doc_id", "left").join(ids, "doc_id", "left").select("doc_id", "lang", "role", "n_bytes", "perplexity", "density")
 
 
 def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """Each language's ``threshold``, and that of all together under the language null."""
+    """Each language's ``threshold`` of perplexity and least density ``floor``, and those of all together under the language null."""
     of = F.percentile_approx(F.when(F.col("role") == "held_out", F.col("perplexity")), F.lit(quantile), F.lit(10_000)).alias("threshold")
+    low = F.percentile_approx(F.when(F.col("role") == "held_out", F.col("density")), F.lit(1 - quantile), F.lit(10_000)).alias("floor")
     n = F.count_if((F.col("role") == "held_out") & F.col("perplexity").isNotNull()).alias("n")
-    own = scores.groupBy("lang").agg(of, n).where(F.col("n") >= LEAST_TRUSTED).select("lang", "threshold")
-    return own.unionByName(scores.agg(of).select(F.lit(None).cast("string").alias("lang"), "threshold"))
+    own = scores.groupBy("lang").agg(of, low, n).where(F.col("n") >= least_trusted(quantile)).select("lang", "threshold", "floor")
+    return own.unionByName(scores.agg(of, low).select(F.lit(None).cast("string").alias("lang"), "threshold", "floor"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, order: int = ORDER, **columns) -> DataFrame:
-    """``score`` with ``threshold`` and ``kept``: perplexity no higher than the threshold of the document's language.
+    """``score`` with ``threshold``, ``floor`` and ``kept``: perplexity no higher and density no lower than those of the document's language.
 
     Empty and null texts are not kept.  A language with too few trusted
     documents, the missing one included, takes the threshold of all together;
@@ -226,10 +249,10 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, or
     """
     scores = score(docs, trusted, order, **columns)
     limits = written(thresholds(scores, quantile), "thresholds")
-    every = limits.where("lang is null").select(F.col("threshold").alias("_all"))
+    every = limits.where("lang is null").select(F.col("threshold").alias("_all"), F.col("floor").alias("_low"))
     own = limits.where("lang is not null")
-    out = scores.join(own, "lang", "left").join(F.broadcast(every)).withColumn("threshold", F.coalesce("threshold", "_all")).drop("_all")
-    return out.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+    out = scores.join(own, "lang", "left").join(F.broadcast(every)).withColumn("threshold", F.coalesce("threshold", "_all")).withColumn("floor", F.coalesce("floor", "_low")).drop("_all", "_low")
+    return out.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("density") >= F.col("floor"), F.lit(True)))
 
 
 def drop_low_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:

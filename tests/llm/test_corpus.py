@@ -331,6 +331,20 @@ def test_quality_equals_direct_kneser_ney(spark):
     assert quality.drop_low_quality(df.where("false"), trusted).count() == 0
 
 
+def test_quality_rejects_repetition(spark):
+    rng = random.Random(4)
+    usual = ["der", "und", *("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(150))]
+    prose = lambda: " ".join(rng.choice(usual) for _ in range(80))
+    texts = [(k, prose(), "de") for k in range(700)] + [(1000 + k, prose() if k % 7 else f"{k}# " + "".join(chr(rng.randrange(33, 64)) for _ in range(300)), "fr") for k in range(250)]
+    texts += [(2000, "Der " * 80, "de"), (2001, "der und " * 60, "fr"), (2002, prose(), "de")]
+    df = shared.written(spark.createDataFrame(texts, DOCS + ", lang string"), "docs")
+    got = rows(quality.classify(df, df.where("doc_id < 2000").select("doc_id")))
+    held = Counter(r["lang"] for r in got.values() if r["role"] == "held_out")
+    assert held["de"] >= quality.least_trusted(0.99) == 101 > held["fr"] >= 20
+    assert not got[2000]["kept"] and not got[2001]["kept"] and got[2002]["kept"]
+    assert got[2001]["threshold"] < max(r["perplexity"] for r in got.values() if r["lang"] == "fr" and r["role"] == "held_out")
+
+
 def test_main_text():
     page = '<html><body><header><h1>S</h1></header><nav><a href=x>home</a></nav><div class="wrap"><div class="post 12"><h2>T &amp; U</h2><p>One is long enough&nbsp;here.<p>Two <i>it</i>alic<br>next<ul><li>x<li>y</ul><script>if(a<b){"</p>"}</script><form><p>mail</p></form></div><div class="cookie-notice">c</div><section class="comments"><p>reader</p></section></div><footer>f</footer></body></html>'
     found = pages.parsed(page)
