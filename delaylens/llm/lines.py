@@ -108,6 +108,11 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(ends)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def key_hashes(keys: Column) -> Column:
+    """The 128-bit key of each line key: two seeds over its SHA-256, so that lines cannot be chosen to share both."""
+    return F.transform(F.transform(keys, lambda k: F.sha2(k, 256)), lambda h: F.struct(F.xxhash64(h).alias("k1"), F.xxhash64(F.lit(1), h).alias("k2")))
+
+
 def _lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
@@ -115,7 +120,7 @@ def _lines(text: str) -> Column:
 def document_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Each document's distinct lines of at least ``min_chars``, as 128-bit keys ``k1``, ``k2``."""
     keys = F.filter(F.transform(_lines(text), line_key), lambda k: F.char_length(k) >= min_chars)
-    key = F.explode(F.array_distinct(F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("k1"), F.xxhash64(k, F.lit(1)).alias("k2")))))
+    key = F.explode(F.array_distinct(key_hashes(keys)))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("k")).select("doc_id", "k.k1", "k.k2")
 
 
@@ -233,7 +238,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex, doc_id: str = "doc_id", text:
     """
     drops = index.repeats().groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("_keys")).withColumnRenamed("doc_id", "_doc")
     joined = docs.join(drops, F.col(doc_id).cast("long") == F.col("_doc"), "left")
-    key = lambda line: F.struct(F.xxhash64(line_key(line)).alias("k1"), F.xxhash64(line_key(line), F.lit(1)).alias("k2"))
+    key = lambda line: F.get(key_hashes(F.array(line_key(line))), F.lit(0))
     keep = F.filter(_lines(text), lambda line: ~((F.char_length(line_key(line)) >= index.min_chars) & F.array_contains("_keys", key(line))))
     n = F.size(_lines(text)).cast("long")
     parts = joined.withColumn("_kept", F.when(F.col("_keys").isNotNull(), keep))

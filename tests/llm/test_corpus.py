@@ -250,6 +250,24 @@ def test_line_dedup_and_its_reversal(spark):
     assert lines.dedup_lines(df.where("false"), lines.LineIndex.build(df.where("false"))).count() == 0
 
 
+def test_lines_of_one_hash_are_two_lines(spark):
+    inv, p2, p1, low = pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B185EBCA87), np.uint64(31)
+    rng, start = np.random.default_rng(1), np.uint64((42 + 0x9E3779B185EBCA87 + 0xC2B2AE3D27D4EB4F) % (1 << 64))
+    turn = lambda x: ((x << low) | (x >> np.uint64(33))) * p1  # noqa: E731  a round of the hash
+    first = rng.integers(97, 123, (4_000_000, 8)).astype(np.uint8).view(np.uint64).ravel()
+    state = turn(start + first * p2)
+    second = np.frombuffer(b"abcdefgh", np.uint64)
+    other = second[0] + (state[0] - state) * np.uint64(inv)
+    raw = other.view(np.uint8).reshape(-1, 8)
+    fine = np.flatnonzero(((raw > 32) & (raw < 127) & ~((raw >= 65) & (raw <= 90))).all(axis=1))
+    assert len(fine) > 1
+    rest = "-" * 24
+    a, b = (first[k : k + 1].tobytes().decode() + rest + other[k : k + 1].tobytes().decode() + rest for k in (fine[0], fine[1]))
+    df = shared.written(spark.createDataFrame([(1, a), (2, b)], DOCS), "docs")
+    assert a != b and df.select(F.xxhash64("text")).distinct().count() == 1
+    assert {r["n_dropped"] for r in lines.dedup_lines(df, lines.LineIndex.build(df)).collect()} == {0}
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(7).integers(-(2**62), 2**62, 3000)
     f = lines.CuckooFilter.of(keys)
