@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordNumbers, blocks, byte_texts, mix64, with_fields
+from .shared import WordNumbers, blocks, byte_texts, mix64, with_fields, written
 
 #: Words of a window.
 WINDOW = 10
@@ -84,7 +84,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windo
     wanted = benchmark_windows(benchmark, window, item_id, item_text)
     n = wanted.count()
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("_row")
-    rows = docs.select(row, F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(row, F.col(text).cast("string").alias("_text"))
     if n > max_windows:
         return _joined(rows, wanted, window)
     found: dict[int, dict[int, dict[bytes, list[str]]]] = defaultdict(lambda: defaultdict(dict))
@@ -124,7 +124,8 @@ def _scanned(rows: DataFrame, found: dict) -> DataFrame:
 
 
 def _joined(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The same by a join of windows, for a benchmark too large to broadcast; ``doc_id`` must be unique."""
+    """The same by a join of windows, for a benchmark too large to broadcast; hits come back by a number of the row, written with it."""
+    rows = written(rows.select("_row", F.monotonically_increasing_id().alias("_id"), "_text"), "numbered")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = WordNumbers()

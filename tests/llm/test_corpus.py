@@ -115,6 +115,16 @@ def test_decontamination(spark, docs, limit):
     assert cut[1000]["text"] is None
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_decontamination_of_missing_and_repeated_ids(spark, limit):
+    data = [(None, "say zz now", 1), (None, "clean", 0), (7, "zz zz", 2), (7, "clean words", 0), (7, "yy", 1), (8, None, 0)]
+    df = spark.createDataFrame(data, DOCS + ", want int")
+    items = spark.createDataFrame([(1, "zz"), (2, "yy")], "item_id long, text string")
+    got = decontaminate.find_hits(df, items, max_windows=limit).collect()
+    assert len(got) == len(data) and all(r["n_hit"] == r["want"] and len(r["hit_items"]) == min(r["want"], 1) for r in got)
+    assert decontaminate.remove_documents(df, items, max_windows=limit).count() == 3
+
+
 def near(texts, percent=85):
     sets = {}
     for i, t in texts:
