@@ -123,11 +123,15 @@ def entity_periods(legs: DataFrame, entity: str) -> DataFrame:
     return out.join(F.broadcast(first)).withColumn("elapsed_months", F.months_between(month("period"), month("_p")).cast("long")).drop("_p")
 
 
-def airport_profile(legs: DataFrame, origin: str = "origin", destination: str = "destination", n: int = 200) -> DataFrame:
-    """Both roles of each airport together; the ``n`` with most movements."""
+def airport_totals(legs: DataFrame, origin: str = "origin", destination: str = "destination") -> DataFrame:
+    """Both roles of each airport together; every airport."""
     out = role_union(legs.where(F.col(ARRIVAL).isNotNull()), origin, destination).groupBy("airport").agg(F.count("*").alias("movements"), F.count_if(F.col("role") == "origin").alias("departures"), F.count_if(F.col("role") == "destination").alias("arrivals"), F.count_if(F.col(ARRIVAL) <= 15).alias("otp15_count"), F.avg(ARRIVAL).alias("arrival_mean"))
-    out = out.withColumns({"delayed": F.col("movements") - F.col("otp15_count"), "otp15_pct": percent(F.col("otp15_count"), F.col("movements")), "otp15_low_pct": wilson_pct(F.col("otp15_count"), F.col("movements")), "otp15_high_pct": wilson_pct(F.col("otp15_count"), F.col("movements"), True)})
-    return top_rows(out, [F.desc("movements"), F.asc("airport")], n)
+    return out.withColumns({"delayed": F.col("movements") - F.col("otp15_count"), "otp15_pct": percent(F.col("otp15_count"), F.col("movements")), "otp15_low_pct": wilson_pct(F.col("otp15_count"), F.col("movements")), "otp15_high_pct": wilson_pct(F.col("otp15_count"), F.col("movements"), True)})
+
+
+def airport_profile(legs: DataFrame, origin: str = "origin", destination: str = "destination", n: int = 200) -> DataFrame:
+    """``airport_totals`` of the ``n`` airports with most movements."""
+    return top_rows(airport_totals(legs, origin, destination), [F.desc("movements"), F.asc("airport")], n)
 
 
 def country_rollup(airports: DataFrame, country: str, least_movements: int = 1000) -> DataFrame:

@@ -70,7 +70,7 @@ def business_export(legs: DataFrame, config: ReliabilityConfig, time: str, first
 def report_tables(legs: DataFrame, countries: DataFrame, place_key: str, country: str, family: Column, pair: tuple, least: int = 30) -> dict[str, DataFrame]:
     """Airports, countries, carriers, a city pair, hours and congestion."""
     airports = reliability.airport_profile(legs)
-    named = enrich.left_join_dimension(airports, countries, "airport", place_key, "", [country])
+    named = enrich.left_join_dimension(reliability.airport_totals(legs), countries, "airport", place_key, "", [country])
     rolled = reliability.country_rollup(named, country)
     cells = reliability.airport_hours(legs)
     shared = reliability.family_routes(legs, family, "a", "b", ["origin", "destination"], least)

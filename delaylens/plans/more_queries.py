@@ -193,7 +193,7 @@ def t9_p31_association(spark, sf):
 
 @query(f"with {LEGS_SQL}, e as (select origin as a, arrival_delay_min from legs union all select destination, arrival_delay_min from legs), g as (select n_regionkey as country, count(*) as n, {OTP} as s, sum(count(*)) over () as nn, sum({OTP}) over () as ss from e join nation on a = n_nationkey group by 1) select country, n as flights, round(100.0 * s / n, 6) as rate_pct, round({z_sql('s', 'n', 'ss - s', 'nn - n')}, 6) as z from g")
 def t14_countries_against_rest(spark, sf):
-    airports = reliability.airport_profile(legs(spark, sf), n=1000)
+    airports = reliability.airport_totals(legs(spark, sf))
     own = enrich.left_join_dimension(airports, read(spark, sf, "nation"), "airport", "n_nationkey", "", ["n_regionkey"])
     rolled = reliability.country_rollup(own.withColumnRenamed("n_regionkey", "country"), "country")
     return inference.group_against_rest(rolled, "country", n="movements").select("country", "flights", "rate_pct", "z")

@@ -257,7 +257,7 @@ def a13_airport_profile(spark, sf):
 
 @query(f"with {LEGS_SQL}, e as (select origin as airport, arrival_delay_min from legs union all select destination, arrival_delay_min from legs), g as (select n_regionkey as country, count(distinct airport) as airports, count(*) as movements, {OTP} as otp15_count from e join nation on airport = n_nationkey group by 1) select *, round(100.0 * otp15_count / movements, 6) as otp15_pct, round(100.0 * movements / sum(movements) over (), 6) as movement_share_pct, movements >= 20000 as represented from g")
 def a14_country_rollup(spark, sf):
-    airports = reliability.airport_profile(legs(spark, sf), n=1000)
+    airports = reliability.airport_totals(legs(spark, sf))
     own = enrich.left_join_dimension(airports, read(spark, sf, "nation"), "airport", "n_nationkey", "", ["n_regionkey"])
     return reliability.country_rollup(own.withColumnRenamed("n_regionkey", "country"), "country", 20000)
 

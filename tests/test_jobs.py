@@ -23,6 +23,11 @@ def test_exports(spark, legs):
     nation = spark.read.parquet(f"{SF}/nation.parquet")
     report = jobs.report_tables(legs, nation, "n_nationkey", "n_regionkey", F.when(F.col("operator") < 5, "a").otherwise("b"), (1, 2), 1)
     assert report["countries"].agg(F.sum("movements")).first()[0] == 2 * legs.count() and report["largest_delays"].count() <= 5
+    many = legs.withColumns({"origin": F.pmod("order_id", F.lit(300)), "destination": F.pmod("order_id", F.lit(7)) + 300})
+    places = spark.range(307).select(F.col("id").alias("place"), (F.col("id") % 3).alias("land"))
+    spread = jobs.report_tables(many, places, "place", "land", F.when(F.col("operator") < 5, "a").otherwise("b"), (1, 2), 1)["countries"]
+    airports = many.select("origin").union(many.select("destination")).distinct().count()
+    assert airports > 200 and spread.agg(F.sum("airports"), F.sum("movements")).first()[:] == (airports, 2 * legs.count())
     public = jobs.public_tables(legs, SMALL)
     assert public["deciles"].count() == 10 and public["overview"].count() == 3
     assert {n: df.schema for n, df in public.items()}
