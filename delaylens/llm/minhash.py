@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordNumbers, blocks, byte_texts, connected_components, mix64, shards_for, spread_labels, with_fields, written
+from .shared import WordNumbers, blocks, byte_texts, connected_components, mix64, shards_for, spread_join, spread_labels, with_fields, written
 
 SHINGLE = 5
 #: Link when 100 * common >= PERCENT * all shingles of the two.
 PERCENT = 85
 BANDS, ROWS = 32, 6
-#: Documents of a tile's side; a larger bucket is cut into more tiles.
-TILE = 512
+#: Documents of a tile's side and their shingles; a larger bucket is cut into more tiles.
+TILE, TILE_SHINGLES = 512, 400_000
 #: Bytes of shingles that one task compares.
 SHARD_BYTES = 16 << 20
 
@@ -116,7 +116,7 @@ def shingle_sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = WordNumbers()
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 1 << 20):
             sets = [shingle_hashes(np.array([number[w] for w in t.lower().split()], dtype=np.uint64), shingle).tobytes() for t in byte_texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], names=[*names, "shingles"])
 
@@ -203,14 +203,22 @@ def _lonely(sets: DataFrame) -> DataFrame:
 def _cross_links(able: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """What links documents that share a bucket but are not yet in one group: each with the smallest it hangs together with.
 
-    Every pair of a bucket is held against the full sets, but inside the
-    tasks: a bucket is cut into tiles of at most 2 * TILE documents and a
-    tile reports one row a document at most.
+    Every pair of a bucket that lies in two groups is held against the full
+    sets, but inside the tasks: the members of the bucket's largest group and
+    the rest are cut into blocks of about TILE documents each; a tile is a
+    block of the rest with another or with one of the largest group, and
+    reports one row a document at most.  So a bucket's rows grow with the
+    largest group's size, not with its square.
     """
     member = able.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id")).drop("component")
-    mixed = member.groupBy("bucket").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    met = member.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    met = met.select("bucket", "doc_id", "g", "n_shingles", "block", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    own = member.groupBy("bucket", "g").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("amount"))
+    mixed = own.groupBy("bucket").agg(F.max(F.struct("n", "g", "amount")).alias("big"), F.sum("n").alias("n"), F.sum("amount").alias("amount")).where("n > big.n")
+    sides = lambda n, amount: F.greatest(F.ceil(n / TILE), F.ceil(amount / TILE_SHINGLES)).cast("int")
+    mixed = mixed.select("bucket", F.col("big.g").alias("big"), F.col("n").alias("in_bucket"), sides(F.col("n") - F.col("big.n"), F.col("amount") - F.col("big.amount")).alias("rest"), sides(F.col("big.n"), F.col("big.amount")).alias("most"))
+    met = spread_join(member, mixed, ["bucket"], "in_bucket", able.count())
+    block = F.when(F.col("g") == F.col("big"), F.col("rest") + F.pmod(F.xxhash64("doc_id"), F.col("most"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("rest"))).cast("int")
+    last = F.when(F.col("g") == F.col("big"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("most") - 1)
+    met = met.select("bucket", "doc_id", "g", "n_shingles", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
     tiles = written(met.select("bucket", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), "block", "doc_id", "g", "n_shingles"), "tiles")
     amount = tiles.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)) * 8 + F.count("*") * 64).first()[0]
     shards = shards_for(able.sparkSession, amount, SHARD_BYTES)

@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 #: Bytes of text that one Python task holds at a time.
 BLOCK_BYTES = 16 << 20
 
+#: Most keys of a join that count as hot.
+HOT_KEYS = 20_000
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -26,11 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a temporary folder is made and kept in the session.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, a
+    session in local mode (tests, one machine) gets a temporary folder; on a
+    cluster it is an error, as executors could not share one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -148,27 +154,45 @@ class WordNumbers(dict):
         return number
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has each key once and says in ``n`` how many rows of ``left`` have it.
+
+    ``total`` is the number of rows of ``left``.  Keys with more than a
+    20,000th of them (64 at least) are split over as many copies of their row
+    as that share goes into ``n``, so no key makes one long task.  Only those
+    keys are broadcast, 20,000 at most whatever the input; all rows of
+    ``right`` together get 20,000 copies more at most.
+    """
+    limit = max(64, total // HOT_KEYS)
+    copies = F.ceil(F.col(n) / limit).cast("int")
+    hot = F.broadcast(right.where(F.col(n) > limit).select(*on, copies.alias("_copies")))
+    rest = [c for c in left.columns if c not in on]
+    dealt = left.join(hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_copies")).cast("int"), F.lit(0))).drop("_copies")
+    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return dealt.join(copied, [*on, "_salt"]).drop("_salt", n)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The smallest id that each end of an edge can reach: columns ``id``, ``component``.
 
     Alternates large-star and small-star steps until the edges are stars
     around each component's smallest id.  Minima are aggregated before the
-    shuffle and joined back, so a hub is never gathered in one task; each
+    shuffle and joined back with the edges of hubs split over tasks; each
     step is a written table, so nothing is recomputed after a lost executor.
     Edges with a null end or equal ends add nothing; no edges, no rows.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
+    n, mark = e.count(), None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, low, ["u"], "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, ["u"], "n", n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = written(small, "edges")
         found = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if found == mark:
             break
-        mark = found
+        n, mark = found[0], found
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
