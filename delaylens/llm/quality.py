@@ -16,6 +16,7 @@ and must not shrink more than nearly all of the held-out documents.
 from __future__ import annotations
 
 import bz2
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,8 @@ HELD_OUT = 5
 PIECE = 2048
 #: Most ids of trusted documents that are broadcast; beyond, the documents are joined with them by a shuffle.
 MAX_BROADCAST_IDS = 5_000_000
-BLOCK = 8 << 20
+#: Bytes of text in a block, and of the texts whose n-grams are listed at a time.
+BLOCK, PART = 8 << 20, 1 << 20
 
 _PIECES = "block long, shard int, numbers binary, counts binary, data binary"
 
@@ -59,6 +61,28 @@ def ngrams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarr
     return keys[use], sizes
 
 
+def distinct_ngrams(texts: list[bytes], trusted: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct n-grams of the texts and how often each is in the trusted ones.
+
+    Texts are taken a few at a time, so that only distinct n-grams pile up.
+    """
+    ends = np.cumsum([len(t) for t in texts])
+    found, start = [], 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART, side="right")))
+        keys, sizes = ngrams(texts[start:stop], order)
+        use = np.repeat(trusted[start:stop], sizes)
+        for part, own in ((keys[use], True), (keys[~use], False)):
+            part.sort()
+            first = np.flatnonzero(np.concatenate((np.ones(min(len(part), 1), bool), part[1:] != part[:-1])))
+            found.append((part[first], np.diff(first, append=len(part)) if own else np.zeros(len(first), np.int64)))
+        start = stop
+    keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    counts = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(counts, inverse, np.concatenate([n for _, n in found]))
+    return keys, counts
+
+
 def _split(docs: DataFrame, order: int, shards: int, grams: bool) -> DataFrame:
     """Blocks of documents: either their distinct n-grams by shard (with counts in trusted texts), or the documents (shard -1)."""
 
@@ -68,7 +92,8 @@ def _split(docs: DataFrame, order: int, shards: int, grams: bool) -> DataFrame:
         place = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, "text", BLOCK):
             texts = byte_texts(batch)
-            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            named = batch.column(0).is_valid().to_pylist()
+            ids = np.array([i or 0 for i in batch.column(0).to_pylist()], dtype=np.int64)
             content = xxh3_64(ids.tobytes(), seed=place)
             whole = b"".join(texts)
             content.update(whole)
@@ -76,14 +101,10 @@ def _split(docs: DataFrame, order: int, shards: int, grams: bool) -> DataFrame:
             place += 1
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
             if not grams:
-                rows = [(block, -1, ids.tobytes(), sizes.tobytes(), bz2.compress(whole))]
+                head = zlib.compress(json.dumps([named, batch.column(3).to_pylist()]).encode())
+                rows = [(block, -1, ids.tobytes(), sizes.tobytes(), len(head).to_bytes(8, "little") + head + bz2.compress(whole))]
             else:
-                trusted = np.array(batch.column(2).to_pylist(), dtype=bool)
-                keys, _ = ngrams(texts, order)
-                own, counts = np.unique(keys[np.repeat(trusted, sizes)], return_counts=True)
-                keys = np.unique(keys)
-                c = np.zeros(len(keys), dtype=np.uint32)
-                c[np.searchsorted(keys, own)] = counts
+                keys, c = distinct_ngrams(texts, np.array(batch.column(2).to_pylist(), dtype=bool), order)
                 shard = (mix64(keys) % np.uint64(shards)).astype(np.int32)
                 rows = []
                 for s in np.unique(shard).tolist():
@@ -92,7 +113,7 @@ def _split(docs: DataFrame, order: int, shards: int, grams: bool) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "shard", "numbers", "counts", "data"])
 
-    return docs.select("doc_id", "text", "trusted").mapInArrow(split, _PIECES)
+    return docs.select("doc_id", "text", "trusted", "lang").mapInArrow(split, _PIECES)
 
 
 def _dump(keys: np.ndarray) -> bytes:
@@ -179,13 +200,17 @@ def density(text: bytes) -> float | None:
 
 def _summer(order: int):
     def add(group: pa.Table) -> pa.Table:
+        from xxhash import xxh64_intdigest
+
         shard = np.asarray(group["shard"])
         own = np.flatnonzero(shard < 0).tolist()
         if len(own) != 1:
             raise ValueError("the documents changed between two reads: write them to a table first")
         numbers, counts, data = (group[c].to_pylist() for c in ("numbers", "counts", "data"))
         ids, sizes = np.frombuffer(numbers[own[0]], dtype=np.int64), np.frombuffer(counts[own[0]], dtype=np.int64)
-        whole, ends = bz2.decompress(data[own[0]]), np.cumsum(sizes)
+        head = int.from_bytes(data[own[0]][:8], "little") + 8
+        named, langs = json.loads(zlib.decompress(data[own[0]][8:head]))
+        whole, ends = bz2.decompress(data[own[0]][head:]), np.cumsum(sizes)
         rest = np.flatnonzero(shard >= 0).tolist()
         keys = np.concatenate([_keys(numbers[i]) for i in rest]) if rest else np.empty(0, np.uint64)
         lp = np.concatenate([np.frombuffer(data[i], dtype=np.float32) for i in rest]) if rest else np.empty(0, np.float32)
@@ -194,41 +219,43 @@ def _summer(order: int):
         sums = np.zeros(len(sizes))
         start = 0
         while start < len(sizes):  # a few texts at a time
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 20), side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PART, side="right")))
             grams, n = ngrams([whole[e - s : e] for s, e in zip(sizes[start:stop].tolist(), ends[start:stop].tolist())], order)
             total = np.concatenate(([0.0], np.cumsum(lp[np.searchsorted(keys, grams)], dtype=np.float64)))
             e = np.cumsum(n)
             sums[start:stop] = total[e] - total[e - n]
             start = stop
-        left = pa.array([density(whole[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist())], pa.float64())
-        return pa.table({"doc_id": ids, "n_bytes": sizes, "log_p": sums, "density": left})
+        texts = [whole[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
+        marks = np.array([xxh64_intdigest(t, seed=42) for t in texts], dtype=np.uint64).view(np.int64)  # what Spark's xxhash64 gives
+        left = pa.array([density(t) for t in texts], pa.float64())
+        return pa.table({"doc_id": pa.array(ids, mask=~np.array(named, dtype=bool)), "lang": pa.array(langs, pa.string()), "text_hash": marks, "n_bytes": sizes, "log_p": sums, "density": left})
 
     return add
 
 
 def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Every document's perplexity: ``doc_id``, ``lang``, ``role``, ``n_bytes``, ``perplexity`` and ``density`` (null for an empty text).
+    """Every document's perplexity: ``doc_id``, ``lang``, ``text_hash``, ``role``, ``n_bytes``, ``perplexity`` and ``density`` (null for an empty text).
 
     ``trusted`` holds the ids of the documents to learn from; their ``role``
-    is ``trains`` or ``held_out``.
-    Documents are read twice and should come from files or a table; rows that
-    differ between the two are an error.  Null ids come back as -1.
+    is ``trains`` or ``held_out``.  Every row is scored by itself: repeated
+    ids keep their own text and language, null ids stay null (and are never
+    trusted), a null language is "".  Documents are read twice and should come
+    from files or a table; rows that differ between the two are an error.
     """
     spark = docs.sparkSession
     ids = written(trusted.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("role", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0, "held_out").otherwise("trains")), "trusted")
     known = ids.select("doc_id", (F.col("role") == "trains").alias("_t"))
     if ids.count() <= MAX_BROADCAST_IDS:
         known = F.broadcast(known)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(known, "doc_id", "left").select("doc_id", "text", F.coalesce("_t", F.lit(False)).alias("trusted"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
+    rows = rows.join(known, "doc_id", "left").select("doc_id", "text", F.coalesce("_t", F.lit(False)).alias("trusted"), "lang")
     shards = shards_for(spark, text_bytes(docs, text), 256 << 20)
     asked = written(_split(rows, order, shards, True), "ngrams")
     grams = written(asked.groupBy("shard").applyInArrow(_add_up, "shard int, key long, c long"), "counts")
     answered = asked.groupBy("shard").cogroup(probabilities(grams, order).groupBy("shard")).applyInArrow(_answer, _PIECES)
-    sums = _split(rows, order, shards, False).unionByName(answered).groupBy("block").applyInArrow(_summer(order), "doc_id long, n_bytes long, log_p double, density double")
+    sums = _split(rows, order, shards, False).unionByName(answered).groupBy("block").applyInArrow(_summer(order), "doc_id long, lang string, text_hash long, n_bytes long, log_p double, density double")
     sums = written(sums.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes")))), "perplexity")
-    meta = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(lang), F.lit("")).alias("lang")).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    return sums.join(meta, "doc_id", "left").join(ids, "doc_id", "left").select("doc_id", "lang", "role", "n_bytes", "perplexity", "density")
+    return sums.join(ids, "doc_id", "left").select("doc_id", "lang", "text_hash", "role", "n_bytes", "perplexity", "density")
 
 
 def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -255,7 +282,8 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, or
     return out.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & F.coalesce(F.col("density") >= F.col("floor"), F.lit(True)))
 
 
-def drop_low_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """Only the documents that ``classify`` keeps, with their own columns; rows without an id go with the id -1's verdict."""
-    gone = classify(docs, trusted, **how).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)) == F.col("_gone"), "left_anti")
+def drop_low_quality(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **how) -> DataFrame:
+    """Only the documents that ``classify`` keeps, with their own columns; each row goes by its own text and language, whatever its id."""
+    gone = classify(docs, trusted, doc_id=doc_id, text=text, lang=lang, **how).where("not kept").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.coalesce(F.col(lang), F.lit("")) == F.col("_lang")) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("_hash"))
+    return docs.join(gone, same, "left_anti")
