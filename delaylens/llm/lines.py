@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64, written
+from .shared import mix64, spread_join, written
 
 MIN_CHARS = 10
-MIN_DOCS = 2
 #: Keys of one filter; a filter has room for twice as many 16-bit fingerprints.
 KEYS_PER_SHARD = 4096
 #: Parts that the lines of one shard are dealt over when they meet their filter.
@@ -171,7 +170,6 @@ class LineIndex:
     filters: DataFrame
     shards: int
     min_chars: int = MIN_CHARS
-    min_docs: int = MIN_DOCS
 
     @classmethod
     def _from(cls, lines: DataFrame, min_chars: int) -> LineIndex:
@@ -223,8 +221,9 @@ class LineIndex:
     def repeats(self) -> DataFrame:
         """The lines to drop: ``doc_id``, ``k1``, ``k2`` of repeated lines outside their first document."""
         maybe = probe(self.lines, self.filters, self.shards)
-        many = self.counts.where("first_doc <> last_doc").select("k1", "k2", "first_doc")
-        return maybe.join(many, ["k1", "k2"]).where("doc_id <> first_doc").select("doc_id", "k1", "k2")
+        many = self.counts.where("first_doc <> last_doc").select("k1", "k2", "first_doc", "refs")
+        total = many.agg(F.coalesce(F.sum("refs"), F.lit(0))).first()[0]
+        return spread_join(maybe, many, ["k1", "k2"], "refs", total).where("doc_id <> first_doc").select("doc_id", "k1", "k2")
 
 
 def dedup_lines(docs: DataFrame, index: LineIndex, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,8 +232,9 @@ def dedup_lines(docs: DataFrame, index: LineIndex, doc_id: str = "doc_id", text:
     A line of at least ``min_chars`` code points that two documents have stays
     only in the smaller doc_id; all its copies inside that one stay.  Null and
     empty texts are one empty line and come back as they are; untouched texts
-    are returned to the byte.  Rows without id are never deduplicated.
-    Document ids must be unique.
+    are returned to the byte.  Rows without id are never deduplicated; rows of
+    one id are one document.  Columns ``n_lines`` and ``n_dropped`` of
+    ``docs`` are replaced.
     """
     drops = index.repeats().groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("_keys")).withColumnRenamed("doc_id", "_doc")
     joined = docs.join(drops, F.col(doc_id).cast("long") == F.col("_doc"), "left")
@@ -243,7 +243,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex, doc_id: str = "doc_id", text:
     n = F.size(_lines(text)).cast("long")
     parts = joined.withColumn("_kept", F.when(F.col("_keys").isNotNull(), keep))
     out = F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))
-    return parts.select(*[out.alias(c) if c == text else F.col(c) for c in docs.columns], n.alias("n_lines"), F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n - F.size("_kept")).cast("long").alias("n_dropped"))
+    return parts.select(*[out.alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], n.alias("n_lines"), F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n - F.size("_kept")).cast("long").alias("n_dropped"))
 
 
 def report(deduped: DataFrame) -> DataFrame:
