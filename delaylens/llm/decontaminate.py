@@ -3,9 +3,9 @@
 The distinct windows of the benchmark (ten words; an item of fewer words is
 one window) are hashed once and sent to every task; each task hashes the
 windows of its documents in one pass and checks every hit word by word.  The
-benchmark's size is counted first.  Beyond ``max_windows`` the windows are not
-broadcast: documents' windows are joined with them instead, with the same
-result.
+benchmark's windows are counted and measured first.  Beyond ``max_windows`` or
+``MAX_BYTES`` they are not broadcast: documents' windows are joined with them
+instead, with the same result.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ from .shared import WordNumbers, blocks, byte_texts, mix64, with_fields, written
 
 #: Words of a window.
 WINDOW = 10
-#: Most benchmark windows that are broadcast (about 150 bytes each).
-MAX_WINDOWS = 2_000_000
+#: Most benchmark windows that are broadcast, and most bytes of their words and item ids.
+MAX_WINDOWS, MAX_BYTES = 500_000, 64 << 20
+
+#: The columns that are added.
+FOUND = ("n_words", "n_hit", "hit_items", "hit_words")
 
 #: A-Z becomes a-z, and every ASCII byte that is no letter or digit becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -46,7 +49,7 @@ def window_hashes(numbers: np.ndarray, size: int) -> np.ndarray:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Each distinct window of the benchmark: ``size``, ``hash``, ``words`` and the ``items`` that have it."""
+    """Each distinct window of the benchmark: ``size``, ``hash``, ``words`` and the ``items`` that have it (none named for a null id)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = WordNumbers()
@@ -61,7 +64,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_id: str =
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.string()))], names=["size", "hash", "words", "item"])
 
-    rows = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item_id"), F.col(text).cast("string").alias(text)).mapInArrow(cut, "size int, hash long, words binary, item string")
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).cast("string").alias(text)).mapInArrow(cut, "size int, hash long, words binary, item string")
     return rows.groupBy("size", "hash", "words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
@@ -71,24 +74,27 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_w
 
     Returns the columns of ``keep`` (all of ``docs`` by default) and
     ``n_words``, ``n_hit`` (words inside any hit), ``hit_items`` (sorted item
-    ids) and ``hit_words`` (numbers of the hit words, by position).
-    Null or empty texts and items have no words and no hits.
+    ids) and ``hit_words`` (numbers of the hit words, by position); columns of
+    these names in ``keep`` are replaced.  Null or empty texts and items have
+    no words and no hits; items without an id give hits but no ``hit_items``.
+    Every row is looked at by itself, so ids may repeat or be null.
     """
     keep = docs.columns if keep is None else keep
     out = _hits(docs, benchmark, window, max_windows, doc_id, text, item_id, item_text, keep)
-    return out.select(*[F.col(f"_row.`{c}`") for c in keep], "n_words", "n_hit", "hit_items", "hit_words")
+    return out.select(*[F.col(f"_row.`{c}`") for c in keep if c not in FOUND], "n_words", "n_hit", "hit_items", "hit_words")
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``find_hits`` with the document's own columns in one, ``_row``, where no name can clash."""
     wanted = benchmark_windows(benchmark, window, item_id, item_text)
-    n = wanted.count()
+    size = F.octet_length("words") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 8)
+    n, amount = wanted.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("_row")
     rows = docs.select(row, F.col(text).cast("string").alias("_text"))
-    if n > max_windows:
+    if n > max_windows or amount > MAX_BYTES:
         return _joined(rows, wanted, window)
     found: dict[int, dict[int, dict[bytes, list[str]]]] = defaultdict(lambda: defaultdict(dict))
-    for size, h, words, items in wanted.collect():  # at most max_windows rows, counted above
+    for size, h, words, items in wanted.collect():  # at most max_windows rows and MAX_BYTES, measured above
         found[size][h][bytes(words)] = items
     return _scanned(rows, {s: dict(x) for s, x in found.items()})
 
@@ -144,7 +150,7 @@ def _joined(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     hits = cuts.join(wanted, ["size", "hash", "words"])
     spans = hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1))))).alias("hit_words"))
     items = hits.select("doc_id", F.explode("items").alias("item")).groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("hit_items"))
-    own = spans.join(items, "doc_id").withColumnRenamed("doc_id", "_hit_id")
+    own = spans.join(items, "doc_id", "left").withColumnRenamed("doc_id", "_hit_id")
     n_words = F.size(F.filter(F.split(F.translate(F.coalesce("_text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != ""))
     return rows.join(own, F.col("_id") == F.col("_hit_id"), "left").select("_row", n_words.cast("long").alias("n_words"), F.coalesce(F.size("hit_words"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"), F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"))
 
