@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import blocks, pack, shards_for, text_bytes, unpack, with_fields
 
 #: Bytes of text in a block.
-BLOCK = 6 << 20
+BLOCK = 4 << 20
 
 _PIECES = "block long, shard int, doc_ids binary, numbers binary, data binary"
 
@@ -144,8 +144,8 @@ def _assemble(group: pa.Table) -> pa.Table:
     own = own[0]
     parts = [(np.cumsum(unpack(numbers[i])), unpack(sizes[i]), unpack(zlib.decompress(data[i]))) for i in np.flatnonzero(shard >= 0)]
     total = sum(len(n) for n, _, _ in parts)
-    size, start = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
-    flat = np.concatenate([ids for _, _, ids in parts]) if parts else np.empty(0, dtype=np.int64)
+    size, start = np.zeros(total, dtype=np.int32), np.zeros(total, dtype=np.int32)
+    flat = np.concatenate([ids for _, _, ids in parts]) if parts else np.empty(0, dtype=np.int32)
     base = 0
     for n, length, ids in parts:
         size[n], start[n] = length, base + np.cumsum(length) - length
@@ -158,7 +158,7 @@ def _assemble(group: pa.Table) -> pa.Table:
         w = words[a:b]
         long = size[w]
         at = np.repeat(start[w] - (np.cumsum(long) - long), long) + np.arange(long.sum())
-        lists.append(flat[at].astype(np.int32))
+        lists.append(flat[at])
         offsets.append(offsets[-1] + len(at))
     ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
     return pa.table({"doc_id": pa.array(doc_ids), "token_ids": ids})
@@ -169,7 +169,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
 
     Null and empty texts get an empty list; repeated rows each get their own;
     a null id comes back as -1.  Special-token strings are ordinary text.
-    A block holds 6 MB of text, a longer text is a block of its own.  The
+    A block holds 4 MB of text, a longer text is a block of its own.  The
     documents are read twice, once for their words and once for positions, so
     they should come from files or a table; rows that differ between the two
     are an error.

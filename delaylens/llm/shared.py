@@ -13,16 +13,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one Python task holds at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 #: Most keys of a join that count as hot.
 HOT_KEYS = 20_000
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named Parquet table of a data folder."""
+    """The named Parquet table of a data folder.
+
+    Rows can be long texts, so the session's Arrow batches are limited to
+    ``BATCH_ROWS`` rows (a lower limit stays): JVM and Python hold a batch
+    outside of the heap.
+    """
+    if int(spark.conf.get(_BATCH, "10000")) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -111,13 +121,12 @@ def pack(numbers: np.ndarray) -> bytes:
 def unpack(data: bytes) -> np.ndarray:
     """The numbers that ``pack`` wrote."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    ends = np.flatnonzero(raw < 128)
-    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-    size = ends - starts + 1
-    out = np.zeros(len(ends), dtype=np.int64)
-    for k in range(4):
-        has = size > k
-        out[has] |= (raw[starts[has] + k].astype(np.int64) & 127) << (7 * k)
+    ends = np.flatnonzero(raw < 128).astype(np.int32)
+    size = np.diff(ends, prepend=np.int32(-1))
+    out = raw[ends].astype(np.int32) << (7 * (size - 1))
+    for k in range(3):
+        has = np.flatnonzero(size > k + 1)
+        out[has] |= (raw[ends[has] - size[has] + 1 + k].astype(np.int32) & 127) << (7 * k)
     return out
 
 
