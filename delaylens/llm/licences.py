@@ -4,8 +4,8 @@ Each line of a text and the text as a whole are normalised to lower-case words
 and held against the licence templates.  A unit's number of distinct bigrams
 bounds its coefficient with a template, so templates of unfit size are never
 compared.  Where neither matches, runs of words inside the text are tried.
-A match needs two thirds of a template's bigrams at least, so units without
-any of a few words that touch more than the rest of each template fall out
+A match needs two thirds of a template's bigrams at least, so texts and units
+without the words that touch more than the rest of each template fall out
 first.  All of it is DataFrame functions: no Python runs on the executors.
 """
 
@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Least coefficient of a match.
 DICE = 0.8
 
@@ -87,38 +89,71 @@ def template_bigrams(spark: SparkSession, templates: dict[str, str]) -> list[tup
     return [(r[0], r[1]) for r in rows.select("licence", bigrams(words(F.col("text")))).orderBy("licence").collect()]
 
 
-def telling_words(wanted: list[tuple[str, list[str]]], dice: float) -> list[str]:
-    """A few words of which every text that matches a template has one.
+def telling_words(wanted: list[tuple[str, list[str]]], dice: float) -> list[tuple[list[str], list[str]]]:
+    """Groups of words (all of these, one of those): every text that matches a template meets one group.
 
-    A match has ``dice / (2 - dice)`` of the template's bigrams at least, so
-    words that touch more than the rest of them cannot all be missing.
+    A match has ``dice / (2 - dice)`` of the template's bigrams at least.  A
+    word that touches more than the rest of them cannot be missing, and of
+    words that together do so one must be there.  A word counts as there if a
+    longer one holds it.
     """
-    left = {name: (set(own), len(own) - math.ceil(len(own) * dice / (2 - dice) - 1e-9) + 1) for name, own in wanted}
+    groups: list[tuple[list[str], list[str]]] = []
+    left: dict[str, tuple[set[str], int]] = {}
+    for name, own in wanted:
+        spare = len(own) - math.ceil(len(own) * dice / (2 - dice) - 1e-9)
+        touched = {w: {g for g in own if any(w in x for x in g.split(" "))} for w in {x for g in own for x in g.split(" ") if len(x) > 2 or x in SHORT}}
+        required = sorted((w for w, t in touched.items() if len(t) > spare), key=lambda w: (-len(w), w))
+        if not required:
+            left[name] = (set(own), spare + 1)
+            continue
+        rest, some = {w: t for w, t in touched.items() if w not in required}, []
+        hit: set[str] = set()
+        while rest and len(hit) <= spare:
+            word = max(rest, key=lambda w: (len(rest[w] - hit) * _rarity(w), w))
+            hit |= rest.pop(word)
+            some.append(word)
+        groups.append((required, some if len(hit) > spare else []))
     chosen: list[str] = []
     while left:
         gain: Counter = Counter()
         for grams, need in left.values():
-            for word, n in Counter(w for g in grams for w in set(g.split(" "))).items():
-                gain[word] += min(n, need)
-        usual = {w: n for w, n in gain.items() if w not in COMMON and (len(w) > 6 or w in SHORT)} or gain
-        word = min(usual, key=lambda w: (-usual[w], w))
+            for word in {w for g in grams for w in g.split(" ") if len(w) > 2 or w in SHORT} or {w for g in grams for w in g.split(" ")}:
+                gain[word] += min(sum(any(word in x for x in g.split(" ")) for g in grams), need) * _rarity(word)
+        word = max(gain, key=lambda w: (gain[w], w))
         chosen.append(word)
         for name, (grams, need) in list(left.items()):
-            touched = {g for g in grams if word in g.split(" ")}
+            touched = {g for g in grams if any(word in x for x in g.split(" "))}
             left[name] = (grams - touched, need - len(touched))
             if need <= len(touched):
                 del left[name]
-    return chosen
+    return [(required, some) for required, some in groups if not set(required) & set(chosen)] + ([([], chosen)] if chosen else [])
+
+
+def _rarity(word: str) -> float:
+    """How much a word tells: long words are rare in other texts, ``COMMON`` ones are not."""
+    return 0.01 if word in COMMON else 6.0 if word in SHORT else max(len(word) - 5, 0.1)
 
 
-def has_word(text: Column, chosen: list[str]) -> Column:
-    """Whether a text can have one of the words; a longer word that holds one will do too."""
+def has_word(text: Column, groups: list[tuple[list[str], list[str]]]) -> Column:
+    """Whether a text can meet one of the groups of ``telling_words``."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tests = [lambda x, w=w: F.contains(x, F.lit(w)) for w in chosen if len(w) >= 5]
-    if short := [re.escape(w) for w in chosen if len(w) < 5]:
-        tests.append(lambda x: x.rlike(rf"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])"))
+
+    def there(x: Column, word: str) -> Column:
+        held = F.contains(x, F.lit(word))
+        return held & x.rlike(rf"(?<![a-z0-9]){re.escape(word)}(?![a-z0-9])") if len(word) < 4 else held
+
+    def meets(x: Column) -> Column:
+        tests = []
+        for required, some in groups:
+            needed = sorted(required, key=lambda w: -_rarity(w))
+            parts = [F.contains(x, F.lit(w)) for w in needed]
+            if some:
+                parts.append(reduce(lambda a, b: a | b, [there(x, w) for w in some]))
+            tests.append(reduce(lambda a, b: a & b, parts))
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
+
     # a variable of its own, so that the text is put into lower case once
-    return F.exists(F.array(lower), lambda x: reduce(lambda a, b: a | b, [test(x) for test in tests], F.lit(False)))
+    return F.exists(F.array(lower), meets)
 
 
 def _constant(grams: list[str]) -> Column:
@@ -174,7 +209,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, dice: float =
     wanted = [(name, own) for name, own in wanted if own]
     lengths = {name: len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", templates[name])) for name, _ in wanted}
     chosen = telling_words(wanted, dice)
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(has_word(F.col("text"), chosen))
+    docs = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(has_word(F.col("text"), chosen)), "telling")
     slack = 1e-9  # a unit just at a bound is compared
     low, high = dice / (2 - dice) - slack, (2 - dice) / dice + slack
     least, most = min(len(own) for _, own in wanted) * low, max(len(own) for _, own in wanted) * high
