@@ -2,14 +2,15 @@
 
 The suffixes of the whole corpus fall into groups that never share a passage:
 every 50-byte window is led by its rarest-hashed 16-byte string (its anchor),
-and equal windows have equal anchors.  Anchors are dealt over shards with a
-fingerprint of the text that they lead, which settles those whose text is the
-same everywhere, and of the bytes on either side, which settles variants that
-can share nothing.  One text for each variant that is left goes on: the
-Burrows-Wheeler transforms of parts of a shard are merged by refining their
-interleave once for each of the 50 bytes, and the blocks that are left, the
-intervals of suffixes with a common prefix of 50 bytes, name the repeated
-windows and their first document.  No suffixes are sorted across parts.
+and equal windows have equal anchors and equal 17 bytes on one side of it at
+least.  Anchors are dealt over shards with a fingerprint of the text that they
+lead, which settles text that is the same everywhere, and of the 17 bytes on
+either side, which leaves out what can share nothing.  What differs goes on,
+by anchor and side: the Burrows-Wheeler transforms of parts of a shard are
+merged by refining their interleave, two symbols in a round, and the common
+prefixes found on the way bound the intervals of suffixes that share 50 bytes:
+the repeated windows, with their first document.  No suffixes are sorted
+across parts.
 """
 
 from __future__ import annotations
@@ -28,61 +29,107 @@ from .shared import blocks, byte_texts, mix64, shards_for, text_bytes, written
 LENGTH, ANCHOR = 50, 16
 BLOCK = 2 << 20
 #: Text of a part whose transform is built by sorting, and of a shard whose parts are merged.
-PART, SHARD = 1 << 17, 4 << 20
-#: Variants of the text round one anchor that go into one shard; the windows of anchors with more are dealt one by one.
-VARIANTS = 1000
+PART, SHARD = 1 << 17, 2 << 20
+#: Bytes on a side of an anchor of which one side at least is inside every window.
+SIDE = (LENGTH - ANCHOR) // 2
+#: Texts with one anchor and side that go into one shard; the windows of those with more are dealt one by one.
+VARIANTS = 10_000
+#: Places that are hashed together, to stay in the processor's cache.
+STEP = 1 << 15
 
 _PIECES = "block long, shard int, ids binary, sizes binary, data binary"
 _MARKED = "block long, kind int, anchor long, doc_id long, start int, ids binary, sizes binary, data binary, marks binary"
 _SPANS = "block long, start int, stop int"
 
 
+_WEIGHT = np.uint64(0xD6E8FEB86659FD93)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _weights(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the fingerprints' base, and of its inverse."""
+    if len(_powers[0]) < n:
+        for k, x in enumerate((_WEIGHT, np.uint64(pow(int(_WEIGHT), -1, 1 << 64)))):
+            each = np.full(n, x)
+            each[0] = 1
+            _powers[k] = np.cumprod(each)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def _hash16(word: np.ndarray) -> np.ndarray:
+    """A hash of the 16 bytes from each place on, given the 8 bytes from there on as integers."""
+    out = np.empty(max(len(word) - 8, 0), dtype=np.uint64)
+    for c in range(0, len(out), STEP):
+        stop = min(c + STEP, len(out))
+        out[c:stop] = mix64(word[c:stop] * np.uint64(0x9E3779B97F4A7C15) + mix64(word[c + 8 : stop + 8]))
+    return out
+
+
+def _leaders(h: np.ndarray) -> np.ndarray:
+    """For each window's place the place of its anchor: the least hash of ``LENGTH - ANCHOR + 1`` = 35 places."""
+    out = np.empty(max(len(h) - (LENGTH - ANCHOR), 0), dtype=np.int32)
+    mask = np.uint64(0xFFFFFFFF)
+    for c in range(0, len(out), STEP):
+        stop = min(c + STEP, len(out))
+        part = h[c : stop + LENGTH - ANCHOR]
+        low = (part & ~mask) | np.arange(len(part), dtype=np.uint64)
+        for step in (1, 2, 4, 8, 16):
+            low = np.minimum(low[:-step], low[step:])
+        out[c:stop] = (np.minimum(low[:-3], low[3:]) & mask).astype(np.int32) + c
+    return out
+
+
 class Anchors:
-    """The anchors of a block of texts: ``mark`` (40 bits of hash), ``print`` (56 bits), and the windows they lead, ``first`` to ``last``.
+    """The anchors of a block of texts: ``lead`` (place), ``mark`` (40 bits of hash), ``print`` (56 bits), and the windows they lead, ``first`` to ``last``.
 
     ``left`` and ``right`` (24 bits, 0 where there are too few bytes) stand
-    for the 17 bytes on either side of the anchor: two different texts round
-    an anchor that share a window share one of these.
+    for the 17 bytes on either side of the anchor.  Windows that begin 17 or
+    more bytes before the anchor have the left ones, the others the right ones.
     """
 
     def __init__(self, whole: bytes, sizes: np.ndarray):
         raw = np.frombuffer(whole, dtype=np.uint8)
         n = len(raw)
         self.mark = self.print = self.left = self.right = np.empty(0, np.uint64)
-        self.first = self.last = np.empty(0, np.int64)
+        self.first = self.last = self.lead = np.empty(0, np.int64)
         if n < LENGTH:
             return
         word = np.ndarray((n - 7,), dtype="<u8", buffer=whole, strides=(1,))
-        h = mix64(word[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix64(word[8:]))
-        low = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
-        for step in (1, 2, 4, 8, 16):
-            low = np.minimum(low[:-step], low[step:])
-        low = np.minimum(low[:-3], low[3:])  # over LENGTH - ANCHOR + 1 = 35 places
-        at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        h = _hash16(word)
+        at = _leaders(h)
         ends = np.cumsum(sizes)
         bad = np.zeros(n + 1, dtype=np.int32)
         np.add.at(bad, np.maximum(ends - LENGTH + 1, ends - sizes), 1)
         np.add.at(bad, ends, -1)
-        inside = np.cumsum(bad)[: len(at)] == 0
+        inside = np.cumsum(bad, dtype=np.int32)[: len(at)] == 0
+        same = at[1:] == at[:-1]
         new = inside.copy()
-        new[1:] &= ~(inside[:-1] & (at[1:] == at[:-1]))
+        new[1:] &= ~(inside[:-1] & same)
         self.first = np.flatnonzero(new)
         over = inside.copy()
-        over[:-1] &= ~(inside[1:] & (at[1:] == at[:-1]))
+        over[:-1] &= ~(inside[1:] & same)
         self.last = np.flatnonzero(over)
-        lead = at[self.first]
-        base = np.full(len(h) + 1, np.uint64(0xD6E8FEB86659FD93))
-        base[0] = 1
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(base)[:-1], dtype=np.uint64)))
-        back = np.full(len(h) + 1, np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64)))
-        back[0] = 1
-        span = (total[self.last + LENGTH - ANCHOR + 1] - total[self.first]) * np.cumprod(back)[self.first]
+        self.lead = lead = at[self.first].astype(np.int64)
+        power, back = _weights(n)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)))
+        span = (total[self.last + LENGTH - ANCHOR + 1] - total[self.first]) * back[self.first]
         shape = ((self.last - self.first) * 64 + lead - self.first).astype(np.uint64)
         self.mark = mix64(h[lead]) >> np.uint64(24)
         self.print = mix64(span + mix64(shape)) >> np.uint64(8)
         side = lambda at, ok: np.where(ok, (mix64(word[np.where(ok, at, 0)] + mix64(word[np.where(ok, at + 8, 0)] + mix64(raw[np.where(ok, at + 16, 0)].astype(np.uint64)))) >> np.uint64(40)) | np.uint64(1), np.uint64(0))
-        self.left = side(lead - 17, lead - self.first >= 17)
-        self.right = side(lead + ANCHOR, self.last + LENGTH >= lead + ANCHOR + 17)
+        self.left = side(lead - SIDE, lead - self.first >= SIDE)
+        self.right = side(lead + ANCHOR, self.last + LENGTH >= lead + ANCHOR + SIDE)
+
+    def combined(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One anchor for each text that the block has round one: its number, in the smallest document; and for every anchor which of these stands for it, and whether it is in a later document than that."""
+        order = np.lexsort((doc, self.print, self.mark))
+        mark, kind = self.mark[order], self.print[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (mark[1:] != mark[:-1]) | (kind[1:] != kind[:-1])
+        chosen = order[new]
+        stands = np.empty(len(order), dtype=np.int64)
+        stands[order] = np.cumsum(new) - 1
+        return chosen, stands, doc > doc[chosen][stands]
 
     def document(self, sizes: np.ndarray) -> np.ndarray:
         """The number of the text that each anchor is in."""
@@ -116,11 +163,14 @@ def _split(docs: DataFrame, shards: int, anchors: bool) -> DataFrame:
             rows = []
             if anchors:
                 found = Anchors(whole, sizes)
-                shard, doc = (found.mark % np.uint64(shards)).astype(np.int64), ids[found.document(sizes)] if len(found.mark) else ids[:0]
+                every = ids[found.document(sizes)] if len(found.mark) else ids[:0]
+                chosen, _, _ = found.combined(every)
+                shard, doc = (found.mark[chosen] % np.uint64(shards)).astype(np.int64), every[chosen]
                 for s in np.unique(shard).tolist():
-                    own = shard == s
+                    mine = shard == s
+                    own = chosen[mine]
                     packed = np.concatenate((found.mark[own].view(np.uint8).reshape(-1, 8)[:, :5], found.print[own].view(np.uint8).reshape(-1, 8)[:, :7], found.left[own].view(np.uint8).reshape(-1, 8)[:, :3], found.right[own].view(np.uint8).reshape(-1, 8)[:, :3]), axis=1)
-                    rows.append((block, s, _dump(doc[own]), b"", packed.tobytes()))
+                    rows.append((block, s, _dump(doc[mine]), b"", packed.tobytes()))
             else:
                 rows.append((block, -1, ids.tobytes(), sizes.tobytes(), zlib.compress(whole, 1)))
             if rows:
@@ -136,26 +186,28 @@ def _wide(packed: np.ndarray) -> np.ndarray:
 
 
 def _settle(group: pa.Table) -> pa.Table:
-    """What becomes of each anchor's windows: 0 nothing, 1 all repeated, 2 to be compared with other variants."""
+    """What becomes of each anchor's windows: 0 nothing, 1 all repeated, 2 those with the left side to be compared, 4 those with the right one, 6 both."""
     docs = [_load(x) for x in group["ids"].to_pylist()]
     packed = np.frombuffer(b"".join(group["data"].to_pylist()), dtype=np.uint8).reshape(-1, 18)
     mark, kind, doc = _wide(packed[:, :5]), _wide(packed[:, 5:12]), np.concatenate(docs)
     order = np.lexsort((doc, kind, mark))
-    mark, kind, doc, sides = mark[order], kind[order], doc[order], packed[order, 12:]
+    mark, kind, doc = mark[order], kind[order], doc[order]
     one = np.concatenate(([True], mark[1:] != mark[:-1]))
     variant = one | np.concatenate(([True], kind[1:] != kind[:-1]))
-    starts, firsts = np.flatnonzero(one), np.flatnonzero(variant)
-    in_group, in_variant = np.cumsum(one) - 1, np.cumsum(variant) - 1
-    earliest = doc[firsts][in_variant]
-    several = (np.bincount(in_group[firsts]) > 1) & (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
-    near = np.zeros(len(firsts), dtype=bool)
-    for k in (0, 3):  # the text on one side is that of another variant
-        side = _wide(sides[firsts, k : k + 3])
-        _, inverse, counts = np.unique((in_group[firsts].astype(np.uint64) << np.uint64(24)) | side, return_inverse=True, return_counts=True)
-        near |= (counts[inverse] > 1) & (side > 0)
-    verdict = np.where(doc > earliest, 1, np.where(several[in_group] & near[in_variant], 2, 0)).astype(np.uint8)
+    firsts, in_variant = np.flatnonzero(variant), np.cumsum(variant) - 1
+    earliest = doc[firsts]
+    group_of = (np.cumsum(one) - 1)[firsts].astype(np.uint64) << np.uint64(24)
+    verdict = np.zeros(len(firsts), dtype=np.uint8)
+    for bit, k in ((2, 12), (4, 15)):  # texts of different documents that are equal on this side of one anchor
+        side = _wide(packed[order[firsts], k : k + 3])
+        by = np.lexsort((earliest, group_of | side))
+        same = (group_of | side)[by]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(len(same), 1), bool), same[1:] != same[:-1])))
+        sizes = np.diff(starts, append=len(same))
+        differ = earliest[by][starts] != earliest[by][starts + sizes - 1]
+        verdict[by] |= np.where(np.repeat(differ, sizes) & (side[by] > 0), np.uint8(bit), np.uint8(0))
     back = np.empty(len(order), dtype=np.uint8)
-    back[order] = verdict
+    back[order] = np.where(doc > earliest[in_variant], np.uint8(1), verdict[in_variant])
     cuts = np.cumsum([len(d) for d in docs])[:-1]
     return pa.table({"block": group["block"], "shard": group["shard"], "ids": pa.array([b""] * len(docs), pa.binary()), "sizes": pa.array([b""] * len(docs), pa.binary()), "data": pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(back, cuts)], pa.binary())})
 
@@ -170,52 +222,80 @@ def _marker(shards: int):
         ids, sizes = np.frombuffer(ids_[own[0]], dtype=np.int64), np.frombuffer(sizes_[own[0]], dtype=np.int64)
         whole = zlib.decompress(data[own[0]])
         found = Anchors(whole, sizes)
-        verdict = np.zeros(len(found.mark), dtype=np.uint8)
-        dealt = (found.mark % np.uint64(shards)).astype(np.int64)
+        doc = ids[found.document(sizes)] if len(found.mark) else ids[:0]
+        chosen, stands, later = found.combined(doc)
+        answer = np.zeros(len(chosen), dtype=np.uint8)
+        dealt = (found.mark[chosen] % np.uint64(shards)).astype(np.int64)
         for i in np.flatnonzero(shard >= 0).tolist():
-            verdict[dealt == shard[i]] = np.frombuffer(zlib.decompress(data[i]), dtype=np.uint8)
+            answer[dealt == shard[i]] = np.frombuffer(zlib.decompress(data[i]), dtype=np.uint8)
+        verdict = np.where(later, np.uint8(1), answer[stands])
         cover = np.zeros(len(whole) + 1, dtype=np.int32)
         np.add.at(cover, found.first[verdict == 1], 1)
         np.add.at(cover, found.last[verdict == 1] + LENGTH, -1)
         block = group["block"][0].as_py()
-        rows = [(block, 0, None, None, None, ids_[own[0]], sizes_[own[0]], data[own[0]], zlib.compress(np.packbits(np.cumsum(cover[:-1]) > 0).tobytes(), 1))]
-        doc = found.document(sizes) if len(found.mark) else found.first
-        for k in np.flatnonzero(verdict == 2).tolist():
-            rows.append((block, 1, int(found.mark[k]), int(ids[doc[k]]), int(found.first[k]), None, None, whole[found.first[k] : found.last[k] + LENGTH], None))
+        left, right = np.flatnonzero(verdict & 2), np.flatnonzero(verdict & 4)
+        start = np.concatenate((found.first[left], np.maximum(found.first[right], found.lead[right] - SIDE + 1)))
+        stop = np.concatenate((np.minimum(found.last[left], found.lead[left] - SIDE), found.last[right])) + LENGTH
+        both = np.concatenate((left, right))
+        side = np.concatenate((found.left[left] << np.uint64(1), (found.right[right] << np.uint64(1)) | np.uint64(1)))
+        use = start + LENGTH <= stop
+        both, side, start, stop = both[use], side[use], start[use], stop[use]
+        n, none = len(both), [None] * len(both)
+        cols = [
+            np.full(n + 1, block), np.array([0] + [1] * n, dtype=np.int32), np.concatenate((np.zeros(1, np.int64), mix64(found.mark[both] * np.uint64(0x9E3779B97F4A7C15) + mix64(side)).view(np.int64))), np.concatenate(([0], doc[both])), np.concatenate(([0], start)),
+            [ids_[own[0]], *none], [sizes_[own[0]], *none], [data[own[0]], *(whole[a:b] for a, b in zip(start.tolist(), stop.tolist()))], [zlib.compress(np.packbits(np.cumsum(cover[:-1]) > 0).tobytes(), 1), *none],
+        ]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows), kinds)], names=["block", "kind", "anchor", "doc_id", "start", "ids", "sizes", "data", "marks"])
+        return pa.Table.from_arrays([pa.array(x, type=k) for x, k in zip(cols, kinds)], names=["block", "kind", "anchor", "doc_id", "start", "ids", "sizes", "data", "marks"])
 
     return mark
 
 
 def transform(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes of a circular text in order of their first bytes, and its Burrows-Wheeler transform."""
-    round_ = np.concatenate((text, np.resize(text, length + 8)))
-    order = np.argsort(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(round_, length + 8)[: len(text)]).view(f"S{length + 8}").ravel(), kind="stable")
-    return order, text[order - 1]
+    """The suffixes of a circular text in order of their first symbols (``length`` + 8 at least), and its two-symbol Burrows-Wheeler transform.
+
+    Ranks by eight symbols are doubled until they cover enough.
+    """
+    n = len(text)
+    round_ = np.concatenate((text, np.resize(text, 8)))
+    key = np.zeros(n, dtype=np.uint64)
+    for k in range(8):
+        key = (key << np.uint64(8)) | round_[k : k + n]
+    covered = 8
+    while True:
+        order = np.argsort(key)
+        ranked = key[order]
+        rank = np.empty(n, dtype=np.uint64)
+        rank[order] = np.cumsum(np.concatenate((np.zeros(1, np.int64), ranked[1:] != ranked[:-1]))).astype(np.uint64)
+        if covered >= length + 8:
+            return order, (text[order - 2].astype(np.uint16) << np.uint16(8)) | text[order - 1]
+        step = min(covered, length + 8 - covered)
+        key = (rank << np.uint64(32)) | np.roll(rank, -step)
+        covered += step
 
 
 def merge_transforms(transforms: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Merge Burrows-Wheeler transforms by refining their interleave ``length`` times.
+    """Merge two-symbol Burrows-Wheeler transforms by refining their interleave ``length`` / 2 times (``length`` is even).
 
     Returns, for each suffix of each transform (one transform after the
-    other, each in its own order), the block of suffixes that share its first
-    ``length`` symbols; and for each place of the merged order the number of
-    symbols shared with the suffix before it (``length`` or more: length).
+    other, each in its own order), its place in the merged order; and for each
+    place the number of symbols shared with the suffix before it, rounded down
+    to an even number (``length`` or more: length).
     """
     symbols = np.concatenate(transforms)
     source = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
     block = np.zeros(len(symbols), dtype=np.int32)
     common = np.full(len(symbols), length, dtype=np.int16)
     here = np.empty_like(symbols)
-    for k in range(length):
+    new = np.ones(len(symbols), dtype=bool)
+    for k in range(0, length, 2):
         here[np.argsort(source, kind="stable")] = symbols
         order = np.argsort(here, kind="stable")
-        source, block, here_sorted = source[order], block[order], here[order]
-        new = np.concatenate(([True], (here_sorted[1:] != here_sorted[:-1]) | (block[1:] != block[:-1])))
+        source, block, ordered = source[order], block[order], here[order]
+        new[1:] = (ordered[1:] != ordered[:-1]) | (block[1:] != block[:-1])
         common[new & (common == length)] = k
-        block = np.cumsum(new, dtype=np.int32) - 1
-    return block[np.argsort(source, kind="stable")], common
+        block = np.cumsum(new, dtype=np.int32)
+    return np.argsort(source, kind="stable"), common
 
 
 def _compare(group: pa.Table) -> pa.Table:
@@ -232,10 +312,10 @@ def _compare(group: pa.Table) -> pa.Table:
         if end > start:
             parts.append((start, *transform(whole[start:end])))
         start = max(start, end)
-    block_of, _ = merge_transforms([t for _, _, t in parts])
+    place_of, common = merge_transforms([t for _, _, t in parts])
     suffix = np.concatenate([start + order for start, order, _ in parts])
     same = np.empty(len(whole), dtype=np.int32)
-    same[suffix] = block_of
+    same[suffix] = np.cumsum(common < LENGTH, dtype=np.int32)[place_of]  # intervals of suffixes with the window in common
     text = np.repeat(np.arange(len(sizes)), sizes + 1)
     place = np.arange(len(whole))
     full = place + LENGTH < ends[text]  # the window ends before the text does
