@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, byte_texts, mix64, shards_for, text_bytes, written
+from .shared import blocks, byte_texts, mix64, shards_for, spread_join, text_bytes, written
 
 LENGTH, ANCHOR = 50, 16
 BLOCK = 2 << 20
@@ -33,7 +33,7 @@ PART, SHARD = 1 << 17, 2 << 20
 #: Bytes on a side of an anchor of which one side at least is inside every window.
 SIDE = (LENGTH - ANCHOR) // 2
 #: Texts with one anchor and side that go into one shard; the windows of those with more are dealt one by one.
-VARIANTS = 10_000
+VARIANTS = 1000
 #: Places that are hashed together, to stay in the processor's cache.
 STEP = 1 << 15
 
@@ -380,9 +380,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     amount = variants.agg(F.coalesce(F.sum(F.octet_length("data") + 1), F.lit(0))).first()[0]
     few = variants.join(many, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards_for(spark, amount, SHARD))))
     spans = few.groupBy("shard").applyInArrow(_compare, _SPANS)
-    each = variants.join(many, "anchor", "left_semi").mapInArrow(_windows, "w1 long, w2 long, doc_id long, block long, start int")
-    first = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
-    dealt = each.join(first, ["w1", "w2"]).where("doc_id > first").select("block", "start", (F.col("start") + LENGTH).alias("stop"))
+    each = written(variants.join(many, "anchor", "left_semi").mapInArrow(_windows, "w1 long, w2 long, doc_id long, block long, start int"), "windows")
+    first = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
+    dealt = spread_join(each, first, ["w1", "w2"], "n", each.count()).where("doc_id > first").select("block", "start", (F.col("start") + LENGTH).alias("stop"))
     spans = written(spans.unionByName(dealt), "spans")
     whole = marked.where("kind = 0").select("block", "ids", "sizes", "data", "marks")
     return whole.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
