@@ -24,6 +24,10 @@ from .shared import connected_components, shards_for, spread_labels, written
 COSINE = 0.95
 #: Chance that a pair just at the threshold meets in no table.
 MISS = 1e-5
+#: Random vectors of a bucket: products are cheap beside sending each vector to more tables.
+BUCKET = 128
+#: Tables for which vectors are sent at a time, which bounds the disk that their shuffle takes.
+ROUND = 4
 #: Vectors of a tile's side; a larger bucket is cut into more tiles.
 TILE = 1024
 #: Bytes of vectors that one task compares.
@@ -31,8 +35,8 @@ SHARD_BYTES = 16 << 20
 
 
 def tables_for(vectors: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
-    """Hyperplanes of a table and number of tables: about one random vector a bucket, and ``miss`` at the threshold."""
-    bits = min(60, max(8, math.ceil(math.log2(max(2, vectors)))))
+    """Hyperplanes of a table and number of tables: about ``BUCKET`` random vectors a bucket, and ``miss`` at the threshold."""
+    bits = min(60, max(8, math.ceil(math.log2(max(2, vectors / BUCKET)))))
     same = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - same))
 
@@ -58,7 +62,8 @@ def usable(embedding: str = "embedding"):
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.asarray(column.flatten()).astype(np.float64).reshape(-1, dim)
+    x = np.asarray(column.flatten()).astype(np.float64).reshape(-1, dim)
+    return x / np.abs(x).max(axis=1, keepdims=True)  # squares stay finite and above zero
 
 
 def _buckets(classes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -151,13 +156,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MI
         met = buckets.join(crowded, ["t", "code"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         tiles = met.select("rep", "dim", "t", "code", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("rep", "dim", "t", "code", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"))
         tiles = written(tiles, "tiles")
-        shards = shards_for(spark, tiles.count() * (dim * 4 + 64), SHARD_BYTES)
-        dealt = tiles.join(own.select("rep", "copies", "vec"), "rep").withColumn("shard", F.pmod(F.xxhash64("t", "code", "ti", "tj"), F.lit(shards)))
-        part = dealt.groupBy("shard").applyInArrow(_hold(cosine, bits, tables, dim), "id long, links long, label long")
-        found = part if found is None else found.unionByName(part)
+        shards = shards_for(spark, -(-tiles.count() * ROUND // tables) * (dim * 4 + 64), SHARD_BYTES)
+        for start in range(0, tables, ROUND):
+            dealt = tiles.where(F.col("t").between(start, start + ROUND - 1)).join(own.select("rep", "copies", "vec"), "rep").withColumn("shard", F.pmod(F.xxhash64("t", "code", "ti", "tj"), F.lit(shards)))
+            part = written(dealt.groupBy("shard").applyInArrow(_hold(cosine, bits, tables, dim), "id long, links long, label long"), "links")
+            found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "id long, links long, label long")
-    found = written(found, "links")
     groups = connected_components(found.select("id", "label"), "id", "label")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
