@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, with_fields, written
+from .shared import blocks, spread_join, with_fields, written
 
 #: Share of a block's length that counts for the container one level further out.
 FADE = 0.6
@@ -34,8 +34,11 @@ KEPT = frozenset("html body main article".split())
 MARKS = frozenset(
     "ad ads adsense advert adverts advertisement advertising affiliate alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies dialog disclaimer disqus footer footnav gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup privacy promo promotion promotions recommended related reply replies respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola tags teaser toc toolbar tooltip topbar trending widget widgets".split()
 )
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_MARK = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# a quote opens a quoted value only after an equals sign
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>|<[!?][^>]*>""", re.S)
+_MARK = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+# Words of class and id that tell nothing by themselves.
+GENERIC = frozenset("area articles bar block body bottom box button buttons card cards center col column container content copyright footer form group header icon icons inner item items layer left links list main message news outer panel posts right row section slot stories strip text title top unit wrap wrapper".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -51,11 +54,19 @@ def _attributes(tag: str, raw: str, strict: bool) -> tuple[str, bool]:
             part += "".join("." + _DIGITS.sub("#", x) for x in sorted(value.split()))
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
             marked = True
-        elif strict and name in ("class", "id", "role") and not MARKS.isdisjoint(w.lower() for w in _WORD.findall(value)):
+        elif strict and name in ("class", "id", "role") and any(map(_marks, value.split())):
             marked = True
     return part, marked and tag not in KEPT
 
 
+def _marks(name: str) -> bool:
+    """Whether a class or id names what is no part of an article: a word of ``MARKS`` comes last or leads words that tell nothing (``cookie-notice``, ``share-buttons``, not ``share-price``)."""
+    own = [w.lower() for w in _WORD.findall(name)]
+    while own and own[-1] in GENERIC and own[-1] not in MARKS:
+        own.pop()
+    return bool(own) and own[-1] in MARKS
+
+
 def containers(html: str, strict: bool = True) -> list[tuple[str, int, int, float, list[tuple[int, str]], int]]:
     """A page's containers in page order: path, depth, number of the enclosing one (-1: none), score, own blocks (place, text), unlinked less linked length of these."""
     found: list[list] = [["", 0, -1, 0.0, [], 0]]
@@ -202,7 +213,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """The winning path of each host: ``host``, ``path``.
+    """The winning path of each host: ``host``, ``path`` (null where no page has text), and its number of pages ``n``.
 
     A page votes once, for the path of its article's container.  Most votes win, then
     the higher score, then the path that sorts first.
@@ -213,14 +224,14 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
             rows = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = parsed(page)
-                if (k := article_container(found)) >= 0:
-                    rows.append((host, found[k][0], int(found[k][3])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["host", "path", "score"])
+                k = article_container(found)
+                rows.append((host, found[k][0], int(found[k][3])) if k >= 0 else (host, None, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], names=["host", "path", "score"])
 
-    votes = pages.select(host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(vote, "host string, path string, score long")
+    votes = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")).mapInArrow(vote, "host string, path string, score long")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    return counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path")).alias("w")).select("host", F.col("w.path").alias("path"))
+    best = F.min(F.when(F.col("path").isNotNull(), F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path")))
+    return counted.groupBy("host").agg(best.alias("w"), F.sum("votes").alias("n")).select("host", F.col("w.path").alias("path"), "n")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -228,15 +239,19 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
     White space inside a block is one space, ``<br>`` included.  Null and
     empty pages, and pages without text, give an empty text; a page without a
-    usable URL is counted with the others that have none.
+    usable URL is counted with the others that have none.  A column ``text``
+    of ``pages`` is replaced; no other name can clash.  Every row gives a row.
     """
-    paths = written(host_paths(pages, url, html), "host-paths").withColumnRenamed("host", "_host").withColumnRenamed("path", "_path")
+    paths = written(host_paths(pages, url, html), "host-paths")
     kept = [c for c in pages.columns if c not in (html, "text")]
-    joined = pages.withColumn("_key", host_of(F.col(url))).join(paths, F.col("_key") == F.col("_host"), "left").select(*kept, F.col(html).cast("string").alias("_html"), "_path")
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
+    total = paths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = spread_join(rows, paths, ["host"], "n", total).select("row", "html", "path")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "_html"):
-            texts = [text_of(parsed(page), path) if page else "" for page, path in zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, "text"])
+        for batch in blocks(batches, "html"):
+            texts = [text_of(parsed(page), path) if page else "" for page, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return joined.mapInArrow(cut, with_fields(joined.select(*kept), "text string"))
+    found = joined.mapInArrow(cut, with_fields(joined.select("row"), "text string"))
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "text")
