@@ -411,6 +411,77 @@ def test_article_keeps_what_stands_round_its_largest_container(spark):
     assert got[10]["text"] == got[14]["text"] == long.strip() and got[15]["text"] == "short\n" + long.strip()
 
 
+def test_main_text_of_ordinary_attributes_and_names(spark):
+    body = lambda x: f"<html><body><nav>n n</nav><article><p>{'word ' * 30}</p>{x}</article></body></html>"
+    data = [
+        (1, body("<p title=don't>One two</p><p>Three it's <b>four</b></p>"), "One two\nThree it's four"),
+        (2, body('<p class="share-price">Price</p><div id="notice-of-motion"><p>Motion</p></div><p title="a > b">x</p>'), "Price\nMotion\nx"),
+        (3, body('<div class="cookie-notice">c</div><div class="share-buttons">s</div><div class="related-posts"><p>r</p></div><div id=\'comments\'>q</div><p>end</p>'), "end"),
+    ]
+    data = [(k, f"http://p{k}.example/", h, w) for k, h, w in data]
+    df = spark.createDataFrame([d[:3] for d in data], "page_id long, url string, html string").withColumns({"_path": F.lit(1), "host": F.lit("h"), "n": F.lit(2), "_key": F.lit(3), "text": F.lit("t")})
+    out = pages.extract(df.unionByName(df))
+    got = out.collect()
+    assert len(got) == 2 * len(data) and all(r["text"] == ("word " * 30).strip() + "\n" + data[r["page_id"] - 1][3] and (r["_path"], r["host"], r["n"], r["_key"]) == (1, "h", 2, 3) for r in got)
+    assert pages.extract(df.where("false")).count() == 0
+
+
+def test_chat_of_missing_ids_and_other_columns(spark):
+    ddl = "conv_id long, turn long, role string, text string, node string, n int, rank int"
+    data = [(None, 0, "user", "a", "x", 1, 1), (None, 1, "assistant", "b", "x", 1, 1), (2, 0, "user", "a", "x", 1, 1), (2, 0, "user", "a", "x", 1, 1)]
+    df = spark.createDataFrame(data, ddl)
+
+    def said(rows):
+        paths = shared.written(chat.with_paths(chat.conversations(rows)), "paths")
+        return {r["conv_id"]: [t["text"] for t in r["turns"]] for r in chat.read_back(paths, chat.prefix_forest(paths)).collect()}
+
+    assert said(df) == {None: ["a", "b"], 2: ["a", "a"]} and said(df.where("false")) == {}
+
+
+def test_embeddings_of_extreme_sizes(spark):
+    data = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [-1e200, 1e200]), (4, [-1e200, 1e200]), (None, [1.0, 1.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({"t": F.lit(1), "key": F.lit(2), "copies": F.lit(3)}))
+    assert sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1) for r in got.collect()) == [(-1, 0, -1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (4, 1, 4)]
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_KEYS", 1)
+    left = spark.range(1000).select((F.col("id") % 3 * F.col("id") % 7).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = shared.spread_join(left, right, ["k"], "n", 1000)
+    assert sorted(map(tuple, got.select("k", "id", "top").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "id", "top").collect()))
+    hub = spark.createDataFrame([(0, k) for k in range(1, 400)] + [(k, k + 1000) for k in range(1, 400, 3)], "a long, b long")
+    assert {r["component"] for r in shared.connected_components(hub).collect()} == {0}
+
+
+def test_lines_of_repeated_ids_and_clashing_names(spark):
+    line = "a line that is long enough"
+    df = spark.createDataFrame([(1, line), (1, f"x\n{line}"), (2, f"{line.upper()} \ny"), (None, line)], DOCS).withColumns({"n_lines": F.lit("z"), "k1": F.lit(1), "refs": F.lit(2)})
+    out = lines.dedup_lines(df, lines.LineIndex.build(df))
+    assert out.columns.count("n_lines") == 1
+    assert sorted((r["doc_id"] or -1, r["text"], r["n_dropped"]) for r in out.collect()) == [(-1, line, 0), (1, line, 0), (1, f"x\n{line}", 0), (2, "y", 1)]
+
+
+def test_quality_of_repeated_and_missing_ids(spark):
+    rng = random.Random(11)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60))
+    texts = [(k, prose(), "de") for k in range(700)] + [(5, prose(), "en"), (None, prose(), "de"), (-1, "#?! " * 60, "de"), (None, "#?! " * 60, None)]
+    df = shared.written(spark.createDataFrame(texts, DOCS + ", lang string").withColumns({"role": F.lit(1), "kept": F.lit(2)}), "docs")
+    trusted = df.where("doc_id < 700 and doc_id >= 0").select("doc_id").distinct()
+    got = quality.classify(df, trusted).collect()
+    assert len(got) == len(texts) and sorted(r["lang"] for r in got if r["doc_id"] == 5) == ["de", "en"]
+    assert sorted(r["kept"] for r in got if r["doc_id"] is None) == [False, True] and [r["kept"] for r in got if r["doc_id"] == -1] == [False]
+    kept = quality.drop_low_quality(df, trusted)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.where("doc_id is null or doc_id < 0").collect())) == [(None, texts[701][1], "de", 1, 2)]
+    monkey = quality.MAX_BROADCAST_IDS
+    quality.MAX_BROADCAST_IDS = 0
+    try:
+        assert quality.drop_low_quality(df, trusted).count() == kept.count()
+    finally:
+        quality.MAX_BROADCAST_IDS = monkey
+
+
 def test_licences_equal_brute_force(spark):
     import re
 
