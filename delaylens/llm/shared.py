@@ -84,7 +84,9 @@ def shards_for(spark: SparkSession, amount: int, per_shard: int) -> int:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that ``column`` holds about ``limit`` bytes in each; a longer row stays whole."""
+    """Cut and join record batches so that ``column`` holds about ``limit`` bytes in each; a longer row stays whole."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -93,10 +95,21 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         ends = np.frombuffer(col.buffers()[1], dtype=width)[col.offset : col.offset + len(col) + 1].astype(np.int64)
         start = 0
         while start < batch.num_rows:
-            stop = int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1
+            stop = int(np.searchsorted(ends, ends[start] + limit - size, side="right")) - 1
+            if stop <= start and held:
+                yield _joined(held)
+                held, size = [], 0
+                continue
             stop = min(max(stop, start + 1), batch.num_rows)
-            yield batch.slice(start, stop - start)
+            held.append(batch.slice(start, stop - start))
+            size += int(ends[stop] - ends[start])
             start = stop
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

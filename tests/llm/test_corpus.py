@@ -47,6 +47,16 @@ def test_pack_round_trip():
     assert len(shared.unpack(shared.pack(np.array([], dtype=int)))) == 0
 
 
+def test_blocks_cut_and_join():
+    import pyarrow as pa
+
+    texts = ["a" * k for k in (3, 0, 9, 1, 1, 1, 25, 2, 0, 0)]
+    for size in (1, 3, 10):
+        made = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + size])], names=["text"]) for k in range(0, len(texts), size)]
+        got = [b.column(0).to_pylist() for b in shared.blocks(iter(made), "text", 10)]
+        assert sum(got, []) == texts and all(sum(map(len, g)) <= 10 or len(g) == 1 for g in got) and len(got) <= 5
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(500, 560)] + [(None, 3), (4, 4)]
