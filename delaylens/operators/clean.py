@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import TIME_FORMAT, QualityLimits
+from ..config import RULES, TIME_FORMAT, Rule
 from ..functions.expressions import num
 
 
@@ -28,36 +29,49 @@ def calculate_delays(df: DataFrame, filed_off: str, actual_off: str, filed_arr:
     return df.withColumns({"arrival_delay_min": minutes_between(actual_arr, filed_arr), "departure_delay_min": minutes_between(actual_off, filed_off)})
 
 
-def _ok(df: DataFrame, column: str, rule: Column) -> Column:
-    return F.col(column).isNull() | rule if column in df.columns else F.lit(True)
+#: The columns that play the roles of ``config.RULES``.
+ROLES = {"delay": ("arrival_delay_min", "departure_delay_min"), "leg_type": ("leg_type",), "level": ("flight_level",), "distance": ("distance",)}
 
 
-def quality_rules(df: DataFrame, limits: QualityLimits, delays: Sequence[str] = ("arrival_delay_min", "departure_delay_min"), leg_type: str = "leg_type", level: str = "flight_level", distance: str = "distance", latitudes: Sequence[str] = (), longitudes: Sequence[str] = ()) -> dict[str, Column]:
-    """Each rule by name; a missing column passes, a null passes all but the leg type."""
-    rules = {f"{c}_min": _ok(df, c, F.col(c) >= limits.min_delay_minutes) for c in delays}
-    if limits.regular_only and leg_type in df.columns:
-        rules["regular"] = F.coalesce(F.col(leg_type) == limits.regular_type, F.lit(False))
-    floor = limits.min_flight_level if limits.scope_min_flight_level is None else limits.scope_min_flight_level
-    rules["level"] = _ok(df, level, F.col(level).between(floor, limits.max_flight_level)) if level in df.columns else F.lit(True)
-    rules["distance"] = _ok(df, distance, F.col(distance) > limits.min_distance) if distance in df.columns else F.lit(True)
-    rules |= {c: _ok(df, c, F.col(c).between(-90, 90)) for c in latitudes} | {c: _ok(df, c, F.col(c).between(-180, 180)) for c in longitudes}
-    return rules
+def _holds(df: DataFrame, column: str, rule: Rule) -> Column:
+    """Whether a row meets a rule; a missing column passes."""
+    if column not in df.columns:
+        return F.lit(True)
+    x, tests = F.col(column), []
+    if rule.equal is not None:
+        tests.append(x == rule.equal)
+    if rule.low is not None:
+        tests.append(x > rule.low if rule.strict else x >= rule.low)
+    if rule.high is not None:
+        tests.append(x <= rule.high)
+    return F.coalesce(reduce(lambda p, q: p & q, tests), F.lit(rule.nulls))
 
 
-def apply_quality_rules(df: DataFrame, limits: QualityLimits = QualityLimits(), **roles) -> DataFrame:
-    for rule in quality_rules(df, limits, **roles).values():
+def quality_rules(df: DataFrame, rules: Sequence[Rule] = RULES, **columns: Sequence[str]) -> dict[str, Column]:
+    """Each rule by name, for the columns in its role (``ROLES``, changed by ``columns``)."""
+    named = {"leg_type": "regular", "level": "level", "distance": "distance"}
+    out = {}
+    for rule in rules:
+        for c in (ROLES | columns).get(rule.role, ()):
+            out[f"{c}_min" if rule.role == "delay" else named.get(rule.role, c)] = _holds(df, c, rule)
+    return out
+
+
+def apply_quality_rules(df: DataFrame, rules: Sequence[Rule] = RULES, **columns: Sequence[str]) -> DataFrame:
+    """Only the rows that meet every rule."""
+    for rule in quality_rules(df, rules, **columns).values():
         df = df.where(rule)
     return df
 
 
-def rule_impact(df: DataFrame, limits: QualityLimits = QualityLimits(), scope: Column | None = None, **roles) -> DataFrame:
+def rule_impact(df: DataFrame, rules: Sequence[Rule] = RULES, scope: Column | None = None, **columns: Sequence[str]) -> DataFrame:
     """One row: raw, in scope, excluded, failures of each rule, kept, percentage removed; one pass."""
-    rules = quality_rules(df, limits, **roles)
+    tests = quality_rules(df, rules, **columns)
     inside = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
     every = inside
-    for rule in rules.values():
-        every = every & rule
-    out = df.agg(F.count("*").alias("raw_rows"), F.count_if(inside).alias("in_scope_rows"), *[F.count_if(inside & ~rule).alias(f"fail_{name}") for name, rule in rules.items()], F.count_if(every).alias("kept_rows"))
+    for test in tests.values():
+        every = every & test
+    out = df.agg(F.count("*").alias("raw_rows"), F.count_if(inside).alias("in_scope_rows"), *[F.count_if(inside & ~test).alias(f"fail_{name}") for name, test in tests.items()], F.count_if(every).alias("kept_rows"))
     return out.withColumn("excluded_rows", F.col("raw_rows") - F.col("in_scope_rows")).withColumn("removed_pct", F.try_divide(100.0 * (F.col("in_scope_rows") - F.col("kept_rows")), F.col("in_scope_rows")))
 
 
@@ -108,9 +122,9 @@ def flag_columns(df: DataFrame, arrival: str = "arrival_delay_min", departure: s
     return df.withColumns(out | {"arrival_otp15": flag(a <= on_time), "departure_otp15": flag(d <= on_time), "recovered_to_otp15": flag((d > on_time) & (a <= on_time)), "worsened_after_departure": flag(a > d)})
 
 
-def prepare_legs(df: DataFrame, limits: QualityLimits, reporting_end: str | None, time: str, origin: str = "origin", destination: str = "destination") -> DataFrame:
+def prepare_legs(df: DataFrame, rules: Sequence[Rule], reporting_end: str | None, time: str, origin: str = "origin", destination: str = "destination") -> DataFrame:
     """Scope, reporting boundary, labels, calendar, bands and flags of legs that have delays already."""
-    df = apply_quality_rules(df, limits)
+    df = apply_quality_rules(df, rules)
     df = df.where(F.col(time) < F.lit(reporting_end).cast("timestamp")) if reporting_end else df
     df = flag_columns(calendar_columns(route_columns(df, origin, destination), time))
     return df.withColumns({"duration_band": duration_band(F.col("scheduled_duration_min")), "recovery_min": F.col("departure_delay_min") - F.col("arrival_delay_min")})

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import num, ratio
-from .enrich import small
 from .ranking import value_ranks
 
 
@@ -111,6 +110,21 @@ def best_threshold(table: DataFrame, by: str = "f1") -> DataFrame:
     return table.orderBy(F.asc(by) if by == "cost" else F.desc(by), F.desc("recall"), F.asc("threshold")).limit(1)
 
 
+def checked_scores(df: DataFrame, *columns: str) -> DataFrame:
+    """``df``, if all probabilities named are numbers within [0, 1]; raises otherwise."""
+    fine = lambda c: F.coalesce(F.col(c).cast("double").between(0, 1), F.lit(False))
+    bad = df.agg(*[F.count_if(~fine(c)).alias(c) for c in columns]).first().asDict()
+    if any(bad.values()):
+        raise ValueError(f"not probabilities: {({c: n for c, n in bad.items() if n})}")
+    return df
+
+
+def within_guardrail(scores: DataFrame, baseline: str, most: float = 0.25, name: str = "candidate") -> DataFrame:
+    """Scores of candidates with ``allowed``: the global MAE is at most ``most`` above the baseline's, and ``gain`` on its combined MAE."""
+    base = scores.where(F.col(name) == baseline).select(F.col("global_mae").alias("_g"), F.col("combined_mae").alias("_c"))
+    return scores.join(F.broadcast(base)).withColumns({"allowed": F.col("global_mae") <= F.col("_g") + most, "gain": F.col("_c") - F.col("combined_mae")}).drop("_g", "_c")
+
+
 def quantile_risk(df: DataFrame, y: str, yhat: str, q: float = 0.9, severe: float = 60.0) -> DataFrame:
     """Pinball loss, coverage, and recall and precision of severe delays for a predicted quantile."""
     d, p = F.col(y) - F.col(yhat), F.col(yhat) > severe
@@ -125,12 +139,19 @@ def median_levels(train: DataFrame, y: str, levels: Sequence[tuple[str, Sequence
 
 
 def fallback_cascade(df: DataFrame, train: DataFrame, y: str, levels: Sequence[tuple[str, Sequence[str], int]], q: float = 0.5, out: str = "prediction") -> DataFrame:
-    """The first level that knows a row's group gives its quantile, else the global one; ``source`` names the level."""
-    mid = F.percentile(y, q)
+    """The first level that knows a row's group gives its quantile, else the global one; ``source`` names the level.
+
+    Training rows are counted once by all keys and value; every level is
+    aggregated from those counts, and adaptive execution broadcasts the levels
+    that turn out small.
+    """
+    every = list(dict.fromkeys(k for _, keys, _ in levels for k in keys))
+    counts = train.where(F.col(y).isNotNull()).groupBy(*every, y).agg(F.count("*").alias("_c"))
+    mid = F.percentile(y, num(q), F.col("_c"))
     for name, keys, least in levels:
-        known = train.where(F.col(y).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"), mid.alias(f"_{name}")).where(F.col("_n") >= least).drop("_n")
-        df = df.join(small(known), list(keys), "left")
-    whole = train.agg(mid.alias("_global"))
+        known = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), mid.alias(f"_{name}")).where(F.col("_n") >= least).drop("_n")
+        df = df.join(known, list(keys), "left")
+    whole = counts.agg(mid.alias("_global"))
     df = df.join(F.broadcast(whole))
     names = [n for n, _, _ in levels]
     source = None

@@ -77,7 +77,9 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             one = one.select(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), "rows", *[v.alias(n) for n, v in r.items()])
             out = one if out is None else out.unionByName(one)
     out = out.where((F.col("rows") >= 3) & F.col("pearson").isNotNull())
-    p = lambda c: F.when(F.abs(c) >= 1, num(0)).otherwise(two_sided_p(F.col(c) * F.sqrt((F.col("rows") - 2) / (1 - F.col(c) * F.col(c)))))  # noqa: E731  normal tail: rows are many
+    t = lambda c: F.col(c) * F.sqrt((F.col("rows") - 2) / (1 - F.col(c) * F.col(c)))
+    # Student's law; the normal tail where it cannot be told from that
+    p = lambda c: F.when(F.abs(c) >= 1, num(0)).when(F.col("rows") <= 1000, student_t_p(t(c), F.col("rows") - 2)).otherwise(two_sided_p(t(c)))
     return out.withColumns({"pearson_p": p("pearson"), "spearman_p": p("spearman")})
 
 

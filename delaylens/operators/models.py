@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import num
 from .clean import yeo_johnson
-from .evaluate import compact_score, hurdle
+from .evaluate import checked_scores, compact_score, hurdle, ranking_quality, within_guardrail
 
 
 def temporal_split(df: DataFrame, time: str, bounds: Sequence[str], names: Sequence[str] = ("train", "validation", "test", "final_test")) -> DataFrame:
@@ -144,6 +144,51 @@ def logistic_candidates(label: str, regs: Sequence[float] = (0.01, 0.1), weight:
     return {f"reg_{r}": LogisticRegression(labelCol=label, regParam=r, **extra) for r in regs}
 
 
+def tree_grid(label: str, trees: Sequence[int] = (20, 50), depths: Sequence[int] = (4, 6), seed: int = 42) -> dict[str, Estimator]:
+    """Forests and boosted trees (absolute loss) of every number and depth, for ``sweep``."""
+    cells = [(n, d) for n in trees for d in depths]
+    forests = {f"forest_{n}_{d}": RandomForestRegressor(labelCol=label, numTrees=n, maxDepth=d, seed=seed) for n, d in cells}
+    return forests | {f"gbt_{n}_{d}": GBTRegressor(labelCol=label, maxIter=n, maxDepth=d, lossType="absolute", seed=seed) for n, d in cells}
+
+
+def logistic_sweep(train: DataFrame, validation: DataFrame, y: str, lates: Sequence[float] = (1.0, 15.0), regs: Sequence[float] = (0.01, 0.1), weights: Sequence[str] = ("none", "root", "balanced")) -> DataFrame:
+    """Ranking quality on validation of classifiers of "later than ``late``", for every regularisation and weight of the classes (``root``: square roots of the balanced ones)."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = None
+    for late in lates:
+        labelled = balanced_weights(train.withColumn("_late", (F.col(y) > late).cast("int")), "_late", "_w")
+        for kind in weights:
+            own = labelled.withColumn("_w", {"none": num(1), "root": F.sqrt("_w"), "balanced": F.col("_w")}[kind])
+            for name, estimator in logistic_candidates("_late", regs, "_w").items():
+                estimator.setParams(probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_said")
+                scored = estimator.fit(own).transform(validation).withColumn("_score", vector_to_array("_p")[1])
+                one = ranking_quality(scored, F.col(y) > late, "_score").select(num(late).alias("late"), F.lit(name).alias("candidate"), F.lit(kind).alias("weights"), "roc_auc", "average_precision")
+                out = one if out is None else out.unionByName(one)
+    return out
+
+
+def two_stage_sweep(train: DataFrame, validation: DataFrame, y: str, probability: str, alphas: Sequence[float] = (0.1, 1.0, 10.0)) -> DataFrame:
+    """Scores of the expected delay for each penalty of the ridge of moderate delays."""
+    checked_scores(validation, probability)
+    out = None
+    for alpha in alphas:
+        model, reference = two_stage(train, y, alpha)
+        one = compact_score(expected_delay(validation, model, reference, probability), y, "expected").withColumn("candidate", F.lit(f"alpha_{alpha}"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def weight_sweep(train: DataFrame, validation: DataFrame, y: str, shares: Sequence[float] = (1.0, 0.75, 0.5, 0.25), alpha: float = 1.0, most: float = 0.25) -> DataFrame:
+    """Scores of ridges whose late rows weigh more, and whether the global MAE stays within ``most`` of the unweighted one (share 1)."""
+    out = None
+    for share in shares:
+        own = delayed_weights(train, y, share, name="_w")
+        one = compact_score(ridge(own, y, alpha, "_w").fit(own).transform(validation), y, "prediction").withColumn("candidate", F.lit(f"share_{share}"))
+        out = one if out is None else out.unionByName(one)
+    return within_guardrail(out, "share_1.0", most)
+
+
 def two_stage(train: DataFrame, y: str, alpha: float = 1.0, low: float = 15.0, cap: float = 60.0) -> tuple[PipelineModel, float]:
     """A ridge of moderate delays (low < y <= cap), and the median of those up to ``low``."""
     severity = train.where((F.col(y) > low) & (F.col(y) <= cap))
@@ -155,7 +200,7 @@ def expected_delay(df: DataFrame, model: PipelineModel, reference: float, probab
 
 
 def ablation(train: DataFrame, validation: DataFrame, label: str, groups: dict[str, Sequence[str]], alpha: float = 1.0) -> DataFrame:
-    """Scores of a ridge without each group of numeric features, and with all."""
+    """Scores of a ridge without each group of numeric features (an entity's, or one window of it), and with all; ``allowed`` and ``gain`` against all."""
     every = [c for own in groups.values() for c in own]
     out = None
     for name, drop in {"all": (), **groups}.items():
@@ -163,7 +208,7 @@ def ablation(train: DataFrame, validation: DataFrame, label: str, groups: dict[s
         step = Pipeline(stages=[VectorAssembler(inputCols=own, outputCol="features"), ridge(train, label, alpha)])
         one = compact_score(step.fit(train).transform(validation), label, "prediction").withColumn("without", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return out
+    return within_guardrail(out, "all", name="without")
 
 
 def learning_curve(train: DataFrame, validation: DataFrame, label: str, key: str, percents: Sequence[int] = (1, 5, 10), alpha: float = 1.0) -> DataFrame:

@@ -26,6 +26,16 @@ def quantile(column: str | Column, q: float) -> Column:
     return F.percentile(column, q)
 
 
+def quantiles(column: str | Column, *q: float) -> Column:
+    """Several quantiles of one column, from one sorted list of its values."""
+    return F.percentile(column, F.array(*[num(x) for x in q]))
+
+
+def _distinct(column: str) -> Column:
+    """How many days or months a group has: a set of them is as small as the calendar, and needs no second shuffle as a distinct count does."""
+    return F.size(F.collect_set(column)).cast("long")
+
+
 def late_share(limit: float, delay: str = ARRIVAL) -> Column:
     """Percentage later than ``limit`` among all rows of the group."""
     return percent(F.count_if(F.col(delay) > limit), F.count("*"))
@@ -51,12 +61,13 @@ def grouped_performance(legs: DataFrame, keys: Sequence[str], config: Reliabilit
     a, d = F.col(ARRIVAL), F.col(DEPARTURE)
     slow = d > 15
     out = legs.where(a.isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("flights"), F.count_distinct("period").alias("periods_active"), F.count_distinct("departure_date").alias("active_days"), F.count_if(a <= config.on_time_minutes).alias("otp15_count"), F.avg(a).alias("arrival_mean"), F.median(a).alias("arrival_median"), quantile(a, 0.9).alias("arrival_p90"), quantile(a, 0.95).alias("arrival_p95"),
+        F.count("*").alias("flights"), _distinct("period").alias("periods_active"), _distinct("departure_date").alias("active_days"), F.count_if(a <= config.on_time_minutes).alias("otp15_count"), F.avg(a).alias("arrival_mean"), quantiles(a, 0.5, 0.9, 0.95).alias("_q"),
         F.median(d).alias("departure_median"), F.median(d - a).alias("recovery_median"), F.median(DURATION).alias("duration_median"), F.count_if(slow).alias("departed_late_15"), F.count_if(slow & (a <= 15)).alias("recovered_count"), F.count_if(a > d).alias("worsened_count"), *[F.count_if(a > t).alias(f"late_{t}_count") for t in config.delay_thresholds],
     )
     n = F.col("flights")
     rates = {"otp15_pct": percent(F.col("otp15_count"), n), "worsened_pct": percent(F.col("worsened_count"), n), "recovered_pct": percent(F.col("recovered_count"), F.col("departed_late_15")), "otp15_low_pct": wilson_pct(F.col("otp15_count"), n, z=config.z), "otp15_high_pct": wilson_pct(F.col("otp15_count"), n, True, config.z)}
-    return out.withColumns(rates | {f"late_{t}_pct": percent(F.col(f"late_{t}_count"), n) for t in config.delay_thresholds})
+    levels = {name: F.col("_q")[k] for k, name in enumerate(("arrival_median", "arrival_p90", "arrival_p95"))}
+    return out.withColumns(levels | rates | {f"late_{t}_pct": percent(F.col(f"late_{t}_count"), n) for t in config.delay_thresholds}).drop("_q")
 
 
 def route_performance(legs: DataFrame, origin: str = "origin", destination: str = "destination") -> DataFrame:
@@ -264,7 +275,8 @@ def route_metrics(legs: DataFrame, origin: str = "origin", destination: str = "d
     """Routes of each scope with at least two legs, and whether they are frequent enough for rankings."""
     a = F.col(ARRIVAL)
     own = explode_scopes(legs.where(a.isNotNull() & F.col(origin).isNotNull() & F.col(destination).isNotNull()))
-    out = own.groupBy("scope", origin, destination).agg(F.count("*").alias("flights"), F.count_distinct("period").alias("periods_active"), F.count_if(a > 15).alias("late_15_count"), F.avg(a).alias("arrival_mean"), F.median(a).alias("arrival_median"), quantile(a, 0.9).alias("arrival_p90"), F.sum(F.greatest(a, num(0))).alias("positive_delay_min"), F.median(DURATION).alias("duration_median")).where("flights >= 2")
+    out = own.groupBy("scope", origin, destination).agg(F.count("*").alias("flights"), _distinct("period").alias("periods_active"), F.count_if(a > 15).alias("late_15_count"), F.avg(a).alias("arrival_mean"), quantiles(a, 0.5, 0.9).alias("_q"), F.sum(F.greatest(a, num(0))).alias("positive_delay_min"), F.median(DURATION).alias("duration_median")).where("flights >= 2")
+    out = out.withColumns({"arrival_median": F.col("_q")[0], "arrival_p90": F.col("_q")[1]}).drop("_q")
     return out.withColumns({"late_15_pct": percent(F.col("late_15_count"), F.col("flights")), "eligible": (F.col("flights") >= config.min_route_flights) & (F.col("periods_active") >= config.min_route_periods)})
 
 
@@ -281,6 +293,19 @@ def eligible_breakdown(legs: DataFrame, routes: DataFrame, by: str, origin: str
     return own.groupBy("scope", origin, destination, by).agg(F.count("*").alias("flights"), F.count_if(a > 15).alias("late_15_count"), late_share(15).alias("late_15_pct"), F.median(a).alias("arrival_median"))
 
 
+def plot_frame(routes: DataFrame, key: Sequence[str], config: ReliabilityConfig = CONFIG, n: int = 500) -> DataFrame:
+    """The ``n`` busiest routes that are frequent enough to be drawn."""
+    own = routes.where((F.col("flights") >= F.greatest(F.lit(2), F.lit(config.min_route_flights))) & (F.col("periods_active") >= config.min_route_periods))
+    return top_rows(own, [F.desc("flights"), *[F.asc(k) for k in key]], n)
+
+
+def label_candidates(frame: DataFrame, key: Sequence[str], rate: str = "late_15_pct", busiest: int = 4, extremes: int = 3) -> DataFrame:
+    """The routes that get a label: the busiest, the least and the most reliable, each once."""
+    ties = [F.asc(k) for k in key]
+    picks = [top_rows(frame, [order, *ties], m) for order, m in ((F.desc("flights"), busiest), (F.desc(rate), extremes), (F.asc(rate), extremes))]
+    return picks[0].unionByName(picks[1]).unionByName(picks[2]).dropDuplicates(list(key))
+
+
 def roll_up(routes: DataFrame, key: str, keys: Sequence[str] = ()) -> DataFrame:
     """Route aggregates summed again by airport, operator or period."""
     out = routes.groupBy(*keys, key).agg(F.sum("flights").alias("flights"), F.sum("late_15_count").alias("late_15_count"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import QualityLimits, ReliabilityConfig
+from ..config import ReliabilityConfig, Rule
 from ..functions.expressions import num
 from ..operators import clean, enrich, evaluate, inference, models, pointintime, profile, ranking, reliability
 from ..sources import flights
@@ -27,9 +27,9 @@ def audit_files(spark: SparkSession, files: Sequence[str], new_months: Sequence[
     return {"catalog": months, "schema": flights.schema_audit(spark, paths), "nulls": nulls, "cohorts": profile.null_cohorts(nulls, "month", new_months)}
 
 
-def base_features(legs: DataFrame, limits: QualityLimits, places: DataFrame, place_key: str, time: str, bounds: Sequence[str], categories: Sequence[str], numeric: Sequence[str], target: str, least: int = 1000) -> dict[str, DataFrame]:
+def base_features(legs: DataFrame, rules: Sequence[Rule], places: DataFrame, place_key: str, time: str, bounds: Sequence[str], categories: Sequence[str], numeric: Sequence[str], target: str, least: int = 1000) -> dict[str, DataFrame]:
     """Cleaned, enriched and split legs; rare categories and medians are learnt from the training rows."""
-    own = clean.fill_text(clean.normalise_text(clean.apply_quality_rules(legs, limits), categories), categories)
+    own = clean.fill_text(clean.normalise_text(clean.apply_quality_rules(legs, rules), categories), categories)
     own = enrich.left_join_dimension(own, places, "origin", place_key, "_origin")
     split = models.temporal_split(own, time, bounds)
     train = split.where("split = 'train'")
@@ -50,6 +50,50 @@ def operational_features(targets: DataFrame, history: DataFrame, roles: dict[str
     return out, audit
 
 
+def expanded_features(legs: DataFrame, history: DataFrame, roles: dict[str, str], time: str, target: str, percent: float = 100.0, lead: int = 60, **base) -> dict[str, DataFrame]:
+    """Feature tables of all splits an hour before departure: cleaned, enriched and split legs (``base_features``) with the point-in-time blocks, and their audits by split; raises on a leak or on a column that only the flight itself tells."""
+    made = base_features(legs, time=time, target=target, **base)
+    out, audit = operational_features(made["features"], history, roles, percent, time, lead)
+    added = [c for c in out.columns if c not in made["features"].columns]
+    clean.forbid_columns(out.select(*added), ["departure_delay_min", target])
+    return {"features": out, "audit": audit, "contract": profile.split_contract(out, "split", target), "nulls": profile.null_profile(out, added, ["split"]), "base_nulls": made["nulls"]}
+
+
+def model_benchmark(train: DataFrame, validation: DataFrame, key: str, y: str, estimators: dict, levels: Sequence[tuple[str, Sequence[str], int]], segments: dict[str, Column]) -> dict[str, DataFrame]:
+    """Models beside the grouped-median baseline on the same rows: metrics by segment, compact scores, and the ranking against the baseline.
+
+    Predictions are aligned by id; a candidate that lacks rows, or has others, raises.
+    """
+    joint = evaluate.fallback_cascade(validation, train, y, levels).select(key, F.col("prediction").alias("baseline"))
+    for name, estimator in estimators.items():
+        joint = evaluate.align(joint, estimator.fit(train).transform(validation).select(key, F.col("prediction").alias(name)), key)
+    joint = evaluate.align(joint, validation, key)
+    names = ["baseline", *estimators]
+    scores = None
+    for name in names:
+        one = evaluate.compact_score(joint, y, name).withColumn("candidate", F.lit(name))
+        scores = one if scores is None else scores.unionByName(one)
+    return {"predictions": joint, "metrics": evaluate.regression_metrics(joint, y, {n: F.col(n) for n in names}, segments), "scores": scores, "ranking": evaluate.rank_candidates(scores, "candidate", "baseline")}
+
+
+def combine_and_score(scored: DataFrame, key: str, y: str, minutes: Sequence[str], chance: str, some: str, reference: float, late: float = 15.0, guardrail: float = 0.25) -> dict[str, DataFrame]:
+    """Blends, weights of three models, thresholds, the expected delay and the joint table of predictions.
+
+    ``minutes`` names three predictions of minutes (the first two are blended),
+    ``chance`` and ``some`` the probabilities of more than ``late`` and of more
+    than one minute.  Scores that are no probabilities raise.
+    """
+    evaluate.checked_scores(scored, chance, some)
+    blends = evaluate.blend_grid(scored, y, minutes[0], minutes[1], late=late)
+    weight = blends.orderBy("combined_mae", "global_mae", "weight").first()["weight"]
+    table = evaluate.threshold_table(scored, y, late, chance)
+    cut = evaluate.best_threshold(table).first()["threshold"]
+    mixed = evaluate.blend(F.col(minutes[0]), F.col(minutes[1]), weight)
+    expected = evaluate.hurdle(F.col(chance), mixed, num(reference))
+    joint = scored.select(key, y, mixed.alias("minutes"), expected.alias("expected"), F.col(chance).alias("p_late"), F.col(some).alias("p_some"), (F.col(chance) >= cut).alias("says_late"), clean.severity_band(mixed).alias("band"))
+    return {"blends": blends, "simplex": evaluate.simplex_grid(scored, y, minutes, guardrail=guardrail, late=late), "thresholds": table, "predictions": joint, "expected": evaluate.compact_score(joint, y, "expected", late)}
+
+
 def business_export(legs: DataFrame, config: ReliabilityConfig, time: str, first: str, second: str) -> dict[str, DataFrame]:
     """The tables of the business analysis."""
     own = clean.calendar_columns(legs, time)

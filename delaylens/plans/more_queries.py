@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import QualityLimits
+from ..config import leg_rules
 from ..functions.expressions import num, two_proportion_z, two_sided_p, wilson
 from ..operators import clean, enrich, evaluate, inference, profile, ranking, reliability
 from ..operators.models import median_fill
@@ -163,10 +163,10 @@ def k2_by_wilson_bound(spark, sf):
     return best.unionByName(ranking.top_rows(own, [F.asc("low_pct"), F.asc("origin")], 5).withColumn("side", F.lit("worst")))
 
 
-@query(f"with {LEGS_SQL}, {SCOPED_SQL}, {_ROUTES} select scope, arg_max(origin, round(100.0 * late_15_count / flights + 1e-9, 9) * 1000 + origin) as origin, count(*) as routes from routes where flights >= 30 and destination = 3 group by 1")
+@query(f"with {LEGS_SQL}, {SCOPED_SQL}, {_ROUTES} select scope, destination, arg_max(origin, round(100.0 * late_15_count / flights + 1e-9, 9) * 1000 + origin) as origin, count(*) as routes from routes where flights >= 30 group by 1, 2")
 def k8_k9_worst_route(spark, sf):
-    own = reliability.route_metrics(legs(spark, sf), config=ROUTES).where("flights >= 30 and destination = 3")
-    return own.groupBy("scope").agg(F.max_by("origin", F.round(F.col("late_15_pct") + 1e-9, 9) * 1000 + F.col("origin")).alias("origin"), F.count("*").alias("routes"))
+    own = reliability.route_metrics(legs(spark, sf), config=ROUTES).where("flights >= 30")
+    return own.groupBy("scope", "destination").agg(F.max_by("origin", F.round(F.col("late_15_pct") + 1e-9, 9) * 1000 + F.col("origin")).alias("origin"), F.count("*").alias("routes"))
 
 
 @query(f"with {LEGS_SQL}, g as (select operator, period, count(*) as n, {OTP} as s, sum(count(*)) over (partition by operator) as nn, sum({OTP}) over (partition by operator) as ss from legs group by 1, 2) select operator, period, round({z_sql('s', 'n', 'ss - s', 'nn - n')}, 6) as z, round({p_sql(z_sql('s', 'n', 'ss - s', 'nn - n'))}, 6) as p_value, round({wilson_sql('s', 'n')}, 6) as low_pct, round({wilson_sql('s', 'n', True)}, 6) as high_pct from g where nn > n and ss between 1 and nn - 1")
@@ -224,7 +224,7 @@ def m12_majority_rate(spark, sf):
 @query(f"with {LEGS_SQL} select count(*) as raw, count(*) filter (where leg_type = 'A' and arrival_delay_min >= -120) as kept from legs")
 def p13_clean_legs(spark, sf):
     own = legs(spark, sf)
-    kept = clean.apply_quality_rules(own.drop("departure_delay_min"), QualityLimits(regular_type="A")).agg(F.count("*").alias("kept"))
+    kept = clean.apply_quality_rules(own.drop("departure_delay_min"), leg_rules(leg_type={"equal": "A"})).agg(F.count("*").alias("kept"))
     return own.agg(F.count("*").alias("raw")).join(F.broadcast(kept))
 
 
@@ -338,3 +338,27 @@ def g7_public_tables(spark, sf):
         one = df.agg(F.lit(name).alias("tbl"), F.count("*").alias("rows"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---- labels of the route plot, scope floors -------------------------------------------------
+
+
+@query(f"""with {LEGS_SQL}, {SCOPED_SQL}, frame as (
+  select origin, destination, count(*) as flights, count(distinct period) as periods, round(100.0 * count(*) filter (where arrival_delay_min > 3) / count(*), 6) as late_pct from legs where arrival_delay_min is not null group by 1, 2 having count(*) >= 50 and count(distinct period) >= 3
+), top as (
+  select * from frame order by flights desc, origin, destination limit 200
+), picked as (
+  (select * from top order by flights desc, origin, destination limit 4) union (select * from top order by late_pct desc, origin, destination limit 3) union (select * from top order by late_pct, origin, destination limit 3)
+)
+select origin, destination, flights, late_pct from picked""")
+def k6_route_labels(spark, sf):
+    rate = F.round(100.0 * F.count_if(F.col("arrival_delay_min") > 3) / F.count("*"), 6).alias("late_pct")
+    routes = legs(spark, sf).where("arrival_delay_min is not null").groupBy("origin", "destination").agg(F.count("*").alias("flights"), F.count_distinct("period").alias("periods_active"), rate)
+    key = ["origin", "destination"]
+    return reliability.label_candidates(reliability.plot_frame(routes, key, ROUTES, 200), key, "late_pct").select(*key, "flights", "late_pct")
+
+
+@query(f"with {LEGS_SQL} select destination, count(*) as kept from legs where (arrival_delay_min is null or arrival_delay_min >= -120) and (departure_delay_min is null or departure_delay_min >= -120) and leg_type = 'R' and (scheduled_duration_min is null or scheduled_duration_min between 120 and 500) group by 1")
+def p3_scope_floor(spark, sf):
+    rules = leg_rules(level={"low": 120.0, "high": 500.0}, leg_type={"equal": "R"})
+    return clean.apply_quality_rules(legs(spark, sf), rules, level=["scheduled_duration_min"]).groupBy("destination").agg(F.count("*").alias("kept"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import QualityLimits, ReliabilityConfig
+from ..config import ReliabilityConfig, leg_rules
 from ..functions.expressions import ERFC_FIT, num, two_sided_p, wilson
 from ..operators import clean, enrich, evaluate, inference, pointintime, profile, ranking, reliability
 from ..sources import flights
@@ -73,12 +73,12 @@ _PERF_O = {"otp15_pct": "100.0 * otp15_count / flights", "worsened_pct": "100.0
 
 @query(agg("legs", ["origin"], {"kept": "count(*)"}, {"delay": "sum(arrival_delay_min)"}, where="leg_type = 'A' and arrival_delay_min >= -60 and departure_delay_min >= -60"))
 def p2_quality_rules(spark, sf):
-    return clean.apply_quality_rules(legs(spark, sf), QualityLimits(min_delay_minutes=-60, regular_type="A")).groupBy("origin").agg(F.count("*").alias("kept"), F.sum("arrival_delay_min").alias("delay"))
+    return clean.apply_quality_rules(legs(spark, sf), leg_rules(delay={"low": -60.0}, leg_type={"equal": "A"})).groupBy("origin").agg(F.count("*").alias("kept"), F.sum("arrival_delay_min").alias("delay"))
 
 
 @query(f"with {LEGS_SQL}, c as (select count(*) as raw_rows, count(*) filter (where scheduled_duration_min > 60) as in_scope_rows, count(*) filter (where scheduled_duration_min > 60 and not arrival_delay_min >= -60) as fail_arrival_delay_min_min, count(*) filter (where scheduled_duration_min > 60 and not departure_delay_min >= -60) as fail_departure_delay_min_min, count(*) filter (where scheduled_duration_min > 60 and leg_type <> 'A') as fail_regular, 0::bigint as fail_level, 0::bigint as fail_distance, count(*) filter (where scheduled_duration_min > 60 and arrival_delay_min >= -60 and departure_delay_min >= -60 and leg_type = 'A') as kept_rows from legs) select *, raw_rows - in_scope_rows as excluded_rows, round(100.0 * (in_scope_rows - kept_rows) / in_scope_rows, 6) as removed_pct from c")
 def p4_rule_impact(spark, sf):
-    return clean.rule_impact(legs(spark, sf), QualityLimits(min_delay_minutes=-60, regular_type="A"), scope=F.col("scheduled_duration_min") > 60)
+    return clean.rule_impact(legs(spark, sf), leg_rules(delay={"low": -60.0}, leg_type={"equal": "A"}), scope=F.col("scheduled_duration_min") > 60)
 
 
 @query("select case when trim(p_brand) in ('', 'Brand#1', 'Brand#2') then 'Unknown' else trim(p_brand) end as brand, count(*) as parts from part group by 1")
@@ -105,7 +105,7 @@ def p10_p11_bands_and_flags(spark, sf):
 
 @query(f"with {LEGS_SQL} select duration_band, count(*) as flights, sum((arrival_delay_min <= 15)::int)::bigint as on_time, round(avg(departure_delay_min - arrival_delay_min), 6) as recovery from (select *, case when scheduled_duration_min between 0 and 90 then '0-90' when scheduled_duration_min <= 180 then '90-180' when scheduled_duration_min <= 360 then '180-360' else '>360' end as duration_band from legs where leg_type = 'N' and arrival_delay_min >= -120 and departure_delay_min >= -120 and scheduled_off_block < timestamp '1998-01-01') group by 1")
 def p12_prepared_legs(spark, sf):
-    own = clean.prepare_legs(legs(spark, sf), QualityLimits(regular_type="N"), "1998-01-01", "scheduled_off_block")
+    own = clean.prepare_legs(legs(spark, sf), leg_rules(leg_type={"equal": "N"}), "1998-01-01", "scheduled_off_block")
     return own.groupBy("duration_band").agg(F.count("*").alias("flights"), F.sum("arrival_otp15").alias("on_time"), F.avg("recovery_min").alias("recovery"))
 
 

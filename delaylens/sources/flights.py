@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..config import TIME_COLUMNS
 from ..operators.enrich import first_row
+from ..operators.evaluate import align
 
 _TEXT = ("ADEP", "ADES", "AC Type", "AC Operator", "AC Registration", "ICAO Flight Type", "STATFOR Market Segment", *TIME_COLUMNS)
 #: The columns of a raw file, in order.
@@ -132,8 +133,8 @@ def read_bundle(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[
 
 
 def prediction_table(scored: Sequence[DataFrame], key: str) -> DataFrame:
-    """Scored frames side by side by id."""
+    """Scored frames side by side by id; repeated ids, and ids that a frame lacks, raise."""
     out = scored[0]
     for one in scored[1:]:
-        out = out.join(one, key)
+        out = align(out, one, key)
     return out

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from delaylens.config import QualityLimits, ReliabilityConfig
+from delaylens import config
+from delaylens.config import RULES, ReliabilityConfig
 from delaylens.plans import jobs, views
 from delaylens.streaming.live import live_on_time
 
@@ -37,7 +38,7 @@ def test_features_and_selection(spark, legs, tmp_path):
     nation = spark.read.parquet(f"{SF}/nation.parquet").select("n_nationkey", F.col("n_regionkey").alias("region"))
     own = legs.withColumn("leg_type", F.lit("S"))
     bounds = ["1990-01-01", "1997-01-01", "1998-01-01", "2010-01-01"]
-    made = jobs.base_features(own, QualityLimits(), nation, "n_nationkey", "scheduled_off_block", bounds, ["equipment"], ["scheduled_duration_min"], "arrival_delay_min", 10)
+    made = jobs.base_features(own, RULES, nation, "n_nationkey", "scheduled_off_block", bounds, ["equipment"], ["scheduled_duration_min"], "arrival_delay_min", 10)
     split = made["features"].cache()
     parts = {r["split"]: r["rows"] for r in made["contract"].collect()}
     assert set(parts) == {"train", "validation", "test"} and sum(parts.values()) == split.count()
@@ -64,3 +65,53 @@ def test_live_stream_equals_batch(spark, tmp_path):
     q.stop()
     want = live_on_time(t, "event_time", "registration", "delay_min")
     assert spark.table("live").exceptAll(want.select(*spark.table("live").columns)).count() == 0 and spark.table("live").count() == want.count()
+
+
+def test_rules_are_rows():
+    assert config.leg_rules(delay={"low": -60.0})[0].low == -60.0 and len(config.leg_rules(without=("leg_type",))) == len(RULES) - 1
+    with pytest.raises(ValueError):
+        config.leg_rules(colour={})
+    with pytest.raises(ValueError):
+        config.known_columns("landing")
+
+
+def test_benchmark_sweeps_and_combination(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from delaylens.operators import evaluate, models
+
+    own = VectorAssembler(inputCols=["yhat", "x"], outputCol="features").transform(views.predictions(spark, SF).withColumn("x", (F.col("leg_id") % 97) / 97.0)).cache()
+    train, validation = own.where("leg_id % 4 <> 0").cache(), own.where("leg_id % 4 = 0").cache()
+    made = jobs.model_benchmark(train, validation, "leg_id", "y", {"ridge": models.ridge(train, "y", 1.0), "forest_5_3": models.tree_grid("y", (5,), (3,))["forest_5_3"]}, [("type", ["event_type"], 5)], {"all": F.lit(True), "late": F.col("y") > 15})
+    assert made["predictions"].count() == validation.count() and made["metrics"].count() == 6 and made["ranking"].where("candidate = 'baseline' and combined_gain = 0").count() == 1
+    median = dict(train.groupBy("event_type").agg(F.median("y")).collect())
+    assert all(abs(r["baseline"] - median[r["event_type"]]) < 1e-9 for r in made["predictions"].select("event_type", "baseline").collect())
+
+    some = models.logistic_sweep(train, validation, "y", (15.0,), (0.01,), ("none", "balanced"))
+    assert some.count() == 2 and some.where("roc_auc between 0 and 1").count() == 2
+    weighed = models.weight_sweep(train, validation, "y", (1.0, 0.5))
+    assert weighed.where("candidate = 'share_1.0' and gain = 0 and allowed").count() == 1
+    assert models.two_stage_sweep(train, validation, "y", "probability", (1.0,)).count() == 1
+    scored = made["predictions"].withColumns({"zero": F.lit(0.0), "some": F.col("probability")})
+    out = jobs.combine_and_score(scored, "leg_id", "y", ["ridge", "baseline", "zero"], "probability", "some", 2.0)
+    assert out["simplex"].count() == 66 and out["thresholds"].count() == 71 and out["predictions"].count() == validation.count()
+    r = out["predictions"].orderBy("leg_id").first()
+    assert abs(r["expected"] - (r["p_late"] * min(60, max(15, r["minutes"])) + (1 - r["p_late"]) * 2.0)) < 1e-9
+    for wrong in (1.5, -0.1, float("nan"), None):
+        with pytest.raises(ValueError):
+            evaluate.checked_scores(scored.withColumn("some", F.lit(wrong).cast("double")), "probability", "some")
+    with pytest.raises(ValueError):
+        evaluate.align(scored.where("leg_id % 8 = 0").select("leg_id"), validation, "leg_id")
+
+
+def test_expanded_features(spark, legs):
+    nation = spark.read.parquet(f"{SF}/nation.parquet").select("n_nationkey", F.col("n_regionkey").alias("region"))
+    own = legs.withColumns({"leg_type": F.lit("S"), "id": F.xxhash64("order_id", "line_no", "operator", "equipment"), "registration": F.col("operator"), "arrival_time": F.col("scheduled_off_block")}).dropDuplicates(["id"])
+    history = own.select("id", "origin", "destination", "operator", "registration", "scheduled_off_block", "arrival_time", F.col("departure_delay_min"), F.col("arrival_delay_min"))
+    roles = {"id": "id", "cutoff": "cutoff", "origin": "origin", "destination": "destination", "operator": "operator", "registration": "registration", "scheduled_departure": "scheduled_off_block", "scheduled_arrival": "arrival_time", "departure_time": "scheduled_off_block", "arrival_time": "arrival_time", "departure_delay": "departure_delay_min", "arrival_delay": "arrival_delay_min"}
+    bounds = ["1990-01-01", "1996-06-01", "1997-01-01", "1998-01-01", "2010-01-01"]
+    made = jobs.expanded_features(own, history, roles, "scheduled_off_block", "arrival_delay_min", rules=RULES, places=nation, place_key="n_nationkey", bounds=bounds, categories=["equipment"], numeric=["scheduled_duration_min"], least=10)
+    parts = {r["split"]: r["rows"] for r in made["contract"].collect()}
+    assert set(parts) == {"train", "validation", "test", "final_test"}
+    assert sum(parts.values()) == made["features"].count() == made["features"].select("id").distinct().count() > 0.9 * own.count()
+    assert made["audit"].where("violations > 0").count() == 0 and made["nulls"].count() > 4

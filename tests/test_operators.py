@@ -24,23 +24,23 @@ def legs(spark, extra=()):
 
 @pytest.fixture(scope="module")
 def prepared(spark):
-    return clean.prepare_legs(legs(spark), config.QualityLimits(), "2023-03-01", "time").cache()
+    return clean.prepare_legs(legs(spark), config.RULES, "2023-03-01", "time").cache()
 
 
 def test_delays_and_quality_rules(spark):
     raw = spark.createDataFrame([("01-01-2022 10:00:00", "01-01-2022 10:15:00", "01-01-2022 12:00:00", "01-01-2022 12:30:00"), ("01-01-2022 10:00:00", "01-01-2022 07:00:00", "01-01-2022 12:00:00", "01-01-2022 09:00:00"), ("01-01-2022 10:00:00", "bad", "01-01-2022 12:00:00", None)], "fo string, ao string, fa string, aa string")
     out = clean.calculate_delays(raw, "fo", "ao", "fa", "aa", config.TIME_FORMAT)
     assert [(r["departure_delay_min"], r["arrival_delay_min"]) for r in out.collect()] == [(15.0, 30.0), (-180.0, -180.0), (None, None)]
-    assert clean.apply_quality_rules(out, config.QualityLimits()).count() == 2  # nulls stay
+    assert clean.apply_quality_rules(out, config.RULES).count() == 2  # nulls stay
     kinds = spark.createDataFrame([("S",), ("N",), (None,)], "leg_type string")
-    assert [r[0] for r in clean.apply_quality_rules(kinds, config.QualityLimits()).collect()] == ["S"]
+    assert [r[0] for r in clean.apply_quality_rules(kinds, config.RULES).collect()] == ["S"]
 
 
 def test_horizon_gate(spark):
-    assert "ACTUAL OFF BLOCK TIME" not in config.features_for_task("Arrival_Delay_Min", "pre_departure")
-    assert "ACTUAL OFF BLOCK TIME" in config.features_for_task("Arrival_Delay_Min", "post_off_block")
+    assert "ACTUAL OFF BLOCK TIME" not in config.known_columns("pre_departure", "Arrival_Delay_Min")
+    assert "ACTUAL OFF BLOCK TIME" in config.known_columns("post_off_block", "Arrival_Delay_Min")
     with pytest.raises(ValueError):
-        config.features_for_task("Departure_Delay_Min", "post_off_block")
+        config.known_columns("post_off_block", "Departure_Delay_Min")
     with pytest.raises(ValueError):
         clean.forbid_columns(spark.range(1), ["id"])
 
