@@ -10,7 +10,8 @@ by anchor and side: the Burrows-Wheeler transforms of parts of a shard are
 merged by refining their interleave, two symbols in a round, and the common
 prefixes found on the way bound the intervals of suffixes that share 50 bytes:
 the repeated windows, with their first document.  No suffixes are sorted
-across parts.
+across parts.  Groups with very many texts are halved by the bytes next to
+what they share until few texts, or equal ones, are left.
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ BLOCK = 2 << 20
 PART, SHARD = 1 << 17, 2 << 20
 #: Bytes on a side of an anchor of which one side at least is inside every window.
 SIDE = (LENGTH - ANCHOR) // 2
-#: Texts with one anchor and side that go into one shard; the windows of those with more are dealt one by one.
+#: Texts that share an anchor and side and go into one shard; groups of more are halved first.
 VARIANTS = 1000
 #: Places that are hashed together, to stay in the processor's cache.
 STEP = 1 << 15
 
 _PIECES = "block long, shard int, ids binary, sizes binary, data binary"
-_MARKED = "block long, kind int, anchor long, doc_id long, start int, ids binary, sizes binary, data binary, marks binary"
+_MARKED = "block long, kind int, anchor long, doc_id long, start int, lead int, ids binary, sizes binary, data binary, marks binary"
 _SPANS = "block long, start int, stop int"
+_HALVES = "block long, anchor long, doc_id long, start int, lead int, low int, high int, data binary"
 
 
 _WEIGHT = np.uint64(0xD6E8FEB86659FD93)
@@ -242,11 +244,11 @@ def _marker(shards: int):
         both, side, start, stop = both[use], side[use], start[use], stop[use]
         n, none = len(both), [None] * len(both)
         cols = [
-            np.full(n + 1, block), np.array([0] + [1] * n, dtype=np.int32), np.concatenate((np.zeros(1, np.int64), mix64(found.mark[both] * np.uint64(0x9E3779B97F4A7C15) + mix64(side)).view(np.int64))), np.concatenate(([0], doc[both])), np.concatenate(([0], start)),
+            np.full(n + 1, block), np.array([0] + [1] * n, dtype=np.int32), np.concatenate((np.zeros(1, np.int64), mix64(found.mark[both] * np.uint64(0x9E3779B97F4A7C15) + mix64(side)).view(np.int64))), np.concatenate(([0], doc[both])), np.concatenate(([0], start)), np.concatenate(([0], found.lead[both] - start)),
             [ids_[own[0]], *none], [sizes_[own[0]], *none], [data[own[0]], *(whole[a:b] for a, b in zip(start.tolist(), stop.tolist()))], [zlib.compress(np.packbits(np.cumsum(cover[:-1]) > 0).tobytes(), 1), *none],
         ]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(x, type=k) for x, k in zip(cols, kinds)], names=["block", "kind", "anchor", "doc_id", "start", "ids", "sizes", "data", "marks"])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(x, type=k) for x, k in zip(cols, kinds)], names=["block", "kind", "anchor", "doc_id", "start", "lead", "ids", "sizes", "data", "marks"])
 
     return mark
 
@@ -330,17 +332,46 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.table({"block": np.asarray(group["block"])[own], "start": (at + offset).astype(np.int32), "stop": (to + LENGTH + offset).astype(np.int32)})
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_128_digest
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text in two: its windows that begin ``low`` to ``middle`` bytes before the anchor, and those up to ``high``; the bytes that all windows of a half hold name its group."""
+    from xxhash import xxh3_64_intdigest
 
     for batch in batches:
         rows = []
-        for block, doc, start, text in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "start", "data"))):
-            for k in range(len(text) - LENGTH + 1):
-                w1, w2 = np.frombuffer(xxh3_128_digest(text[k : k + LENGTH]), dtype=np.int64).tolist()
-                rows.append((w1, w2, doc, block, start + k))
+        for block, anchor, doc, start, lead, low, high, text in zip(*(batch.column(c).to_pylist() for c in ("block", "anchor", "doc_id", "start", "lead", "low", "high", "data"))):
+            middle = (low + high) // 2
+            for a, b in ((low, middle), (middle + 1, high)):
+                begin, end = lead - min(b, lead), max(a, lead - len(text) + LENGTH)
+                if lead - begin >= end:
+                    name = xxh3_64_intdigest(anchor.to_bytes(8, "little", signed=True) + bytes((a, b)) + text[lead - a : lead - b + LENGTH]) - (1 << 63)
+                    rows.append((block, name, doc, start + begin, lead - begin, a, b, text[begin : lead - end + LENGTH]))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["w1", "w2", "doc_id", "block", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "anchor", "doc_id", "start", "lead", "low", "high", "data"])
+
+
+def _divide(hot: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Texts of groups with more than ``VARIANTS``: the spans that are settled, and the texts in groups of fewer.
+
+    In each round a text that an earlier document has too is settled whole;
+    the others are halved, and halves that meet no other document fall out.
+    After five rounds a text is one window, so that equal texts are all there is.
+    """
+    spans, few = [], []
+    hot = hot.withColumn("low", F.when(F.col("lead") < SIDE, 0).otherwise(SIDE)).withColumn("high", F.when(F.col("lead") < SIDE, SIDE - 1).otherwise(2 * SIDE))
+    span = SIDE + 1
+    while n := hot.count():
+        first = hot.groupBy("anchor", "data").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+        told = written(spread_join(hot, first, ["anchor", "data"], "n", n), "told")
+        spans.append(told.where("doc_id > first").select("block", "start", (F.col("start") + F.octet_length("data")).alias("stop")))
+        if span == 1:
+            break
+        span = -(-span // 2)
+        halves = written(told.where("doc_id = first").select(*hot.columns).mapInArrow(_halves, _HALVES), "halves")
+        groups = halves.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first <> last").select("anchor", "n", (F.col("n") > VARIANTS).alias("many"))
+        left = written(spread_join(halves, groups, ["anchor"], "n", halves.count()), "left")
+        few.append(left.where("not many"))
+        hot = left.where("many").drop("many")
+    return spans, few
 
 
 def _finish(own: pa.Table, spans: pa.Table) -> pa.Table:
@@ -375,15 +406,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     verdicts = written(_split(rows, shards, True).groupBy("shard").applyInArrow(_settle, _PIECES), "verdicts")
     marked = written(_split(rows, shards, False).unionByName(verdicts).groupBy("block").applyInArrow(_marker(shards), _MARKED), "marked")
 
-    variants = marked.where("kind = 1").select("block", "anchor", "doc_id", "start", "data")
+    variants = marked.where("kind = 1").select("block", "anchor", "doc_id", "start", "lead", "data")
     many = written(variants.groupBy("anchor").count().where(F.col("count") > VARIANTS).select("anchor"), "many")
-    amount = variants.agg(F.coalesce(F.sum(F.octet_length("data") + 1), F.lit(0))).first()[0]
-    few = variants.join(many, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards_for(spark, amount, SHARD))))
-    spans = few.groupBy("shard").applyInArrow(_compare, _SPANS)
-    each = written(variants.join(many, "anchor", "left_semi").mapInArrow(_windows, "w1 long, w2 long, doc_id long, block long, start int"), "windows")
-    first = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first <> last").drop("last")
-    dealt = spread_join(each, first, ["w1", "w2"], "n", each.count()).where("doc_id > first").select("block", "start", (F.col("start") + LENGTH).alias("stop"))
-    spans = written(spans.unionByName(dealt), "spans")
+    settled, divided = _divide(written(variants.join(many, "anchor", "left_semi"), "hot"))
+    few = variants.join(many, "anchor", "left_anti").drop("lead")
+    for part in divided:
+        few = few.unionByName(part.select(*few.columns))
+    amount = few.agg(F.coalesce(F.sum(F.octet_length("data") + 1), F.lit(0))).first()[0]
+    spans = few.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards_for(spark, amount, SHARD)))).groupBy("shard").applyInArrow(_compare, _SPANS)
+    for part in settled:
+        spans = spans.unionByName(part)
+    spans = written(spans, "spans")
     whole = marked.where("kind = 0").select("block", "ids", "sizes", "data", "marks")
     return whole.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

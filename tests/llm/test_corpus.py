@@ -296,12 +296,14 @@ def test_cuckoo_filter():
     assert f.maybe(keys[1500:]).all() and f.maybe(keys[:1500]).mean() < 0.01
 
 
-@pytest.mark.parametrize("variants", [1000, 1])
+@pytest.mark.parametrize("variants", [1000, 1, 3])
 def test_repeated_passages(spark, monkeypatch, variants):
     monkeypatch.setattr(suffixes, "VARIANTS", variants)
     monkeypatch.setattr(suffixes, "PART", 512)
     monkeypatch.setattr(suffixes, "STEP", 700)
     texts = corpus(8) + [(2000, "x" * 300), (2001, "y" + "x" * 120), (2002, "é" * 100), (2003, "q" * 49)]
+    shared_line = "one passage that many documents hold, of some length, goes on like this: "
+    texts += [(3000 + k, f"{k * 7919:x} " * 3 + shared_line + f"{k % 5} and then {k * 104729:x} " * 2) for k in range(40)]
     got = rows(suffixes.remove_repeats(shared.written(spark.createDataFrame(texts, DOCS), "docs")))
     seen = set()
     for i, t in sorted(texts):
