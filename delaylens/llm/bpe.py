@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, pack, shards_for, text_bytes, unpack, with_fields
+from .shared import blocks, known_id, pack, shards_for, text_bytes, unpack, with_fields, with_missing_ids
 
 #: Bytes of text in a block.
 BLOCK = 4 << 20
@@ -104,7 +104,7 @@ def split_words(docs: DataFrame, pattern: str, shards: int, words_too: bool, doc
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "shard", "doc_ids", "numbers", "data"])
 
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text).cast("string").alias(text)).mapInArrow(split, _PIECES)
+    return docs.select(known_id(doc_id), F.col(text).cast("string").alias(text)).mapInArrow(split, _PIECES)
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
     """Token ids of every text: ``doc_id``, ``token_ids``, a row for each input row.
 
     Null and empty texts get an empty list; repeated rows each get their own;
-    a null id comes back as -1.  Special-token strings are ordinary text.
+    a null id stays null.  Special-token strings are ordinary text.
     A block holds 4 MB of text, a longer text is a block of its own.  The
     documents are read twice, once for their words and once for positions, so
     they should come from files or a table; rows that differ between the two
@@ -176,7 +176,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
     """
     shards = shards_for(docs.sparkSession, text_bytes(docs, text), 256 << 20)
     coded = encode_words(split_words(docs, pattern, shards, True, doc_id, text), ranks, pattern)
-    return split_words(docs, pattern, shards, False, doc_id, text).unionByName(coded).groupBy("block").applyInArrow(_assemble, "doc_id long, token_ids array<int>")
+    out = split_words(docs, pattern, shards, False, doc_id, text).unionByName(coded).groupBy("block").applyInArrow(_assemble, "doc_id long, token_ids array<int>")
+    return with_missing_ids(out)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,6 +17,9 @@ BLOCK_BYTES = 4 << 20
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
 
+#: What stands for a missing document id inside an operator: the smallest long, which is no id of its own.
+NO_ID = -(1 << 63)
+
 #: Most keys of a join that count as hot.
 HOT_KEYS = 20_000
 
@@ -78,6 +81,16 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 
 
+def known_id(doc_id: str) -> Column:
+    """The id as a long, ``NO_ID`` where it is missing."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+
+def with_missing_ids(df: DataFrame) -> DataFrame:
+    """``df`` with null again where its ``doc_id`` is ``NO_ID``."""
+    return df.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
+
 def shards_for(spark: SparkSession, amount: int, per_shard: int) -> int:
     """How many shards keep ``amount`` within ``per_shard`` each; never fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // per_shard), 1)

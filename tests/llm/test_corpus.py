@@ -318,6 +318,18 @@ def test_repeated_passages(spark, monkeypatch, variants):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], bytes(got[i]["kept"])) == (len(raw), sum(gone), runs, kept), i
 
 
+def test_missing_ids_stay_missing(spark):
+    passage = "one passage of more than fifty bytes that is in all of these documents "
+    texts = [(None, passage + "a"), (None, passage + "b"), (-5, passage + "c"), (-(1 << 62), passage + "d"), (-1, None), (7, passage + "e" + passage), (7, passage + "e" + passage)]
+    df = shared.written(spark.createDataFrame(texts, DOCS), "docs")
+    removed = suffixes.remove_repeats(df).collect()
+    assert Counter((r["doc_id"], r["n_removed"]) for r in removed) == Counter({(None, 0): 2, (-5, 71): 1, (-(1 << 62), 71): 1, (-1, 0): 1, (7, 142): 2})
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = bpe.decode(bpe.encode(df, ranks, PATTERN), ranks)
+    assert Counter((r["doc_id"], bytes(r["decoded"]).decode()) for r in coded.collect()) == Counter((i, t or "") for i, t in texts)
+    assert suffixes.remove_repeats(df.where("false")).count() == bpe.encode(df.where("false"), ranks, PATTERN).count() == 0
+
+
 def test_merged_transforms_keep_order():
     texts = [np.frombuffer(b"banana\0bandana\0", dtype=np.uint8), np.frombuffer(b"ananas\0band\0", dtype=np.uint8)]
     made = [suffixes.transform(t, 4) for t in texts]
@@ -571,3 +583,75 @@ def test_pipeline_links_from_four_fifths(spark):
     assert alike(2) >= 0.85 and 0.8 <= alike(3) < 0.85 and alike(4) < 0.8
     kept = pipeline.near_duplicate_stage(spark, shared.written(spark.createDataFrame(texts, DOCS), "docs"), "")
     assert {r["doc_id"] for r in kept.collect()} == {1, 4}
+
+
+def piped(texts, good, items):
+    """Documents as (doc_id, text, lang) through all five stages, by direct means: (doc_id, token ids)."""
+    from struct import pack
+    from xxhash import xxh64_intdigest
+
+    held = {i for i in good if (lambda h: h - (h >> 63 << 64))(xxh64_intdigest(pack("<q", i), seed=42)) % 5 == 0}
+    ppl = knesser([t for i, t, _ in texts if i in good - held and t])
+
+    def left(t):
+        import zlib
+
+        raw, n = t.encode(), 0
+        for k in range(0, len(raw), 2048):
+            c = zlib.compressobj(6, zlib.DEFLATED, -15)
+            n += len(c.compress(raw[k : k + 2048]) + c.flush())
+        return n / len(raw)
+
+    seen = [(ppl(t), left(t)) for i, t, _ in texts if i in held and t]
+    at = lambda values, q: sorted(values)[max(0, math.ceil(q * len(values) - 1e-9) - 1)]
+    high, low = at([p for p, _ in seen], 0.99), at([d for _, d in seen], 0.01)
+    stage = [(i, t) for i, t, _ in texts if t and ppl(t) <= high * (1 + 1e-6) and left(t) >= low]
+    sizes = [len(texts), len(stage)]
+    own = kept_lines([(i, t) for i, t in stage if i is not None])
+    stage = [(i, t if i is None else own[i][2]) for i, t in stage]
+    sizes.append(sum(n for _, n, _ in own.values()))
+    _, first = near([(i, t) for i, t in stage if i is not None], 80)
+    stage = [(i, t) for i, t in stage if i is None or first[i] == i]
+    sizes.append(len(stage))
+    bad = []
+    for t in items:
+        w = windows(t)
+        bad += [w[k : k + 10] for k in range(max(1, len(w) - 9))] if w else []
+    holds = lambda w, b: any(w[k : k + len(b)] == b for k in range(len(w) - len(b) + 1))
+    stage = [(i, t) for i, t in stage if not any(holds(windows(t), b) for b in bad)]
+    sizes.append(len(stage))
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    return sizes, Counter((i, tuple(encoding.encode_ordinary(t)), t) for i, t in stage)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    from hashlib import sha256
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    usual = ["".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(usual) for _ in range(n))
+    shared_line = "A line that many of the documents repeat"
+    texts = [(k, "\n".join([prose(rng.randint(15, 60)), prose(20), *([shared_line] if k % 3 == 0 else [])]), "de" if k % 2 else "en") for k in range(80)]
+    for k in range(0, 24, 4):  # near copies on one line, longer than any edit, and exact copies
+        words = prose(150).split(" ")
+        texts.append((200 + k, " ".join(words), "en"))
+        words[k * 5] = "zz"
+        texts.append((201 + k, " ".join(words) + "\n" + prose(5), "en"))
+        texts.append((202 + k, texts[-2][1] if k % 8 else texts[-2][1] + " " + prose(60), "fr"))
+    items = [" ".join(texts[10][1].split()[2:14]), None, texts[81][1][:400], "nowhere else"]
+    texts += [(300, "?#9 " * 60, "en"), (301, usual[0] + (" " + usual[0]) * 90, "de"), (302, None, "en"), (303, "", None), (304, " \n\t", "en"), (None, prose(50), "fr")]
+    texts += [texts[7], texts[7], (305, prose(3000), "en"), (306, shared_line, "en")]
+    good = {i for i, _, _ in texts if i is not None and i < 300 and i % 7}
+    made = spark.createDataFrame(texts, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.char_length("text").cast("long")})
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in sorted(good)] + [(300, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sizes, want = piped(texts, good, items)
+    assert sizes[1] < sizes[0] and sizes[2] and sizes[4] < sizes[3] < sizes[1]  # each stage has something to do
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], tuple(r["token_ids"]), r["n_tokens"], r["decoded_sha256"]) for r in got) == Counter({(i, ids, len(ids), sha256(t.encode()).hexdigest()): n for (i, ids, t), n in want.items()})
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").where("false").write.parquet(f"{empty}/{name}.parquet")
+    assert pipeline.run(spark, str(empty)).count() == 0
