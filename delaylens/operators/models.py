@@ -105,10 +105,19 @@ def variant_assembler(columns: Sequence[str], variant: str) -> VectorAssembler:
 
 
 def ridge(train: DataFrame, label: str, alpha: float, weight: str | None = None) -> LinearRegression:
-    """Ridge with penalty ``alpha`` in the least-squares scale; Spark scales the label, hence its deviation in the penalty."""
-    n, sd = train.agg(F.count(label), F.stddev(label)).first()
+    """Ridge: least weighted squares plus ``alpha`` times the squared coefficients; rows without ``weight`` count once.
+
+    Spark divides the loss by the sum of weights and the label by its weighted deviation, so both enter the penalty given to it.
+    """
+    w = F.col(weight) if weight else num(1)
+    rows = train.where(F.col(label).isNotNull())
+    total, squares, mean = rows.agg(F.sum(w), F.sum(w * w), F.sum(w * F.col(label)) / F.sum(w)).first()
+    n = total or 1.0
+    around = rows.agg(F.sum(w * F.pow(F.col(label) - num(mean or 0.0), 2))).first()[0]
+    free = n - (squares or 0.0) / n
+    sd = math.sqrt(around / free) if around and free > 0 else 1.0
     extra = {"weightCol": weight} if weight else {}
-    return LinearRegression(labelCol=label, featuresCol="features", regParam=alpha * (sd or 1.0) / max(n, 1), elasticNetParam=0.0, standardization=False, solver="l-bfgs", maxIter=200, **extra)
+    return LinearRegression(labelCol=label, featuresCol="features", regParam=alpha * sd / n, elasticNetParam=0.0, standardization=False, solver="l-bfgs", maxIter=200, tol=1e-9, **extra)
 
 
 def tree_models(label: str, seed: int = 42) -> dict[str, Estimator]:

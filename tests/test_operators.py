@@ -184,6 +184,26 @@ def test_transformer_and_models(spark, tmp_path):
     assert contract.first()["target"] == "y" and model.transform(train).count() == 3
 
 
+def test_ridge_is_the_closed_form(spark):
+    import numpy as np
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2)) * [1.0, 8.0]
+    y = 40 + x @ [3.0, -0.5] + rng.normal(size=60) * 6
+    w = rng.uniform(0.5, 9, 60)
+    df = spark.createDataFrame([(float(a), float(b), float(c), float(d)) for (a, b), c, d in zip(x, y, w)], "a double, b double, y double, w double")
+    ready = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    for alpha, name, weights in ((5.0, None, np.ones(60)), (50.0, None, np.ones(60)), (50.0, "w", w), (400.0, "w", w)):
+        xc, yc = x - np.average(x, axis=0, weights=weights), y - np.average(y, weights=weights)
+        want = np.linalg.solve(xc.T @ (xc * weights[:, None]) + alpha * np.eye(2), xc.T @ (weights * yc))
+        model = models.ridge(ready, "y", alpha, name).fit(ready)
+        assert list(model.coefficients) == pytest.approx(list(want), rel=1e-4)
+        assert model.intercept == pytest.approx(np.average(y - x @ want, weights=weights), rel=1e-4)
+    flat = models.ridge(ready.withColumn("y", F.lit(7.0)), "y", 1.0).fit(ready.withColumn("y", F.lit(7.0)))
+    assert flat.intercept == pytest.approx(7.0)
+
+
 def test_sources(spark, tmp_path):
     files = ["/d/202106/Flights_20210601_20210630.csv.gz", "/d/flights/Flights_20210601_20210630.csv.gz", "/d/flights/Flights_20221201_20221231.csv.gz", "/d/flights/Flights_20221201_20230131.csv.gz", "/d/x.csv"]
     months = flights.monthly_files(spark, files)
