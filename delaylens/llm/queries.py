@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embeddings, licences, lines, minhash, pages, quality, suffixes
-from .shared import table, written
+from . import alignment, bpe, chat, decontaminate, embeddings, licences, lines, manifest, minhash, pages, quality, suffixes, tokenfiles
+from .shared import scratch_dir, table, written
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+WORD_FILE = "word_bpe_49k.json"
+BYTE_FILE = "byte_bpe_50k.json"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +72,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find_hits(docs, benchmark, keep=["doc_id"]))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenfiles.token_files(table(spark, sf_dir, "documents"), path, Path(public_tokenizers.path(WORD_FILE)).read_text(), end_id=1)
+    return tokenfiles.report(tokenfiles.read_tokens(spark, path))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (Path(public_tokenizers.path(name)).read_bytes() for name in (BYTE_FILE, PIECE_FILE))
+    return alignment.align(table(spark, sf_dir, "documents"), a.decode(), b)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def _templates_sql() -> str:
     return ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in sorted(licences.TEMPLATES.items()))
 
@@ -73,7 +94,7 @@ def _templates_sql() -> str:
 _WORDS_SQL = "list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 _BIGRAMS_SQL = "case when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end"
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_license_scan, op4_minhash_near_dedup, op5_embedding_near_dedup, op6_chat_format, op7_line_dedup, op8_suffix_dedup, op9_bpe_round_trip, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_text, op3_license_scan, op4_minhash_near_dedup, op5_embedding_near_dedup, op6_chat_format, op7_line_dedup, op8_suffix_dedup, op9_bpe_round_trip, op10_decontaminate, op11_token_files, op12_token_alignment, op13_merkle_manifest)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

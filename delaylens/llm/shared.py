@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 #: Bytes of text that one Python task holds at a time.
 BLOCK_BYTES = 4 << 20
@@ -231,3 +233,41 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         n, mark = found[0], found
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+#: A space between two characters that are no white space: where texts can be cut without changing their tokens.
+GAP = re.compile(r"(?<=\S) (?=\S)")
+
+
+def stretches(text: str, limit: int = 1 << 20) -> Iterator[str]:
+    """A text cut at gaps into stretches of about ``limit`` characters; the spaces at the cuts fall out."""
+    start = 0
+    while len(text) - start > limit and (cut := GAP.search(text, start + limit)):
+        yield text[start : cut.start()]
+        start = cut.end()
+    yield text[start:]
+
+
+def in_order(df: DataFrame, order: list[str], parts: int) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, nulls first.
+
+    A random last key splits rows that repeat exactly, so no value makes one
+    long task; such rows are interchangeable.
+    """
+    keys = [*[F.asc_nulls_first(c) for c in order], F.asc("_tie")]
+    return df.withColumn("_tie", F.rand(0)).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_tie")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], parts: int, name: str) -> DataFrame:
+    """``df`` with ``position``, a row's place from 0 among the rows of equal ``by`` in ``order`` (nulls first), and ``n``, their number.
+
+    A distributed prefix sum: rows are range-partitioned, sorted and written,
+    then each partition's rows are counted, and only these counts (one for
+    each partition and key) meet in a window.  ``by`` must not be null.
+    """
+    own = written(in_order(df, [*by, *order], parts).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), name)
+    runs = own.groupBy("_part", *by).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    every = Window.partitionBy(*(by or [F.lit(0)]))
+    before = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = runs.select("_part", *by, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_base"), F.sum("_rows").over(every).alias("n"))
+    return own.join(base, ["_part", *by]).withColumn("position", F.col("_at") + F.col("_base")).drop("_part", "_at", "_base")
