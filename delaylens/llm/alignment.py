@@ -12,9 +12,12 @@ costs one record a run, however many documents hold it.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 from heapq import heappop, heappush
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import GAP, blocks, mix64, shards_for, stretches, text_bytes, written
 
 #: Bytes of text whose pairs make one run.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 #: Records in a page.
 PAGE = 1 << 14
 #: Records that a merge holds before it passes on what is complete.
@@ -35,7 +38,7 @@ HELD = 1 << 21
 #: Bytes of text for each radix.
 RADIX_BYTES = 256 << 20
 #: Stretches of text that a task remembers with their tokens.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 _ROWS = "block long, radix int, seq int, first long, doc_ids binary, stats binary, digests binary, data binary"
 _BACK = "block long, radix int, seq int, data binary"
@@ -61,6 +64,35 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+# Characters whose classes all regular-expression engines see alike.
+_PLAIN = re.compile("[!-~\u00c0-\u017e]+").fullmatch
+# the cut of byte-level tokenizers, as their files name it by "use_regex"
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_OTHER_SPACE = re.compile(r"[^\S \n]").search
+
+
+def parts_of(text: str) -> list[str]:
+    """A text cut at its gaps."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE(text):
+        return GAP.split(text)
+    return text.split(" ")  # every space is a gap
+
+
+def _merger(tokenizer_json: str, token_bytes: dict[int, bytes]):
+    """A faster encoder of plain words with the same merges, if the file's merges come in the order of the ids they make; else None."""
+    import tiktoken
+
+    made = json.loads(tokenizer_json)
+    model, cut = made["model"], made["pre_tokenizer"]
+    special = {t["id"] for t in made["added_tokens"]}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    in_order = all(model["vocab"].get(a + b) == 256 + k for k, (a, b) in enumerate(pairs))
+    if not in_order or made["normalizer"] or cut["type"] != "ByteLevel" or not cut["use_regex"] or cut["add_prefix_space"]:
+        return None
+    ranks = {t: i for i, t in token_bytes.items() if i not in special}
+    return tiktoken.Encoding("merges", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+
 class Pieces(dict):
     """Stretches between gaps -> their tokens' alignment, each distinct one worked out once.
 
@@ -80,10 +112,13 @@ class Pieces(dict):
         self.a.encode_special_tokens = True
         as_byte = byte_level()
         self.a_bytes = {i: bytes(map(as_byte.__getitem__, t)) if set(t) <= as_byte.keys() else t.encode() for t, i in self.a.get_vocab().items()}
+        self.fast = _merger(a_json, self.a_bytes)
         names = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-Fa-f]{2}>", p) else p.replace("▁", " ").encode() for p in names]
         if any(re.search("[^▁]▁", p) for p in names):
             raise ValueError("pieces of this model cross the space after a word")
+        if not all(self.a_bytes.values()) or not all(self.b_bytes):
+            raise ValueError("a token has no bytes")
 
     def learn(self, parts: list[str]) -> None:
         new = [p for p in dict.fromkeys(parts) if p not in self]
@@ -92,29 +127,45 @@ class Pieces(dict):
             new = list(dict.fromkeys(parts))
         for k in range(0, len(new), 10_000):
             some = new[k : k + 10_000]
-            for part, a, b in zip(some, self.a.encode_batch_fast([f" {p}" for p in some], add_special_tokens=False), self.b.encode(some, num_threads=1)):
-                self[part] = self.align(f" {part}".encode(), a.ids, b)
+            quick = [p for p in some if self.fast and _PLAIN(p)]
+            slow = [p for p in some if not (self.fast and _PLAIN(p))]
+            a_ids = {p: self.fast(f" {p}") for p in quick} | {p: x.ids for p, x in zip(slow, self.a.encode_batch_fast([f" {p}" for p in slow], add_special_tokens=False))}
+            for part, b in zip(some, self.b.encode(some, num_threads=1)):
+                self[part] = self.align(f" {part}".encode(), a_ids[part], b)
 
     def align(self, whole: bytes, a: list[int], b: list[int]) -> tuple[int, int, bytes, bytes] | None:
         left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if b"".join(left) != whole or b"".join(right) != whole:
             return None
-        ends_a, ends_b = np.cumsum([len(x) for x in left]), np.cumsum([len(x) for x in right])
-        common = np.intersect1d(ends_a, ends_b)
-        at_a, at_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
-        groups, i, j = [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-            i, j = x, y
-        keys = np.array(b, dtype=np.int64)[at_b] << 32 | np.array(a, dtype=np.int64)[at_a]
-        return len(a), len(b), ";".join(groups).encode(), keys.tobytes()
+        groups, keys = [], []
+        i = j = from_i = from_j = end_a = end_b = 0
+        while i < len(a) or j < len(b):
+            if end_a <= end_b:
+                end_a += len(left[i])
+                i += 1
+            else:
+                end_b += len(right[j])
+                j += 1
+            if end_a == end_b:
+                groups.append(f"{a[from_i]}|{b[from_j]}" if i - from_i == j - from_j == 1 else f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
+                keys.append(b[j - 1] << 32 | a[i - 1])
+                from_i, from_j = i, j
+        return len(a), len(b), ";".join(groups).encode(), struct.pack(f"<{len(keys)}q", *keys)
+
+    def learn_all(self, texts: list[str | None]) -> None:
+        """Learn the stretches of many texts at once; what is forgotten again is learnt as it is met."""
+        unknown: set[str] = set()
+        for text in texts:
+            unknown.update(parts_of(text or ""))
+        unknown.difference_update(self.keys())
+        self.learn(list(unknown))
 
     def text(self, text: str) -> tuple[int, int, bytes, np.ndarray]:
         """A whole text: A tokens, B tokens, digest of the groups, pair keys in order of place."""
         n_a = n_b = 0
         digest, keys = sha256(), []
         for k, stretch in enumerate(stretches(text) if text else ()):
-            parts = GAP.split(stretch)
+            parts = parts_of(stretch)
             try:
                 got = list(map(self.__getitem__, parts))
             except KeyError:
@@ -122,23 +173,32 @@ class Pieces(dict):
                 got = list(map(self.__getitem__, parts))
             if None in got:
                 return 0, 0, b"", np.empty(0, np.int64)
-            n_a += sum(x[0] for x in got)
-            n_b += sum(x[1] for x in got)
-            digest.update(b";" * (k > 0) + b";".join([x[2] for x in got]))
-            keys.extend([x[3] for x in got])
+            a, b, groups, pairs = zip(*got)
+            n_a += sum(a)
+            n_b += sum(b)
+            digest.update(b";" * (k > 0) + b";".join(groups))
+            keys.extend(pairs)
         return n_a, n_b, digest.digest() if n_a else b"", np.frombuffer(b"".join(keys), np.int64)
 
 
+@lru_cache(maxsize=1)
+def pieces_of(a_json: str, b_model: bytes) -> Pieces:
+    """The stretches that this Python worker knows already; its next task goes on from them."""
+    return Pieces(a_json, b_model)
+
+
 def runs(docs: DataFrame, a_json: str, b_model: bytes, radixes: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents as runs: pages of pair records by radix, and one row for each run (radix -1) with its documents' records."""
     given = docs.sparkSession.sparkContext.broadcast((a_json, b_model))  # as large as the vocabularies, whatever the corpus
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(*given.value)
+        pieces = pieces_of(*given.value)
         block = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, text, RUN_BYTES):
             stats, digests, records, times = [], [], [], []
-            for t in batch.column(1).to_pylist():
+            texts = batch.column(1).to_pylist()
+            pieces.learn_all(texts)
+            for t in texts:
                 n_a, n_b, digest, keys = pieces.text(t or "")
                 own, n = np.unique(keys, return_counts=True)
                 stats.append((n_a, n_b, len(keys), len(own)))

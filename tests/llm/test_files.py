@@ -46,7 +46,11 @@ def test_word_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     whole, words = Tokenizer.from_str(WORD), tokenfiles.WordIds(WORD, np.dtype("<u2"))
-    for t in [*odd_texts(2, 3000), *(t for t in texts() if t)]:
+    rng = random.Random(9)
+    letters = "abcdefgrstlmvABCLLDE'.,-!|>_0123456789éñüßÀÿŐžĸ×÷"
+    plain = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(40)) for _ in range(300)]
+    words.learn_all(plain)
+    for t in [*plain, *odd_texts(2, 3000), *(t for t in texts() if t)]:
         assert np.frombuffer(words.encode(t), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
@@ -95,6 +99,15 @@ def test_a_wrong_dictionary_is_an_error(spark, docs, tmp_path):
         tokenfiles.read_tokens(spark, paths[0]).collect()
 
 
+def test_merges_equal_the_library():
+    made, rng = alignment.Pieces(BYTE, PIECE), random.Random(8)
+    letters = "abcdefghijklmnoprstuwABCDE'.,-!<|>_0123456789éñüßÀÿŐžĸ×÷"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(20_000)] + ["don't", "we'LL", "<|endoftext|>", "I'm", "x's"]
+    assert made.fast and all(made.fast(f" {w}") == e.ids for w, e in zip(words, made.a.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)))
+    for t in odd_texts(6, 2000):
+        assert alignment.parts_of(t) == shared.GAP.split(t)
+
+
 def direct_alignment(rows):
     """By whole texts, tokens as bytes, dictionaries."""
     import sentencepiece
