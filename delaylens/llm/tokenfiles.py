@@ -12,8 +12,11 @@ Spark commits the tables, so a task that is lost is simply run again.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ SEGMENT_BYTES = 4 << 20
 #: Bytes of serialized ids in a range partition.
 PARTITION_BYTES = 64 << 20
 #: Words that a task remembers with their ids.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 LEVEL = 3
 
 _ENCODED = "doc_id long, n_tokens long, ids binary"
@@ -53,12 +56,18 @@ def vocabulary_size(tokenizer_json: str) -> int:
     return Tokenizer.from_str(tokenizer_json).get_vocab_size()
 
 
+# Characters whose classes Python and the tokenizer see alike, that stay themselves when composed and turn into one when lower-cased; no "<", which opens special tokens.
+_PLAIN = re.compile("[!-;=-~\u00c0-\u012f\u0131-\u0148\u014a-\u017e]+").fullmatch
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
+
+
 class WordIds(dict):
     """Words between white space -> their serialized ids, as the tokenizer makes them.
 
     The tokenizer must drop white space and let no token cross it; then a
     text's ids are those of its words in order, and each distinct word is
-    encoded once.
+    encoded once.  Plain words are encoded many at a time: the last token of
+    each part of a word carries a mark, and the number of parts is known.
     """
 
     def __init__(self, tokenizer_json: str, width: np.dtype):
@@ -67,6 +76,9 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.width = Tokenizer.from_str(tokenizer_json), width
+        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
+        names = sorted((i, t) for t, i in self.tokenizer.get_vocab().items())
+        self.closes = np.array([bool(suffix) and t.endswith(suffix) for _, t in names]) if [i for i, _ in names] == list(range(len(names))) else np.zeros(0, bool)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
@@ -74,11 +86,35 @@ class WordIds(dict):
             self.clear()
             new = list(words)
         self[""] = b""
+        plain = [w for w in new if self.closes.any() and _PLAIN(w)]
+        for k in range(0, len(plain), 10_000):
+            self._learn_plain(plain[k : k + 10_000])
+        new = [w for w in new if w not in self]
         for k in range(0, len(new), 10_000):
             some = new[k : k + 10_000]
             for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self[word] = np.array(got.ids, dtype=self.width).tobytes()
 
+    def _learn_plain(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
+        parts = np.cumsum([len(_PARTS(w.lower())) for w in words])
+        closes = np.flatnonzero(self.closes[ids]) + 1
+        if len(closes) != parts[-1] or closes[-1] != len(ids):
+            return  # not as expected: they are encoded one by one
+        raw, start = ids.astype(self.width).tobytes(), 0
+        for word, end in zip(words, (closes[parts - 1] * self.width.itemsize).tolist()):
+            self[word] = raw[start:end]
+            start = end
+
+    def learn_all(self, texts: list[str | None]) -> None:
+        """Learn the words of many texts at once; what is forgotten again is learnt as it is met."""
+        unknown: set[str] = set()
+        for text in texts:
+            unknown.update((text or "").replace("\n", " ").split(" "))
+        unknown.difference_update(self.keys())
+        if unknown:
+            self.learn(unknown)
+
     def encode(self, text: str) -> bytes:
         out = []
         for part in stretches(text):
@@ -89,6 +125,12 @@ class WordIds(dict):
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def words_of(tokenizer_json: str, width: str) -> WordIds:
+    """The words that this Python worker knows already; its next task goes on from them."""
+    return WordIds(tokenizer_json, np.dtype(width))
+
+
 def encode_ids(docs: DataFrame, tokenizer_json: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens`` and serialized ``ids`` of every text, with ``end_id`` after each; null is empty."""
     given = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # as large as the vocabulary, whatever the corpus
@@ -96,9 +138,11 @@ def encode_ids(docs: DataFrame, tokenizer_json: str, end_id: int | None = None,
     end = b"" if end_id is None else np.array([end_id], dtype=width).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(given.value, width)
+        words = words_of(given.value, width.str)
         for batch in blocks(batches, text):
-            ids = [words.encode(t or "") + end for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            words.learn_all(texts)
+            ids = [words.encode(t or "") + end for t in texts]
             n = pa.array([len(x) // width.itemsize for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
