@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, shards_for, spread_labels, written
+from .shared import connected_components, named_classes, shards_for, spread_labels, written
 
 COSINE = 0.95
 #: Chance that a pair just at the threshold meets in no table.
@@ -140,13 +140,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MI
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing; vectors of different lengths never link.  Equal vectors
     link with each other.  Every input row gives a row; rows without an id
-    have no component and are kept.  Every link reported is exact; a pair just
+    have no component and are kept; rows of one id with different vectors are
+    told apart.  Every link reported is exact; a pair just
     at ``cosine`` is overlooked with a chance of ``miss``.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("vec"), usable(embedding).alias("usable"))
     spark = vectors.sparkSession
     keyed = rows.withColumn("key", F.when(F.col("usable") & F.col("vec_id").isNotNull(), F.col("vec")))
-    classes = written(keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", F.size("key").alias("dim"), F.col("key").alias("vec")), "vectors")
+    # a class is one vector; it goes by a number of its own, as ids can repeat with other vectors
+    classes = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "first", "copies", F.size("key").alias("dim"), F.col("key").alias("vec")), "vectors")
     found = None
     for dim, n in classes.groupBy("dim").count().collect():  # a row for each length of vector
         bits, tables = tables_for(n, cosine, miss)
@@ -165,7 +168,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MI
         found = spark.createDataFrame([], "id long, links long, label long")
     groups = connected_components(found.select("id", "label"), "id", "label")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select(F.col("vec").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    linked = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "first", F.col("vec").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = named_classes(linked, groups)
     out = keyed.select("vec_id", "key").join(named, "key", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

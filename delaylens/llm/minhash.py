@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordNumbers, blocks, byte_texts, connected_components, mix64, shards_for, spread_join, spread_labels, with_fields, written
+from .shared import WordNumbers, blocks, byte_texts, connected_components, mix64, named_classes, shards_for, spread_join, spread_labels, written
 
 SHINGLE = 5
 #: Link when 100 * common >= PERCENT * all shingles of the two.
@@ -111,16 +111,22 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
 
 
 def shingle_sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``rows`` with their ``text`` replaced by ``shingles``, the packed sorted shingle hashes."""
-    names = [c for c in rows.columns if c != "text"]
+    """``doc_id`` and ``shingles``, the packed sorted shingle hashes, of the rows whose text is the word sequence ``k1``, ``k2``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         number = WordNumbers()
         for batch in blocks(batches, "text", 1 << 20):
-            sets = [shingle_hashes(np.array([number[w] for w in t.lower().split()], dtype=np.uint64), shingle).tobytes() for t in byte_texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], names=[*names, "shingles"])
+            ids, sets = [], []
+            for i, k1, k2, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k1", "k2")), byte_texts(batch, "text")):
+                words = t.lower().split()
+                if np.frombuffer(xxh3_128_digest(b" ".join(words)), dtype=np.int64).tolist() == [k1, k2]:
+                    ids.append(i)
+                    sets.append(shingle_hashes(np.array([number[w] for w in words], dtype=np.uint64), shingle).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    return rows.select(*names, "text").mapInArrow(cut, with_fields(rows.select(*names), "shingles binary"))
+    return rows.select("doc_id", "k1", "k2", "text").mapInArrow(cut, "doc_id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -151,16 +157,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Words are runs of anything but ASCII white space, A-Z in lower case.
     Texts of fewer than ``shingle`` words are one shingle; null and empty
     texts have none and are linked with nothing.  Every input row gives a
-    row; rows without an id have no group and are kept.
+    row; rows without an id have no group and are kept.  Rows of one id with
+    different texts are told apart: each has the group of its own text.
     """
     signed = written(signatures(docs, shingle, bands, rows, doc_id, text), "signatures")
     whole = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(whole.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    buckets = whole.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    # a class is one word sequence; it goes by a number of its own, as ids can repeat with other texts
+    classes = whole.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    buckets = classes.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("bucket"))
     crowded = written(buckets.join(_lowest(buckets), "bucket").select("bucket", "doc_id", "n_shingles"), "buckets")
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = written(shingle_sets(texts.join(crowded.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
+    texts = docs.select(F.col(doc_id).cast("long").alias("first"), F.col(text).cast("string").alias("text"))
+    wanted = classes.join(crowded.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select("first", F.col("rep").alias("doc_id"), "k1", "k2")
+    sets = written(shingle_sets(texts.join(wanted, "first").select("doc_id", "k1", "k2", "text"), shingle).dropDuplicates(["doc_id"]), "sets")
     able = crowded.join(_lonely(sets), "doc_id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).drop("lonely").where(f"100 * shared >= {percent} * n_shingles")
     able = written(able, "able")
 
@@ -172,8 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links = written(confirmed(stars, sets, percent), "links")
     groups = connected_components(links)
     groups = connected_components(links.unionByName(_cross_links(able, groups, sets, percent)))
-    named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named_classes(classes.select("k1", "k2", "rep", "first"), groups), ["k1", "k2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component"))
     found = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, F.col("doc_id"))).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

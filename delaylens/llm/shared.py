@@ -191,24 +191,37 @@ class WordNumbers(dict):
         return number
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int, salt: str | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has each key once and says in ``n`` how many rows of ``left`` have it.
 
     ``total`` is the number of rows of ``left``.  Keys with more than a
     20,000th of them (64 at least) are split over as many copies of their row
     as that share goes into ``n``, so no key makes one long task.  Only those
     keys are broadcast, 20,000 at most whatever the input; all rows of
-    ``right`` together get 20,000 copies more at most.
+    ``right`` together get 20,000 copies more at most.  Rows of ``left`` are
+    told apart by a hash of their columns, or of the one named ``salt``.
     """
     limit = max(64, total // HOT_KEYS)
     copies = F.ceil(F.col(n) / limit).cast("int")
     hot = F.broadcast(right.where(F.col(n) > limit).select(*on, copies.alias("_copies")))
-    rest = [c for c in left.columns if c not in on]
+    rest = [salt] if salt else [c for c in left.columns if c not in on]
     dealt = left.join(hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_copies")).cast("int"), F.lit(0))).drop("_copies")
     copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     return dealt.join(copied, [*on, "_salt"]).drop("_salt", n)
 
 
+def named_classes(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """``classes`` (``rep``, a class's number; ``first``, its smallest id; more) with ``component`` in place of both: the smallest id of all classes in their group.
+
+    ``groups`` (``id``, ``component``) holds numbers; a class that it does not
+    name is a group by itself.
+    """
+    grouped = written(classes.join(groups.withColumnRenamed("id", "rep"), "rep"), "grouped")
+    low = grouped.groupBy("component").agg(F.min("first").alias("low"), F.count("*").alias("n"))
+    named = spread_join(grouped, low, ["component"], "n", grouped.count()).select("rep", F.col("low").alias("component"))
+    return classes.join(named, "rep", "left").withColumn("component", F.coalesce("component", "first")).drop("rep", "first")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The smallest id that each end of an edge can reach: columns ``id``, ``component``.
 
