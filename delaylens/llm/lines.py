@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64, spread_join, written
+from .shared import mix64, spread_join, with_fields, written
 
 MIN_CHARS = 10
 #: Keys of one filter; a filter has room for twice as many 16-bit fingerprints.
@@ -119,7 +119,7 @@ def _lines(text: str) -> Column:
 def document_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Each document's distinct lines of at least ``min_chars``, as 128-bit keys ``k1``, ``k2``."""
     keys = F.filter(F.transform(_lines(text), line_key), lambda k: F.char_length(k) >= min_chars)
-    key = F.explode(F.array_distinct(key_hashes(keys)))
+    key = F.explode(key_hashes(F.array_distinct(keys)))  # strings are told apart by hash, structs one by one
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("k")).select("doc_id", "k.k1", "k.k2")
 
 
@@ -236,14 +236,28 @@ def dedup_lines(docs: DataFrame, index: LineIndex, doc_id: str = "doc_id", text:
     one id are one document.  Columns ``n_lines`` and ``n_dropped`` of
     ``docs`` are replaced.
     """
-    drops = index.repeats().groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("_keys")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(drops, F.col(doc_id).cast("long") == F.col("_doc"), "left")
-    key = lambda line: F.get(key_hashes(F.array(line_key(line))), F.lit(0))
-    keep = F.filter(_lines(text), lambda line: ~((F.char_length(line_key(line)) >= index.min_chars) & F.array_contains("_keys", key(line))))
-    n = F.size(_lines(text)).cast("long")
-    parts = joined.withColumn("_kept", F.when(F.col("_keys").isNotNull(), keep))
-    out = F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))
-    return parts.select(*[out.alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], n.alias("n_lines"), F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n - F.size("_kept")).cast("long").alias("n_dropped"))
+    drops = index.repeats().groupBy("doc_id").agg(F.collect_list("k1").alias("_d1"), F.collect_list("k2").alias("_d2")).withColumnRenamed("doc_id", "_doc")
+    joined = docs.drop("n_lines", "n_dropped").join(drops, F.col(doc_id).cast("long") == F.col("_doc"), "left").drop("_doc")
+    own = F.when(F.col("_d1").isNotNull(), key_hashes(F.transform(_lines(text), line_key)))
+    marked = joined.withColumn("n_lines", F.size(_lines(text)).cast("long")).withColumns({"_o1": own.k1, "_o2": own.k2})
+    keys = ["_o1", "_o2", "_d1", "_d2"]
+    rest = marked.drop(*keys)
+    names = rest.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            texts, dropped = batch.column(at).to_pylist(), [0] * batch.num_rows
+            o1, o2, d1, d2 = (batch.column(batch.schema.get_field_index(c)) for c in keys)
+            for k in np.flatnonzero(np.asarray(d1.is_valid())).tolist():
+                gone = set(zip(d1[k].values.to_pylist(), d2[k].values.to_pylist()))
+                lines = (texts[k] or "").split("\n")
+                kept = [line for line, key in zip(lines, zip(o1[k].values.to_pylist(), o2[k].values.to_pylist())) if key not in gone]
+                texts[k], dropped[k] = "\n".join(kept), len(lines) - len(kept)
+            own = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.column(at).type)).select(names)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(dropped, pa.int64())], names=[*names, "n_dropped"])
+
+    return marked.mapInArrow(cut, with_fields(rest, "n_dropped long"))
 
 
 def report(deduped: DataFrame) -> DataFrame:
