@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, byte_texts, known_id, mix64, shards_for, spread_join, text_bytes, with_missing_ids, written
+from .shared import blocks, byte_texts, known_id, mix64, shards_for, spread_join, text_bytes, written
 
 LENGTH, ANCHOR = 50, 16
 BLOCK = 2 << 20
@@ -397,11 +397,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     A byte goes if a 50-byte string that covers it also starts in a document
     with a smaller id; repeats inside one document stay.  Null and empty texts
-    have no bytes; rows without an id are together the earliest document and keep
-    their null id; rows of one id are one document.
+    have no bytes; rows without an id neither take nor lose text, as nothing is
+    smaller than no id; rows of one id are one document.
     Documents are read twice and should come from files or a table.
     """
     spark = docs.sparkSession
+    nameless = docs.where(F.col(doc_id).isNull()).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    docs = docs.where(F.col(doc_id).isNotNull())
     rows = docs.select(known_id(doc_id), F.col(text).cast("string").alias("text"))
     shards = shards_for(spark, text_bytes(docs, text), 32 << 20)
     verdicts = written(_split(rows, shards, True).groupBy("shard").applyInArrow(_settle, _PIECES), "verdicts")
@@ -420,7 +422,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spans = written(spans, "spans")
     whole = marked.where("kind = 0").select("block", "ids", "sizes", "data", "marks")
     out = whole.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return with_missing_ids(out)
+    size, none = F.octet_length("text").cast("long"), F.lit(0).cast("long")
+    return out.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.encode("text", "utf-8").alias("kept")))
 
 
 def report(removed: DataFrame) -> DataFrame:
