@@ -36,25 +36,36 @@ MARKS = frozenset(
 )
 # a quote opens a quoted value only after an equals sign
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>|<[!?][^>]*>""", re.S)
-_MARK = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+# a name stands where an attribute starts, never inside a value
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of a page's unlinked text that makes a form a container like others.
+FORM_SHARE = 0.5
 # Words of class and id that tell nothing by themselves.
 GENERIC = frozenset("area articles bar block body bottom box button buttons card cards center col column container content copyright footer form group header icon icons inner item items layer left links list main message news outer panel posts right row section slot stories strip text title top unit wrap wrapper".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
 
-def _attributes(tag: str, raw: str, strict: bool) -> tuple[str, bool]:
-    """The tag's part of a path, and whether its attributes say that it is no part of an article."""
+def _attributes(tag: str, raw: str, strict: bool, inside: bool) -> tuple[str, bool]:
+    """The tag's part of a path, and whether its attributes say that it is no part of an article.
+
+    Ids of headings, and those of sections ``inside`` an article, are made
+    from titles and tell nothing of what stands there.
+    """
     if "=" not in raw and "hidden" not in raw.lower():
         return tag, False
-    part, marked = tag, False
-    for name, a, b, c in _MARK.findall(raw):
+    part, marked, seen = tag, False, set()
+    for name, a, b, c in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), a or b or c
+        if name in seen:  # the first of a name counts
+            continue
+        seen.add(name)
         if name == "class":
             part += "".join("." + _DIGITS.sub("#", x) for x in sorted(value.split()))
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             marked = True
-        elif strict and name in ("class", "id", "role") and any(map(_marks, value.split())):
+        elif strict and (name in ("class", "role") or name == "id" and not (tag in _HEADINGS or inside and tag == "section")) and any(map(_marks, unescape(value).split())):
             marked = True
     return part, marked and tag not in KEPT
 
@@ -67,12 +78,16 @@ def _marks(name: str) -> bool:
     return bool(own) and own[-1] in MARKS
 
 
-def containers(html: str, strict: bool = True) -> list[tuple[str, int, int, float, list[tuple[int, str]], int]]:
-    """A page's containers in page order: path, depth, number of the enclosing one (-1: none), score, own blocks (place, text), unlinked less linked length of these."""
-    found: list[list] = [["", 0, -1, 0.0, [], 0]]
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, container, dropped
+def containers(html: str, strict: bool = True, forms: bool = False) -> list[tuple[str, int, int, float, list[tuple[int, str]], int]]:
+    """A page's containers in page order: path, depth, number of the enclosing one (-1: none), score, own blocks (place, text), unlinked less linked length of these.
+
+    With ``forms`` a form is a container; without, the first container says at
+    its end how much unlinked text was dropped for being in a form.
+    """
+    found: list[list] = [["", 0, -1, 0.0, [], 0, 0]]
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # name, container, dropped (2: only as part of a form)
     text: list[str] = []
-    linked, in_link, place = 0, False, 0
+    linked, in_link, place, articles = 0, False, 0, 0
 
     def flush() -> None:
         nonlocal linked, place
@@ -95,6 +110,8 @@ def containers(html: str, strict: bool = True) -> list[tuple[str, int, int, floa
             text.append(piece)
             if in_link:
                 linked += len(piece.strip())
+        elif stack[-1][2] == 2 and not in_link:
+            found[0][6] += len(piece.strip())
 
     at, skip_to = 0, 0
     for m in _TAG.finditer(html):
@@ -113,6 +130,7 @@ def containers(html: str, strict: bool = True) -> list[tuple[str, int, int, floa
                 if stack[k][0] == name:
                     if name in BLOCKS:
                         flush()
+                    articles -= sum(x[0] in ("article", "main") for x in stack[k:])
                     del stack[k:]
                     break
             else:
@@ -134,12 +152,15 @@ def containers(html: str, strict: bool = True) -> list[tuple[str, int, int, floa
             continue
         if name == "a":
             in_link = True
-        part, marked = _attributes(name, m[3], strict)
-        drop = stack[-1][2] or marked or name in DROPPED
-        if name in CONTAINERS and not drop:
+        part, marked = _attributes(name, m[3], strict, articles > 0)
+        drop = stack[-1][2]
+        if drop != 1 and (marked or name in DROPPED and not (forms and name == "form")):
+            drop = 2 if name == "form" and not marked else 1
+        articles += name in ("article", "main")
+        if (name in CONTAINERS or name == "form") and not drop:
             up = stack[-1][1]
-            found.append([f"{found[up][0]}>{part}" if up else part, found[up][1] + 1, up, 0.0, [], 0])
-            stack.append((name, len(found) - 1, False))
+            found.append([f"{found[up][0]}>{part}" if up else part, found[up][1] + 1, up, 0.0, [], 0, 0])
+            stack.append((name, len(found) - 1, 0))
         elif name in BLOCKS or drop:
             stack.append((name, stack[-1][1], drop))
     say(html[max(at, skip_to) :])
@@ -201,10 +222,26 @@ def text_of(found: list, path: str | None) -> str:
     return "\n".join(b for _, b in sorted(own))
 
 
+def _worth(found: list) -> int:
+    """Length of a page's unlinked text less that of its linked text."""
+    return sum(max(0, x[5]) for x in found)
+
+
 def parsed(html: str | None) -> list:
-    """A page's containers; where the marks of classes leave no text, without heeding them."""
-    found = containers(html or "")
-    return found if any(x[4] for x in found) else containers(html or "", strict=False)
+    """A page's containers; where the marks of classes leave no text, without heeding them.
+
+    A form that holds most of the page's text (some servers put one round
+    every page) is a container like others.
+    """
+    strict, forms = True, False
+    while True:
+        found = containers(html or "", strict, forms)
+        if not forms and found[0][6] > FORM_SHARE * (found[0][6] + _worth(found)):
+            forms = True
+        elif strict and not any(x[4] for x in found):
+            strict = False
+        else:
+            return found
 
 
 def host_of(url: Column) -> Column:
@@ -246,7 +283,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     kept = [c for c in pages.columns if c not in (html, "text")]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
     total = paths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = spread_join(rows, paths, ["host"], "n", total).select("row", "html", "path")
+    joined = spread_join(rows.withColumn("_at", F.monotonically_increasing_id()), paths, ["host"], "n", total, salt="_at").select("row", "html", "path")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "html"):

@@ -164,6 +164,11 @@ def test_minhash_equals_brute_force(spark, docs):
     assert minhash.near_duplicates(docs.where("false")).count() == 0
     twice = minhash.near_duplicates(spark.createDataFrame([(7, "a b c"), (7, "a b c"), (None, "a b c"), (9, "A  b\nc")], DOCS)).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in twice) == [(-1, -1, True), (7, 7, True), (7, 7, True), (9, 7, False)]
+    a, b = (" ".join(f"{p}{k}" for k in range(60)) for p in "ab")
+    own = [(1, a), (1, b), (2, f"{a} z"), (3, f"{b} z")]
+    for data in (own, own[::-1]):  # texts of one id are told apart
+        got = minhash.near_duplicates(spark.createDataFrame(data, DOCS)).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False)]
 
 
 def test_similar_pairs_counts_exactly():
@@ -194,6 +199,13 @@ def test_embeddings_equal_brute_force(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in (900, 901, 902, 903, 906)) and got[905]["component_id"] == 904
 
 
+def test_embeddings_of_one_id_are_told_apart(spark):
+    own = [(7, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0]), (8, [1.0, 0.01, 0.0]), (9, [0.01, 1.0, 0.0]), (5, [0.0, 0.0, 1.0])]
+    for data in (own, own[::-1]):
+        got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(5, 0, 5, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False)]
+
+
 def test_embedding_tiles_cover_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 8)
     rng = np.random.default_rng(5)
@@ -323,7 +335,7 @@ def test_missing_ids_stay_missing(spark):
     texts = [(None, passage + "a"), (None, passage + "b"), (-5, passage + "c"), (-(1 << 62), passage + "d"), (-1, None), (7, passage + "e" + passage), (7, passage + "e" + passage)]
     df = shared.written(spark.createDataFrame(texts, DOCS), "docs")
     removed = suffixes.remove_repeats(df).collect()
-    assert Counter((r["doc_id"], r["n_removed"]) for r in removed) == Counter({(None, 0): 2, (-5, 71): 1, (-(1 << 62), 71): 1, (-1, 0): 1, (7, 142): 2})
+    assert Counter((r["doc_id"], r["n_removed"]) for r in removed) == Counter({(None, 0): 2, (-5, 71): 1, (-(1 << 62), 0): 1, (-1, 0): 1, (7, 142): 2})
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     coded = bpe.decode(bpe.encode(df, ranks, PATTERN), ranks)
     assert Counter((r["doc_id"], bytes(r["decoded"]).decode()) for r in coded.collect()) == Counter((i, t or "") for i, t in texts)
@@ -407,6 +419,122 @@ def test_main_text():
     assert pages.text_of(pages.parsed("plain < text &lt;"), None) == "plain < text <"
 
 
+def test_marks_are_read_from_whole_names():
+    long = "word " * 30
+    within = lambda x: f"<html><body><nav>n n</nav><article><p>{long}</p>{x}</article><div class=comments><p>c</p></div></body></html>"
+    own = "A lost paragraph of some length."
+    kept = ['<p title="a hidden cost">{}</p>', '<div aria-hidden="false">{}</div>', '<p data-hidden="0">{}</p>', '<p><a href="/read?id=related">{}</a></p>', '<p data-id="footer">{}</p>', '<p data-class="ad">{}</p>', "<p title='class=ad'>{}</p>", '<h2 id="privacy">{}</h2>', '<h2 id="the-first-widget">{}</h2>', '<h3 id="social">{}</h3>', '<section id="search"><p>{}</p></section>', '<section id="reply"><p>{}</p></section>', '<p class=a class=ad>{}</p>']
+    for x in kept:
+        assert pages.text_of(pages.parsed(within(x.format(own))), None) == f"{long.strip()}\n{own}", x
+    gone = ['<div aria-hidden="true">{}</div>', "<p hidden>{}</p>", '<p hidden="hidden">{}</p>', '<p style="display: none">{}</p>', '<div class="x ad">{}</div>', "<div id=footer>{}</div>", '<section class="comments"><p>{}</p></section>', '<div role="navigation">{}</div>', "<form><p>{}</p></form>"]
+    for x in gone:
+        assert pages.text_of(pages.parsed(within(x.format(own))), None) == long.strip(), x
+    form = f'<html><body><form id="aspnetForm"><nav>n</nav><article><p>{long}</p><form><p>mail</p></form></article><footer>f</footer></form></body></html>'
+    assert pages.text_of(pages.parsed(form), None) == f"{long.strip()}\nmail"
+    assert pages.text_of(pages.parsed(f"<body><div class=ads><form><p>{long}</p></form></div></body>"), None) == long.strip()
+
+
+def slow_text(html):
+    """What a page says, by the standard library's parser: a tree of elements, dropped ones cut out, then a line for each block."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.root = self.at = {"tag": "", "gone": False, "own": [], "up": None}
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                return self.handle_data(" ")
+            known = {}
+            for k, v in attrs:
+                known.setdefault(k, v or "")
+            marks = {"ad", "comments", "footer", "cookie-notice"}
+            named = known.get("class", "") + " " + (known.get("id", "") if tag not in ("h2", "section") else "")  # ids made from titles tell nothing
+            gone = tag in ("nav", "footer", "aside", "script", "style", "header", "form") or "hidden" in known or known.get("aria-hidden") == "true" or bool(marks & set(named.split()))
+            new = {"tag": tag, "gone": gone, "own": [], "up": self.at}
+            self.at["own"].append(new)
+            self.at = new
+
+        def handle_endtag(self, tag):
+            at = self.at
+            while at["up"] is not None and at["tag"] != tag:
+                at = at["up"]
+            if at["up"] is not None:
+                self.at = at["up"]
+
+        def handle_data(self, data):
+            self.at["own"].append(data)
+
+    tree = Tree()
+    tree.feed(html)
+    tree.close()
+    blocks, line = [], []
+
+    def end():
+        said = " ".join("".join(line).split())
+        line.clear()
+        if said:
+            blocks.append(said)
+
+    def walk(node):
+        for x in node["own"]:
+            if isinstance(x, str):
+                line.append(x)
+            else:
+                block = x["tag"] in ("p", "div", "ul", "li", "h2", "section", "article", "blockquote", "nav", "footer", "aside", "header", "form", "body", "html")
+                if block:
+                    end()
+                if not x["gone"]:
+                    walk(x)
+                if block:
+                    end()
+
+    walk(tree.root)
+    end()
+    return "\n".join(blocks)
+
+
+def test_main_text_of_random_trees():
+    rng = random.Random(12)
+    words = ["alpha", "be&amp;ta", "ga&#109;ma", "x &lt; y", "caf&eacute;", "don't", 'say "so"', "a=b"]
+    extra = ["", "", ' title="hidden ad"', " class=lead", ' class="x12 post"', " id=t1", ' aria-hidden="false"', ' class="ad"', " hidden", ' id="comments"', " data-class=ad", ' aria-hidden="true"', ' alt="<b>"']
+
+    def inline(n):
+        out = []
+        for _ in range(n):
+            w = rng.choice(words)
+            out.append(rng.choice([w, w, f"<b>{w}</b>", f"<i{rng.choice(extra[:4])}>{w}</i>", f"{w}<br>", f"{w}\n\t "]))
+        return " ".join(out)
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if depth == 0 or kind < 0.5:
+                tag = rng.choice(["p", "h2", "p"])
+                out.append(f"<{tag}{rng.choice(extra)}>{inline(rng.randint(1, 8))}</{tag}>")
+            elif kind < 0.6:
+                out.append(f"<{(t := rng.choice(['nav', 'footer', 'aside', 'script', 'form']))}>{'var a = 1' if t == 'script' else inline(1)}</{t}>")
+            elif kind < 0.7:
+                out.append("<ul>" + "".join(f"<li>{inline(2)}</li>" for _ in range(rng.randint(1, 3))) + "</ul>")
+            else:
+                tag = rng.choice(["div", "section", "blockquote"])
+                out.append(f"<{tag}{rng.choice(extra)}>{tree(depth - 1)}</{tag}>")
+        return "\n".join(out)
+
+    for _ in range(400):  # the article is told by its tag and a long paragraph, so that all of its text is wanted
+        html = f"<html><body><header>h</header><article><p>{'plain words ' * 40}</p>{tree(3)}<p>{'more words ' * 40}</p></article><footer>f</footer></body></html>"
+        assert pages.text_of(pages.parsed(html), None) == slow_text(html), html
+
+
+def test_pages_with_maps_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_KEYS", 1)
+    df = spark.range(300).select((F.col("id") * 0).alias("page_id"), F.lit("http://h.example/").alias("url"), F.lit("<p>one text</p>").alias("html"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    got = pages.extract(df).collect()
+    assert len(got) == 300 and {(r["text"], r["m"]["a"]) for r in got} == {("one text", 1)}
+
+
 def test_consensus_rules_the_host(spark):
     page = lambda body: f"<html><body><nav>n n n</nav>{body}<footer>f</footer></body></html>"
     long = "word " * 40
@@ -487,6 +615,17 @@ def test_lines_of_repeated_ids_and_clashing_names(spark):
     assert sorted((r["doc_id"] or -1, r["text"], r["n_dropped"]) for r in out.collect()) == [(-1, line, 0), (1, line, 0), (1, f"x\n{line}", 0), (2, "y", 1)]
 
 
+def test_many_repeated_lines_in_one_text(spark):
+    import time
+
+    text = "\n".join(f"a repeated line number {k}" for k in range(160_000))
+    df = shared.written(spark.createDataFrame([(1, text), (2, text + "\nits own last line"), (3, "short")], DOCS), "docs")
+    began = time.time()
+    got = {r["doc_id"]: r for r in lines.dedup_lines(df, lines.LineIndex.build(df)).collect()}
+    assert time.time() - began < 60
+    assert (got[1]["n_dropped"], got[2]["n_dropped"], got[2]["n_lines"], got[2]["text"], got[1]["text"] == text) == (0, 160_000, 160_001, "its own last line", True)
+
+
 def test_quality_of_repeated_and_missing_ids(spark):
     rng = random.Random(11)
     prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60))
