@@ -134,11 +134,20 @@ def prepare_legs(df: DataFrame, rules: Sequence[Rule], reporting_end: str | None
 SCOPES = (("all", None, None), ("under_3h", 0, 180), ("3h_or_more", 180, None))
 
 
+def scope_band(duration: str | Column = "scheduled_duration_min") -> Column:
+    """The one scope besides ``all`` that a leg is in; null if its duration is unknown or not positive."""
+    d = F.col(duration) if isinstance(duration, str) else duration
+    return F.when((d > 0) & (d < 180), F.lit("under_3h")).when(d >= 180, F.lit("3h_or_more"))
+
+
+def scopes_of(band: str) -> Column:
+    """The scopes of a leg in a band, as an array."""
+    return F.array_compact(F.array(F.lit("all"), F.col(band)))
+
+
 def explode_scopes(df: DataFrame, duration: str = "scheduled_duration_min") -> DataFrame:
     """A row for each scope that a leg is in; a leg may be in several."""
-    d = F.col(duration)
-    inside = F.array_compact(F.array(F.lit("all"), F.when((d > 0) & (d < 180), F.lit("under_3h")), F.when(d >= 180, F.lit("3h_or_more"))))
-    return df.withColumn("scope", F.explode(inside))
+    return df.withColumn("_band", scope_band(duration)).withColumn("scope", F.explode(scopes_of("_band"))).drop("_band")
 
 
 def available_features(df: DataFrame, allowed: Sequence[str], derived: Sequence[str] = ()) -> DataFrame:
@@ -203,6 +212,20 @@ def severity_band(delay: Column) -> Column:
     return F.when(delay <= -5, "early").when(delay <= 15, "within_15").when(delay <= 60, "moderate").when(delay > 60, "severe")
 
 
+# Codes that name no operator.
+NO_OPERATOR = ("ZZZ", "UNK", "UNKNOWN", "Unknown")
+
+
+def named_operators(df: DataFrame, operator: str, sentinels: Sequence = NO_OPERATOR) -> DataFrame:
+    """Only rows of a known operator; null and sentinel codes go."""
+    return df.where(F.coalesce(~F.col(operator).isin(*sentinels), F.lit(False)))
+
+
+def operator_label(operator: Column, sentinels: Sequence = NO_OPERATOR, label: str = "Unknown operator") -> Column:
+    """The operator as a label; null and sentinel codes share one."""
+    return F.when(operator.isNull() | operator.isin(*sentinels), F.lit(label)).otherwise(operator.cast("string"))
+
+
 def hour_bucket(minutes: Column, most: int = 12) -> Column:
     return F.least(F.floor(minutes / 60), F.lit(most)).cast("int")
 

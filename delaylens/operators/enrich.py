@@ -133,3 +133,12 @@ def by_candidate_code(df: DataFrame, candidates: Sequence[str], fields: Sequence
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def fill_by_code(df: DataFrame, column: str, code: str, values: dict[str, Sequence[str]]) -> DataFrame:
+    """Nulls and blanks of ``column`` filled by a country code: ``values`` names the codes of each value (a continent's countries)."""
+    known = F.when(F.trim(F.col(column).cast("string")) != "", F.col(column))
+    found = None
+    for value, codes in values.items():
+        found = (F if found is None else found).when(F.col(code).isin(*codes), F.lit(value))
+    return df.withColumn(column, F.coalesce(known, found))

@@ -64,37 +64,32 @@ def period_alerts(legs: DataFrame, key: str, top: int = 10, materiality: float =
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson and Spearman of every pair over rows that have both, with p values; constant and short pairs are left out."""
+    """Pearson and Spearman of every pair over rows that have both, with p values; constant and short pairs are left out.
+
+    Pearson is Spark's: centred moments of each task, merged pairwise, so large
+    offsets cost no digits.  Ranks have the mean (n + 1) / 2 and are centred by
+    it; equal pairs are counted once.
+    """
     out = None
     for i, a in enumerate(columns):
         for b in columns[i + 1 :]:
             own = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-            pairs = own.groupBy("a", "b").agg(F.count("*").alias("w"))  # equal pairs once
-            ra, rb = (value_ranks(own, c).select(F.col(c).alias(f"_{c}"), F.col("rank").alias(f"r{c}")) for c in ("a", "b"))
+            direct = own.agg(F.count("*").alias("rows"), F.corr("a", "b").alias("pearson"))
+            pairs = own.groupBy("a", "b").agg(F.count("*").alias("w"))
+            ra, rb = (value_ranks(own, c).select(F.col(c).alias(f"_{c}"), (F.col("rank") - (F.col("total") + 1) / 2.0).alias(f"r{c}")) for c in ("a", "b"))
             ranked = pairs.join(ra, F.col("a") == F.col("_a")).join(rb, F.col("b") == F.col("_b"))
-            one = ranked.agg(F.sum("w").alias("rows"), *[s for n, (x, y) in {"pearson": ("a", "b"), "spearman": ("ra", "rb")}.items() for s in _weighted_corr(n, x, y)])
-            r = {n: _corr_of(n) for n in ("pearson", "spearman")}
-            one = one.select(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), "rows", *[v.alias(n) for n, v in r.items()])
+            x, y, w = F.col("ra"), F.col("rb"), F.col("w")
+            spread = ranked.agg(F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
+            rho = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / (F.sqrt("xx") * F.sqrt("yy")))
+            one = direct.join(F.broadcast(spread.select(rho.alias("spearman")))).select(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), "rows", "pearson", "spearman")  # one row each
             out = one if out is None else out.unionByName(one)
-    out = out.where((F.col("rows") >= 3) & F.col("pearson").isNotNull())
+    out = out.where((F.col("rows") >= 3) & F.col("pearson").isNotNull() & ~F.isnan("pearson"))
     t = lambda c: F.col(c) * F.sqrt((F.col("rows") - 2) / (1 - F.col(c) * F.col(c)))
     # Student's law; the normal tail where it cannot be told from that
     p = lambda c: F.when(F.abs(c) >= 1, num(0)).when(F.col("rows") <= 1000, student_t_p(t(c), F.col("rows") - 2)).otherwise(two_sided_p(t(c)))
     return out.withColumns({"pearson_p": p("pearson"), "spearman_p": p("spearman")})
 
 
-def _weighted_corr(name: str, x: str, y: str) -> list[Column]:
-    w, a, b = F.col("w"), F.col(x), F.col(y)
-    return [F.sum(w * a).alias(f"{name}_x"), F.sum(w * b).alias(f"{name}_y"), F.sum(w * a * b).alias(f"{name}_xy"), F.sum(w * a * a).alias(f"{name}_xx"), F.sum(w * b * b).alias(f"{name}_yy")]
-
-
-def _corr_of(n: str) -> Column:
-    m = F.col("rows").cast("double")
-    c = lambda s: F.col(f"{n}_{s}")
-    vx, vy = c("xx") - c("x") * c("x") / m, c("yy") - c("y") * c("y") / m
-    return F.when((vx > 0) & (vy > 0), (c("xy") - c("x") * c("y") / m) / F.sqrt(vx * vy))
-
-
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson of every pair of columns, in one pass: ``variable_1``, ``variable_2``, ``r``."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]

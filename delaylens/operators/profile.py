@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expressions import num, percent
+from .tally import Tally
 
 
 def _tall(df: DataFrame, columns: Sequence[str], make, keys: Sequence[str]) -> DataFrame:
@@ -42,7 +43,8 @@ def column_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Quartiles and the rows beyond 1.5 interquartile ranges, for each column."""
-    q = df.agg(*[F.percentile(c, F.array(num(0.25), num(0.75))).alias(f"_q{k}") for k, c in enumerate(columns)])
+    t = Tally(df, [], {c: F.col(c) for c in columns})
+    q = t.agg({f"_q{k}": F.array(t.quantile(c, 0.25), t.quantile(c, 0.75)) for k, c in enumerate(columns)})
     own = df.select(*columns).join(F.broadcast(q))
     low = lambda k: F.col(f"_q{k}")[0] - 1.5 * (F.col(f"_q{k}")[1] - F.col(f"_q{k}")[0])
     high = lambda k: F.col(f"_q{k}")[1] + 1.5 * (F.col(f"_q{k}")[1] - F.col(f"_q{k}")[0])
@@ -68,14 +70,63 @@ def hash_sizes(tokens: DataFrame, powers: Sequence[int] = (12, 13, 14, 15, 16))
     return each.withColumns({"occupied": full, "collision_pct": percent(n - full, n), "load": n / m})
 
 
-def column_roles(df: DataFrame, columns: Sequence[str], ratio: float = 0.05) -> DataFrame:
-    """A role for each column from its type and cardinality: numeric, datetime, category or text."""
+def column_profile(df: DataFrame, columns: Sequence[str], top: int = 3, samples: int = 3) -> DataFrame:
+    """Type, rows, nulls, how many texts read as numbers or times, shortest and longest text, distinct values, the ``top`` frequent values and ``samples`` of each column.
+
+    Counts are exact.  ``distinct`` is a HyperLogLog estimate (2 % standard
+    error) and ``frequent`` comes from a sketch of heavy hitters, exact while a
+    column has no more values than it tracks (10,000); both merge across tasks.
+    Samples are the values of the smallest hashes, so they do not hang on
+    partitions.
+    """
     kinds = dict(df.dtypes)
+
+    def made(c: str) -> Column:
+        v = F.col(c).cast("string")
+        text = f"nullif(trim(cast(`{c}` as string)), '')"
+        said = F.when(F.trim(v) != "", v)
+        return F.struct(F.count(said).alias("filled"), F.count(F.expr(f"try_cast({text} as double)")).alias("numbers"), F.count(F.expr(f"try_cast({text} as timestamp)")).alias("times"), F.min(F.char_length(said)).alias("shortest"), F.max(F.char_length(said)).alias("longest"), F.approx_count_distinct(said, 0.02).alias("distinct"), F.expr(f"approx_top_k({text}, {int(top)})").alias("frequent"))
+
+    own = _tall(df, columns, made, ())
     types = F.create_map(*[F.lit(x) for c in columns for x in (c, kinds[c])])
-    own = cardinality(df, columns)
-    kind = types[F.col("column")]
-    role = F.when(kind.rlike("timestamp|date"), "datetime").when(kind.rlike("int|double|float|decimal") & (F.col("ratio") > ratio), "numeric").when(F.col("ratio") <= ratio, "category").otherwise("text")
-    return own.select("column", kind.alias("type"), "distinct", "ratio", "mode", role.alias("role"))
+    frequent = F.transform(F.filter("v.frequent", lambda x: x["item"].isNotNull()), lambda x: x["item"])
+    out = own.select("column", types[F.col("column")].alias("type"), "rows", (F.col("rows") - F.col("v.filled")).alias("nulls"), "v.numbers", "v.times", "v.shortest", "v.longest", "v.distinct", frequent.alias("frequent"))
+    return out.join(_samples(df, columns, samples), "column", "left")
+
+
+def _samples(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
+    """The values of each column with the ``n`` smallest hashes: minima are taken in 64 cells, which each task combines."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("c")
+    each = df.select(cells).select("c.*").where("trim(value) <> ''").withColumn("h", F.xxhash64("value"))
+    least = each.groupBy("column", F.pmod(F.col("h"), F.lit(64)).alias("cell")).agg(F.min(F.struct("h", "value")).alias("m"))
+    return least.groupBy("column").agg(F.transform(F.slice(F.sort_array(F.collect_list("m")), 1, n), lambda x: x["value"]).alias("samples"))
+
+
+def column_roles(df: DataFrame, columns: Sequence[str], ratio: float = 0.05, sure: float = 0.98) -> DataFrame:
+    """``column_profile`` with a ``role`` for each column and the ``cast`` that gives it.
+
+    Times and numbers go by type, or by what at least ``sure`` of a text
+    column's values read as; the others are categories up to ``ratio``
+    distinct values a row, else text.  Columns without a value are ``empty``.
+    """
+    own = column_profile(df, columns)
+    filled = F.col("rows") - F.col("nulls")
+    few = F.col("distinct") <= ratio * filled
+    number = F.col("type").rlike("^(tinyint|smallint|int|bigint|double|float|decimal)")
+    reads = lambda c: (F.col("type") == "string") & (F.col(c) >= sure * filled)
+    role = F.when(filled == 0, "empty").when(F.col("type").rlike("^(timestamp|date)"), "datetime").when(number & ~few, "numeric").when(number, "category").when(reads("numbers") & ~few, "numeric").when(reads("times") & ~reads("numbers"), "datetime").when(few, "category").otherwise("text")
+    cast = F.when((F.col("type") == "string") & (role == "numeric"), "double").when((F.col("type") == "string") & (role == "datetime"), "timestamp").when((F.col("type") != "string") & (role == "category"), "string")
+    return own.withColumns({"ratio": ratio_of(F.col("distinct"), filled), "role": role, "cast": cast})
+
+
+def ratio_of(a: Column, b: Column) -> Column:
+    return F.try_divide(a.cast("double"), b)
+
+
+def coerce_by_profile(df: DataFrame, roles: DataFrame) -> DataFrame:
+    """``df`` with the casts of its roles; values that do not fit become null."""
+    casts = {r["column"]: r["cast"] for r in roles.where("cast is not null").select("column", "cast").collect()}  # a row for each column
+    return df.select(*[F.col(f"`{c}`").try_cast(casts[c]).alias(c) if c in casts else F.col(f"`{c}`") for c in df.columns])
 
 
 def split_contract(df: DataFrame, split: str, target: str) -> DataFrame:

@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tally import running_totals
+
 
 def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """For each distinct value (of each key): ``rows``, ``below`` (rows with smaller values), ``total`` and the average ``rank``.
 
-    Rows are counted by value first, so the ordered window holds distinct
-    values only.
+    Rows are counted by value first; without keys the values are summed in
+    ranges, so no task holds them all.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("rows"))
-    own = Window.partitionBy(*(keys or [F.lit(1)]))
-    upto = own.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = counted.withColumns({"upto": F.sum("rows").over(upto), "total": F.sum("rows").over(own)})
-    return out.withColumns({"below": F.col("upto") - F.col("rows"), "rank": F.col("upto") - (F.col("rows") - 1) / 2.0}).drop("upto")
+    out = running_totals(counted, value, ["rows"], keys).withColumnsRenamed({"rows_before": "below", "rows_total": "total"})
+    return out.withColumn("rank", F.col("below") + (F.col("rows") + 1) / 2.0)
 
 
 def load_percentile(df: DataFrame, key: str, value: str, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Punctuality statistics of legs: grouped reliability, profiles, severity, concentration, rankings.
 
 A leg is on time up to 15 minutes; "late N" means strictly more than N.
-Percentiles are exact and interpolated.
+Percentiles are exact and interpolated, selected from counted values (``tally``).
 """
 
 from __future__ import annotations
@@ -14,28 +14,15 @@ from pyspark.sql.window import Window
 
 from ..config import ReliabilityConfig
 from ..functions.expressions import num, percent, ratio, wilson
-from .clean import duration_band, explode_scopes, grid_cell, hour_bucket, severity_band
+from .clean import duration_band, explode_scopes, grid_cell, hour_bucket, scope_band, scopes_of, severity_band
 from .enrich import role_union
 from .ranking import top_rows, value_ranks
+from .tally import Tally
 
 CONFIG = ReliabilityConfig()
 ARRIVAL, DEPARTURE, DURATION = "arrival_delay_min", "departure_delay_min", "scheduled_duration_min"
 
 
-def quantile(column: str | Column, q: float) -> Column:
-    return F.percentile(column, q)
-
-
-def quantiles(column: str | Column, *q: float) -> Column:
-    """Several quantiles of one column, from one sorted list of its values."""
-    return F.percentile(column, F.array(*[num(x) for x in q]))
-
-
-def _distinct(column: str) -> Column:
-    """How many days or months a group has: a set of them is as small as the calendar, and needs no second shuffle as a distinct count does."""
-    return F.size(F.collect_set(column)).cast("long")
-
-
 def late_share(limit: float, delay: str = ARRIVAL) -> Column:
     """Percentage later than ``limit`` among all rows of the group."""
     return percent(F.count_if(F.col(delay) > limit), F.count("*"))
@@ -47,27 +34,33 @@ def wilson_pct(successes: Column, n: Column, upper: bool = False, z: float = CON
 
 def overall_kpis(legs: DataFrame, operator: str = "operator", origin: str = "origin", destination: str = "destination", config: ReliabilityConfig = CONFIG) -> DataFrame:
     """The network in one row."""
-    seen, a, d = F.col(ARRIVAL).isNotNull(), F.col(ARRIVAL), F.col(DEPARTURE)
-    slow = (d > 15) & seen
-    return legs.agg(
-        F.count("*").alias("flights"), F.count_distinct(origin, destination).alias("routes"), F.count_distinct(operator).alias("operators"), F.count_distinct(origin).alias("origins"), F.count_distinct(destination).alias("destinations"), F.count_distinct("period").alias("periods"), F.count(a).alias("arrival_observed"),
-        percent(F.count_if(a <= 15), F.count(a)).alias("otp15_pct"), F.median(a).alias("arrival_median"), quantile(a, 0.9).alias("arrival_p90"), quantile(a, 0.95).alias("arrival_p95"), F.median(d).alias("departure_median"), F.median(DURATION).alias("duration_median"), F.median(d - a).alias("recovery_median"),
-        percent(F.count_if(slow & (a <= 15)), F.count_if(slow)).alias("recovered_pct"), *[percent(F.count_if(a > t), F.count(a)).alias(f"late_{t}_pct") for t in config.delay_thresholds],
-    )
+    a, d, value = F.col(ARRIVAL), F.col(DEPARTURE), F.col("value")
+    slow = (d > 15) & a.isNotNull()
+    code = lambda *c: F.when(F.coalesce(*[F.col(x) for x in c]).isNotNull(), F.to_json(F.struct(*c)))
+    pair = F.when(F.col(origin).isNotNull() & F.col(destination).isNotNull(), code(origin, destination))
+    t = Tally(legs, [], {"row": num(0), "arrival": a, "departure": d, "duration": F.col(DURATION), "recovery": d - a}, {"routes": pair, "operators": F.col(operator), "origins": F.col(origin), "destinations": F.col(destination), "periods": F.col("period")}, {"slow": slow, "recovered": slow & (a <= 15)})
+    seen = t.rows("arrival")
+    return t.agg(
+        {"flights": t.rows("row"), **{c: t.differing(c) for c in ("routes", "operators", "origins", "destinations", "periods")}, "arrival_observed": seen, "otp15_pct": percent(t.rows("arrival", value <= 15), seen)}
+        | {"arrival_median": t.quantile("arrival", 0.5), "arrival_p90": t.quantile("arrival", 0.9), "arrival_p95": t.quantile("arrival", 0.95), "departure_median": t.quantile("departure", 0.5), "duration_median": t.quantile("duration", 0.5), "recovery_median": t.quantile("recovery", 0.5)}
+        | {"recovered_pct": percent(t.marked("recovered"), t.marked("slow"))}
+        | {f"late_{m}_pct": percent(t.rows("arrival", value > m), seen) for m in config.delay_thresholds}
+    )
 
 
 def grouped_performance(legs: DataFrame, keys: Sequence[str], config: ReliabilityConfig = CONFIG) -> DataFrame:
     """Volume, reliability, severity and recovery for each group of legs with an arrival delay; null keys are a group."""
-    a, d = F.col(ARRIVAL), F.col(DEPARTURE)
-    slow = d > 15
-    out = legs.where(a.isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("flights"), _distinct("period").alias("periods_active"), _distinct("departure_date").alias("active_days"), F.count_if(a <= config.on_time_minutes).alias("otp15_count"), F.avg(a).alias("arrival_mean"), quantiles(a, 0.5, 0.9, 0.95).alias("_q"),
-        F.median(d).alias("departure_median"), F.median(d - a).alias("recovery_median"), F.median(DURATION).alias("duration_median"), F.count_if(slow).alias("departed_late_15"), F.count_if(slow & (a <= 15)).alias("recovered_count"), F.count_if(a > d).alias("worsened_count"), *[F.count_if(a > t).alias(f"late_{t}_count") for t in config.delay_thresholds],
-    )
+    a, d, value = F.col(ARRIVAL), F.col(DEPARTURE), F.col("value")
+    t = Tally(legs.where(a.isNotNull()), keys, {"arrival": a, "departure": d, "recovery": d - a, "duration": F.col(DURATION)}, {"periods": F.col("period"), "days": F.col("departure_date")}, {"recovered": (d > 15) & (a <= 15)})
+    out = t.agg(
+        {"flights": t.rows("arrival"), "periods_active": t.differing("periods"), "active_days": t.differing("days"), "otp15_count": t.rows("arrival", value <= config.on_time_minutes), "arrival_mean": t.mean("arrival")}
+        | {"arrival_median": t.quantile("arrival", 0.5), "arrival_p90": t.quantile("arrival", 0.9), "arrival_p95": t.quantile("arrival", 0.95), "departure_median": t.quantile("departure", 0.5), "recovery_median": t.quantile("recovery", 0.5), "duration_median": t.quantile("duration", 0.5)}
+        | {"departed_late_15": t.rows("departure", value > 15), "recovered_count": t.marked("recovered"), "worsened_count": t.rows("recovery", value < 0)}
+        | {f"late_{m}_count": t.rows("arrival", value > m) for m in config.delay_thresholds}
+    )
     n = F.col("flights")
     rates = {"otp15_pct": percent(F.col("otp15_count"), n), "worsened_pct": percent(F.col("worsened_count"), n), "recovered_pct": percent(F.col("recovered_count"), F.col("departed_late_15")), "otp15_low_pct": wilson_pct(F.col("otp15_count"), n, z=config.z), "otp15_high_pct": wilson_pct(F.col("otp15_count"), n, True, config.z)}
-    levels = {name: F.col("_q")[k] for k, name in enumerate(("arrival_median", "arrival_p90", "arrival_p95"))}
-    return out.withColumns(levels | rates | {f"late_{t}_pct": percent(F.col(f"late_{t}_count"), n) for t in config.delay_thresholds}).drop("_q")
+    return out.withColumns(rates | {f"late_{m}_pct": percent(F.col(f"late_{m}_count"), n) for m in config.delay_thresholds})
 
 
 def route_performance(legs: DataFrame, origin: str = "origin", destination: str = "destination") -> DataFrame:
@@ -201,22 +194,44 @@ def standardised_means(routes: DataFrame) -> DataFrame:
 
 
 def grouping_study(legs: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str]]) -> DataFrame:
-    """The same measures for several groupings at once; ``level`` names the grouping."""
-    label = None
-    for s in sets:
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & (F.grouping(k) == (0 if k in s else 1))
-        label = (F if label is None else label).when(cond, " ".join(s))
+    """The same measures for several groupings at once; ``level`` names the grouping.
+
+    Legs are counted once by all keys; each grouping sums these counts.
+    """
+    a, value = F.col(ARRIVAL), F.col("value")
+    kinds = dict(legs.dtypes)
+    finest = Tally(legs.where(a.isNotNull()), keys, {"arrival": a})
+    levels = F.array(*[F.struct(F.lit(" ".join(s)).alias("level"), *[(F.col(k) if k in s else F.lit(None).cast(kinds[k])).alias(k) for k in keys]) for s in sets])
+    t = finest.spread("_level", levels, list(keys))
+    out = t.agg({"flights": t.rows("arrival"), "otp15_pct": percent(t.rows("arrival", value <= 15), t.rows("arrival")), "arrival_mean": t.mean("arrival"), "arrival_median": t.quantile("arrival", 0.5)})
+    return out.select(*[F.col(f"_level.{k}").alias(k) for k in keys], F.col("_level.level").alias("level"), *[c for c in out.columns if c != "_level"])
+
+
+def _by_scope(legs: DataFrame, keys: Sequence[str], *measures: str, **more) -> Tally:
+    """Legs with an arrival delay counted by keys and band of duration once, then summed by scope."""
     a = F.col(ARRIVAL)
-    return legs.where(a.isNotNull()).groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(label.alias("level"), F.count("*").alias("flights"), percent(F.count_if(a <= 15), F.count("*")).alias("otp15_pct"), F.avg(a).alias("arrival_mean"), F.median(a).alias("arrival_median"))
+    values = {"arrival": a, "late": F.when(a > 15, a), "duration": F.col(DURATION)}
+    own = legs.where(a.isNotNull()).withColumn("_band", scope_band(DURATION))
+    return Tally(own, ["_band", *keys], {m: values[m] for m in ("arrival", *measures)}, **more).spread("scope", scopes_of("_band"), ["_band"])
 
 
 def scope_summary(legs: DataFrame, keys: Sequence[str] = ("scope",)) -> DataFrame:
     """Late shares, interval (z 1.96, percentages), medians and late hours of each scope (or scope and period)."""
-    a = F.col(ARRIVAL)
-    n, s = F.count("*"), F.count_if(a > 15)
-    return explode_scopes(legs.where(a.isNotNull())).groupBy(*keys).agg(n.alias("flights"), F.count_if(a > 0).alias("late_0_count"), percent(F.count_if(a > 0), n).alias("late_0_pct"), s.alias("late_15_count"), percent(s, n).alias("late_15_pct"), (100 * wilson(s, n, 1.96, clip=False)).alias("late_15_low_pct"), (100 * wilson(s, n, 1.96, True, clip=False)).alias("late_15_high_pct"), late_share(60).alias("late_60_pct"), F.median(a).alias("arrival_median"), F.median(F.when(a > 15, a)).alias("late_median"), quantile(a, 0.9).alias("arrival_p90"), (F.sum(F.greatest(a, num(0))) / 60).alias("late_hours"))
+    t = _by_scope(legs, [k for k in keys if k != "scope"], "late")
+    return t.agg(_severity(t, zero=True))
+
+
+def _severity(t: Tally, zero: bool = False) -> dict[str, Column]:
+    """The columns that scopes and hours of duration have in common."""
+    value = F.col("value")
+    n, s, early = t.rows("arrival"), t.rows("arrival", value > 15), t.rows("arrival", value > 0)
+    out = {"flights": n}
+    if zero:
+        out |= {"late_0_count": early, "late_0_pct": percent(early, n), "late_15_count": s}
+    out |= {"late_15_pct": percent(s, n), "late_15_low_pct": 100 * wilson(s, n, 1.96, clip=False), "late_15_high_pct": 100 * wilson(s, n, 1.96, True, clip=False)}
+    if zero:
+        out["late_60_pct"] = percent(t.rows("arrival", value > 60), n)
+    return out | {"arrival_median": t.quantile("arrival", 0.5), "late_median": t.quantile("late", 0.5), "arrival_p90": t.quantile("arrival", 0.9), "late_hours": t.total("arrival", F.greatest(value, num(0))) / 60}
 
 
 def severity_distribution(legs: DataFrame) -> DataFrame:
@@ -230,8 +245,9 @@ def severity_distribution(legs: DataFrame) -> DataFrame:
 
 def duration_hours(legs: DataFrame) -> DataFrame:
     a = F.col(ARRIVAL)
-    n, s = F.count("*"), F.count_if(a > 15)
-    out = legs.where(a.isNotNull() & (F.col(DURATION) > 0)).groupBy(hour_bucket(F.col(DURATION)).alias("hour_order")).agg(n.alias("flights"), percent(s, n).alias("late_15_pct"), (100 * wilson(s, n, 1.96, clip=False)).alias("late_15_low_pct"), (100 * wilson(s, n, 1.96, True, clip=False)).alias("late_15_high_pct"), F.median(a).alias("arrival_median"), F.median(F.when(a > 15, a)).alias("late_median"), quantile(a, 0.9).alias("arrival_p90"), (F.sum(F.greatest(a, num(0))) / 60).alias("late_hours"))
+    own = legs.where(a.isNotNull() & (F.col(DURATION) > 0)).withColumn("hour_order", hour_bucket(F.col(DURATION)))
+    t = Tally(own, ["hour_order"], {"arrival": a, "late": F.when(a > 15, a)})
+    out = t.agg(_severity(t))
     return out.withColumn("duration_hour", F.when(F.col("hour_order") < 12, F.concat_ws("", F.col("hour_order").cast("string"), F.lit("-"), (F.col("hour_order") + 1).cast("string"), F.lit(" h"))).otherwise("12+ h"))
 
 
@@ -273,39 +289,66 @@ def delay_deciles(legs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def route_metrics(legs: DataFrame, origin: str = "origin", destination: str = "destination", config: ReliabilityConfig = CONFIG) -> DataFrame:
     """Routes of each scope with at least two legs, and whether they are frequent enough for rankings."""
-    a = F.col(ARRIVAL)
-    own = explode_scopes(legs.where(a.isNotNull() & F.col(origin).isNotNull() & F.col(destination).isNotNull()))
-    out = own.groupBy("scope", origin, destination).agg(F.count("*").alias("flights"), _distinct("period").alias("periods_active"), F.count_if(a > 15).alias("late_15_count"), F.avg(a).alias("arrival_mean"), quantiles(a, 0.5, 0.9).alias("_q"), F.sum(F.greatest(a, num(0))).alias("positive_delay_min"), F.median(DURATION).alias("duration_median")).where("flights >= 2")
-    out = out.withColumns({"arrival_median": F.col("_q")[0], "arrival_p90": F.col("_q")[1]}).drop("_q")
+    value = F.col("value")
+    t = _by_scope(legs.where(F.col(origin).isNotNull() & F.col(destination).isNotNull()), [origin, destination], "duration", distinct={"periods": F.col("period")})
+    out = t.agg({"flights": t.rows("arrival"), "periods_active": t.differing("periods"), "late_15_count": t.rows("arrival", value > 15), "arrival_mean": t.mean("arrival"), "positive_delay_min": t.total("arrival", F.greatest(value, num(0))), "duration_median": t.quantile("duration", 0.5), "arrival_median": t.quantile("arrival", 0.5), "arrival_p90": t.quantile("arrival", 0.9)}).where("flights >= 2")
     return out.withColumns({"late_15_pct": percent(F.col("late_15_count"), F.col("flights")), "eligible": (F.col("flights") >= config.min_route_flights) & (F.col("periods_active") >= config.min_route_periods)})
 
 
-def route_scope_summary(legs: DataFrame, origin: str = "origin", destination: str = "destination") -> DataFrame:
-    a = F.col(ARRIVAL)
-    return explode_scopes(legs.where(a.isNotNull())).groupBy("scope").agg(F.count("*").alias("flights"), F.count_distinct(origin, destination).alias("routes"), late_share(15).alias("late_15_pct"), F.median(a).alias("arrival_median"))
+def eligible_routes(legs: DataFrame, origin: str = "origin", destination: str = "destination", config: ReliabilityConfig = CONFIG) -> DataFrame:
+    """The routes of each scope that are frequent enough for rankings, from counts of their periods alone."""
+    own = legs.where(F.col(ARRIVAL).isNotNull() & F.col(origin).isNotNull() & F.col(destination).isNotNull()).groupBy(scope_band(DURATION).alias("_band"), origin, destination, "period").agg(F.count("*").alias("n"))
+    months = own.withColumn("scope", F.explode(scopes_of("_band"))).groupBy("scope", origin, destination, "period").agg(F.sum("n").alias("n"))
+    counted = months.groupBy("scope", origin, destination).agg(F.sum("n").alias("flights"), F.count("period").alias("periods_active"))
+    return counted.where((F.col("flights") >= config.min_route_flights) & (F.col("periods_active") >= config.min_route_periods)).select("scope", origin, destination)
 
 
-def eligible_breakdown(legs: DataFrame, routes: DataFrame, by: str, origin: str = "origin", destination: str = "destination") -> DataFrame:
-    """Eligible routes of each scope by a further key (period or operator)."""
-    a = F.col(ARRIVAL)
-    chosen = routes.where("eligible").select("scope", origin, destination)
-    own = explode_scopes(legs.where(a.isNotNull() & F.col(by).isNotNull())).join(chosen, ["scope", origin, destination], "left_semi")
-    return own.groupBy("scope", origin, destination, by).agg(F.count("*").alias("flights"), F.count_if(a > 15).alias("late_15_count"), late_share(15).alias("late_15_pct"), F.median(a).alias("arrival_median"))
+def route_scope_summary(legs: DataFrame, origin: str = "origin", destination: str = "destination") -> DataFrame:
+    pair = F.when(F.col(origin).isNotNull() & F.col(destination).isNotNull(), F.to_json(F.struct(origin, destination)))
+    t = _by_scope(legs, [], distinct={"routes": pair})
+    return t.agg({"flights": t.rows("arrival"), "routes": t.differing("routes"), "late_15_pct": percent(t.rows("arrival", F.col("value") > 15), t.rows("arrival")), "arrival_median": t.quantile("arrival", 0.5)})
 
 
-def plot_frame(routes: DataFrame, key: Sequence[str], config: ReliabilityConfig = CONFIG, n: int = 500) -> DataFrame:
-    """The ``n`` busiest routes that are frequent enough to be drawn."""
-    own = routes.where((F.col("flights") >= F.greatest(F.lit(2), F.lit(config.min_route_flights))) & (F.col("periods_active") >= config.min_route_periods))
+def eligible_breakdown(legs: DataFrame, routes: DataFrame, by: str, origin: str = "origin", destination: str = "destination") -> DataFrame:
+    """Eligible routes of each scope by a further key (period or operator); ``routes`` has ``scope``, the route, and ``eligible`` unless all of them are."""
+    chosen = (routes.where("eligible") if "eligible" in routes.columns else routes).select("scope", origin, destination)
+    t = _by_scope(legs.where(F.col(by).isNotNull()), [origin, destination, by])
+    t.counted = t.counted.join(chosen, ["scope", origin, destination], "left_semi")
+    n, late = t.rows("arrival"), t.rows("arrival", F.col("value") > 15)
+    return t.agg({"flights": n, "late_15_count": late, "late_15_pct": percent(late, n), "arrival_median": t.quantile("arrival", 0.5)})
+
+
+def plot_frame(routes: DataFrame, key: Sequence[str], config: ReliabilityConfig = CONFIG, n: int = 500, executive: bool = True) -> DataFrame:
+    """The ``n`` busiest routes with at least two legs, on demand only those frequent enough for rankings."""
+    own = routes.where("flights >= 2")
+    if executive:
+        own = own.where((F.col("flights") >= config.min_route_flights) & (F.col("periods_active") >= config.min_route_periods))
     return top_rows(own, [F.desc("flights"), *[F.asc(k) for k in key]], n)
 
 
-def label_candidates(frame: DataFrame, key: Sequence[str], rate: str = "late_15_pct", busiest: int = 4, extremes: int = 3) -> DataFrame:
-    """The routes that get a label: the busiest, the least and the most reliable, each once."""
+def label_candidates(frame: DataFrame, key: Sequence[str], low: str = "otp15_low_pct", high: str = "otp15_high_pct", busiest: int = 4, extremes: int = 3) -> DataFrame:
+    """The routes that get a label, each once: the busiest, the surely worst (smallest upper bound of on-time share) and the surely best (largest lower bound)."""
     ties = [F.asc(k) for k in key]
-    picks = [top_rows(frame, [order, *ties], m) for order, m in ((F.desc("flights"), busiest), (F.desc(rate), extremes), (F.asc(rate), extremes))]
+    picks = [top_rows(frame, [order, *ties], m) for order, m in ((F.desc("flights"), busiest), (F.asc(high), extremes), (F.desc(low), extremes))]
     return picks[0].unionByName(picks[1]).unionByName(picks[2]).dropDuplicates(list(key))
 
 
+def busy_and_relative(legs: DataFrame, n: int = 10, least: int = 100, origin: str = "origin", destination: str = "destination") -> DataFrame:
+    """The ``n`` airports with most departures beside the relative delay of legs to them; null where fewer than ``least`` legs arrive."""
+    top = top_rows(legs.groupBy(F.col(origin).alias("airport")).agg(F.count("*").alias("movements")), [F.desc("movements"), F.asc("airport")], n)
+    rel = relative_delay(legs, [destination]).where(F.col("flights") >= least).select(F.col(destination).alias("airport"), "relative_delay_pct")
+    return top.join(rel, "airport", "left")
+
+
+def worst_routes(routes: DataFrame, keys: Sequence[str], name: str, least: int, located: Sequence[str] = (), rate: str = "late_15_pct") -> DataFrame:
+    """For each key the route with the highest rate among those with at least ``least`` flights (and, for a map, known ``located`` columns), and how many these are; ties go to the larger ``name``."""
+    own = routes.where(F.col("flights") >= least)
+    for c in located:
+        own = own.where(F.col(c).isNotNull())
+    worst = F.max(F.struct(F.round(F.col(rate) + 1e-9, 9).alias("rate"), F.col(name).alias("name")))
+    return own.groupBy(*keys).agg(worst.alias("w"), F.count("*").alias("routes")).select(*keys, F.col("w.name").alias(name), "routes")
+
+
 def roll_up(routes: DataFrame, key: str, keys: Sequence[str] = ()) -> DataFrame:
     """Route aggregates summed again by airport, operator or period."""
     out = routes.groupBy(*keys, key).agg(F.sum("flights").alias("flights"), F.sum("late_15_count").alias("late_15_count"))
@@ -322,7 +365,8 @@ def leaderboard(rolled: DataFrame, key: str, entity: str, least: int = 500, n: i
 def executive_routes(routes: DataFrame, network_otp15_pct: float, key: Sequence[str], config: ReliabilityConfig = CONFIG) -> DataFrame:
     """``popular_reliable`` and ``least_reliable`` routes among the frequent ones, at most ``top_n`` each."""
     own = routes.where((F.col("flights") >= config.min_route_flights) & (F.col("periods_active") >= config.min_route_periods))
-    cut = own.agg(F.percentile("flights", 0.75).alias("_cut"))
+    t = Tally(own, [], {"flights": F.col("flights")})
+    cut = t.agg({"_cut": t.quantile("flights", 0.75)})
     ties = [F.asc(k) for k in key]
     good = own.join(F.broadcast(cut)).where((F.col("flights") >= F.col("_cut")) & (F.col("otp15_low_pct") > network_otp15_pct)).drop("_cut")
     good = top_rows(good, [F.desc("otp15_pct"), F.desc("flights"), *ties], config.top_n).withColumn("view", F.lit("popular_reliable"))
@@ -343,7 +387,8 @@ def delay_histogram(legs: DataFrame, low: float, high: float, bins: int = 80) ->
 def delay_density(legs: DataFrame, bins: int = 40) -> DataFrame:
     """Departure by arrival delay in square bins between their 1st and 99th percentiles."""
     own = legs.where(F.col(ARRIVAL).isNotNull() & F.col(DEPARTURE).isNotNull())
-    lim = own.agg(*[F.percentile(c, q).alias(f"{n}{k}") for n, c in (("a", ARRIVAL), ("d", DEPARTURE)) for k, q in ((0, 0.01), (1, 0.99))])
+    t = Tally(own, [], {"a": F.col(ARRIVAL), "d": F.col(DEPARTURE)})
+    lim = t.agg({f"{n}{k}": t.quantile(n, q) for n in ("a", "d") for k, q in ((0, 0.01), (1, 0.99))})
     inside = own.join(F.broadcast(lim)).where(F.col(ARRIVAL).between(F.col("a0"), F.col("a1")) & F.col(DEPARTURE).between(F.col("d0"), F.col("d1")) & (F.col("a1") > F.col("a0")) & (F.col("d1") > F.col("d0")))
     cell = lambda c, n: F.least(F.floor((F.col(c) - F.col(f"{n}0")) / (F.col(f"{n}1") - F.col(f"{n}0")) * bins), F.lit(bins - 1))
     return inside.groupBy(cell(DEPARTURE, "d").alias("departure_bin"), cell(ARRIVAL, "a").alias("arrival_bin")).agg(F.count("*").alias("flights"))
