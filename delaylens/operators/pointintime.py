@@ -1,15 +1,17 @@
 """Point-in-time features: nothing after a target's cutoff can enter.
 
-Look-backs use running totals instead of moving frames: every target puts a
-probe at its cutoff and one at the start of each window into its key's
-timeline, and a window's figures are differences of totals.  Keys with a long
-history are cut into buckets of time: totals of whole buckets are aggregated
-first, so no task holds more than a bucket's rows of a key.
+A look-back of w hours is cut at the multiples of w: it always reaches over
+one such cut, so it is the end of one block and the beginning of the next.
+Both are running aggregates inside a block, one backwards and one forwards in
+time, merged as count, mean and centred squares.  Nothing is subtracted from
+totals over a history, so values keep their digits whatever their offset, and
+no task holds more than a block of a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,36 +26,39 @@ def _micros(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def rolling_event_features(targets: DataFrame, events: DataFrame, keys: Sequence[str], event_time: str, value: str, prefix: str, id_column: str = "id", cutoff: str = "cutoff", windows: Sequence[int] = (1, 6, 24), late: float = 15.0, bucket_hours: int = 24) -> DataFrame:
+def rolling_event_features(targets: DataFrame, events: DataFrame, keys: Sequence[str], event_time: str, value: str, prefix: str, id_column: str = "id", cutoff: str = "cutoff", windows: Sequence[int] = (1, 6, 24), late: float = 15.0) -> DataFrame:
     """For each target and window of hours up to its cutoff: count, mean, population deviation, share late, last event time, whether its own event was taken out.
 
     Both ends of a window count.  A target's own event (same id) is left out
-    of its figures.  Ids must be unique in targets and events.
+    of its figures.  Ids must be unique in targets and events.  Events and
+    targets are shuffled once, by key and block of the longest window; every
+    window sorts them within their partitions.
     """
     if not keys or not windows or min(windows) <= 0:
         raise ValueError("keys and positive windows are needed")
-    keys = list(keys)
+    keys, longest = list(keys), max(windows) * HOUR
     own = events.select(F.col(id_column).alias("_id"), *keys, _micros(event_time).alias("_t"), F.col(value).cast("double").alias("_v")).where("_t is not null and _v is not null")
     own = own.dropna(subset=keys)
     aim = targets.select(F.col(id_column).alias("_id"), *keys, _micros(cutoff).alias("_c")).where("_c is not null")
     aim = aim.dropna(subset=keys)
-    size = bucket_hours * HOUR
-    bucket = lambda t: F.floor(t / size)
-    zero = num(0)
-    rows = own.select(*keys, F.col("_t"), F.lit(1).alias("_o"), F.lit(1).alias("n"), F.col("_v").alias("s"), (F.col("_v") * F.col("_v")).alias("q"), F.when(F.col("_v") > late, 1).otherwise(0).alias("l"), F.col("_t").alias("m"), F.lit(None).cast("long").alias("_id"), F.lit(-1).alias("_w"))
-    spots = F.explode(F.array(F.struct(F.col("_c").alias("t"), F.lit(2).alias("o"), F.lit(0).alias("w")), *[F.struct((F.col("_c") - w * HOUR).alias("t"), F.lit(0).alias("o"), F.lit(w).alias("w")) for w in windows]))
-    probes = aim.select(*keys, "_id", spots.alias("p")).select(*keys, F.col("p.t").alias("_t"), F.col("p.o").alias("_o"), F.lit(0).alias("n"), zero.alias("s"), zero.alias("q"), F.lit(0).alias("l"), F.lit(None).cast("long").alias("m"), F.col("_id").cast("long").alias("_id"), F.col("p.w").alias("_w"))
-    line = rows.unionByName(probes).withColumn("_b", bucket(F.col("_t")))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    names = ("n", "s", "q", "l")
-    run = line.select(*keys, "_b", "_id", "_w", *[F.sum(c).over(inside).alias(c) for c in names], F.max("m").over(inside).alias("m")).where("_w >= 0")
-    whole = rows.withColumn("_b", bucket(F.col("_t"))).groupBy(*keys, "_b").agg(*[F.sum(c).alias(c) for c in names], F.max("m").alias("m"))
-    needed = run.select(*keys, "_b").distinct().withColumn("_probe", F.lit(1))
-    both = whole.join(needed, [*keys, "_b"], "full")
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = both.select(*keys, "_b", "_probe", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in names], F.max("m").over(before).alias("m0")).where("_probe = 1").drop("_probe")
-    total = run.join(base, [*keys, "_b"]).select("_id", "_w", *[(F.col(c) + F.col(f"{c}0")).alias(c) for c in names], F.greatest("m", "m0").alias("m"))
-    flat = total.groupBy("_id").agg(*[F.sum(F.when(F.col("_w") == w, F.col(c))).alias(f"{c}{w}") for w in (0, *windows) for c in names], F.max(F.when(F.col("_w") == 0, F.col("m"))).alias("m"))
+    ends = F.explode(F.array(*[F.struct((F.col("_c") - w * HOUR).alias("t"), F.lit(w).alias("w")) for w in windows], F.struct(F.col("_c").alias("t"), F.lit(0).alias("w")))).alias("p")
+    probes = aim.select(*keys, F.col("_id").cast("long").alias("_id"), ends).select(*keys, "_id", F.col("p.t").alias("_t"), F.lit(None).cast("double").alias("_v"), F.col("p.w").alias("_w"))
+    line = own.select(*keys, F.lit(None).cast("long").alias("_id"), "_t", "_v", F.lit(-1).alias("_w")).unionByName(probes)
+    # blocks of all windows that divide the longest lie inside of its blocks
+    inside = [w for w in windows if longest % (w * HOUR) == 0]
+    lines = {w: line.withColumn("_b", F.floor(F.col("_t") / (longest if w in inside else w * HOUR))).repartition(*keys, "_b") for w in ({max(windows)} | (set(windows) - set(inside)))}
+    parts = []
+    for w in windows:
+        shared = lines[max(windows)] if w in inside else lines[w]
+        block = F.floor(F.col("_t") / (w * HOUR))
+        for forwards, probe in ((True, 0), (False, w)):  # from the last cut to the cutoff; from the window's start to that cut
+            some = shared.where(F.col("_w").isin(-1, probe)).withColumns({"_block": block, "_o": (F.col("_w") >= 0).cast("int")})
+            run = Window.partitionBy(*keys, "_b", "_block").orderBy(F.asc("_t") if forwards else F.desc("_t"), "_o").rowsBetween(Window.unboundedPreceding, 0)
+            seen = some.select("_id", "_w", F.count("_v").over(run).alias("n"), F.avg("_v").over(run).alias("a"), F.var_pop("_v").over(run).alias("q"), F.count_if(F.col("_v") > late).over(run).alias("l"), F.max(F.when(F.col("_v").isNotNull(), F.col("_t"))).over(run).alias("m"))
+            parts.append(seen.where("_w >= 0").select("_id", F.lit(w).alias("w"), F.lit("f" if forwards else "b").alias("side"), "n", "a", (F.col("q") * F.col("n")).alias("q"), "l", "m"))
+    both = reduce(DataFrame.unionByName, parts)
+    side = lambda w, s, c: F.max(F.when((F.col("w") == w) & (F.col("side") == s), F.col(c)))
+    flat = both.groupBy("_id").agg(*[side(w, s, c).alias(f"{c}{w}{s}") for w in windows for s in "fb" for c in "naqlm"])
     self_event = own.select(F.col("_id").cast("long").alias("_id"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_t", "_v")
     same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
     known = aim.withColumn("_id", F.col("_id").cast("long")).join(self_event, "_id", "left").join(flat, "_id", "left")
@@ -62,15 +67,30 @@ def rolling_event_features(targets: DataFrame, events: DataFrame, keys: Sequence
         mine = F.coalesce((F.col("_t") <= F.col("_c")) & (F.col("_t") >= F.col("_c") - w * HOUR), F.lit(False))
         for s in same:
             mine = mine & F.coalesce(s, F.lit(False))
-        off = {"n": F.lit(1), "s": F.col("_v"), "q": F.col("_v") * F.col("_v"), "l": (F.col("_v") > late).cast("int")}
-        n, s, q, late_n = ((F.col(f"{c}0") - F.col(f"{c}{w}") - F.when(mine, off[c]).otherwise(0)) for c in names)
-        mean = F.try_divide(s, n)
-        out |= {f"{prefix}_{w}h_count": n.cast("long"), f"{prefix}_{w}h_mean": mean, f"{prefix}_{w}h_std": F.when(n > 0, F.sqrt(F.greatest(num(0), F.try_divide(q, n) - mean * mean))), f"{prefix}_{w}h_late_rate": F.try_divide(late_n.cast("double"), n), f"{prefix}_{w}h_self_removed": mine.cast("int")}
-        out[f"{prefix}_{w}h_max_event_time"] = F.when(n + F.when(mine, 1).otherwise(0) > 0, F.timestamp_micros("m"))
+        n, mean, squares = _without(mine, F.col("_v"), *_merged(*[F.coalesce(F.col(f"{c}{w}{s}"), num(0)) for s in "bf" for c in "naq"]))
+        late_n = F.coalesce(F.col(f"l{w}f"), F.lit(0)) + F.coalesce(F.col(f"l{w}b"), F.lit(0)) - F.when(mine & (F.col("_v") > late), 1).otherwise(0)
+        some = n > 0
+        out |= {f"{prefix}_{w}h_count": n.cast("long"), f"{prefix}_{w}h_mean": F.when(some, mean), f"{prefix}_{w}h_std": F.when(some, F.sqrt(F.greatest(num(0), squares / n))), f"{prefix}_{w}h_late_rate": F.try_divide(late_n.cast("double"), n), f"{prefix}_{w}h_self_removed": mine.cast("int")}
+        out[f"{prefix}_{w}h_max_event_time"] = F.timestamp_micros(F.greatest(F.col(f"m{w}f"), F.col(f"m{w}b")))
     own_id = F.col("_id").alias(id_column)
     return known.select(own_id, *[c.alias(k) for k, c in out.items()])
 
 
+def _merged(n1: Column, a1: Column, q1: Column, n2: Column, a2: Column, q2: Column) -> tuple[Column, Column, Column]:
+    """Count, mean and centred squares of two parts together."""
+    n, d = n1 + n2, a2 - a1
+    part = F.coalesce(F.try_divide(n2, n), num(0))
+    mean = F.when(n1 == 0, a2).when(n2 == 0, a1).otherwise(a1 + d * part)
+    return n, mean, q1 + q2 + F.when((n1 > 0) & (n2 > 0), d * d * n1 * part).otherwise(num(0))
+
+
+def _without(mine: Column, v: Column, n: Column, mean: Column, squares: Column) -> tuple[Column, Column, Column]:
+    """The same without one value, where ``mine`` says so."""
+    left = F.try_divide(n * mean - v, n - 1)
+    left = F.when(n > 1, mean + F.try_divide(mean - v, n - 1)).otherwise(left)
+    return n - mine.cast("int"), F.when(mine, left).otherwise(mean), F.when(mine, F.when(n > 1, squares - (v - mean) * (v - left)).otherwise(num(0))).otherwise(squares)
+
+
 def rotation_features(targets: DataFrame, history: DataFrame, key: str, event_time: str, arrival: str, departure: str, id_column: str = "id", cutoff: str = "cutoff", unknown: str = "Unknown", fill_missing: bool = False) -> DataFrame:
     """The last completed leg of the same aircraft at the cutoff: its delays, minutes since, their positive sum.
 
@@ -117,12 +137,63 @@ def leakage_audit(features: DataFrame, targets: DataFrame, id_column: str, cutof
     return out
 
 
+def recount(targets: DataFrame, events: DataFrame, keys: Sequence[str], event_time: str, value: str, hours: int, id_column: str = "id", cutoff: str = "cutoff") -> DataFrame:
+    """``visible``: how many events each target could see in its window, by an interval join and not by running aggregates.
+
+    Events meet targets by key and block of the window's length (a window
+    touches two blocks), then by time; an event with the target's id does not
+    count.
+    """
+    size = hours * HOUR
+    own = events.select(F.col(id_column).alias("_e"), *keys, _micros(event_time).alias("_t"), F.col(value).alias("_v")).where("_t is not null and _v is not null").drop("_v").withColumn("_b", F.floor(F.col("_t") / size))
+    aim = targets.select(F.col(id_column).alias("_id"), *keys, _micros(cutoff).alias("_c"))
+    near = F.explode(F.array(F.floor(F.col("_c") / size) - 1, F.floor(F.col("_c") / size))).alias("_b")
+    met = aim.select("*", near).join(own, [*keys, "_b"]).where((F.col("_t") <= F.col("_c")) & (F.col("_t") >= F.col("_c") - size) & (F.col("_e") != F.col("_id")))
+    counted = met.groupBy("_id").agg(F.count("*").alias("visible"))
+    return aim.select("_id").join(counted, "_id", "left").select(F.col("_id").alias(id_column), F.coalesce("visible", F.lit(0)).alias("visible"))
+
+
+def recount_audit(features: DataFrame, targets: DataFrame, events: DataFrame, keys: Sequence[str], event_time: str, value: str, prefix: str, id_column: str, cutoff: str, windows: Sequence[int]) -> DataFrame:
+    """One row for each window: targets, and those whose count is not what an interval join lets them see."""
+    out = None
+    for w in windows:
+        seen = recount(targets, events, keys, event_time, value, w, id_column, cutoff)
+        both = seen.join(features.select(id_column, F.coalesce(f"{prefix}_{w}h_count", F.lit(0)).alias("_n")), id_column, "left")
+        one = both.agg(F.lit(prefix).alias("block"), F.lit(w).alias("hours"), F.count("*").alias("rows"), F.count_if(F.coalesce(F.col("_n"), F.lit(0)) != F.col("visible")).alias("violations"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def pressure_audit(pressure: DataFrame, targets: DataFrame, schedule: DataFrame, id_column: str, cutoff: str, origin: str, destination: str, departure: str, arrival: str, known: str | None = None) -> DataFrame:
+    """One row: targets, and those whose pressure counts a movement that became known (``known``) after the cutoff, or is not the number that the schedule known by then gives.
+
+    Movements are summed by place and hour with the latest time at which one
+    became known; without ``known`` a plan counts as known from the start.
+    """
+    told = _micros(known) if known else F.lit(None).cast("long")
+    seen = targets.select(id_column, _micros(cutoff).alias("_c"), origin, destination, departure, arrival)
+    for place, time, name in ((origin, departure, "o"), (destination, arrival, "d")):
+        hours = schedule.select(F.col(place).alias("_p"), F.date_trunc("hour", F.col(time)).alias("_h"), F.col(id_column).alias("_i"), told.alias("_k"))
+        cells = hours.groupBy("_p", "_h").agg(F.count_distinct("_i").alias(f"_n{name}"), F.max("_k").alias(f"_k{name}"))
+        seen = seen.withColumn("_hour", F.date_trunc("hour", F.col(time))).join(cells, (F.col(place) == F.col("_p")) & (F.col("_hour") == F.col("_h")), "left").drop("_p", "_h", "_hour")
+    both = seen.join(pressure.select(id_column, "origin_pressure", "destination_pressure"), id_column, "left")
+    future = F.coalesce(F.greatest("_ko", "_kd") > F.col("_c"), F.lit(False))
+    other = (F.coalesce("_no", F.lit(0)) != F.coalesce("origin_pressure", F.lit(0))) | (F.coalesce("_nd", F.lit(0)) != F.coalesce("destination_pressure", F.lit(0)))
+    return both.agg(F.lit("pressure").alias("block"), F.count("*").alias("rows"), F.count_if(future | other).alias("violations"), F.lit(0).cast("long").alias("self_removed"))
+
+
 def standard_features(targets: DataFrame, events: DataFrame, roles: dict[str, str], windows: Sequence[int] = (1, 6, 24)) -> tuple[DataFrame, DataFrame]:
-    """Pressure, five rolling families and rotation, side by side by id, and their audit (a row for each block)."""
+    """Pressure, five rolling families and rotation, side by side by id, and their audit (a row for each block).
+
+    ``roles`` may name ``known_time``, when a movement became known; the audit
+    of pressure then finds movements that were counted before that.
+    """
     i, cut = roles["id"], roles["cutoff"]
-    families = (("origin_departure", [roles["origin"]], roles["departure_time"], roles["departure_delay"]), ("destination_arrival", [roles["destination"]], roles["arrival_time"], roles["arrival_delay"]), ("route_arrival", [roles["origin"], roles["destination"]], roles["arrival_time"], roles["arrival_delay"]), ("operator_departure", [roles["operator"]], roles["departure_time"], roles["departure_delay"]), ("operator_arrival", [roles["operator"]], roles["arrival_time"], roles["arrival_delay"]))
-    out = targets.join(scheduled_pressure(targets, events, i, roles["origin"], roles["destination"], roles["scheduled_departure"], roles["scheduled_arrival"]), i, "left")
-    audit = targets.agg(F.lit("pressure").alias("block"), F.count("*").alias("rows"), F.lit(0).cast("long").alias("violations"), F.lit(0).cast("long").alias("self_removed"))
+    families = (("origin_departure", [roles["origin"]], roles["departure_time"], roles["departure_delay"]), ("destination_arrival", [roles["destination"]], roles["arrival_time"], roles["arrival_delay"]), ("route_arrival", list(dict.fromkeys([roles["origin"], roles["destination"]])), roles["arrival_time"], roles["arrival_delay"]), ("operator_departure", [roles["operator"]], roles["departure_time"], roles["departure_delay"]), ("operator_arrival", [roles["operator"]], roles["arrival_time"], roles["arrival_delay"]))
+    places = [roles[k] for k in ("origin", "destination", "scheduled_departure", "scheduled_arrival")]
+    pressure = scheduled_pressure(targets, events, i, *places)
+    out = targets.join(pressure, i, "left")
+    audit = pressure_audit(pressure, targets, events, i, cut, *places, roles.get("known_time"))
     for name, keys, time, value in families:
         block = rolling_event_features(targets, events, keys, time, value, name, i, cut, windows)
         audit = audit.unionByName(leakage_audit(block, targets, i, cut, name, windows))
