@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import num, ratio
-from .ranking import value_ranks
+from .tally import Tally, counted_quantiles, running_totals
 
 
 def target_summary(df: DataFrame, y: str) -> DataFrame:
+    """Rows, moments, late shares and quantiles of a target."""
     c = F.col(y)
-    return df.agg(F.count(c).alias("rows"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), ratio(F.count_if(c > 15), F.count(c)).alias("late_15"), ratio(F.count_if(c > 60), F.count(c)).alias("late_60"), *[F.percentile(c, q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.9, 0.99)])
+    moments = df.agg(F.count(c).alias("rows"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), ratio(F.count_if(c > 15), F.count(c)).alias("late_15"), ratio(F.count_if(c > 60), F.count(c)).alias("late_60"))
+    t = Tally(df, [], {"y": c})
+    return moments.join(F.broadcast(t.agg({f"q{int(q * 100)}": t.quantile("y", q) for q in (0.25, 0.5, 0.75, 0.9, 0.99)})))  # one row
 
 
 def align(predictions: DataFrame, targets: DataFrame, key: str) -> DataFrame:
@@ -37,8 +40,8 @@ def regression_metrics(df: DataFrame, y: str, candidates: dict[str, Column], seg
     """Rows, MAE, RMSE, median and p90 of the absolute error for each candidate and segment; empty segments give no row."""
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("candidate"), c.cast("double").alias("yhat")) for n, c in candidates.items()])).alias("p")
     each = explode_segments(df, segments).select("segment", F.col(y).cast("double").alias("y"), pairs).select("segment", "y", "p.*")
-    e = F.abs(F.col("y") - F.col("yhat"))
-    return each.groupBy("candidate", "segment").agg(F.count("*").alias("rows"), F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.median(e).alias("median_error"), F.percentile(e, 0.9).alias("p90_error"))
+    t = Tally(each, ["candidate", "segment"], {"row": num(0), "error": F.abs(F.col("y") - F.col("yhat"))})
+    return t.agg({"rows": t.rows("row"), "mae": t.mean("error"), "rmse": F.sqrt(ratio(t.total("error", F.col("value") * F.col("value")), t.rows("error"))), "median_error": t.quantile("error", 0.5), "p90_error": t.quantile("error", 0.9)})
 
 
 def haul_segments(haul: str = "haul", direction: str = "direction", out: str = "out") -> dict[str, Column]:
@@ -54,6 +57,14 @@ def compact_score(df: DataFrame, y: str, yhat: str, late: float = 15.0, weight:
     return out.withColumn("combined_mae", weight * F.col("global_mae") + (1 - weight) * F.col("delayed_mae"))
 
 
+def compact_scores(df: DataFrame, y: str, candidates: Sequence[str], late: float = 15.0, weight: float = 0.5) -> DataFrame:
+    """``compact_score`` of every candidate column, in one pass: a row for each, with ``candidate``."""
+    each = df.select(F.col(y).alias("_y"), F.explode(F.array(*[F.struct(F.lit(n).alias("candidate"), F.col(f"`{n}`").cast("double").alias("_p")) for n in candidates])).alias("c")).select("_y", "c.*")
+    e = F.abs(F.col("_y") - F.col("_p"))
+    out = each.groupBy("candidate").agg(F.avg(e).alias("global_mae"), F.avg(F.when(F.col("_y") > late, e)).alias("delayed_mae"))
+    return out.withColumn("combined_mae", weight * F.col("global_mae") + (1 - weight) * F.col("delayed_mae")).select("global_mae", "delayed_mae", "combined_mae", "candidate")
+
+
 def _confusion(actual: Column, said: Column) -> list[Column]:
     return [F.count_if(actual & said).alias("tp"), F.count_if(~actual & said).alias("fp"), F.count_if(actual & ~said).alias("fn"), F.count_if(~actual & ~said).alias("tn")]
 
@@ -74,17 +85,18 @@ def classification_metrics(df: DataFrame, y: str, late: float, said: Column, key
 
 
 def ranking_quality(df: DataFrame, actual: Column, score: str) -> DataFrame:
-    """ROC-AUC from average ranks and average precision over the distinct scores."""
-    own = df.withColumn("_a", actual.cast("int"))
-    ranks = value_ranks(own, score).select(F.col(score).alias("_v"), "rank", "below", F.col("rows").alias("n"), "total")
-    each = own.groupBy(score).agg(F.sum("_a").alias("pos")).join(ranks, F.col(score) == F.col("_v"))
-    from pyspark.sql.window import Window
-
-    down = Window.partitionBy(F.lit(1)).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.withColumns({"hits": F.sum("pos").over(down), "taken": F.sum("n").over(down)})  # distinct scores only
-    one = each.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").cast("double").alias("p"), F.max("total").cast("double").alias("t"), F.sum(F.col("pos") * F.col("hits") / F.col("taken")).alias("ap"))
+    """ROC-AUC from average ranks and average precision over the distinct scores, from one count of them."""
+    return grouped_ranking_quality(df, actual, score)
+
+
+def grouped_ranking_quality(df: DataFrame, actual: Column, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``ranking_quality`` for each key; scores are cut into ranges, so no task holds all of a key."""
+    counted = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("n"), F.coalesce(F.sum(actual.cast("int")), F.lit(0)).alias("pos"))
+    each = running_totals(counted, score, ["n", "pos"], keys, ranges=True)
+    each = each.withColumns({"rank": F.col("n_before") + (F.col("n") + 1) / 2.0, "hits": F.col("pos_total") - F.col("pos_before"), "taken": F.col("n_total") - F.col("n_before")})
+    one = each.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").cast("double").alias("p"), F.max("n_total").cast("double").alias("t"), F.sum(F.col("pos") * F.col("hits") / F.col("taken")).alias("ap"))
     p = F.col("p")
-    return one.select(ratio(F.col("r") - p * (p + 1) / 2, p * (F.col("t") - p)).alias("roc_auc"), ratio(F.col("ap"), p).alias("average_precision"))
+    return one.select(*keys, ratio(F.col("r") - p * (p + 1) / 2, p * (F.col("t") - p)).alias("roc_auc"), ratio(F.col("ap"), p).alias("average_precision"))
 
 
 def grid(df: DataFrame, name: str, values: Sequence[float]) -> DataFrame:
@@ -132,38 +144,96 @@ def quantile_risk(df: DataFrame, y: str, yhat: str, q: float = 0.9, severe: floa
     return df.agg(F.avg(F.when(d >= 0, q * d).otherwise((q - 1) * d)).alias("pinball"), ratio(F.count_if(F.col(y) <= F.col(yhat)), F.count("*")).alias("coverage"), F.coalesce(ratio(F.count_if(a & p), F.count_if(a)), num(0)).alias("severe_recall"), F.coalesce(ratio(F.count_if(a & p), F.count_if(p)), num(0)).alias("severe_precision"))
 
 
-def median_levels(train: DataFrame, y: str, levels: Sequence[tuple[str, Sequence[str], int]], approx: bool = False) -> list[tuple[str, list[str], DataFrame]]:
-    """Grouped medians of groups with enough rows, for each level (name, keys, minimum)."""
-    mid = F.percentile_approx(y, 0.5) if approx else F.median(y)
-    return [(name, list(keys), train.where(F.col(y).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"), mid.alias(f"_{name}")).where(F.col("_n") >= least).drop("_n")) for name, keys, least in levels]
+Level = tuple[str, Sequence[str], int]
 
 
-def fallback_cascade(df: DataFrame, train: DataFrame, y: str, levels: Sequence[tuple[str, Sequence[str], int]], q: float = 0.5, out: str = "prediction") -> DataFrame:
-    """The first level that knows a row's group gives its quantile, else the global one; ``source`` names the level.
+def level_quantiles(train: DataFrame, y: str, levels: Sequence[Level], q: float = 0.5) -> tuple[list[DataFrame], DataFrame]:
+    """A lattice of baselines: for each level (name, keys, minimum) its groups with ``_n_{name}`` rows and quantile ``_v_{name}``, and one row for all rows (``_global``).
 
-    Training rows are counted once by all keys and value; every level is
-    aggregated from those counts, and adaptive execution broadcasts the levels
-    that turn out small.
+    Training rows are counted once, by all keys and value; a level is summed
+    from the counts of the finest level before it that has its keys, so coarse
+    levels never see rows.  Groups of every size are there; minimums are the
+    reader's.
     """
     every = list(dict.fromkeys(k for _, keys, _ in levels for k in keys))
-    counts = train.where(F.col(y).isNotNull()).groupBy(*every, y).agg(F.count("*").alias("_c"))
-    mid = F.percentile(y, num(q), F.col("_c"))
-    for name, keys, least in levels:
-        known = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), mid.alias(f"_{name}")).where(F.col("_n") >= least).drop("_n")
+    finest = train.where(F.col(y).isNotNull()).groupBy(*every, F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("_c"))
+    counts, made = {tuple(every): finest}, []
+    for name, keys, _ in levels:
+        above = min((k for k in counts if set(keys) <= set(k)), key=len)
+        if set(above) != set(keys):
+            counts[tuple(keys)] = counts[above].groupBy(*keys, "_y").agg(F.sum("_c").alias("_c"))
+        own = counts[tuple(keys)] if tuple(keys) in counts else counts[above]
+        made.append(counted_quantiles(own, keys, "_y", "_c", {f"_v_{name}": q}, f"_n_{name}"))
+    least = min(counts, key=len)
+    return made, counted_quantiles(counts[least], [], "_y", "_c", {"_global": q}, "_rows").drop("_rows")
+
+
+def median_levels(train: DataFrame, y: str, levels: Sequence[Level], approx: bool = False) -> list[tuple[str, list[str], DataFrame]]:
+    """Grouped medians of groups with enough rows, for each level (name, keys, minimum); ``approx`` takes Spark's sketch of the rows instead."""
+    if approx:
+        return [(name, list(keys), train.where(F.col(y).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(y, 0.5).alias(f"_{name}")).where(F.col("_n") >= least).drop("_n")) for name, keys, least in levels]
+    made, _ = level_quantiles(train, y, levels)
+    return [(name, list(keys), known.where(F.col(f"_n_{name}") >= least).select(*keys, F.col(f"_v_{name}").alias(f"_{name}"))) for (name, keys, least), known in zip(levels, made)]
+
+
+def with_levels(df: DataFrame, train: DataFrame, y: str, levels: Sequence[Level], q: float = 0.5) -> DataFrame:
+    """``df`` with the size and quantile of its group on every level, and the global one; adaptive execution broadcasts levels that turn out small."""
+    made, whole = level_quantiles(train, y, levels, q)
+    for (_, keys, _), known in zip(levels, made):
         df = df.join(known, list(keys), "left")
-    whole = counts.agg(mid.alias("_global"))
-    df = df.join(F.broadcast(whole))
-    names = [n for n, _, _ in levels]
-    source = None
-    for n in names:
-        source = (F if source is None else source).when(F.col(f"_{n}").isNotNull(), n)
-    return df.withColumns({out: F.coalesce(*[F.col(f"_{n}") for n in names], F.col("_global")), "source": source.otherwise("global")}).drop(*[f"_{n}" for n in names], "_global")
+    return df.join(F.broadcast(whole))  # one row
+
+
+def _chosen(levels: Sequence[Level], minimum: Column | None = None) -> tuple[Column, Column]:
+    """The first level whose group is large enough: its value and its name; ``minimum`` replaces the levels' own."""
+    value = source = None
+    for name, _, least in levels:
+        enough = F.col(f"_n_{name}") >= (F.lit(least) if minimum is None else minimum)
+        value = (F if value is None else value).when(enough, F.col(f"_v_{name}"))
+        source = (F if source is None else source).when(enough, F.lit(name))
+    return value.otherwise(F.col("_global")), source.otherwise(F.lit("global"))
+
+
+def fallback_cascade(df: DataFrame, train: DataFrame, y: str, levels: Sequence[Level], q: float = 0.5, out: str = "prediction") -> DataFrame:
+    """The first level that knows a row's group gives its quantile, else the global one; ``source`` names the level."""
+    value, source = _chosen(levels)
+    joined = with_levels(df, train, y, levels, q).withColumns({out: value, "source": source})
+    return joined.drop(*[f"_{x}_{n}" for n, _, _ in levels for x in "nv"], "_global")
+
+
+def baseline_search(df: DataFrame, train: DataFrame, y: str, levels: Sequence[Level], minimums: Sequence[int] = (20, 50, 100, 200)) -> DataFrame:
+    """For each minimum group size, in one pass: rows, rows that a level covers, those whose finest group was never seen, MAE, RMSE, and rows by source."""
+    joined = with_levels(df.where(F.col(y).isNotNull()), train, y, levels)
+    each = joined.withColumn("minimum", F.explode(F.array(*[F.lit(m).cast("long") for m in minimums])))
+    value, source = _chosen(levels, F.col("minimum"))
+    each = each.select("minimum", F.col(f"_n_{levels[0][0]}").isNull().alias("unseen"), source.alias("source"), (F.col(y) - value).alias("e"))
+    names = [*[n for n, _, _ in levels], "global"]
+    return each.groupBy("minimum").agg(F.count("*").alias("rows"), F.count_if(F.col("source") != "global").alias("covered"), F.count_if("unseen").alias("unseen"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), *[F.count_if(F.col("source") == n).alias(f"from_{n}") for n in names])
+
+
+def majority_rate(df: DataFrame, train: DataFrame, y: str, late: float = 15.0, out: str = "probability") -> DataFrame:
+    """Every row with the share of late training rows as its probability; 0 without any."""
+    rate = train.where(F.col(y).isNotNull()).agg(F.coalesce(F.avg((F.col(y) > late).cast("int")), num(0)).alias(out))
+    return df.drop(out).join(F.broadcast(rate))  # one row
+
+
+def finite(value: Column, name: str) -> Column:
+    """``value``, if it is a finite number; raises when the row is worked out otherwise."""
+    v = value.cast("double")
+    return F.when(F.coalesce((F.abs(v) < float("inf")) & ~F.isnan(v), F.lit(False)), v).otherwise(F.raise_error(F.lit(f"{name} is not a finite number")).cast("double"))
+
+
+def chance(value: Column) -> Column:
+    """``value``, if it is a probability; raises when the row is worked out otherwise."""
+    v = value.cast("double")
+    return F.when(F.coalesce(v.between(0, 1), F.lit(False)), v).otherwise(F.raise_error(F.lit("a probability does not lie in [0, 1]")).cast("double"))
 
 
 def blend(a: Column, b: Column, weight: float) -> Column:
+    """``weight`` parts of ``a`` and the rest of ``b``; values that are no finite numbers raise when the row is worked out."""
     if not 0 <= weight <= 1:
         raise ValueError("the weight must lie between 0 and 1")
-    return weight * a + (1 - weight) * b
+    return weight * finite(a, "a prediction") + (1 - weight) * finite(b, "a prediction")
 
 
 def blend_grid(df: DataFrame, y: str, a: str, b: str, steps: int = 21, late: float = 15.0) -> DataFrame:
@@ -191,11 +261,15 @@ def simplex_grid(df: DataFrame, y: str, models: Sequence[str], parts: int = 10,
     return out.join(F.broadcast(single)).withColumn("allowed", F.col("global_mae") <= F.col("_best") + guardrail).drop("_best")
 
 
-def hurdle(probability: Column, severity: Column, reference: Column, low: float = 15.0, cap: float = 60.0) -> Column:
-    """Expected delay: p * severity within [low, cap] + (1 - p) * reference."""
-    if cap < low:
+def hurdle(probability: Column, severity: Column, reference: Column, low: float = 15.0, cap: float | None = None) -> Column:
+    """Expected delay: p * severity, at least ``low`` and at most ``cap`` if there is one, + (1 - p) * reference.
+
+    Probabilities outside [0, 1] and values that are no finite numbers raise when the row is worked out.
+    """
+    if cap is not None and cap < low:
         raise ValueError("the cap lies below the threshold")
-    return probability * F.least(num(cap), F.greatest(num(low), severity)) + (1 - probability) * reference
+    worst = F.greatest(num(low), finite(severity, "severity"))
+    return chance(probability) * (worst if cap is None else F.least(num(cap), worst)) + (1 - chance(probability)) * finite(reference, "reference")
 
 
 def rank_candidates(scores: DataFrame, name: str, baseline: str, improvement: float = 0.2, degradation: float = 0.25) -> DataFrame:

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
-from collections.abc import Sequence
-
-from pyspark import keyword_only
+import re
+import time
+import uuid
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from functools import reduce
+
+from pyspark import StorageLevel, inheritable_thread_target, keyword_only
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -17,7 +26,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import num
 from .clean import yeo_johnson
-from .evaluate import checked_scores, compact_score, hurdle, ranking_quality, within_guardrail
+from .evaluate import checked_scores, compact_score, compact_scores, grouped_ranking_quality, hurdle, within_guardrail
+from .tally import medians
 
 
 def temporal_split(df: DataFrame, time: str, bounds: Sequence[str], names: Sequence[str] = ("train", "validation", "test", "final_test")) -> DataFrame:
@@ -73,8 +83,7 @@ def median_imputer(columns: Sequence[str]) -> Imputer:
 
 def median_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls filled with exact medians; the imputer of a pipeline takes approximate ones."""
-    mid = df.agg(*[F.median(c).alias(f"_{c}") for c in columns])
-    return df.join(F.broadcast(mid)).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+    return df.join(F.broadcast(medians(df, columns))).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
 def categorical_stages(few: Sequence[str], many: Sequence[str], bins: int = 1 << 15) -> list:
@@ -124,14 +133,57 @@ def tree_models(label: str, seed: int = 42) -> dict[str, Estimator]:
     return {"elastic_net": LinearRegression(labelCol=label, regParam=0.1, elasticNetParam=0.5), "forest": RandomForestRegressor(labelCol=label, numTrees=20, maxDepth=6, seed=seed), "gbt": GBTRegressor(labelCol=label, maxIter=10, maxDepth=4, lossType="absolute", seed=seed)}
 
 
-def sweep(train: DataFrame, validation: DataFrame, label: str, estimators: dict[str, Estimator], late: float = 15.0) -> tuple[str, DataFrame]:
-    """Fits each estimator and scores it; the name of the best by combined, then global error, and all scores."""
-    scores = None
-    for name, estimator in estimators.items():
-        own = compact_score(estimator.fit(train).transform(validation), label, "prediction", late).withColumn("candidate", F.lit(name))
-        scores = own if scores is None else scores.unionByName(own)
-    best = scores.orderBy(F.coalesce("combined_mae", "global_mae"), "global_mae", "candidate").first()["candidate"]
-    return best, scores
+@contextmanager
+def held(*frames: DataFrame) -> Iterator[list[DataFrame]]:
+    """Frames kept on disk while they are read again and again, and let go after."""
+    kept = [f.persist(StorageLevel.DISK_ONLY) for f in frames]
+    try:
+        yield kept
+    finally:
+        for f in kept:
+            f.unpersist()
+
+
+def fit_all(estimators: dict[str, Estimator], train: DataFrame | dict[str, DataFrame], pool: int = 4) -> dict[str, Transformer]:
+    """Every estimator fitted on ``train`` (or on its own frame of that name), at most ``pool`` of them side by side."""
+    frames = {name: train[name] if isinstance(train, dict) else train for name in estimators}
+    with ThreadPoolExecutor(pool) as threads:
+        jobs = {name: threads.submit(inheritable_thread_target(frames[name].sparkSession)(e.fit), frames[name]) for name, e in estimators.items()}
+        return {name: job.result() for name, job in jobs.items()}
+
+
+def score_all(df: DataFrame, models: dict[str, Transformer], keep: Sequence[str], output: str = "prediction") -> DataFrame:
+    """The columns ``keep`` and each model's ``output`` under its name, from one scan of prepared rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = df
+    for k, model in enumerate(models.values()):
+        own = model.copy()
+        for param in ("prediction", "probability", "rawPrediction"):
+            if own.hasParam(f"{param}Col"):
+                own.set(own.getParam(f"{param}Col"), f"_{param}_{k}")
+        out = own.transform(out)
+    said = [(vector_to_array(f"_probability_{k}")[1] if output == "probability" else F.col(f"_{output}_{k}")).alias(name) for k, name in enumerate(models)]
+    return out.select(*keep, *said)
+
+
+def sweep(train: DataFrame, validation: DataFrame, label: str, estimators: dict[str, Estimator], late: float = 15.0, pool: int = 4) -> tuple[str, DataFrame]:
+    """Fits each estimator and scores it; the name of the best by combined, then global error, and all scores.
+
+    Estimators that are no pipelines read prepared columns: these are worked
+    out once and kept, fits run side by side, and all candidates are scored in
+    one scan of the validation rows.
+    """
+    if any(isinstance(e, Pipeline) for e in estimators.values()):
+        fitted = fit_all(estimators, train, pool)
+        scores = reduce(DataFrame.unionByName, [compact_score(m.transform(validation), label, "prediction", late).withColumn("candidate", F.lit(name)) for name, m in fitted.items()])
+        found = scores.collect()
+    else:
+        with held(train, validation) as (own, rows):
+            scores = compact_scores(score_all(rows, fit_all(estimators, own, pool), [label]), label, list(estimators), late)
+            found = scores.collect()  # a row for each candidate
+    best = min(found, key=lambda r: (r["combined_mae"] if r["combined_mae"] is not None else r["global_mae"], r["global_mae"], r["candidate"]))["candidate"]
+    return best, train.sparkSession.createDataFrame(found, scores.schema)
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -160,48 +212,55 @@ def tree_grid(label: str, trees: Sequence[int] = (20, 50), depths: Sequence[int]
     return forests | {f"gbt_{n}_{d}": GBTRegressor(labelCol=label, maxIter=n, maxDepth=d, lossType="absolute", seed=seed) for n, d in cells}
 
 
-def logistic_sweep(train: DataFrame, validation: DataFrame, y: str, lates: Sequence[float] = (1.0, 15.0), regs: Sequence[float] = (0.01, 0.1), weights: Sequence[str] = ("none", "root", "balanced")) -> DataFrame:
-    """Ranking quality on validation of classifiers of "later than ``late``", for every regularisation and weight of the classes (``root``: square roots of the balanced ones)."""
-    from pyspark.ml.functions import vector_to_array
-
-    out = None
-    for late in lates:
-        labelled = balanced_weights(train.withColumn("_late", (F.col(y) > late).cast("int")), "_late", "_w")
-        for kind in weights:
-            own = labelled.withColumn("_w", {"none": num(1), "root": F.sqrt("_w"), "balanced": F.col("_w")}[kind])
-            for name, estimator in logistic_candidates("_late", regs, "_w").items():
-                estimator.setParams(probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_said")
-                scored = estimator.fit(own).transform(validation).withColumn("_score", vector_to_array("_p")[1])
-                one = ranking_quality(scored, F.col(y) > late, "_score").select(num(late).alias("late"), F.lit(name).alias("candidate"), F.lit(kind).alias("weights"), "roc_auc", "average_precision")
-                out = one if out is None else out.unionByName(one)
-    return out
-
+def logistic_sweep(train: DataFrame, validation: DataFrame, y: str, lates: Sequence[float] = (1.0, 15.0), regs: Sequence[float] = (0.01, 0.1), weights: Sequence[str] = ("none", "root", "balanced"), pool: int = 4) -> DataFrame:
+    """Ranking quality on validation of classifiers of "later than ``late``", for every regularisation and weight of the classes (``root``: square roots of the balanced ones).
 
-def two_stage_sweep(train: DataFrame, validation: DataFrame, y: str, probability: str, alphas: Sequence[float] = (0.1, 1.0, 10.0)) -> DataFrame:
-    """Scores of the expected delay for each penalty of the ridge of moderate delays."""
+    All cells read one kept matrix and are scored in one scan; their scores
+    are ranked from counts by cell and score.
+    """
+    cells, frames = {}, {}
+    with held(train.select(y, "features"), validation.select(y, "features")) as (own, rows):
+        for late in lates:
+            labelled = balanced_weights(own.withColumn("_late", (F.col(y) > late).cast("int")), "_late", "_w")
+            for kind in weights:
+                weighed = labelled.withColumn("_w", {"none": num(1), "root": F.sqrt("_w"), "balanced": F.col("_w")}[kind])
+                for name, estimator in logistic_candidates("_late", regs, "_w").items():
+                    cell = f"{late}|{name}|{kind}"
+                    cells[cell], frames[cell] = estimator, weighed
+        scored = score_all(rows, fit_all(cells, frames, pool), [y], "probability")
+        each = scored.select(y, F.explode(F.array(*[F.struct(F.lit(c).alias("cell"), F.col(f"`{c}`").alias("score")) for c in cells])).alias("c")).select(y, "c.*")
+        part = F.split("cell", r"\|")
+        actual = F.col(y) > F.element_at(part, 1).cast("double")
+        found = grouped_ranking_quality(each, actual, "score", ["cell"]).select(F.element_at(part, 1).cast("double").alias("late"), F.element_at(part, 2).alias("candidate"), F.element_at(part, 3).alias("weights"), "roc_auc", "average_precision")
+        return train.sparkSession.createDataFrame(found.collect(), found.schema)  # a row for each cell
+
+
+def two_stage_sweep(train: DataFrame, validation: DataFrame, y: str, probability: str, alphas: Sequence[float] = (0.1, 1.0, 10.0), low: float = 15.0, cap: float = 60.0) -> DataFrame:
+    """Scores of the expected delay for each penalty of the ridge of moderate delays, from one scan."""
     checked_scores(validation, probability)
-    out = None
-    for alpha in alphas:
-        model, reference = two_stage(train, y, alpha)
-        one = compact_score(expected_delay(validation, model, reference, probability), y, "expected").withColumn("candidate", F.lit(f"alpha_{alpha}"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    with held(train.where((F.col(y) > low) & (F.col(y) <= cap)), validation) as (severity, rows):
+        reference = medians(train.where(F.col(y) <= low), [y]).first()[0]
+        fitted = fit_all({f"alpha_{a}": ridge(severity, y, a) for a in alphas}, severity)
+        scored = score_all(rows, fitted, [y, probability])
+        expected = scored.select(y, *[hurdle(F.col(probability), F.col(f"`{n}`"), num(reference)).alias(n) for n in fitted])
+        scores = compact_scores(expected, y, list(fitted))
+        return train.sparkSession.createDataFrame(scores.collect(), scores.schema)
 
 
 def weight_sweep(train: DataFrame, validation: DataFrame, y: str, shares: Sequence[float] = (1.0, 0.75, 0.5, 0.25), alpha: float = 1.0, most: float = 0.25) -> DataFrame:
     """Scores of ridges whose late rows weigh more, and whether the global MAE stays within ``most`` of the unweighted one (share 1)."""
-    out = None
-    for share in shares:
-        own = delayed_weights(train, y, share, name="_w")
-        one = compact_score(ridge(own, y, alpha, "_w").fit(own).transform(validation), y, "prediction").withColumn("candidate", F.lit(f"share_{share}"))
-        out = one if out is None else out.unionByName(one)
-    return within_guardrail(out, "share_1.0", most)
+    with held(train, validation) as (own, rows):
+        frames = {f"share_{s}": delayed_weights(own, y, s, name="_w") for s in shares}
+        fitted = fit_all({n: ridge(f, y, alpha, "_w") for n, f in frames.items()}, frames)
+        scores = compact_scores(score_all(rows, fitted, [y]), y, list(fitted))
+        found = train.sparkSession.createDataFrame(scores.collect(), scores.schema)
+    return within_guardrail(found, "share_1.0", most)
 
 
 def two_stage(train: DataFrame, y: str, alpha: float = 1.0, low: float = 15.0, cap: float = 60.0) -> tuple[PipelineModel, float]:
     """A ridge of moderate delays (low < y <= cap), and the median of those up to ``low``."""
     severity = train.where((F.col(y) > low) & (F.col(y) <= cap))
-    return Pipeline(stages=[ridge(severity, y, alpha)]).fit(severity), train.where(F.col(y) <= low).agg(F.median(y)).first()[0]
+    return Pipeline(stages=[ridge(severity, y, alpha)]).fit(severity), medians(train.where(F.col(y) <= low), [y]).first()[0]
 
 
 def expected_delay(df: DataFrame, model: PipelineModel, reference: float, probability: str) -> DataFrame:
@@ -240,3 +299,55 @@ def save_contract(model: PipelineModel, path: str, contract: dict[str, str]) ->
 
 def load_contract(spark, path: str) -> tuple[PipelineModel, DataFrame]:
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/contract")
+
+
+_LEDGER = "split string, contract string, path string, rows long, at_us long"
+
+
+def contract_hash(models: dict[str, Transformer], columns: Sequence[str], locked: DataFrame, settings: dict[str, float | str]) -> str:
+    """SHA-256 of everything that a frozen scoring depends on: each model's parameters and coefficients, the columns it reads, the settings, and the rows of the locked split."""
+    from ..sources.flights import content_of
+
+    def numbers(x) -> object:
+        """Values to six digits: sums of a fit run in no fixed order, so the last ones change from run to run."""
+        if hasattr(x, "toArray"):
+            x = x.toArray().tolist()
+        if isinstance(x, (list, tuple)):
+            return [numbers(v) for v in x]
+        return f"{x:.5e}" if isinstance(x, float) else str(x)
+
+    def told(model: Transformer) -> list:
+        if isinstance(model, PipelineModel):
+            return [told(m) for m in model.stages]
+        own = {p.name: numbers(model.getOrDefault(p)) for p in model.params if model.isSet(p) and p.name not in ("predictionCol", "probabilityCol", "rawPredictionCol")}
+        fitted = [numbers(getattr(model, a)) for a in ("coefficients", "coefficientMatrix", "intercept", "interceptVector", "std", "labels", "categorySizes") if hasattr(model, a)]
+        trees = [re.sub(r"-?\d+\.\d+(?:E-?\d+)?", lambda m: f"{float(m[0]):.5e}", model.toDebugString.split("\n", 1)[1])] if hasattr(model, "toDebugString") else []
+        return [type(model).__name__, own, fitted, trees]
+
+    parts = [[(name, told(m)) for name, m in sorted(models.items())], list(columns), sorted((k, numbers(v)) for k, v in settings.items()), content_of(locked.select(*columns))]
+    return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
+
+
+def score_locked(locked: DataFrame, split: str, ledger: str, models: dict[str, Transformer], columns: Sequence[str], settings: dict[str, float | str], score) -> DataFrame:
+    """``score(locked)``, worked out once for each split: the rows are stored and named in the ledger with the hash of their contract.
+
+    A second scoring under the same contract gives the stored rows; under
+    another one it raises, as a locked split may be looked at once.
+    """
+    spark = locked.sparkSession
+    contract = contract_hash(models, columns, locked, settings)
+    try:
+        known = spark.read.schema(_LEDGER).parquet(f"{ledger}/_ledger").where(F.col("split") == split).orderBy("at_us").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    if known:
+        if known["contract"] != contract:
+            raise ValueError(f"split {split!r} was scored already, under another contract")
+        return spark.read.parquet(known["path"])
+    path = f"{ledger}/{split}-{uuid.uuid4().hex}"
+    score(locked).write.parquet(path)
+    out = spark.read.parquet(path)
+    spark.createDataFrame([(split, contract, path, out.count(), time.time_ns() // 1000)], _LEDGER).coalesce(1).write.mode("append").parquet(f"{ledger}/_ledger")
+    return out

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import ReliabilityConfig, Rule
 from ..functions.expressions import num
 from ..operators import clean, enrich, evaluate, inference, models, pointintime, profile, ranking, reliability
+from ..operators.tally import medians
 from ..sources import flights
 
 
@@ -35,8 +36,7 @@ def base_features(legs: DataFrame, rules: Sequence[Rule], places: DataFrame, pla
     train = split.where("split = 'train'")
     for c in categories:
         split = enrich.map_rare(split, c, enrich.frequent_vocabulary(train, c, least))
-    mid = train.agg(*[F.median(c).alias(f"_{c}") for c in numeric])
-    split = split.join(F.broadcast(mid)).withColumns({c: F.coalesce(c, f"_{c}") for c in numeric}).drop(*[f"_{c}" for c in numeric])
+    split = split.join(F.broadcast(medians(train, numeric))).withColumns({c: F.coalesce(c, f"_{c}") for c in numeric}).drop(*[f"_{c}" for c in numeric])
     split = split.where(F.col(target).isNotNull())
     return {"features": split, "contract": profile.split_contract(split, "split", target), "nulls": profile.null_profile(split, [*categories, *numeric], ["split"])}
 
@@ -76,21 +76,20 @@ def model_benchmark(train: DataFrame, validation: DataFrame, key: str, y: str, e
     return {"predictions": joint, "metrics": evaluate.regression_metrics(joint, y, {n: F.col(n) for n in names}, segments), "scores": scores, "ranking": evaluate.rank_candidates(scores, "candidate", "baseline")}
 
 
-def combine_and_score(scored: DataFrame, key: str, y: str, minutes: Sequence[str], chance: str, some: str, reference: float, late: float = 15.0, guardrail: float = 0.25) -> dict[str, DataFrame]:
+def combine_and_score(scored: DataFrame, key: str, y: str, minutes: Sequence[str], chance: str, some: str, reference: float, late: float = 15.0, guardrail: float = 0.25, cap: float | None = None) -> dict[str, DataFrame]:
     """Blends, weights of three models, thresholds, the expected delay and the joint table of predictions.
 
     ``minutes`` names three predictions of minutes (the first two are blended),
     ``chance`` and ``some`` the probabilities of more than ``late`` and of more
     than one minute.  Scores that are no probabilities raise.
     """
-    evaluate.checked_scores(scored, chance, some)
     blends = evaluate.blend_grid(scored, y, minutes[0], minutes[1], late=late)
     weight = blends.orderBy("combined_mae", "global_mae", "weight").first()["weight"]
     table = evaluate.threshold_table(scored, y, late, chance)
     cut = evaluate.best_threshold(table).first()["threshold"]
     mixed = evaluate.blend(F.col(minutes[0]), F.col(minutes[1]), weight)
-    expected = evaluate.hurdle(F.col(chance), mixed, num(reference))
-    joint = scored.select(key, y, mixed.alias("minutes"), expected.alias("expected"), F.col(chance).alias("p_late"), F.col(some).alias("p_some"), (F.col(chance) >= cut).alias("says_late"), clean.severity_band(mixed).alias("band"))
+    expected = evaluate.hurdle(F.col(chance), mixed, num(reference), cap=cap)
+    joint = scored.select(key, y, mixed.alias("minutes"), expected.alias("expected"), evaluate.chance(F.col(chance)).alias("p_late"), evaluate.chance(F.col(some)).alias("p_some"), (F.col(chance) >= cut).alias("says_late"), clean.severity_band(mixed).alias("band"))
     return {"blends": blends, "simplex": evaluate.simplex_grid(scored, y, minutes, guardrail=guardrail, late=late), "thresholds": table, "predictions": joint, "expected": evaluate.compact_score(joint, y, "expected", late)}
 
 
@@ -137,16 +136,64 @@ def public_tables(legs: DataFrame, config: ReliabilityConfig) -> dict[str, DataF
     }
 
 
-def baseline_selection(train: DataFrame, validation: DataFrame, test: DataFrame, y: str, keys: Sequence[Sequence[str]], minimums: Sequence[int] = (20, 50, 100, 200)) -> tuple[int, DataFrame]:
-    """The minimum group size with the smallest validation error, and its errors on the locked test rows."""
+def baseline_selection(train: DataFrame, validation: DataFrame, test: DataFrame, y: str, keys: Sequence[Sequence[str]], minimums: Sequence[int] = (20, 50, 100, 200)) -> tuple[int, DataFrame, DataFrame]:
+    """The minimum group size with the smallest validation error, what all of them gave, and the errors of the best on the locked test rows."""
+    levels = [("_".join(k), list(k), 1) for k in keys]
+    search = evaluate.baseline_search(validation, train, y, levels, minimums)
+    found = search.collect()  # a row for each minimum
+    best = min(found, key=lambda r: (r["mae"], r["minimum"]))["minimum"]
+    scored = evaluate.fallback_cascade(test, train, y, [(name, k, best) for name, k, _ in levels])
+    return best, train.sparkSession.createDataFrame(found, search.schema), evaluate.regression_metrics(scored, y, {"baseline": F.col("prediction")}, {"all": F.lit(True), "late": F.col(y) > 15})
 
-    def run(df: DataFrame, least: int) -> DataFrame:
-        levels = [("_".join(k), list(k), least) for k in keys]
-        return evaluate.fallback_cascade(df, train, y, levels)
 
-    scores = {m: run(validation, m).agg(F.avg(F.abs(F.col(y) - F.col("prediction")))).first()[0] for m in minimums}
-    best = min(minimums, key=lambda m: (scores[m], m))
-    return best, evaluate.regression_metrics(run(test, best), y, {"baseline": F.col("prediction")}, {"all": F.lit(True), "late": F.col(y) > 15})
+def train_and_score(train: DataFrame, validation: DataFrame, locked: dict[str, DataFrame], key: str, y: str, few: Sequence[str], many: Sequence[str], numeric: Sequence[str], ledger: str, lates: tuple[float, float] = (15.0, 1.0), alphas: Sequence[float] = (0.1, 1.0, 10.0), regs: Sequence[float] = (0.01, 0.1), bins: int = 1 << 12) -> dict[str, DataFrame]:
+    """From training to locked scoring in one job: features once, ridges and classifiers of two targets chosen on validation, thresholds, the expected delay, and one scoring of each locked split.
+
+    Returns the scores of the minutes (``minutes``), of the classifiers
+    (``chances``), the thresholds, and ``predictions`` of all locked splits:
+    id, actual minutes, predicted ones, both probabilities and decisions,
+    expected delay and band.  A split that was scored before comes from the
+    ledger; under another contract that raises.
+    """
+    names = [f"later_than_{x:g}" for x in lates]
+    prepared = models.preprocessor(train, few, many, numeric, bins).fit(train)
+    ready = lambda df: prepared.transform(df).select(key, y, "features")
+    with models.held(ready(train.where(F.col(y).isNotNull())), ready(validation.where(F.col(y).isNotNull()))) as (own, rows):
+        ridges = models.fit_all({f"alpha_{a}": models.ridge(own, y, a) for a in alphas}, own)
+        minutes = evaluate.compact_scores(models.score_all(rows, ridges, [y]), y, list(ridges))
+        frames = {n: own.withColumn("_late", (F.col(y) > x).cast("int")) for n, x in zip(names, lates)}
+        cells = {f"{n}|{r}": e for n in names for r, e in models.logistic_candidates("_late", regs, None).items()}
+        fitted = models.fit_all(cells, {c: frames[c.split("|")[0]] for c in cells})
+        scored = models.score_all(rows, fitted, [y], "probability")
+        chances = None
+        for cell in cells:
+            late = lates[names.index(cell.split("|")[0])]
+            one = evaluate.ranking_quality(scored.select(y, F.col(f"`{cell}`").alias("score")), F.col(y) > late, "score").withColumn("candidate", F.lit(cell))
+            chances = one if chances is None else chances.unionByName(one)
+        minutes, chances = (df.sparkSession.createDataFrame(df.collect(), df.schema) for df in (minutes, chances))  # a row for each candidate
+        best = min(minutes.collect(), key=lambda r: (r["combined_mae"] if r["combined_mae"] is not None else r["global_mae"], r["global_mae"], r["candidate"]))["candidate"]
+        classifier = {n: max((r for r in chances.collect() if r["candidate"].startswith(f"{n}|")), key=lambda r: (r["average_precision"] or 0.0, r["roc_auc"] or 0.0, r["candidate"]))["candidate"] for n in names}
+        tables = {n: evaluate.threshold_table(scored.select(y, F.col(f"`{classifier[n]}`").alias("score")), y, x, "score").withColumn("target", F.lit(n)) for n, x in zip(names, lates)}
+        cuts = {n: evaluate.best_threshold(t).first()["threshold"] for n, t in tables.items()}
+        thresholds = tables[names[0]].unionByName(tables[names[1]])
+        thresholds = thresholds.sparkSession.createDataFrame(thresholds.collect(), thresholds.schema)
+        reference = medians(own.where(F.col(y) <= lates[0]), [y]).first()[0] or 0.0
+    chosen = {"minutes": ridges[best], names[0]: fitted[classifier[names[0]]], names[1]: fitted[classifier[names[1]]]}
+    settings = {"reference": reference, **cuts}
+
+    def score(df: DataFrame) -> DataFrame:
+        rows = ready(df)
+        a = models.score_all(rows, {"minutes": chosen["minutes"]}, [key, y, "features"])
+        b = models.score_all(a, {n: chosen[n] for n in names}, [key, y, "minutes"], "probability")
+        p, q = F.col(names[0]), F.col(names[1])
+        return b.select(key, y, evaluate.finite(F.col("minutes"), "minutes").alias("minutes"), evaluate.chance(p).alias("p_late"), evaluate.chance(q).alias("p_some"), (p >= cuts[names[0]]).alias("says_late"), (q >= cuts[names[1]]).alias("says_some"), evaluate.hurdle(p, F.col("minutes"), num(reference), lates[0]).alias("expected"), clean.severity_band(F.col("minutes")).alias("band"))
+
+    columns = [key, y, *few, *many, *numeric]
+    predictions = None
+    for split, df in locked.items():
+        one = models.score_locked(df, split, ledger, {"prepared": prepared, **chosen}, columns, settings, score).withColumn("split", F.lit(split))
+        predictions = one if predictions is None else predictions.unionByName(one)
+    return {"minutes": minutes, "chances": chances, "thresholds": thresholds, "predictions": predictions}
 
 
 def select_and_freeze(train: DataFrame, validation: DataFrame, locked: DataFrame, y: str, few: Sequence[str], many: Sequence[str], numeric: Sequence[str], path: str, alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0)) -> tuple[DataFrame, DataFrame]:

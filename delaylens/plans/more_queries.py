@@ -32,9 +32,12 @@ def p20_directions(spark, sf):
     return clean.direction_columns(own, "region_o", "region_d", 1, 2).groupBy("direction", "transatlantic").agg(F.count("*").alias("flights"))
 
 
-@query(f"with {LEGS_SQL} select case when arrival_delay_min <= -5 then 'early' when arrival_delay_min <= 15 then 'within_15' when arrival_delay_min <= 60 then 'moderate' else 'severe' end as band, operator not in (1, 2, 3) as named, count(*) as flights from legs group by 1, 2")
+@query(f"with {LEGS_SQL} select case when arrival_delay_min <= -5 then 'early' when arrival_delay_min <= 15 then 'within_15' when arrival_delay_min <= 60 then 'moderate' else 'severe' end as band, case when operator in (1, 2, 3) then 'nobody' else 'somebody' end as label, count(*) as flights, count(*) filter (where operator not in (1, 2, 3)) as named from legs group by 1, 2")
 def p26_p27_severity_bands(spark, sf):
-    return legs(spark, sf).groupBy(clean.severity_band(F.col("arrival_delay_min")).alias("band"), (~F.col("operator").isin(1, 2, 3)).alias("named")).agg(F.count("*").alias("flights"))
+    own = legs(spark, sf).withColumns({"band": clean.severity_band(F.col("arrival_delay_min")), "label": F.when(clean.operator_label(F.col("operator"), (1, 2, 3), "nobody") == "nobody", "nobody").otherwise("somebody")})
+    every = own.groupBy("band", "label").agg(F.count("*").alias("flights"))
+    named = clean.named_operators(own, "operator", (1, 2, 3)).groupBy("band", "label").agg(F.count("*").alias("named"))
+    return every.join(named, ["band", "label"], "left").fillna(0, ["named"])
 
 
 @query("select n_nationkey as place, round(coalesce(case when n_nationkey % 3 <> 0 then n_nationkey * 1.5 end, s.lat), 6) as lat from nation left join (select s_nationkey, min(s_acctbal) as lat from supplier group by 1) s on s_nationkey = n_nationkey")
@@ -69,12 +72,9 @@ def j15_selection_table(spark, sf):
     return evaluate.selection_table(metrics, ["all", "late"])
 
 
-@query(f"with {LEGS_SQL}, air as (select origin as airport, count(*) as movements from legs group by 1 order by 2 desc, 1 limit 10), rel as (select destination, round(100 * sum(greatest(arrival_delay_min, 0)) / sum(scheduled_duration_min), 6) as relative_delay_pct, count(*) as flights from legs where scheduled_duration_min > 0 group by 1) select airport, movements, relative_delay_pct from air join rel on airport = destination where flights >= 100")
+@query(f"with {LEGS_SQL}, air as (select origin as airport, count(*) as movements from legs group by 1 order by 2 desc, 1 limit 10), rel as (select destination, round(100 * sum(greatest(arrival_delay_min, 0)) / sum(scheduled_duration_min), 6) as relative_delay_pct, count(*) as flights from legs where scheduled_duration_min > 0 group by 1) select airport, movements, relative_delay_pct from air left join (select * from rel where flights >= 100) r on airport = destination")
 def j16_airports_and_relative_delay(spark, sf):
-    own = legs(spark, sf)
-    top = ranking.top_rows(own.groupBy(F.col("origin").alias("airport")).agg(F.count("*").alias("movements")), [F.desc("movements"), F.asc("airport")], 10)
-    rel = reliability.relative_delay(own, ["destination"]).where("flights >= 100").select(F.col("destination").alias("airport"), "relative_delay_pct")
-    return top.join(rel, "airport")
+    return reliability.busy_and_relative(legs(spark, sf))
 
 
 @query(f"with {TIMELINE_SQL} select leg_id, round(delay_min, 6) as y, round(delay_min / 2, 6) as p from timeline")
@@ -107,13 +107,8 @@ def a46_grouped_medians(spark, sf):
 def a47_baseline_thresholds(spark, sf):
     own = legs(spark, sf)
     cut = F.lit("1998-01-01").cast("timestamp")
-    train = own.where(F.col("scheduled_off_block") < cut)
-    known = train.groupBy("origin", "destination").agg(F.count("*").alias("n"), F.median("arrival_delay_min").alias("v"))
-    whole = train.agg(F.median("arrival_delay_min").alias("w"))
-    each = own.where(F.col("scheduled_off_block") >= cut).join(enrich.small(known), ["origin", "destination"], "left").join(F.broadcast(whole))
-    each = each.withColumn("minimum", F.explode(F.array(*[F.lit(m).cast("long") for m in (20, 50, 100)])))
-    guess = F.when(F.col("n") >= F.col("minimum"), F.col("v")).otherwise(F.col("w"))
-    return each.groupBy("minimum").agg(F.count("*").alias("rows"), F.count_if(F.col("n") >= F.col("minimum")).alias("covered"), F.avg(F.abs(F.col("arrival_delay_min") - guess)).alias("mae"))
+    found = evaluate.baseline_search(own.where(F.col("scheduled_off_block") >= cut), own.where(F.col("scheduled_off_block") < cut), "arrival_delay_min", [("route", ["origin", "destination"], 1)], (20, 50, 100))
+    return found.select("minimum", "rows", "covered", "mae")
 
 
 @query(f"with {PREDICTIONS_SQL}, p as (select *, case when y > 100 then 'long' else 'short_medium' end as haul, case when leg_id % 3 = 0 then 'out' else 'other' end as direction from predictions), s as (select y, yhat, unnest(['all', case when haul <> 'long' then 'short_medium' end, case when haul = 'long' then 'long' end, case when direction = 'out' then 'outbound' end, case when direction <> 'out' then 'other' end, case when haul = 'long' and direction = 'out' then 'long_outbound' end]) as segment from p) select segment, count(*) as rows, round(avg(abs(y - yhat)), 6) as mae from s where segment is not null group by 1")
@@ -165,8 +160,7 @@ def k2_by_wilson_bound(spark, sf):
 
 @query(f"with {LEGS_SQL}, {SCOPED_SQL}, {_ROUTES} select scope, destination, arg_max(origin, round(100.0 * late_15_count / flights + 1e-9, 9) * 1000 + origin) as origin, count(*) as routes from routes where flights >= 30 group by 1, 2")
 def k8_k9_worst_route(spark, sf):
-    own = reliability.route_metrics(legs(spark, sf), config=ROUTES).where("flights >= 30")
-    return own.groupBy("scope", "destination").agg(F.max_by("origin", F.round(F.col("late_15_pct") + 1e-9, 9) * 1000 + F.col("origin")).alias("origin"), F.count("*").alias("routes"))
+    return reliability.worst_routes(reliability.route_metrics(legs(spark, sf), config=ROUTES), ["scope", "destination"], "origin", 30)
 
 
 @query(f"with {LEGS_SQL}, g as (select operator, period, count(*) as n, {OTP} as s, sum(count(*)) over (partition by operator) as nn, sum({OTP}) over (partition by operator) as ss from legs group by 1, 2) select operator, period, round({z_sql('s', 'n', 'ss - s', 'nn - n')}, 6) as z, round({p_sql(z_sql('s', 'n', 'ss - s', 'nn - n'))}, 6) as p_value, round({wilson_sql('s', 'n')}, 6) as low_pct, round({wilson_sql('s', 'n', True)}, 6) as high_pct from g where nn > n and ss between 1 and nn - 1")
@@ -217,8 +211,7 @@ def m5_median_imputer(spark, sf):
 @query(f"with {PREDICTIONS_SQL} select event_type, count(*) as rows, round(avg((y > 15)::int), 6) as actual, (select round(avg((y > 15)::int), 6) from predictions) as predicted from predictions group by 1")
 def m12_majority_rate(spark, sf):
     own = predictions(spark, sf)
-    rate = own.agg(F.avg((F.col("y") > 15).cast("int")).alias("predicted"))
-    return own.join(F.broadcast(rate)).groupBy("event_type").agg(F.count("*").alias("rows"), F.avg((F.col("y") > 15).cast("int")).alias("actual"), F.max("predicted").alias("predicted"))
+    return evaluate.majority_rate(own, own, "y", out="guess").groupBy("event_type").agg(F.count("*").alias("rows"), F.avg((F.col("y") > 15).cast("int")).alias("actual"), F.max("guess").alias("predicted"))
 
 
 @query(f"with {LEGS_SQL} select count(*) as raw, count(*) filter (where leg_type = 'A' and arrival_delay_min >= -120) as kept from legs")
@@ -341,33 +334,69 @@ def m24_frozen_scoring(spark, sf):
     return joint.select("leg_id", "y", "minutes", "late_15", "band")
 
 
-@query()
+_PUBLIC = {
+    "overview": "select scope, count(*) as flights, 100.0 * {late} / count(*) as m from scoped group by 1",
+    "monthly": "select scope, period, count(*) as flights, 100.0 * {late} / count(*) as m from scoped group by 1, 2",
+    "route_scopes": "select scope, count(*) as flights, median(arrival_delay_min) as m from scoped group by 1",
+    "durations": "select least(floor(scheduled_duration_min / 60), 12) as h, count(*) as flights, quantile_cont(arrival_delay_min, 0.9) as m from legs where scheduled_duration_min > 0 group by 1",
+    "routes": "select scope, origin, destination, flights, arrival_p90 as m from routes",
+    "route_months": "select scope, origin, destination, period, count(*) as flights, median(arrival_delay_min) as m from scoped semi join (select * from routes where eligible) e using (scope, origin, destination) group by 1, 2, 3, 4",
+    "route_operators": "select scope, origin, destination, operator, count(*) as flights, median(arrival_delay_min) as m from scoped semi join (select * from routes where eligible) e using (scope, origin, destination) group by 1, 2, 3, 4",
+}
+_MEASURE = {"overview": "late_15_pct", "monthly": "late_15_pct", "route_scopes": "arrival_median", "durations": "arrival_p90", "routes": "arrival_p90", "route_months": "arrival_median", "route_operators": "arrival_median"}
+
+
+@query(f"with {LEGS_SQL}, {SCOPED_SQL}, {_ROUTES} " + " union all ".join(f"select '{name}' as tbl, count(*) as rows, sum(flights)::bigint as flights, round(sum(m) + 1e-9, 4) as total from ({sql.format(late=LATE.format(15))}) t" for name, sql in _PUBLIC.items()))
 def g7_public_tables(spark, sf):
     from .jobs import public_tables
 
+    tables, out = public_tables(legs(spark, sf), ROUTES), None
+    for name, measure in _MEASURE.items():
+        one = tables[name].agg(F.lit(name).alias("tbl"), F.count("*").alias("rows"), F.sum("flights").alias("flights"), F.round(F.sum(measure) + 1e-9, 4).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select tbl, \"column\", count(*) as rows, count(*) filter (where v is null or trim(v) = '') as nulls, count(try_cast(trim(v) as double)) as numbers, min(length(v)) as shortest, max(length(v)) as longest from (" + " union all ".join(f"select '{t}' as tbl, unnest([{', '.join(repr(c) for c in cols)}]) as \"column\", unnest([{', '.join(c + '::varchar' for c in cols)}]) as v from {t}" for t, cols in {"part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "customer": ["c_custkey", "c_name", "c_nationkey"], "events": ["event_id", "user_id", "event_type", "props"]}.items()) + ") x group by 1, 2")
+def a44_p32_column_roles(spark, sf):
     out = None
-    for name, df in public_tables(legs(spark, sf), ROUTES).items():
-        one = df.agg(F.lit(name).alias("tbl"), F.count("*").alias("rows"))
+    for name, columns in {"part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "customer": ["c_custkey", "c_name", "c_nationkey"], "events": ["event_id", "user_id", "event_type", "props"]}.items():
+        one = profile.column_roles(read(spark, sf, name), columns).select(F.lit(name).alias("tbl"), "column", "rows", "nulls", "numbers", "shortest", "longest")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query(f"with {LEGS_SQL}, k as (select arrival_delay_min as a, departure_delay_min as d, quantile_cont(arrival_delay_min, 0.01) over () as a0, quantile_cont(arrival_delay_min, 0.99) over () as a1, quantile_cont(departure_delay_min, 0.01) over () as d0, quantile_cont(departure_delay_min, 0.99) over () as d1 from legs) select least(floor((d - d0) / (d1 - d0) * 40), 39)::bigint as departure_bin, least(floor((a - a0) / (a1 - a0) * 40), 39)::bigint as arrival_bin, count(*) as flights from k where a between a0 and a1 and d between d0 and d1 group by 1, 2")
+def a64_density(spark, sf):
+    return reliability.delay_density(legs(spark, sf)).withColumns({c: F.col(c).cast("long") for c in ("departure_bin", "arrival_bin")})
+
+
+@query("select p_brand, min(p_type) as p_type, min(p_size)::bigint as p_size, min(p_name) as p_name from part group by 1")
+def a61_smallest_fields(spark, sf):
+    own = read(spark, sf, "part").select("p_brand", "p_type", "p_size", "p_name")
+    return enrich.dedupe_by_field(own, "p_brand", whole_row=False).withColumn("p_size", F.col("p_size").cast("long"))
+
+
 # ---- labels of the route plot, scope floors -------------------------------------------------
 
 
-@query(f"""with {LEGS_SQL}, {SCOPED_SQL}, frame as (
-  select origin, destination, count(*) as flights, count(distinct period) as periods, round(100.0 * count(*) filter (where arrival_delay_min > 3) / count(*), 6) as late_pct from legs where arrival_delay_min is not null group by 1, 2 having count(*) >= 50 and count(distinct period) >= 3
+_ONTIME3 = "count(*) filter (where arrival_delay_min <= 3)"
+
+
+@query(f"""with {LEGS_SQL}, frame as (
+  select origin, destination, count(*) as flights, count(distinct period) as periods, round({wilson_sql(_ONTIME3, 'count(*)')} + 1e-9, 6) as low, round({wilson_sql(_ONTIME3, 'count(*)', True)} + 1e-9, 6) as high from legs where arrival_delay_min is not null group by 1, 2 having count(*) >= 50 and count(distinct period) >= 3
 ), top as (
   select * from frame order by flights desc, origin, destination limit 200
 ), picked as (
-  (select * from top order by flights desc, origin, destination limit 4) union (select * from top order by late_pct desc, origin, destination limit 3) union (select * from top order by late_pct, origin, destination limit 3)
+  (select * from top order by flights desc, origin, destination limit 4) union (select * from top order by high, origin, destination limit 3) union (select * from top order by low desc, origin, destination limit 3)
 )
-select origin, destination, flights, late_pct from picked""")
+select origin, destination, flights, round(low, 6) as low, round(high, 6) as high from picked""")
 def k6_route_labels(spark, sf):
-    rate = F.round(100.0 * F.count_if(F.col("arrival_delay_min") > 3) / F.count("*"), 6).alias("late_pct")
-    routes = legs(spark, sf).where("arrival_delay_min is not null").groupBy("origin", "destination").agg(F.count("*").alias("flights"), F.count_distinct("period").alias("periods_active"), rate)
+    n, s = F.count("*"), F.count_if(F.col("arrival_delay_min") <= 3)
+    bound = lambda upper: F.round(100 * wilson(s, n, upper=upper) + 1e-9, 6)
+    routes = legs(spark, sf).where("arrival_delay_min is not null").groupBy("origin", "destination").agg(n.alias("flights"), F.count_distinct("period").alias("periods_active"), bound(False).alias("low"), bound(True).alias("high"))
     key = ["origin", "destination"]
-    return reliability.label_candidates(reliability.plot_frame(routes, key, ROUTES, 200), key, "late_pct").select(*key, "flights", "late_pct")
+    return reliability.label_candidates(reliability.plot_frame(routes, key, ROUTES, 200), key, "low", "high").select(*key, "flights", "low", "high")
 
 
 @query(f"with {LEGS_SQL} select destination, count(*) as kept from legs where (arrival_delay_min is null or arrival_delay_min >= -120) and (departure_delay_min is null or departure_delay_min >= -120) and leg_type = 'R' and (scheduled_duration_min is null or scheduled_duration_min between 120 and 500) group by 1")

@@ -11,7 +11,7 @@ from ..config import ReliabilityConfig, leg_rules
 from ..functions.expressions import ERFC_FIT, num, two_sided_p, wilson
 from ..operators import clean, enrich, evaluate, inference, pointintime, profile, ranking, reliability
 from ..sources import flights
-from .views import LEGS_SQL, PREDICTIONS_SQL, SCOPED_SQL, TIMELINE_SQL, legs, predictions, read, rounded, timeline
+from .views import LEGS_SQL, PREDICTIONS_SQL, SCOPED_SQL, TIMELINE_SQL, legs, predictions, read, rounded, scratch, timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -386,13 +386,13 @@ def _by_sql(by: str) -> str:
 @query(_by_sql("period"))
 def a33_route_months(spark, sf):
     own = legs(spark, sf)
-    return reliability.eligible_breakdown(own, reliability.route_metrics(own, config=ROUTES), "period")
+    return reliability.eligible_breakdown(own, reliability.eligible_routes(own, config=ROUTES), "period")
 
 
 @query(_by_sql("operator"))
 def a34_route_operators(spark, sf):
     own = legs(spark, sf)
-    return reliability.eligible_breakdown(own, reliability.route_metrics(own, config=ROUTES), "operator")
+    return reliability.eligible_breakdown(own, reliability.eligible_routes(own, config=ROUTES), "operator")
 
 
 @query(f"with {LEGS_SQL}, {SCOPED_SQL}, {_ROUTES} select scope, origin, sum(flights)::bigint as flights, sum(late_15_count)::bigint as late_15_count, round(100.0 * sum(late_15_count) / sum(flights), 6) as late_15_pct from routes group by 1, 2")
@@ -488,12 +488,22 @@ def a57_leakage_audit(spark, sf):
     return pointintime.leakage_audit(block, t, "leg_id", "cutoff", "d")
 
 
-@query()
+_SEEN = "e.event_time <= t.cutoff and e.event_time >= t.cutoff - interval 6 hour and e.leg_id <> t.leg_id"
+
+
+@query(f"with {TIMELINE_SQL}, h as (select registration, date_trunc('hour', event_time) as h, count(distinct leg_id) as n from timeline group by 1, 2), o as (select t.leg_id, count(e.leg_id) as n, round(avg(e.delay_min), 6) as mean from timeline t left join timeline e on e.registration = t.registration and {_SEEN} group by 1), k as (select t.leg_id, count(e.leg_id) as n, round(avg((e.delay_min > 15)::int), 6) as late from timeline t left join timeline e on e.event_type = t.event_type and {_SEEN} group by 1), r as (select t.leg_id, (e.leg_id is not null)::int as had, e.delay_min as before from timeline t asof left join timeline e on t.registration = e.registration and t.cutoff >= e.event_time) select t.leg_id, 2 * h.n as total_pressure, o.n as origin_departure_6h_count, o.mean as origin_departure_6h_mean, o.n as destination_arrival_6h_count, o.n as route_arrival_6h_count, k.n as operator_departure_6h_count, k.n as operator_arrival_6h_count, k.late as operator_arrival_6h_late_rate, r.had as rotation_history, round(r.before, 6) as previous_arrival_delay from timeline t join h on h.registration = t.registration and h.h = date_trunc('hour', t.event_time) join o using (leg_id) join k using (leg_id) join r using (leg_id)")
 def w3_standard_features(spark, sf):
     t = timeline(spark, sf).withColumns({"operator": F.col("event_type"), "destination": F.col("registration"), "departure_delay": F.col("delay_min")})
     roles = {"id": "leg_id", "cutoff": "cutoff", "origin": "registration", "destination": "destination", "operator": "operator", "registration": "registration", "departure_time": "event_time", "arrival_time": "event_time", "departure_delay": "departure_delay", "arrival_delay": "delay_min", "scheduled_departure": "event_time", "scheduled_arrival": "event_time"}
     out, _ = pointintime.standard_features(t, t, roles, windows=(6,))
-    return out.select("leg_id", "total_pressure", "origin_departure_6h_count", "route_arrival_6h_count", "operator_arrival_6h_count", "rotation_history")
+    return out.select("leg_id", "total_pressure", "origin_departure_6h_count", "origin_departure_6h_mean", "destination_arrival_6h_count", "route_arrival_6h_count", "operator_departure_6h_count", "operator_arrival_6h_count", "operator_arrival_6h_late_rate", "rotation_history", "previous_arrival_delay")
+
+
+@query(f"with {TIMELINE_SQL}, s as (select t.leg_id from timeline t left join timeline e on e.registration = t.registration and {_SEEN} group by 1 having count(e.leg_id) >= 0) select 'd' as block, 6 as hours, count(*) as rows, 0::bigint as violations from s")
+def a57_recount_audit(spark, sf):
+    t = timeline(spark, sf)
+    block = pointintime.rolling_event_features(t, t, ["registration"], "event_time", "delay_min", "d", "leg_id", windows=(6,))
+    return pointintime.recount_audit(block, t, t, ["registration"], "event_time", "delay_min", "d", "leg_id", "cutoff", (6,))
 
 
 # ---- tests and trends -----------------------------------------------------------------------
@@ -527,9 +537,9 @@ def t7_period_alerts(spark, sf):
     return inference.period_alerts(legs(spark, sf), "origin").select("origin", "period", "flights", "otp15_count", "rate_pct", "other_pct", "p_value")
 
 
-@query(f"with {LEGS_SQL}, r as (select *, rank() over (order by scheduled_duration_min) + (count(*) over (partition by scheduled_duration_min) - 1) / 2.0 as ra, rank() over (order by arrival_delay_min) + (count(*) over (partition by arrival_delay_min) - 1) / 2.0 as rb from legs) select 'scheduled_duration_min' as variable_1, 'arrival_delay_min' as variable_2, count(*) as rows, round(corr(scheduled_duration_min, arrival_delay_min), 6) as pearson, round(corr(ra, rb), 6) as spearman from r")
+@query(f"with {LEGS_SQL}, r as (select *, rank() over (order by scheduled_duration_min) + (count(*) over (partition by scheduled_duration_min) - 1) / 2.0 as ra, rank() over (order by arrival_delay_min) + (count(*) over (partition by arrival_delay_min) - 1) / 2.0 as rb from legs), c as (select 'scheduled_duration_min' as variable_1, 'arrival_delay_min' as variable_2, count(*) as rows, corr(scheduled_duration_min, arrival_delay_min) as r1, corr(ra, rb) as r2 from r) select variable_1, variable_2, rows, round(r1, 6) as pearson, round(r2, 6) as spearman, round({p_sql('(r1 * sqrt((rows - 2) / (1 - r1 * r1)))')}, 6) as pearson_p, round({p_sql('(r2 * sqrt((rows - 2) / (1 - r2 * r2)))')}, 6) as spearman_p from c")
 def t8_w7_correlations(spark, sf):
-    return inference.correlations(legs(spark, sf), ["scheduled_duration_min", "arrival_delay_min"]).select("variable_1", "variable_2", "rows", "pearson", "spearman")
+    return inference.correlations(legs(spark, sf), ["scheduled_duration_min", "arrival_delay_min"])
 
 
 @query(f"with {LEGS_SQL}, v as (select round(abs(departure_delay_min - arrival_delay_min), 9) as a, departure_delay_min > arrival_delay_min as up from legs where departure_delay_min > 15 and departure_delay_min <> arrival_delay_min), r as (select *, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as k, count(*) over (partition by a)::double as t from v), o as (select count(*) as n, sum(k) filter (where up) as wp, sum(k) filter (where not up) as wm, sum(t * t - 1) as ties from r) select n, round(least(wp, wm), 6) as statistic, round({p_sql('(least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48)')}, 6) as p_value from o")
@@ -681,14 +691,20 @@ def m16_simplex(spark, sf):
 
 @query(f"with {PREDICTIONS_SQL} select event_type, round(avg(probability * least(60, greatest(15, y)) + (1 - probability) * -2), 6) as expected from predictions group by 1")
 def m17_hurdle(spark, sf):
-    own = predictions(spark, sf).withColumn("expected", evaluate.hurdle(F.col("probability"), F.col("y"), num(-2)))
+    own = predictions(spark, sf).withColumn("expected", evaluate.hurdle(F.col("probability"), F.col("y"), num(-2), cap=60.0))
     return own.groupBy("event_type").agg(F.avg("expected").alias("expected"))
 
 
 # ---- samples and models (rows only) ---------------------------------------------------------
 
 
-@query()
+def _percent_sql(key: str) -> str:
+    """0 to 99 from the first seven hexadecimal digits of a key's MD5."""
+    digits = " + ".join(f"(strpos('0123456789abcdef', md5({key}::varchar)[{k}]) - 1) * {16 ** (7 - k)}" for k in range(1, 8))
+    return f"(({digits}) % 100)"
+
+
+@query(f"with {TIMELINE_SQL}, h as (select {_percent_sql('leg_id')} as h from timeline), p as (select unnest([1, 5, 10, 25]) as percent) select percent, count(*) as rows from h, p where h < percent group by 1")
 def s13_percent_sample(spark, sf):
     t = timeline(spark, sf)
     each = [flights.percent_sample(t, p, "leg_id").agg(F.lit(p).alias("percent"), F.count("*").alias("rows")) for p in (1, 5, 10, 25)]
@@ -698,7 +714,7 @@ def s13_percent_sample(spark, sf):
     return out
 
 
-@query()
+@query(f"with {TIMELINE_SQL} select event_type, count(*) as rows from timeline where {_percent_sql('leg_id')} < case event_type when 'click' then 10 when 'error' then 50 end group by 1")
 def s14_stratified_sample(spark, sf):
     own = flights.stratified_sample(timeline(spark, sf), "event_type", {"click": 10, "error": 50}, "leg_id")
     return own.groupBy("event_type").agg(F.count("*").alias("rows"))
@@ -747,14 +763,28 @@ def m9_tree_benchmark(spark, sf):
     return models.sweep(train, validation, "y", models.tree_models("y"))[1]
 
 
+@query()
+def m10_tree_sweep(spark, sf):
+    from ..operators import models
+
+    train, validation = _model_frames(spark, sf)
+    scores = models.sweep(train, validation, "y", models.tree_grid("y", (5, 10), (3, 4)))[1]
+    return scores.select("candidate", *[F.round(c, 6).alias(c) for c in ("global_mae", "delayed_mae", "combined_mae")])
+
+
 @query()
 def m11_weighted_logistic(spark, sf):
     from ..operators import models
 
-    train, validation = (f.withColumn("label", (F.col("y") > 15).cast("int")).drop("probability") for f in _model_frames(spark, sf))
-    out = None
-    for name, estimator in models.logistic_candidates("label").items():
-        scored = estimator.fit(models.balanced_weights(train, "label")).transform(validation)
-        one = evaluate.classification_metrics(scored, "y", 15, F.col("prediction") > 0.5).withColumn("candidate", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    train, validation = _model_frames(spark, sf)
+    return models.logistic_sweep(train, validation, "y")
+
+
+@query()
+def g10_train_and_score(spark, sf):
+    from .jobs import train_and_score
+
+    own = predictions(spark, sf).withColumn("x", F.col("leg_id") % 97 / 97.0).drop("probability")
+    part = lambda *k: own.where((F.col("leg_id") % 5).isin(*k))
+    made = train_and_score(part(0, 1), part(2), {"march": part(3), "june": part(4)}, "leg_id", "y", ["event_type"], [], ["yhat", "x"], scratch(spark, "scored"), alphas=(0.1, 10.0), regs=(0.01,))
+    return made["predictions"]

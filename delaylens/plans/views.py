@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +63,14 @@ PREDICTIONS_SQL = TIMELINE_SQL + """, predictions as (
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded; what is added first keeps halves and the sign of zero from hanging on the last bit."""
     return df.select(*[F.round(F.col(c) + F.lit(1e-9), digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for what a query has to write: in the session's ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster raises."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"

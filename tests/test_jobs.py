@@ -43,8 +43,10 @@ def test_features_and_selection(spark, legs, tmp_path):
     parts = {r["split"]: r["rows"] for r in made["contract"].collect()}
     assert set(parts) == {"train", "validation", "test"} and sum(parts.values()) == split.count()
     train, validation, test = (split.where(F.col("split") == s) for s in ("train", "validation", "test"))
-    best, errors = jobs.baseline_selection(train, validation, test, "arrival_delay_min", [["origin", "destination"], ["origin"]], (3, 20))
-    assert best in (3, 20) and errors.count() == 2
+    best, search, errors = jobs.baseline_selection(train, validation, test, "arrival_delay_min", [["origin", "destination"], ["origin"]], (3, 20))
+    rows = {r["minimum"]: r for r in search.collect()}
+    assert set(rows) == {3, 20} and best == min(rows, key=lambda m: (rows[m]["mae"], m)) and errors.count() == 2
+    assert all(r["rows"] == validation.count() == r["from_origin_destination"] + r["from_origin"] + r["from_global"] for r in rows.values())
     scores, metrics = jobs.select_and_freeze(train, validation, test, "arrival_delay_min", ["equipment"], [], ["scheduled_duration_min"], str(tmp_path / "m"), (0.1, 1.0))
     assert scores.count() == 2 and metrics.where("segment = 'all'").count() == 2
 
@@ -115,3 +117,75 @@ def test_expanded_features(spark, legs):
     assert set(parts) == {"train", "validation", "test", "final_test"}
     assert sum(parts.values()) == made["features"].count() == made["features"].select("id").distinct().count() > 0.9 * own.count()
     assert made["audit"].where("violations > 0").count() == 0 and made["nulls"].count() > 4
+
+
+def test_audit_of_monthly_files(spark, tmp_path):
+    from delaylens.sources import flights
+
+    line = "{},AAA,1.5,2.5,BBB,3.0,4.0,01-01-2022 10:00:00,01-01-2022 12:00:00,,,A320,{},REG,S,Seg,350,500.5"
+    paths = []
+    for month, last, operator in (("202201", "31", "OP"), ("202202", "28", "")):
+        folder = tmp_path / month
+        folder.mkdir()
+        path = folder / f"Flights_{month}01_{month}{last}.csv"
+        path.write_text(",".join(flights.RAW_COLUMNS) + "\n" + "\n".join(line.format(k, operator) for k in range(4)) + "\n")
+        paths.append(str(path))
+    made = jobs.audit_files(spark, paths, ["202202"], ["AC Operator", "ADEP"])
+    assert made["catalog"].count() == 2 and made["schema"].where("equal").count() == 2
+    assert {(r["month"], r["column"]): r["nulls"] for r in made["nulls"].collect()} == {("202201", "AC Operator"): 0, ("202202", "AC Operator"): 4, ("202201", "ADEP"): 0, ("202202", "ADEP"): 0}
+    cohorts = {r["column"]: r for r in made["cohorts"].collect()}
+    assert cohorts["AC Operator"]["delta"] == 100.0 and cohorts["AC Operator"]["material"] and not cohorts["ADEP"]["material"]
+
+
+def test_training_to_locked_scoring(spark, tmp_path):
+    import numpy as np
+
+    views.predictions(spark, SF).withColumn("x", (F.col("leg_id") % 97) / 97.0).drop("probability").write.parquet(str(tmp_path / "rows"))
+    own = spark.read.parquet(str(tmp_path / "rows"))
+    part = lambda *k: own.where((F.col("leg_id") % 5).isin(*k))
+    run = lambda locked, alphas=(0.1, 10.0): jobs.train_and_score(part(0, 1), part(2), locked, "leg_id", "y", ["event_type"], [], ["yhat", "x"], str(tmp_path / "ledger"), alphas=alphas, regs=(0.01,))
+    made = run({"march": part(3), "june": part(4)})
+    got = made["predictions"].collect()
+    assert len(got) == part(3, 4).count() and {r["split"] for r in got} == {"march", "june"}
+    cuts = {r["target"]: r["threshold"] for t in ("later_than_15", "later_than_1") for r in [max(made["thresholds"].where(F.col("target") == t).collect(), key=lambda r: (r["f1"], r["recall"], -r["threshold"]))]}
+    reference = np.median([r["y"] for r in part(0, 1).where("y <= 15").collect()])
+    for r in got:
+        assert 0 <= r["p_late"] <= 1 and 0 <= r["p_some"] <= 1
+        assert r["says_late"] == (r["p_late"] >= cuts["later_than_15"]) and r["says_some"] == (r["p_some"] >= cuts["later_than_1"])
+        assert r["expected"] == pytest.approx(r["p_late"] * max(15, r["minutes"]) + (1 - r["p_late"]) * reference)
+    assert made["minutes"].count() == 2 and made["chances"].count() == 2 and made["thresholds"].count() == 142
+    again = run({"march": part(3)})["predictions"]  # the same contract: the stored rows
+    assert sorted(map(tuple, again.collect())) == sorted(tuple(r) for r in got if r["split"] == "march")
+    with pytest.raises(ValueError, match="another contract"):
+        run({"march": part(3)}, alphas=(500.0,))
+    with pytest.raises(ValueError, match="another contract"):
+        run({"march": part(3).where("leg_id > 10")})
+
+
+def test_sweep_cells_equal_single_fits(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from delaylens.operators import evaluate, models
+
+    own = VectorAssembler(inputCols=["yhat", "x"], outputCol="features").transform(views.predictions(spark, SF).withColumn("x", (F.col("leg_id") % 97) / 97.0)).drop("probability").cache()
+    train, validation = own.where("leg_id % 4 <> 0"), own.where("leg_id % 4 = 0")
+    got = {(r["late"], r["candidate"], r["weights"]): r for r in models.logistic_sweep(train, validation, "y").collect()}
+    assert len(got) == 12
+    for late, reg, kind in ((15.0, 0.1, "balanced"), (1.0, 0.01, "none")):
+        weighed = models.balanced_weights(train.withColumn("label", (F.col("y") > late).cast("int")), "label", "w")
+        weighed = weighed if kind == "balanced" else weighed.withColumn("w", F.lit(1.0))
+        model = models.logistic_candidates("label", (reg,), "w")[f"reg_{reg}"].fit(weighed)
+        rows = model.transform(validation).select("y", vector_to_array("probability")[1].alias("p")).collect()
+        yes, no = [r["p"] for r in rows if r["y"] > late], [r["p"] for r in rows if r["y"] <= late]
+        auc = sum((a > b) + (a == b) / 2 for a in yes for b in no) / (len(yes) * len(no))
+        assert got[late, f"reg_{reg}", kind]["roc_auc"] == pytest.approx(auc, abs=1e-6)
+    best, scores = models.sweep(train, validation, "y", models.tree_grid("y", (3,), (2, 3)))
+    rows = {r["candidate"]: r for r in scores.collect()}
+    assert set(rows) == {"forest_3_2", "forest_3_3", "gbt_3_2", "gbt_3_3"} and best in rows
+    alone = evaluate.compact_score(models.tree_grid("y", (3,), (2,))["gbt_3_2"].fit(train).transform(validation), "y", "prediction").first()
+    assert rows["gbt_3_2"]["global_mae"] == pytest.approx(alone["global_mae"], rel=1e-6)
+    weighed = {r["candidate"]: r for r in models.weight_sweep(train, validation, "y", (1.0, 0.5)).collect()}
+    w = models.delayed_weights(train, "y", 0.5, name="_w")
+    alone = evaluate.compact_score(models.ridge(w, "y", 1.0, "_w").fit(w).transform(validation), "y", "prediction").first()
+    assert weighed["share_0.5"]["combined_mae"] == pytest.approx(alone["combined_mae"], rel=1e-4)

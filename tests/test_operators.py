@@ -2,13 +2,14 @@
 
 import datetime as dt
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from delaylens import config
 from delaylens.functions import expressions as ex
-from delaylens.operators import clean, enrich, evaluate, inference, models, pointintime, profile, ranking, reliability
+from delaylens.operators import clean, enrich, evaluate, inference, models, pointintime, profile, ranking, reliability, tally
 from delaylens.sources import flights
 
 T = lambda *a: dt.datetime(*a)
@@ -94,7 +95,7 @@ def test_rolling_equals_brute_force(spark):
     at = lambda: start + dt.timedelta(minutes=rng.randrange(0, 4000, 20))
     events = [(i, rng.choice("ABC"), at(), float(rng.randint(-20, 60))) for i in range(150)]
     targets = [(i, p, t + dt.timedelta(minutes=rng.choice([-60, 0, 30]))) for i, p, t, _ in events[:60]] + [(999, "Z", start)]
-    got = rolling(spark, targets, events, bucket_hours=5)
+    got = rolling(spark, targets, events)
     for i, p, cut in targets:
         for w in (1, 6, 24):
             own = [v for j, q, t, v in events if q == p and j != i and cut - dt.timedelta(hours=w) <= t <= cut]
@@ -222,11 +223,15 @@ def test_sources(spark, tmp_path):
     assert [r["equal"] for r in audit] == [True, True, False] and audit[2]["extra"] == ["NEW"]
     built = []
     block = lambda: built.append(1) or spark.range(5)
-    assert flights.resumable_block(spark, str(tmp_path / "blk"), block, 5).count() == flights.resumable_block(spark, str(tmp_path / "blk"), block, 5).count() == 5 and len(built) == 1
+    root = str(tmp_path / "blocks")
+    assert flights.resumable_block(spark, root, "a", block, 5).count() == flights.resumable_block(spark, root, "a", block, 5, verify=True).count() == 5 and len(built) == 1
     with pytest.raises(ValueError):
-        flights.resumable_block(spark, str(tmp_path / "blk"), block, 6)
-    flights.write_bundle({"t": spark.createDataFrame([(1.23456789,)], "x double")}, str(tmp_path / "bundle"))
+        flights.resumable_block(spark, root, "a", block, 6)
+    flights.write_bundle({"t": spark.createDataFrame([(1.23456789, 3)], "x double, flights long")}, str(tmp_path / "bundle"), metadata={"year": "2022"}, methodology=[("scope", "scheduled legs")])
     assert flights.read_bundle(spark, str(tmp_path / "bundle"), ["t"])["t"].first()["x"] == 1.2346
+    told = flights.read_bundle(spark, str(tmp_path / "bundle"), ["metadata", "metric_definitions", "methodology"])
+    assert {(r["tbl"], r["fact"], str(r["value"])) for r in told["metadata"].collect()} >= {(None, "year", "2022"), ("t", "rows", "1"), ("t", "columns", "x flights")}
+    assert [r["metric"] for r in told["metric_definitions"].collect()] == ["flights"] and told["methodology"].count() == 1
     with pytest.raises(FileNotFoundError):
         flights.read_bundle(spark, str(tmp_path / "bundle"), ["t", "u"])
 
@@ -274,3 +279,167 @@ def test_registry_is_sound():
 
     found, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(found) and len(found) > 80
+
+
+def test_interrupted_blocks_are_built_again(spark, tmp_path):
+    root, calls = str(tmp_path / "blocks"), []
+
+    def build(fail):
+        calls.append(fail)
+        df = spark.range(100).repartition(4)
+        return df.select(F.when(F.lit(fail) & (F.col("id") == 77), F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id"))
+
+    with pytest.raises(Exception, match="lost"):
+        flights.resumable_block(spark, root, "x", lambda: build(True))
+    spark.range(3).write.parquet(f"{root}/x-leftover")  # whole files that no manifest names
+    assert flights.read_manifest(spark, root).count() == 0
+    assert flights.resumable_block(spark, root, "x", lambda: build(False), 100).count() == 100 and calls == [True, False]
+    found = flights.read_manifest(spark, root).first()
+    assert found["rows"] == 100 and flights.content_of(spark.range(99, -1, -1)) == (100, found["content"])
+    spark.range(101).write.mode("overwrite").parquet(found["path"])
+    with pytest.raises(ValueError, match="what was written"):
+        flights.resumable_block(spark, root, "x", lambda: build(False), verify=True)
+
+
+def test_quantiles_and_totals_from_counts(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    data = [(rng.choice(["a", "b", None]), rng.choice([float(rng.randint(0, 9)), rng.gauss(0, 50), None])) for _ in range(3000)] + [("c", 4.0), ("d", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    t = tally.Tally(df, ["k"], {"v": F.col("v")}, {"kinds": F.col("v")}, {"late": F.col("v") > 5})
+    got = {r["k"]: r for r in t.agg({"n": t.rows("v"), "q": t.quantile("v", 0.3), "p90": t.quantile("v", 0.9), "mean": t.mean("v"), "kinds": t.differing("kinds"), "late": t.marked("late")}).collect()}
+    for k in ("a", "b", None, "c"):
+        own = [v for x, v in data if x == k and v is not None]
+        r = got[k]
+        assert (r["n"], r["kinds"], r["late"]) == (len(own), len(set(own)), sum(v > 5 for v in own))
+        assert r["q"] == pytest.approx(np.quantile(own, 0.3)) and r["p90"] == pytest.approx(np.quantile(own, 0.9)) and r["mean"] == pytest.approx(np.mean(own))
+    assert "d" not in got
+    every = sorted(v for _, v in data if v is not None)
+    whole = tally.Tally(df, [], {"v": F.col("v")})
+    r = whole.agg({"m": whole.quantile("v", 0.5), "p": whole.quantile("v", 0.99)}).first()
+    assert r["m"] == pytest.approx(np.quantile(every, 0.5)) and r["p"] == pytest.approx(np.quantile(every, 0.99))
+    ranks = {r["v"]: r for r in ranking.value_ranks(df, "v").collect()}
+    for v in set(every):
+        below, rows = sum(x < v for x in every), every.count(v)
+        assert (ranks[v]["below"], ranks[v]["rows"], ranks[v]["total"], ranks[v]["rank"]) == (below, rows, len(every), below + (rows + 1) / 2)
+    none = df.where("false")
+    assert ranking.value_ranks(none, "v").count() == 0 and tally.medians(none, ["v"]).first()["_v"] is None
+    for made in (ranking.value_ranks(df, "v"), evaluate.ranking_quality(df.withColumn("p", F.col("v") / 100), F.col("v") > 5, "p"), tally.medians(df, ["v"])):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan and not re.search(r"Window .*\n(.*Sort .*\n)?.*(Exchange|ShuffleQueryStage).*SinglePartition", plan)
+
+
+def test_values_far_from_zero_keep_their_digits(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    start = T(2022, 1, 1)
+    events = [(i, "A", start + dt.timedelta(minutes=7 * i), 1e6 + rng.random()) for i in range(600)]
+    targets = [(i, "A", at) for i, _, at, _ in events[::9]]
+    got = rolling(spark, targets, events)
+    for i, _, cut in targets:
+        own = [v for j, _, t, v in events if j != i and cut - dt.timedelta(hours=24) <= t <= cut]
+        if own:
+            assert got[i]["d_24h_std"] == pytest.approx(np.std(own), abs=1e-6) and got[i]["d_24h_mean"] == pytest.approx(np.mean(own), abs=1e-6)
+    x = np.array([1e8 + rng.random() for _ in range(500)])
+    y = 2e8 + (x - x.mean()) + np.array([rng.random() for _ in range(500)])
+    r = inference.correlations(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"), ["x", "y"]).first()
+    assert r["pearson"] == pytest.approx(np.corrcoef(x - x.mean(), y - y.mean())[0, 1], abs=1e-7)
+
+
+def test_planted_future_events_are_found(spark):
+    day = lambda h, m=0: T(2022, 1, 1, h, m)
+    t = spark.createDataFrame([(1, "A", day(9)), (2, "A", day(12))], "id long, place string, cutoff timestamp")
+    e = spark.createDataFrame([(3, "A", day(8, 30), 5.0), (4, "A", day(11, 30), 7.0), (5, "A", day(9, 1), 9.0)], "id long, place string, at timestamp, delay double")
+    honest = pointintime.rolling_event_features(t, e, ["place"], "at", "delay", "d", windows=(1,))
+    late = t.withColumn("cutoff", F.col("cutoff") + F.expr("interval 5 minutes"))
+    leaking = pointintime.rolling_event_features(late, e, ["place"], "at", "delay", "d", windows=(1,))
+    audit = lambda f: pointintime.recount_audit(f, t, e, ["place"], "at", "delay", "d", "id", "cutoff", (1,)).first()["violations"]
+    assert audit(honest) == 0 and audit(leaking) == 1
+    with pytest.raises(ValueError):
+        pointintime.leakage_audit(leaking, t, "id", "cutoff", "d", (1,), fail=True)
+    s = spark.createDataFrame([(1, "A", "B", day(10, 5), day(11), day(6)), (9, "A", "C", day(10, 50), day(12), day(9, 30)), (8, "D", "B", day(3), day(11, 59), day(2))], "id long, o string, d string, dep timestamp, arr timestamp, filed timestamp")
+    own = s.where("id = 1").withColumn("cutoff", F.lit(day(9)))
+    p = pointintime.scheduled_pressure(own, s, "id", "o", "d", "dep", "arr")
+    check = lambda df, known=None: pointintime.pressure_audit(df, own, s, "id", "cutoff", "o", "d", "dep", "arr", known).first()["violations"]
+    assert check(p) == 0 and check(p, "filed") == 1 and check(p.withColumn("origin_pressure", F.lit(7))) == 1
+
+
+def test_baselines_of_all_minimums(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    row = lambda: (rng.choice("AB"), rng.choice("XYZ"), rng.choice([None, "o", "p"]), float(rng.randint(-10, 60)))
+    train, test = [row() for _ in range(400)], [row() for _ in range(60)] + [("C", "X", "o", 5.0)]
+    schema = "origin string, destination string, operator string, y double"
+    levels = [("full", ["origin", "destination", "operator"], 1), ("route", ["origin", "destination"], 1), ("origin", ["origin"], 1)]
+    got = {r["minimum"]: r for r in evaluate.baseline_search(spark.createDataFrame(test, schema), spark.createDataFrame(train, schema), "y", levels, (5, 40, 1000)).collect()}
+    for least, r in got.items():
+        errors, sources = [], []
+        for a, b, c, y in test:
+            groups = [("full", [v for p, q, o, v in train if (p, q, o) == (a, b, c) and o is not None]), ("route", [v for p, q, _, v in train if (p, q) == (a, b)]), ("origin", [v for p, *_, v in train if p == a]), ("global", [v for *_, v in train])]
+            name, own = next((n, g) for n, g in groups if len(g) >= least or n == "global")
+            errors.append(y - np.median(own))
+            sources.append(name)
+        assert (r["rows"], r["from_full"], r["from_route"], r["from_origin"], r["from_global"]) == (len(test), *[sources.count(n) for n in ("full", "route", "origin", "global")])
+        assert r["mae"] == pytest.approx(np.mean(np.abs(errors))) and r["rmse"] == pytest.approx(np.sqrt(np.mean(np.square(errors))))
+
+
+def test_values_are_checked_inside_the_operators(spark):
+    bad = spark.createDataFrame([(0.5, 1.0), (1.5, 2.0)], "p double, v double")
+    for c in (evaluate.hurdle(F.col("p"), F.col("v"), ex.num(0)), evaluate.chance(F.col("p")), evaluate.blend(F.lit(float("nan")), F.col("v"), 0.5), evaluate.finite(F.lit(float("inf")), "x")):
+        with pytest.raises(Exception, match="probability|finite"):
+            bad.select(c.alias("x")).collect()
+    assert bad.where("p = 0.5").select(evaluate.hurdle(F.col("p"), ex.num(120), ex.num(0)).alias("x")).first()["x"] == 60.0  # no cap unless asked
+
+
+def test_labels_extremes_and_names(spark):
+    rows = [(f"r{k}", 100 + k, 3, 50.0 + k, 60.0 + k) for k in range(12)] + [("lucky", 3, 3, 40.0, 100.0)]
+    frame = spark.createDataFrame(rows, "route string, flights long, periods_active long, otp15_low_pct double, otp15_high_pct double")
+    assert {r["route"] for r in reliability.label_candidates(frame, ["route"]).collect()} == {"r11", "r10", "r9", "r8", "r0", "r1", "r2"}
+    few = config.ReliabilityConfig(min_route_flights=50, min_route_periods=1)
+    assert reliability.plot_frame(frame, ["route"], few).count() == 12 and reliability.plot_frame(frame, ["route"], few, executive=False).count() == 13
+    t = spark.createDataFrame([("a", 9, "improving", 5.0), ("b", 8, "deteriorating", -7.0), ("c", 7, "no_material_trend", -20.0), ("d", 1, "improving", 50.0)], "k string, n long, signal string, change double")
+    assert [(r["k"], r["side"]) for r in inference.trend_extremes(t, "k", "n", pool=3, n=1).collect()] == [("b", "worst"), ("a", "best")]
+    w = spark.createDataFrame([("s", "a", 40, 10.0, 1.0), ("s", "b", 40, 10.0, None), ("s", "c", 5, 99.0, 1.0)], "scope string, origin string, flights long, late_15_pct double, lat double")
+    assert reliability.worst_routes(w, ["scope"], "origin", 30).first()[:] == ("s", "b", 2) and reliability.worst_routes(w, ["scope"], "origin", 30, ["lat"]).first()["origin"] == "a"
+    o = spark.createDataFrame([("AB",), ("ZZZ",), (None,)], "op string")
+    assert [r["op"] for r in clean.named_operators(o, "op").collect()] == ["AB"]
+    assert [r[0] for r in o.select(clean.operator_label(F.col("op"))).collect()] == ["AB", "Unknown operator", "Unknown operator"]
+    g = spark.createDataFrame([(None, "US"), ("EU", "FR"), (" ", "BR"), (None, "XX")], "continent string, iso string")
+    assert [r["continent"] for r in enrich.fill_by_code(g, "continent", "iso", {"NA": ["US"], "SA": ["BR"]}).collect()] == ["NA", "EU", "SA", None]
+
+
+def test_profile_roles_and_casts(spark):
+    rows = [(str(k), f"2022-01-{k % 28 + 1:02d}", "xy"[k % 2], f"free text {k}", k, " " if k % 2 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "num string, day string, cat string, txt string, id long, nil string")
+    roles = profile.column_roles(df, df.columns)
+    got = {r["column"]: r for r in roles.collect()}
+    assert {c: r["role"] for c, r in got.items()} == {"num": "numeric", "day": "datetime", "cat": "category", "txt": "text", "id": "numeric", "nil": "empty"}
+    assert got["cat"]["frequent"] == ["x", "y"] or got["cat"]["frequent"] == ["y", "x"]
+    assert got["nil"]["nulls"] == 400 and len(got["txt"]["samples"]) == 3 and set(got["txt"]["samples"]) <= {r[3] for r in rows}
+    cast = dict(profile.coerce_by_profile(df, roles).dtypes)
+    assert (cast["num"], cast["day"], cast["cat"], cast["id"]) == ("double", "timestamp", "string", "bigint")
+
+
+def test_dimension_files_splits_and_variants(spark, tmp_path):
+    (tmp_path / "dim.csv").write_text("code,lat\nAAA,1.5\nBBB,2.5\n")
+    assert dict(flights.read_dimension(spark, str(tmp_path / "dim.csv")).dtypes) == {"code": "string", "lat": "double"}
+    df = spark.createDataFrame([("train", 1), ("test", 2)], "split string, v long")
+    back = flights.write_split(df, str(tmp_path / "split"), ["split"])
+    assert sorted((r["split"], r["v"]) for r in back.collect()) == [("test", 2), ("train", 1)]
+    made = models.ValueTransformer(columns=["a"], applyLog=True, applyYeoJohnson=True, lambdas=[1.0]).transform(spark.createDataFrame([(3.0,)], "a double"))
+    value = lambda v: models.variant_assembler(["a"], v).transform(made).first()["features"][0]
+    assert (value("original"), value("log"), value("yeo_johnson")) == (3.0, pytest.approx(math.log1p(3)), 3.0)
+    with pytest.raises(ValueError):
+        models.variant_assembler(["a"], "root")
+    assert clean.available_features(made, ["a", "zz"], ["a_log"]).columns == ["a", "a_log"]
+    dup = spark.createDataFrame([("k", 2, "a"), ("k", 1, "b")], "k string, x int, y string")
+    assert enrich.dedupe_by_field(dup, "k").first()[:] == ("k", 1, "b") and enrich.dedupe_by_field(dup, "k", False).first()[:] == ("k", 1, "a")
