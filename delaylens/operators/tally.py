@@ -75,7 +75,10 @@ class Tally:
         distinct, self.keys, self.marks = distinct or {}, list(keys), list(marks or {})
         self.codes = {name: k for k, name in enumerate([*values, *distinct])}
         cell = lambda name, v, label: F.struct(F.lit(self.codes[name]).alias("measure"), v.cast("double").alias("value"), label.cast("string").alias("label"), *[(c if name == next(iter(values)) else F.lit(False)).alias(m) for m, c in (marks or {}).items()])
-        cells = [cell(n, c, F.lit(None)) for n, c in values.items()] + [cell(n, F.lit(None), c) for n, c in distinct.items()]
+        # days and small integers are told apart as numbers, all else as text
+        kinds = dict(df.select(*[c.alias(n) for n, c in distinct.items()]).dtypes) if distinct else {}
+        small = {"date": F.unix_date, "int": lambda c: c, "smallint": lambda c: c, "tinyint": lambda c: c}
+        cells = [cell(n, c, F.lit(None)) for n, c in values.items()] + [cell(n, small[kinds[n]](c), F.lit(None)) if kinds[n] in small else cell(n, F.lit(None), c) for n, c in distinct.items()]
         each = df.select(*self.keys, F.explode(F.array(*cells)).alias("c")).select(*self.keys, "c.*").where("value is not null or label is not null")
         self.counted = each.groupBy(*self.keys, "measure", "value", "label").agg(F.count("*").alias("n"), *[F.count_if(m).alias(m) for m in self.marks])
 
