@@ -61,13 +61,43 @@ _PLAIN = re.compile("[!-;=-~\u00c0-\u012f\u0131-\u0148\u014a-\u017e]+").fullmatc
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
 
 
+#: A byte that no UTF-8 text has; it stands for the mark at a word's end.
+_END = b"\xff"
+
+
+def word_merger(tokenizer_json: str):
+    """A faster encoder of one lower-cased part of a word, given as bytes, with the file's own merges; None if the file is of another kind.
+
+    Ids must run from bytes over bytes that end a word to merges in their
+    order.  With the mark as a byte of its own, a word's last byte and the mark
+    then merge before all else, which is how the tokenizer starts.
+    """
+    import tiktoken
+
+    from .alignment import byte_level
+
+    made = json.loads(tokenizer_json)
+    model, special = made["model"], {t["id"] for t in made["added_tokens"]}
+    suffix, as_byte = model.get("end_of_word_suffix"), byte_level()
+    if not suffix or model["type"] != "BPE" or model.get("continuing_subword_prefix"):
+        return None
+    tokens = {t: i for t, i in model["vocab"].items() if i not in special}
+    spelt = {t: bytes(map(as_byte.__getitem__, t.removesuffix(suffix))) + _END * t.endswith(suffix) for t in tokens if set(t.removesuffix(suffix)) <= as_byte.keys()}
+    ranks = {raw: tokens[t] for t, raw in spelt.items()}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    in_order = all(tokens.get(a + b) == 512 + k for k, (a, b) in enumerate(pairs)) and all(ranks.get(bytes([b]), 999) < 256 <= ranks.get(bytes([b]) + _END, 999) < 512 for b in range(256))
+    if not in_order or len(ranks) != len(tokens):
+        return None
+    return tiktoken.Encoding("merges", pat_str="(?s).", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class WordIds(dict):
     """Words between white space -> their serialized ids, as the tokenizer makes them.
 
     The tokenizer must drop white space and let no token cross it; then a
     text's ids are those of its words in order, and each distinct word is
-    encoded once.  Plain words are encoded many at a time: the last token of
-    each part of a word carries a mark, and the number of parts is known.
+    encoded once.  Plain words are cut into their parts here and merged by
+    ``word_merger``; all others go through the tokenizer.
     """
 
     def __init__(self, tokenizer_json: str, width: np.dtype):
@@ -75,10 +105,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.width = Tokenizer.from_str(tokenizer_json), width
-        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
-        names = sorted((i, t) for t, i in self.tokenizer.get_vocab().items())
-        self.closes = np.array([bool(suffix) and t.endswith(suffix) for _, t in names]) if [i for i, _ in names] == list(range(len(names))) else np.zeros(0, bool)
+        self.tokenizer, self.width, self.merge = Tokenizer.from_str(tokenizer_json), width, word_merger(tokenizer_json)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
@@ -86,26 +113,22 @@ class WordIds(dict):
             self.clear()
             new = list(words)
         self[""] = b""
-        plain = [w for w in new if self.closes.any() and _PLAIN(w)]
-        for k in range(0, len(plain), 10_000):
-            self._learn_plain(plain[k : k + 10_000])
+        plain = [w for w in new if _PLAIN(w)] if self.merge else []
+        ids, ends = [], []
+        for w in plain:
+            for part in _PARTS(w.lower()):
+                ids += self.merge(part.encode() + _END)
+            ends.append(len(ids) * self.width.itemsize)
+        raw, start = np.array(ids, dtype=self.width).tobytes(), 0
+        for w, end in zip(plain, ends):
+            self[w] = raw[start:end]
+            start = end
         new = [w for w in new if w not in self]
         for k in range(0, len(new), 10_000):
             some = new[k : k + 10_000]
             for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self[word] = np.array(got.ids, dtype=self.width).tobytes()
 
-    def _learn_plain(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
-        parts = np.cumsum([len(_PARTS(w.lower())) for w in words])
-        closes = np.flatnonzero(self.closes[ids]) + 1
-        if len(closes) != parts[-1] or closes[-1] != len(ids):
-            return  # not as expected: they are encoded one by one
-        raw, start = ids.astype(self.width).tobytes(), 0
-        for word, end in zip(words, (closes[parts - 1] * self.width.itemsize).tolist()):
-            self[word] = raw[start:end]
-            start = end
-
     def learn_all(self, texts: list[str | None]) -> None:
         """Learn the words of many texts at once; what is forgotten again is learnt as it is met."""
         unknown: set[str] = set()
@@ -119,9 +142,11 @@ class WordIds(dict):
         out = []
         for part in stretches(text):
             words = part.replace("\n", " ").split(" ")
-            if not all(map(self.__contains__, words)):
+            try:
+                out += list(map(self.__getitem__, words))
+            except KeyError:
                 self.learn(set(words))
-            out.extend(map(self.__getitem__, words))
+                out += list(map(self.__getitem__, words))
         return b"".join(out)
 
 
