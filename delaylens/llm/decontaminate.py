@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordNumbers, blocks, byte_texts, mix64, with_fields, written
+from .shared import WordNumbers, blocks, byte_texts, mix64, spread_join, with_fields, written
 
 #: Words of a window.
 WINDOW = 10
@@ -69,6 +69,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item_id: str =
 
 
 
+#: Windows of one text in a record batch of the join.
+CUT = 10_000
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every document with the benchmark windows found in it.
 
@@ -132,6 +136,8 @@ def _scanned(rows: DataFrame, found: dict) -> DataFrame:
 def _joined(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The same by a join of windows, for a benchmark too large to broadcast; hits come back by a number of the row, written with it."""
     rows = written(rows.select("_row", F.monotonically_increasing_id().alias("_id"), "_text"), "numbered")
+    wanted = written(wanted, "windows")
+    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # at most `window` rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = WordNumbers()
@@ -140,14 +146,17 @@ def _joined(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             for i, t in zip(ids, byte_texts(batch, "_text")):
                 words = words_of(t)
                 numbers = np.array([number[w] for w in words], dtype=np.uint64)
-                for size in range(1, min(window, len(words)) + 1):
+                for size in (s for s in sizes if s <= len(words)):
                     hashes = window_hashes(numbers, size).view(np.int64)
-                    n = len(hashes)
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array([size] * n, pa.int32()), pa.array(hashes), pa.array([b" ".join(words[k : k + size]) for k in range(n)], pa.binary())], names=["doc_id", "at", "size", "hash", "words"])
-
-    sizes = [r[0] for r in wanted.select("size").distinct().collect()]  # at most `window` rows
-    cuts = rows.select(F.col("_id").alias("doc_id"), "_text").mapInArrow(cut, "doc_id long, at int, size int, hash long, words binary").where(F.col("size").isin(sizes))
-    hits = cuts.join(wanted, ["size", "hash", "words"])
+                    for start in range(0, len(hashes), CUT):  # a long text is many batches
+                        n = len(own := hashes[start : start + CUT])
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array(np.arange(start, start + n, dtype=np.int32)), pa.array([size] * n, pa.int32()), pa.array(own), pa.array([b" ".join(words[k : k + size]) for k in range(start, start + n)], pa.binary())], names=["doc_id", "at", "size", "hash", "words"])
+
+    cuts = rows.select(F.col("_id").alias("doc_id"), "_text").mapInArrow(cut, "doc_id long, at int, size int, hash long, words binary")
+    # how often each wanted window occurs is combined in the tasks; frequent ones are split over tasks
+    often = written(cuts.groupBy("size", "hash").count().join(wanted.select("size", "hash").distinct(), ["size", "hash"], "left_semi"), "window-counts")
+    total = often.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    hits = spread_join(cuts, wanted.join(often, ["size", "hash"]), ["size", "hash", "words"], "count", total)
     spans = hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1))))).alias("hit_words"))
     items = hits.select("doc_id", F.explode("items").alias("item")).groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("hit_items"))
     own = spans.join(items, "doc_id", "left").withColumnRenamed("doc_id", "_hit_id")

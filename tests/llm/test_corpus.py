@@ -615,6 +615,16 @@ def test_lines_of_repeated_ids_and_clashing_names(spark):
     assert sorted((r["doc_id"] or -1, r["text"], r["n_dropped"]) for r in out.collect()) == [(-1, line, 0), (1, line, 0), (1, f"x\n{line}", 0), (2, "y", 1)]
 
 
+def test_a_window_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_KEYS", 1)
+    monkeypatch.setattr(decontaminate, "CUT", 7)
+    notice = " ".join(f"w{k}" for k in range(12))
+    df = spark.createDataFrame([(k, f"start {k} {notice} end") for k in range(300)] + [(300, "zz top"), (301, None)], DOCS)
+    items = spark.createDataFrame([(1, notice), (2, "zz")], "item_id long, text string")
+    got = {n: sorted(map(tuple, decontaminate.report(decontaminate.find_hits(df, items, max_windows=n, keep=["doc_id"])).collect())) for n in (0, 10**6)}
+    assert got[0] == got[10**6] and sum(r[2] for r in got[0]) == 300 * 12 + 1
+
+
 def test_many_repeated_lines_in_one_text(spark):
     import time
 
