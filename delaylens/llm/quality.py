@@ -144,10 +144,16 @@ def discounts(n: tuple[int, int, int, int]) -> tuple[float, float, float]:
 
 
 def model_levels(grams: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, tuple[float, float, float]]]:
-    """For each order from 1 up: its n-grams ``key`` with counts ``c`` (continuation counts below the highest), and discounts."""
+    """For each order from 1 up: its n-grams ``key`` with counts ``c`` (continuation counts below the highest), and discounts.
+
+    Each level is written once: it is read for the next lower one, for the
+    discounts, for its contexts and for its probabilities, and a plan that
+    worked it out each time would double with every order.
+    """
     tables = [grams.select("key", "c")]
     for k in range(order - 1, 0, -1):
-        tables.append(tables[-1].groupBy(F.col("key").bitwiseAND((1 << 8 * k) - 1).alias("key")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")))
+        lower = tables[-1].groupBy(F.col("key").bitwiseAND((1 << 8 * k) - 1).alias("key")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c"))
+        tables.append(written(lower, f"level-{k}"))
     tables.reverse()
     tally = None
     for k, t in enumerate(tables):
