@@ -11,16 +11,29 @@ from pyspark.sql.window import Window
 from ..functions.expressions import chi2_p, num, percent, ratio, student_t_p, two_proportion_z, two_sided_p
 from .ranking import top_rows, value_ranks
 from .reliability import ARRIVAL, DEPARTURE, DURATION
+from .tally import heard, with_range
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", name: str = "p_adjusted", keys: Sequence[str] = ()) -> DataFrame:
-    """Adjusted p values: the running minimum of p * m / rank from the largest p; null p values stay null and do not count."""
-    own = Window.partitionBy(*keys, F.col(p).isNotNull())
-    order = own.orderBy(F.col(p))
-    ranked = df.withColumns({"_m": F.count(p).over(own), "_r": F.rank().over(order) + F.count("*").over(Window.partitionBy(*keys, p)) - 1})
-    raw = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
-    low = F.min("_q").over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    return raw.withColumn(name, F.when(F.col(p).isNotNull(), F.least(num(1), low))).drop("_m", "_r", "_q")
+    """Adjusted p values: the running minimum of p * m / rank from the largest p; null p values stay null and do not count.
+
+    Without keys the p values are cut into ranges, which tell each other how
+    many they hold and their smallest p * m / rank, so no task holds all rows.
+    With keys a task holds the rows of a key.  All frames run from their first row.
+    """
+    by = [*keys] if keys else ["_range"]
+    own = Window.partitionBy(*by)
+    upto = lambda order: own.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = (df if keys else with_range(df, p)).withColumns({"_r": F.count(p).over(upto(F.asc(p))), "_m": F.count(p).over(own)})
+    if not keys:
+        below = F.when(F.col("_from") < F.col("_range"), F.col("_m"))
+        out = heard(out, p, {"_below": (F.sum, below), "_all": (F.sum, F.col("_m"))}).withColumns({"_r": F.col("_r") + F.coalesce("_below", F.lit(0)), "_m": F.col("_all")})
+    out = out.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
+    out = out.withColumns({"_low": F.min("_q").over(upto(F.desc(p))), "_least": F.min("_q").over(own)})
+    if not keys:
+        above = F.when(F.col("_from") > F.col("_range"), F.col("_least"))
+        out = heard(out, p, {"_above": (F.min, above)}).withColumn("_low", F.least("_low", "_above"))
+    return out.withColumn(name, F.when(F.col(p).isNotNull(), F.least(num(1), "_low"))).select(*df.columns, name)
 
 
 def group_against_rest(groups: DataFrame, key: str, successes: str = "otp15_count", n: str = "flights", least: int = 0, materiality: float = 3.0, alpha: float = 0.05) -> DataFrame:

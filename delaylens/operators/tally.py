@@ -9,7 +9,7 @@ added up.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from math import ceil, sqrt
 
@@ -27,7 +27,7 @@ def with_range(counted: DataFrame, value: str) -> DataFrame:
     them in two steps of about the square root of their number.  Rows without
     a value are dealt over the ranges.
     """
-    k = max(2, ceil(sqrt(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))))
+    k = _side(counted)
     v = F.col(value).cast("double")
     bounds = counted.agg(F.percentile_approx(v, F.array(*[num(i / (k * k)) for i in range(1, k * k)]), F.lit(10_000)).alias("_bounds"))
     coarse = F.size(F.filter(F.array(*[F.col("_bounds")[i] for i in range(k - 1, k * k - 1, k)]), lambda b: b < F.col("_v")))
@@ -38,6 +38,27 @@ def with_range(counted: DataFrame, value: str) -> DataFrame:
     return placed.withColumn("_range", F.when(F.col("_v").isNull() | F.col("_bounds").isNull(), spread).otherwise(F.col("_coarse") * k + fine)).drop("_v", "_bounds", "_coarse")
 
 
+def _side(df: DataFrame) -> int:
+    """The square root of the number of ranges."""
+    return max(2, ceil(sqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))))
+
+
+def heard(placed: DataFrame, order: str, told: dict[str, tuple[Callable[[Column], Column], Column]]) -> DataFrame:
+    """``placed`` (see ``with_range``) with aggregates, each given as (function, value), over what all ranges say.
+
+    The first row of a range goes to every range as a message; ``_from`` is
+    the sender's range, ``_range`` the hearer's.  So rows are not worked out
+    again for totals, which could then be those of slightly other values.
+    """
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    ways = F.when(F.col("_place") == 1, F.sequence(F.lit(-1), F.lit(_side(placed) ** 2 - 1))).otherwise(F.array(F.lit(-1)))
+    sent = placed.withColumn("_place", place).withColumn("_to", F.explode(ways)).withColumnRenamed("_range", "_from")
+    sent = sent.withColumn("_range", F.when(F.col("_to") < 0, F.col("_from")).otherwise(F.col("_to")))
+    here = Window.partitionBy("_range")
+    heard = {name: f(F.when(F.col("_to") >= 0, value)).over(here) for name, (f, value) in told.items()}
+    return sent.withColumns(heard).where("_to < 0").drop("_place", "_to", "_from")
+
+
 def running_totals(counted: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), ranges: bool | None = None) -> DataFrame:
     """``counted``, which has each value once (for each ``by``), with ``{s}_before``, the sum over smaller values, and ``{s}_total`` for each of ``sums``.
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from delaylens.operators import inference
 
 
 @pytest.fixture
@@ -40,3 +41,20 @@ def test_worst_route_goes_by_rate_and_origin_together(same_as_sql):
     late = "k % 3 = 1 and k < 15003 or k % 3 = 2 and k < 15000"
     got, want = same_as_sql("k8_k9_worst_route", leg_tables(f"select k as o, 7::bigint as s, case when {late} then 400 else 0 end as days from range(30000) t(k)"))
     assert got == want and ("all", 7, 24, 3) in got
+
+
+def test_adjusted_p_values_run_from_the_first_row(same_as_sql, spark):
+    """Each user's mean is half of a millionth of the largest value more than a round figure: rounded up, as in the SQL; no frame runs to the last row."""
+    got, want = same_as_sql("t3_w5_adjusted_p", {"events": "select k as user_id, (k % 700 + 0.5) * 1.0::double as value from range(3000) t(k) union all select 5000, 1000000.0"})
+    assert got == want and len(got) == 3001
+    ps = [(i, None if i % 50 == 0 else ((i * 7919) % 1000) ** 2 / 1e6) for i in range(3000)]
+    out = inference.benjamini_hochberg(spark.createDataFrame(ps, "i int, p_value double"))
+    plan = out._jdf.queryExecution().executedPlan().toString().lower()
+    assert "currentrow$(), unboundedfollowing$()" not in plan
+    rows, low, want = [r for r in ps if r[1] is not None], 1.0, {}
+    m = len(rows)
+    for p in sorted({p for _, p in rows}, reverse=True):
+        low = min(low, p * m / sum(q <= p for _, q in rows))
+        want[p] = low
+    for r in out.collect():
+        assert r["p_adjusted"] == (None if r["p_value"] is None else pytest.approx(want[r["p_value"]], rel=1e-12))
