@@ -17,7 +17,7 @@ from ..functions.expressions import num, percent, ratio, wilson
 from .clean import duration_band, explode_scopes, grid_cell, hour_bucket, scope_band, scopes_of, severity_band
 from .enrich import role_union
 from .ranking import top_rows, value_ranks
-from .tally import Tally
+from .tally import Tally, gathered
 
 CONFIG = ReliabilityConfig()
 ARRIVAL, DEPARTURE, DURATION = "arrival_delay_min", "departure_delay_min", "scheduled_duration_min"
@@ -48,16 +48,27 @@ def overall_kpis(legs: DataFrame, operator: str = "operator", origin: str = "ori
     )
 
 
-def grouped_performance(legs: DataFrame, keys: Sequence[str], config: ReliabilityConfig = CONFIG) -> DataFrame:
-    """Volume, reliability, severity and recovery for each group of legs with an arrival delay; null keys are a group."""
+def grouped_performance(legs: DataFrame, keys: Sequence[str], config: ReliabilityConfig = CONFIG, many: bool = False) -> DataFrame:
+    """Volume, reliability, severity and recovery for each group of legs with an arrival delay; null keys are a group.
+
+    ``many`` groups, with few legs each, are gathered before legs are counted.
+    """
+    own = legs.where(F.col(ARRIVAL).isNotNull())
+    return _performance(gathered(own, keys) if many else own, keys, config, many)
+
+
+def _performance(legs: DataFrame, keys: Sequence[str], config: ReliabilityConfig, together: bool, distinct: dict | None = None, more=lambda t: {}) -> DataFrame:
+    """The columns of ``grouped_performance``; ``distinct`` columns count over legs without a delay too, ``more`` makes columns of them."""
     a, d, value = F.col(ARRIVAL), F.col(DEPARTURE), F.col("value")
-    t = Tally(legs.where(a.isNotNull()), keys, {"arrival": a, "departure": d, "recovery": d - a, "duration": F.col(DURATION)}, {"periods": F.col("period"), "days": F.col("departure_date")}, {"recovered": (d > 15) & (a <= 15)})
+    seen = lambda c: F.when(a.isNotNull(), F.col(c))
+    t = Tally(legs, keys, {"arrival": a, "departure": seen(DEPARTURE), "recovery": d - a, "duration": seen(DURATION)}, {"periods": seen("period"), "days": seen("departure_date"), **(distinct or {})}, {"recovered": (d > 15) & (a <= 15)}, together)
     out = t.agg(
         {"flights": t.rows("arrival"), "periods_active": t.differing("periods"), "active_days": t.differing("days"), "otp15_count": t.rows("arrival", value <= config.on_time_minutes), "arrival_mean": t.mean("arrival")}
         | {"arrival_median": t.quantile("arrival", 0.5), "arrival_p90": t.quantile("arrival", 0.9), "arrival_p95": t.quantile("arrival", 0.95), "departure_median": t.quantile("departure", 0.5), "recovery_median": t.quantile("recovery", 0.5), "duration_median": t.quantile("duration", 0.5)}
         | {"departed_late_15": t.rows("departure", value > 15), "recovered_count": t.marked("recovered"), "worsened_count": t.rows("recovery", value < 0)}
         | {f"late_{m}_count": t.rows("arrival", value > m) for m in config.delay_thresholds}
-    )
+        | more(t)
+    ).where("flights > 0")
     n = F.col("flights")
     rates = {"otp15_pct": percent(F.col("otp15_count"), n), "worsened_pct": percent(F.col("worsened_count"), n), "recovered_pct": percent(F.col("recovered_count"), F.col("departed_late_15")), "otp15_low_pct": wilson_pct(F.col("otp15_count"), n, z=config.z), "otp15_high_pct": wilson_pct(F.col("otp15_count"), n, True, config.z)}
     return out.withColumns(rates | {f"late_{m}_pct": percent(F.col(f"late_{m}_count"), n) for m in config.delay_thresholds})
@@ -68,12 +79,10 @@ def route_performance(legs: DataFrame, origin: str = "origin", destination: str
 
 
 def operator_performance(legs: DataFrame, operator: str = "operator", origin: str = "origin", destination: str = "destination") -> DataFrame:
-    """``grouped_performance`` by operator with breadth and route concentration over all of its legs."""
-    routes = legs.groupBy(operator, origin, destination).count()
-    all_ = Window.partitionBy(operator)
-    hhi = routes.withColumn("_s", F.col("count") / F.sum("count").over(all_)).groupBy(operator).agg(F.count("*").alias("routes"), F.sum(F.col("_s") * F.col("_s")).alias("route_hhi"))
-    airports = role_union(routes.select(operator, origin, destination), origin, destination).where("airport is not null").groupBy(operator).agg(F.count_distinct("airport").alias("airports"))
-    return grouped_performance(legs, [operator]).join(hhi, operator, "left").join(airports, operator, "left")
+    """``grouped_performance`` by operator with breadth and route concentration over all of its legs, from one pass over them."""
+    breadth = {"routes": F.to_json(F.struct(F.col(origin).alias("o"), F.col(destination).alias("d"))), "airports": [F.col(origin).cast("string"), F.col(destination).cast("string")]}
+    more = lambda t: {"routes": t.differing("routes"), "route_hhi": t.concentration("routes"), "airports": t.differing("airports")}
+    return _performance(gathered(legs, [operator]), [operator], CONFIG, True, breadth, more)
 
 
 def airport_performance(legs: DataFrame, role: str, origin: str = "origin", destination: str = "destination") -> DataFrame:
@@ -310,12 +319,17 @@ def route_scope_summary(legs: DataFrame, origin: str = "origin", destination: st
 
 
 def eligible_breakdown(legs: DataFrame, routes: DataFrame, by: str, origin: str = "origin", destination: str = "destination") -> DataFrame:
-    """Eligible routes of each scope by a further key (period or operator); ``routes`` has ``scope``, the route, and ``eligible`` unless all of them are."""
+    """Eligible routes of each scope by a further key (period or operator); ``routes`` has ``scope``, the route, and ``eligible`` unless all of them are.
+
+    Legs are gathered once by route and key, and routes are chosen at the end, so that only finished rows meet them.
+    """
     chosen = (routes.where("eligible") if "eligible" in routes.columns else routes).select("scope", origin, destination)
-    t = _by_scope(legs.where(F.col(by).isNotNull()), [origin, destination, by])
-    t.counted = t.counted.join(chosen, ["scope", origin, destination], "left_semi")
+    keys = [origin, destination, by]
+    own = gathered(legs.where(F.col(ARRIVAL).isNotNull()).dropna(subset=keys).select(*keys, ARRIVAL, scope_band(DURATION).alias("_band")), keys)
+    t = Tally(own.withColumn("scope", F.explode(scopes_of("_band"))), ["scope", *keys], {"arrival": F.col(ARRIVAL)}, together=True)
     n, late = t.rows("arrival"), t.rows("arrival", F.col("value") > 15)
-    return t.agg({"flights": n, "late_15_count": late, "late_15_pct": percent(late, n), "arrival_median": t.quantile("arrival", 0.5)})
+    out = t.agg({"flights": n, "late_15_count": late, "late_15_pct": percent(late, n), "arrival_median": t.quantile("arrival", 0.5)})
+    return out.join(chosen, ["scope", origin, destination], "left_semi")
 
 
 def plot_frame(routes: DataFrame, key: Sequence[str], config: ReliabilityConfig = CONFIG, n: int = 500, executive: bool = True) -> DataFrame:

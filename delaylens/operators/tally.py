@@ -84,30 +84,44 @@ def running_totals(counted: DataFrame, value: str, sums: Sequence[str], by: Sequ
     return joined.withColumns({f"{s}_before": F.col(f"{s}_before") + F.col(f"_{s}0") for s in sums}).drop("_range", "r", *[f"_k{n}" for n in range(len(by))], *[f"_{s}0" for s in sums])
 
 
+def gathered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows brought together by key, in as many parts as the session has shuffle partitions.
+
+    For keys that are many, with few rows each: there nothing is saved by
+    counting before the shuffle, and a row is narrower than its counts.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
+
+
 class Tally:
     """Counts by key, measure and value, and the statistics that follow from them.
 
     ``values`` are numeric measures, ``distinct`` are columns whose different
-    values count, ``marks`` are conditions counted beside the first measure.
-    Null values do not count.
+    values count (over several columns, where these are given as a list),
+    ``marks`` are conditions counted beside the first measure.  Null values do
+    not count.  ``together`` says that no two partitions hold rows of one key
+    (``gathered``); then nothing is shuffled any more.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], values: dict[str, Column], distinct: dict[str, Column] | None = None, marks: dict[str, Column] | None = None):
-        distinct, self.keys, self.marks = distinct or {}, list(keys), list(marks or {})
+    def __init__(self, df: DataFrame, keys: Sequence[str], values: dict[str, Column], distinct: dict[str, Column | list[Column]] | None = None, marks: dict[str, Column] | None = None, together: bool = False):
+        distinct = {n: c if isinstance(c, list) else [c] for n, c in (distinct or {}).items()}
+        self.keys, self.marks, self.together = list(keys), list(marks or {}), together
         self.codes = {name: k for k, name in enumerate([*values, *distinct])}
-        cell = lambda name, v, label: F.struct(F.lit(self.codes[name]).alias("measure"), v.cast("double").alias("value"), label.cast("string").alias("label"), *[(c if name == next(iter(values)) else F.lit(False)).alias(m) for m, c in (marks or {}).items()])
         # days and small integers are told apart as numbers, all else as text
-        kinds = dict(df.select(*[c.alias(n) for n, c in distinct.items()]).dtypes) if distinct else {}
+        kinds = dict(df.select(*[c[0].alias(n) for n, c in distinct.items()]).dtypes) if distinct else {}
         small = {"date": F.unix_date, "int": lambda c: c, "smallint": lambda c: c, "tinyint": lambda c: c}
-        cells = [cell(n, c, F.lit(None)) for n, c in values.items()] + [cell(n, small[kinds[n]](c), F.lit(None)) if kinds[n] in small else cell(n, F.lit(None), c) for n, c in distinct.items()]
-        each = df.select(*self.keys, F.explode(F.array(*cells)).alias("c")).select(*self.keys, "c.*").where("value is not null or label is not null")
-        self.counted = each.groupBy(*self.keys, "measure", "value", "label").agg(F.count("*").alias("n"), *[F.count_if(m).alias(m) for m in self.marks])
+        self.cell = ["measure", "value", *(["label"] if any(k not in small for k in kinds.values()) else [])]
+        mark = lambda name: [(c if name == next(iter(values)) else F.lit(False)).alias(m) for m, c in (marks or {}).items()]
+        cell = lambda name, v, label: F.struct(F.lit(self.codes[name]).alias("measure"), v.cast("double").alias("value"), *([label.cast("string").alias("label")] if "label" in self.cell else []), *mark(name))
+        cells = [cell(n, c, F.lit(None)) for n, c in values.items()] + [cell(n, small[kinds[n]](c), F.lit(None)) if kinds[n] in small else cell(n, F.lit(None), c) for n, several in distinct.items() for c in several]
+        each = df.select(*self.keys, F.explode(F.array(*cells)).alias("c")).select(*self.keys, "c.*").where(" or ".join(f"{c} is not null" for c in self.cell[1:]))
+        self.counted = each.groupBy(*self.keys, *self.cell).agg(F.count("*").alias("n"), *[F.count_if(m).alias(m) for m in self.marks])
 
     def spread(self, name: str, cells: Column, drop: Sequence[str]) -> Tally:
         """The counts with key ``name`` from each entry of the array ``cells`` in place of the keys ``drop``."""
         out = object.__new__(Tally)
-        out.codes, out.marks, out.keys = self.codes, self.marks, [name, *[k for k in self.keys if k not in drop]]
-        out.counted = self.counted.withColumn(name, F.explode(cells)).groupBy(*out.keys, "measure", "value", "label").agg(*[F.sum(c).alias(c) for c in ("n", *self.marks)])
+        out.codes, out.marks, out.cell, out.together, out.keys = self.codes, self.marks, self.cell, False, [name, *[k for k in self.keys if k not in drop]]
+        out.counted = self.counted.withColumn(name, F.explode(cells)).groupBy(*out.keys, *self.cell).agg(*[F.sum(c).alias(c) for c in ("n", *self.marks)])
         return out
 
     def _is(self, name: str) -> Column:
@@ -129,6 +143,11 @@ class Tally:
         """How many different values the column has."""
         return F.count_if(self._is(name)).cast("long")
 
+    def concentration(self, name: str) -> Column:
+        """The sum of squared shares of the column's different values."""
+        n = F.when(self._is(name), F.col("n").cast("double"))
+        return F.sum(n * n) / (F.sum(n) * F.sum(n))
+
     def marked(self, mark: str) -> Column:
         return F.coalesce(F.sum(mark), F.lit(0)).cast("long")
 
@@ -142,7 +161,7 @@ class Tally:
     def agg(self, columns: dict[str, Column]) -> DataFrame:
         """A row for each key with the statistics named."""
         if self.keys:  # one shuffle by key serves the window and the sums
-            placed = running_totals(self.counted.repartition(*self.keys), "value", ["n"], [*self.keys, "measure"])
+            placed = running_totals(self.counted if self.together else self.counted.repartition(*self.keys), "value", ["n"], [*self.keys, "measure"])
             return placed.groupBy(*self.keys).agg(*[c.alias(k) for k, c in columns.items()])
         placed = running_totals(self.counted, "value", ["n"], ["measure"], ranges=True)
         return placed.agg(*[c.alias(k) for k, c in columns.items()])
