@@ -1,10 +1,13 @@
 """Registered queries against their SQL on small tables that are made to tell them apart."""
 
+from collections import Counter
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from delaylens.operators import inference
+from delaylens.operators import inference, reliability
 
 
 @pytest.fixture
@@ -58,3 +61,31 @@ def test_adjusted_p_values_run_from_the_first_row(same_as_sql, spark):
         want[p] = low
     for r in out.collect():
         assert r["p_adjusted"] == (None if r["p_value"] is None else pytest.approx(want[r["p_value"]], rel=1e-12))
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def many_legs(spark):
+    """Legs of 40 operators, among them some without a delay and one operator without any."""
+    return spark.range(4000).select(F.col("id"), (F.col("id") % 40).alias("operator"), (F.col("id") % 7).alias("origin"), F.when(F.col("id") % 11 > 0, F.col("id") % 5).alias("destination"), F.when((F.col("id") % 13 > 0) & (F.col("id") % 40 != 3), F.col("id") % 37 - 5.0).alias("arrival_delay_min"), (F.col("id") % 29 - 3.0).alias("departure_delay_min"), (F.col("id") % 300 - 10.0).alias("scheduled_duration_min"), F.concat(F.lit("2022-0"), F.col("id") % 9 + 1).alias("period"), F.expr("date_add(date '2022-01-01', int(id % 200))").alias("departure_date"))
+
+
+def test_many_groups_are_shuffled_once_as_rows(spark):
+    legs = many_legs(spark)
+    few, many = (reliability.grouped_performance(legs, ["operator"], many=m) for m in (False, True))
+    assert exchanges(many) == 1 < exchanges(few)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
+def test_operators_breadth_comes_from_the_same_pass(spark):
+    legs = many_legs(spark)
+    own = reliability.operator_performance(legs)
+    assert exchanges(own) == 1
+    got = {r["operator"]: r for r in own.collect()}
+    assert 3 not in got and len(got) == 39
+    rows = [r for r in legs.collect() if r["operator"] == 8]
+    n = Counter((r["origin"], r["destination"]) for r in rows)
+    assert (got[8]["routes"], got[8]["airports"]) == (len(n), len({p for k in n for p in k if p is not None}))
+    assert got[8]["route_hhi"] == pytest.approx(sum((k / len(rows)) ** 2 for k in n.values()))
