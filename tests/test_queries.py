@@ -89,3 +89,14 @@ def test_operators_breadth_comes_from_the_same_pass(spark):
     n = Counter((r["origin"], r["destination"]) for r in rows)
     assert (got[8]["routes"], got[8]["airports"]) == (len(n), len({p for k in n for p in k if p is not None}))
     assert got[8]["route_hhi"] == pytest.approx(sum((k / len(rows)) ** 2 for k in n.values()))
+
+
+@pytest.mark.parametrize("by", ["operator", "period"])
+def test_breakdowns_shuffle_legs_once(spark, by):
+    legs = many_legs(spark)
+    routes = spark.createDataFrame([("all", 1, 2, True), ("3h_or_more", 2, 3, True), ("all", 3, 3, False)], "scope string, origin long, destination long, eligible boolean")
+    out = reliability.eligible_breakdown(legs, F.broadcast(routes), by)
+    assert exchanges(out) == 1  # beside the broadcast
+    own = [r for r in legs.collect() if r["arrival_delay_min"] is not None]
+    want = Counter(("all", 1, 2, r[by]) for r in own if (r["origin"], r["destination"]) == (1, 2)) + Counter(("3h_or_more", 2, 3, r[by]) for r in own if (r["origin"], r["destination"]) == (2, 3) and r["scheduled_duration_min"] >= 180)
+    assert {tuple(r)[:4]: r["flights"] for r in out.collect()} == want
