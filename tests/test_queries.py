@@ -100,3 +100,9 @@ def test_breakdowns_shuffle_legs_once(spark, by):
     own = [r for r in legs.collect() if r["arrival_delay_min"] is not None]
     want = Counter(("all", 1, 2, r[by]) for r in own if (r["origin"], r["destination"]) == (1, 2)) + Counter(("3h_or_more", 2, 3, r[by]) for r in own if (r["origin"], r["destination"]) == (2, 3) and r["scheduled_duration_min"] >= 180)
     assert {tuple(r)[:4]: r["flights"] for r in out.collect()} == want
+
+
+def test_trend_arrays_need_no_quantiles_of_routes(spark, same_as_sql):
+    tables = leg_tables("select k as o, k % 100 as s, k % 500 as days from range(30000) t(k)")
+    got, want = same_as_sql("a67_trend_arrays", tables)
+    assert got == want and got
