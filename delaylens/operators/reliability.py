@@ -85,6 +85,15 @@ def operator_performance(legs: DataFrame, operator: str = "operator", origin: st
     return _performance(gathered(legs, [operator]), [operator], CONFIG, True, breadth, more)
 
 
+def operator_breadth(legs: DataFrame, operator: str = "operator", origin: str = "origin", destination: str = "destination") -> DataFrame:
+    """The columns of ``operator_performance`` that need no quantile, from counts by operator and route alone: no row is taken apart into measures."""
+    a, n = F.col(ARRIVAL), F.col("n").cast("double")
+    counted = legs.groupBy(operator, origin, destination).agg(F.count("*").alias("n"), F.count(a).alias("seen"), F.count_if(a <= CONFIG.on_time_minutes).alias("early"))
+    places = F.array_union(*[F.collect_set(F.col(c).cast("string")) for c in (origin, destination)])
+    out = counted.groupBy(operator).agg(F.sum("seen").alias("flights"), F.sum("early").alias("otp15_count"), F.count("*").alias("routes"), F.size(places).cast("long").alias("airports"), (F.sum(n * n) / (F.sum(n) * F.sum(n))).alias("route_hhi"))
+    return out.where("flights > 0").withColumn("otp15_pct", percent(F.col("otp15_count"), F.col("flights")))
+
+
 def airport_performance(legs: DataFrame, role: str, origin: str = "origin", destination: str = "destination") -> DataFrame:
     if role not in ("origin", "destination"):
         raise ValueError("role must be 'origin' or 'destination'")

@@ -91,6 +91,19 @@ def test_operators_breadth_comes_from_the_same_pass(spark):
     assert got[8]["route_hhi"] == pytest.approx(sum((k / len(rows)) ** 2 for k in n.values()))
 
 
+def test_breadth_alone_is_counted_by_route(spark, same_as_sql, tmp_path):
+    """The same figures as with the quantiles, nulls included, but no leg is taken apart into measures."""
+    legs = many_legs(spark)
+    own = reliability.operator_breadth(legs)
+    full = reliability.operator_performance(legs).select(*own.columns)
+    key = lambda r: r["operator"]
+    for r, want in zip(sorted(own.collect(), key=key), sorted(full.collect(), key=key), strict=True):
+        assert r.asDict() == pytest.approx(want.asDict())
+    got, want = same_as_sql("a4_operator_performance", leg_tables("select k as o, k % 100 as s, k % 500 as days from range(30000) t(k)"))
+    assert got == want and len(got) == 100
+    assert "Generate" not in entry.queries()["a4_operator_performance"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("by", ["operator", "period"])
 def test_breakdowns_shuffle_legs_once(spark, by):
     legs = many_legs(spark)
