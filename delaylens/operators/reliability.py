@@ -17,7 +17,7 @@ from ..functions.expressions import num, percent, ratio, wilson
 from .clean import duration_band, explode_scopes, grid_cell, hour_bucket, scope_band, scopes_of, severity_band
 from .enrich import role_union
 from .ranking import top_rows, value_ranks
-from .tally import Tally, gathered
+from .tally import Tally, gathered, ranked, ranked_quantile
 
 CONFIG = ReliabilityConfig()
 ARRIVAL, DEPARTURE, DURATION = "arrival_delay_min", "departure_delay_min", "scheduled_duration_min"
@@ -330,14 +330,18 @@ def route_scope_summary(legs: DataFrame, origin: str = "origin", destination: st
 def eligible_breakdown(legs: DataFrame, routes: DataFrame, by: str, origin: str = "origin", destination: str = "destination") -> DataFrame:
     """Eligible routes of each scope by a further key (period or operator); ``routes`` has ``scope``, the route, and ``eligible`` unless all of them are.
 
-    Legs are gathered once by route and key, and routes are chosen at the end, so that only finished rows meet them.
+    Legs are gathered once by route and key; one sort of them there serves the
+    medians of all scopes, so that no leg is held once for each scope.  Routes
+    are chosen at the end, so that only finished rows meet them.
     """
     chosen = (routes.where("eligible") if "eligible" in routes.columns else routes).select("scope", origin, destination)
     keys = [origin, destination, by]
-    own = gathered(legs.where(F.col(ARRIVAL).isNotNull()).dropna(subset=keys).select(*keys, ARRIVAL, scope_band(DURATION).alias("_band")), keys)
-    t = Tally(own.withColumn("scope", F.explode(scopes_of("_band"))), ["scope", *keys], {"arrival": F.col(ARRIVAL)}, together=True)
-    n, late = t.rows("arrival"), t.rows("arrival", F.col("value") > 15)
-    out = t.agg({"flights": n, "late_15_count": late, "late_15_pct": percent(late, n), "arrival_median": t.quantile("arrival", 0.5)})
+    own = gathered(legs.where(F.col(ARRIVAL).isNotNull()).dropna(subset=keys).select(*keys, ARRIVAL, (scope_band(DURATION) == "under_3h").alias("_short")), keys)
+    parts = {"all": F.lit(True), "under_3h": F.col("_short"), "3h_or_more": ~F.col("_short")}
+    late, count = F.col(ARRIVAL) > 15, lambda c: F.count_if(c).cast("long")
+    scopes = [F.struct(F.lit(p).alias("scope"), count(c).alias("flights"), count(c & late).alias("late_15_count"), ranked_quantile(ARRIVAL, p, c, 0.5).alias("arrival_median")).alias(p) for p, c in parts.items()]
+    each = ranked(own, keys, ARRIVAL, parts).groupBy(*keys).agg(*scopes)
+    out = each.select(*keys, F.explode(F.array(*[F.col(f"`{p}`") for p in parts])).alias("c")).select("c.scope", *keys, "c.flights", "c.late_15_count", percent(F.col("c.late_15_count"), F.col("c.flights")).alias("late_15_pct"), "c.arrival_median").where("flights > 0")
     return out.join(chosen, ["scope", origin, destination], "left_semi")
 
 

@@ -93,6 +93,25 @@ def gathered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
 
 
+def ranked(rows: DataFrame, keys: Sequence[str], value: str, parts: dict[str, Column]) -> DataFrame:
+    """``rows`` with the place ``_at_{p}`` by value, from 0, and the number ``_of_{p}`` of rows of its key, for each of ``parts`` (conditions that may overlap).
+
+    One sort by key and value serves all parts, so a task holds each row once
+    and spills; for rows that are ``gathered`` nothing is shuffled.
+    """
+    own = Window.partitionBy(*keys)
+    upto = own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({f"_at_{p}": F.count_if(c).over(upto) - 1 for p, c in parts.items()} | {f"_of_{p}": F.count_if(c).over(own) for p, c in parts.items()})
+
+
+def ranked_quantile(value: str, part: str, cond: Column, q: float) -> Column:
+    """The exact interpolated quantile of a part of rows that are ``ranked``, as an aggregate; null without rows."""
+    at = num(q) * (F.col(f"_of_{part}") - 1)
+    holds = lambda place: F.max(F.when(cond & (F.col(f"_at_{part}") == place), F.col(value).cast("double")))
+    place, low, high = F.max(F.when(cond, at)), holds(F.floor(at)), holds(F.ceil(at))
+    return F.when(F.floor(place) == F.ceil(place), low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+
 class Tally:
     """Counts by key, measure and value, and the statistics that follow from them.
 

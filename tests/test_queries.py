@@ -1,5 +1,6 @@
 """Registered queries against their SQL on small tables that are made to tell them apart."""
 
+import statistics
 from collections import Counter
 
 import duckdb
@@ -115,6 +116,24 @@ def test_breakdowns_shuffle_legs_once(spark, by):
     assert {tuple(r)[:4]: r["flights"] for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("by", ["operator", "period"])
+def test_breakdowns_hold_a_leg_once_for_all_scopes(spark, by):
+    """Legs are ranked before they are divided into scopes; medians are those of each scope's legs, which may have no band."""
+    legs = many_legs(spark).where("destination is not null")
+    names = ("all", "under_3h", "3h_or_more")
+    routes = spark.createDataFrame([(s, o, d) for s in names for o in range(7) for d in range(5)], "scope string, origin long, destination long")
+    out = reliability.eligible_breakdown(legs, F.broadcast(routes), by)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Window [")
+    want = {}
+    for r in legs.collect():
+        a, minutes = r["arrival_delay_min"], r["scheduled_duration_min"]
+        for scope in [] if a is None else ["all", *(["under_3h"] if 0 < minutes < 180 else ["3h_or_more"] if minutes >= 180 else [])]:
+            want.setdefault((scope, r["origin"], r["destination"], r[by]), []).append(a)
+    got = {tuple(r)[:4]: (r["flights"], r["late_15_count"], r["arrival_median"]) for r in out.collect()}
+    assert got == {k: (len(v), sum(a > 15 for a in v), statistics.median(v)) for k, v in want.items()}
+
+
 def test_trend_arrays_need_no_quantiles_of_routes(spark, same_as_sql):
     tables = leg_tables("select k as o, k % 100 as s, k % 500 as days from range(30000) t(k)")
     got, want = same_as_sql("a67_trend_arrays", tables)
