@@ -91,7 +91,16 @@ def ranking_quality(df: DataFrame, actual: Column, score: str) -> DataFrame:
 
 def grouped_ranking_quality(df: DataFrame, actual: Column, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """``ranking_quality`` for each key; scores are cut into ranges, so no task holds all of a key."""
-    counted = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("n"), F.coalesce(F.sum(actual.cast("int")), F.lit(0)).alias("pos"))
+    return quality_of_counts(score_counts(df, actual, score, keys), score, keys)
+
+
+def score_counts(df: DataFrame, actual: Column, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows ``n`` and positives ``pos`` of each distinct score (of each key)."""
+    return df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("n"), F.coalesce(F.sum(actual.cast("int")), F.lit(0)).alias("pos"))
+
+
+def quality_of_counts(counted: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``grouped_ranking_quality`` from ``score_counts``, which are read several times: keep them where scores are costly."""
     each = running_totals(counted, score, ["n", "pos"], keys, ranges=True)
     each = each.withColumns({"rank": F.col("n_before") + (F.col("n") + 1) / 2.0, "hits": F.col("pos_total") - F.col("pos_before"), "taken": F.col("n_total") - F.col("n_before")})
     one = each.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").cast("double").alias("p"), F.max("n_total").cast("double").alias("t"), F.sum(F.col("pos") * F.col("hits") / F.col("taken")).alias("ap"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import num
 from .clean import yeo_johnson
-from .evaluate import checked_scores, compact_score, compact_scores, grouped_ranking_quality, hurdle, within_guardrail
+from .evaluate import checked_scores, compact_score, compact_scores, hurdle, quality_of_counts, score_counts, within_guardrail
 from .tally import medians
 
 
@@ -216,7 +216,8 @@ def logistic_sweep(train: DataFrame, validation: DataFrame, y: str, lates: Seque
     """Ranking quality on validation of classifiers of "later than ``late``", for every regularisation and weight of the classes (``root``: square roots of the balanced ones).
 
     All cells read one kept matrix and are scored in one scan; their scores
-    are ranked from counts by cell and score.
+    are ranked from counts by cell and score, which are kept too, as ranking
+    reads them several times.
     """
     cells, frames = {}, {}
     with held(train.select(y, "features"), validation.select(y, "features")) as (own, rows):
@@ -231,8 +232,9 @@ def logistic_sweep(train: DataFrame, validation: DataFrame, y: str, lates: Seque
         each = scored.select(y, F.explode(F.array(*[F.struct(F.lit(c).alias("cell"), F.col(f"`{c}`").alias("score")) for c in cells])).alias("c")).select(y, "c.*")
         part = F.split("cell", r"\|")
         actual = F.col(y) > F.element_at(part, 1).cast("double")
-        found = grouped_ranking_quality(each, actual, "score", ["cell"]).select(F.element_at(part, 1).cast("double").alias("late"), F.element_at(part, 2).alias("candidate"), F.element_at(part, 3).alias("weights"), "roc_auc", "average_precision")
-        return train.sparkSession.createDataFrame(found.collect(), found.schema)  # a row for each cell
+        with held(score_counts(each, actual, "score", ["cell"])) as (counted,):
+            found = quality_of_counts(counted, "score", ["cell"]).select(F.element_at(part, 1).cast("double").alias("late"), F.element_at(part, 2).alias("candidate"), F.element_at(part, 3).alias("weights"), "roc_auc", "average_precision")
+            return train.sparkSession.createDataFrame(found.collect(), found.schema)  # a row for each cell
 
 
 def two_stage_sweep(train: DataFrame, validation: DataFrame, y: str, probability: str, alphas: Sequence[float] = (0.1, 1.0, 10.0), low: float = 15.0, cap: float = 60.0) -> DataFrame:

@@ -162,6 +162,24 @@ def test_training_to_locked_scoring(spark, tmp_path):
         run({"march": part(3).where("leg_id > 10")})
 
 
+def test_scores_of_a_sweep_are_counted_once(spark, monkeypatch):
+    """Ranking reads the counts of scores several times; what it reads is kept, and let go after."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from delaylens.operators import evaluate, models
+
+    kept, real = [], evaluate.running_totals
+
+    def seen(counted, *args, **how):
+        kept.append((counted, counted.storageLevel.useDisk))
+        return real(counted, *args, **how)
+
+    monkeypatch.setattr(evaluate, "running_totals", seen)
+    own = VectorAssembler(inputCols=["yhat"], outputCol="features").transform(views.predictions(spark, SF).select("leg_id", "y", "yhat"))
+    out = models.logistic_sweep(own.where("leg_id % 4 <> 0"), own.where("leg_id % 4 = 0"), "y", (15.0,), (0.01,), ("none",))
+    assert out.count() == 1 and [k for _, k in kept] == [True] and not kept[0][0].storageLevel.useDisk
+
+
 def test_sweep_cells_equal_single_fits(spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
