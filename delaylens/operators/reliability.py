@@ -17,7 +17,7 @@ from ..functions.expressions import num, percent, ratio, wilson
 from .clean import duration_band, explode_scopes, grid_cell, hour_bucket, scope_band, scopes_of, severity_band
 from .enrich import role_union
 from .ranking import top_rows, value_ranks
-from .tally import Tally, gathered, ranked, ranked_quantile
+from .tally import Tally, counted_quantile, gathered, ranked, ranked_quantile, running_totals
 
 CONFIG = ReliabilityConfig()
 ARRIVAL, DEPARTURE, DURATION = "arrival_delay_min", "departure_delay_min", "scheduled_duration_min"
@@ -336,13 +336,41 @@ def eligible_breakdown(legs: DataFrame, routes: DataFrame, by: str, origin: str
     """
     chosen = (routes.where("eligible") if "eligible" in routes.columns else routes).select("scope", origin, destination)
     keys = [origin, destination, by]
-    own = gathered(legs.where(F.col(ARRIVAL).isNotNull()).dropna(subset=keys).select(*keys, ARRIVAL, (scope_band(DURATION) == "under_3h").alias("_short")), keys)
+    own = gathered(_scoped_delays(legs.dropna(subset=keys), keys), keys)
     parts = {"all": F.lit(True), "under_3h": F.col("_short"), "3h_or_more": ~F.col("_short")}
     late, count = F.col(ARRIVAL) > 15, lambda c: F.count_if(c).cast("long")
     scopes = [F.struct(F.lit(p).alias("scope"), count(c).alias("flights"), count(c & late).alias("late_15_count"), ranked_quantile(ARRIVAL, p, c, 0.5).alias("arrival_median")).alias(p) for p, c in parts.items()]
-    each = ranked(own, keys, ARRIVAL, parts).groupBy(*keys).agg(*scopes)
-    out = each.select(*keys, F.explode(F.array(*[F.col(f"`{p}`") for p in parts])).alias("c")).select("c.scope", *keys, "c.flights", "c.late_15_count", percent(F.col("c.late_15_count"), F.col("c.flights")).alias("late_15_pct"), "c.arrival_median").where("flights > 0")
-    return out.join(chosen, ["scope", origin, destination], "left_semi")
+    return _scope_rows(ranked(own, keys, ARRIVAL, parts).groupBy(*keys).agg(*scopes), keys, list(parts)).join(chosen, ["scope", origin, destination], "left_semi")
+
+
+def eligible_months(legs: DataFrame, origin: str = "origin", destination: str = "destination", config: ReliabilityConfig = CONFIG) -> DataFrame:
+    """``eligible_breakdown`` by period with the routes of ``eligible_routes``, both from one pass over legs.
+
+    Legs are gathered once by route and period and counted there by delay, for
+    all scopes together, so that a task holds different delays and not legs.
+    Finished rows say which routes are frequent enough.
+    """
+    keys, parts = [origin, destination, "period"], ["all", "under_3h", "3h_or_more"]
+    own = gathered(_scoped_delays(legs.dropna(subset=keys[:2]), keys), keys)
+    counted = own.groupBy(*keys, ARRIVAL).agg(F.count("*").alias("all"), F.count_if("_short").alias("under_3h"), F.count_if(~F.col("_short")).alias("3h_or_more"))
+    placed = running_totals(counted, ARRIVAL, parts, keys)
+    late = F.col(ARRIVAL) > 15
+    scopes = [F.struct(F.lit(p).alias("scope"), F.sum(p).alias("flights"), F.coalesce(F.sum(F.when(late, F.col(p))), F.lit(0)).alias("late_15_count"), counted_quantile(ARRIVAL, p, 0.5).alias("arrival_median")).alias(p) for p in parts]
+    out = _scope_rows(placed.groupBy(*keys).agg(*scopes), keys, parts)
+    route = Window.partitionBy("scope", origin, destination)
+    enough = (F.sum("flights").over(route) >= config.min_route_flights) & (F.count("period").over(route) >= config.min_route_periods)
+    return out.withColumn("_enough", enough).where("_enough and period is not null").drop("_enough")
+
+
+def _scoped_delays(legs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys and delay of the legs that have one, and whether they are ``_short`` (null without a band)."""
+    return legs.where(F.col(ARRIVAL).isNotNull()).select(*keys, ARRIVAL, (scope_band(DURATION) == "under_3h").alias("_short"))
+
+
+def _scope_rows(each: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:
+    """A row for each scope that has legs, from a struct column for each scope."""
+    out = each.select(*keys, F.explode(F.array(*[F.col(f"`{p}`") for p in parts])).alias("c"))
+    return out.select("c.scope", *keys, "c.flights", "c.late_15_count", percent(F.col("c.late_15_count"), F.col("c.flights")).alias("late_15_pct"), "c.arrival_median").where("flights > 0")
 
 
 def plot_frame(routes: DataFrame, key: Sequence[str], config: ReliabilityConfig = CONFIG, n: int = 500, executive: bool = True) -> DataFrame:

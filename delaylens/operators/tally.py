@@ -112,6 +112,14 @@ def ranked_quantile(value: str, part: str, cond: Column, q: float) -> Column:
     return F.when(F.floor(place) == F.ceil(place), low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
 
 
+def counted_quantile(value: str, n: str, q: float) -> Column:
+    """The exact interpolated quantile over counts ``n`` of values that have ``running_totals``, as an aggregate; null without rows."""
+    below, at = F.col(f"{n}_before"), num(q) * (F.col(f"{n}_total") - 1)
+    holds = lambda rank: F.max(F.when((rank >= below) & (rank < below + F.col(n)), F.col(value).cast("double")))
+    place, low, high = F.max(at), holds(F.floor(at)), holds(F.ceil(at))
+    return F.when(F.floor(place) == F.ceil(place), low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+
 class Tally:
     """Counts by key, measure and value, and the statistics that follow from them.
 

@@ -131,7 +131,7 @@ def public_tables(legs: DataFrame, config: ReliabilityConfig) -> dict[str, DataF
     routes, frequent = reliability.route_metrics(legs, config=config), reliability.eligible_routes(legs, config=config)
     return {
         "overview": reliability.scope_summary(legs), "monthly": reliability.scope_summary(legs, ["scope", "period"]), "severity": reliability.severity_distribution(legs), "durations": reliability.duration_hours(legs), "concentration": reliability.delay_concentration(clean.explode_scopes(legs), ["scope"]),
-        "deciles": reliability.delay_deciles(legs), "worst_tenth": reliability.worst_and_rest(legs), "routes": routes, "route_scopes": reliability.route_scope_summary(legs), "route_months": reliability.eligible_breakdown(legs, frequent, "period"), "route_operators": reliability.eligible_breakdown(legs, frequent, "operator"),
+        "deciles": reliability.delay_deciles(legs), "worst_tenth": reliability.worst_and_rest(legs), "routes": routes, "route_scopes": reliability.route_scope_summary(legs), "route_months": reliability.eligible_months(legs, config=config), "route_operators": reliability.eligible_breakdown(legs, frequent, "operator"),
         "association": inference.correlations(legs.where("scheduled_duration_min > 0"), ["scheduled_duration_min", "arrival_delay_min"]),
     }
 

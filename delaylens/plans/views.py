@@ -14,9 +14,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as legs between the customer's and the supplier's nation."""
+    """Order lines as legs between the customer's and the supplier's nation.
+
+    Orders meet their customers, and lines their suppliers and parts, before
+    lines meet orders: what is larger is not moved again for what is smaller.
+    """
     t = {n: read(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier", "part")}
-    j = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    ends = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    lines = t["lineitem"].join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    j = lines.join(ends, F.col("l_orderkey") == F.col("o_orderkey"))
     arrival = F.datediff("l_shipdate", "o_orderdate") / F.lit(20.0)
     return j.select(
         F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), F.col("c_nationkey").alias("origin"), F.col("s_nationkey").alias("destination"), F.col("l_suppkey").alias("operator"), F.col("p_type").alias("equipment"), F.col("l_returnflag").alias("leg_type"),

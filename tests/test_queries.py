@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from delaylens.config import ReliabilityConfig
 from delaylens.operators import inference, reliability
 
 
@@ -134,6 +135,21 @@ def test_breakdowns_hold_a_leg_once_for_all_scopes(spark, by):
     assert got == {k: (len(v), sum(a > 15 for a in v), statistics.median(v)) for k, v in want.items()}
 
 
+def test_months_and_their_routes_come_from_one_pass(spark, same_as_sql, tmp_path):
+    """Legs are joined once, and counted by delay before they are sorted; legs without a period count for their route, legs without a band only for all."""
+    legs = many_legs(spark).withColumn("period", F.when(F.col("id") % 17 > 0, F.col("period")))
+    config = ReliabilityConfig(min_route_flights=45, min_route_periods=9)
+    out = reliability.eligible_months(legs, config=config)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(out) == 2 and plan.rindex("Window [") < plan.rindex("HashAggregate(keys=[origin")
+    want = reliability.eligible_breakdown(legs, F.broadcast(reliability.eligible_routes(legs, config=config)), "period")
+    rows = sorted(map(tuple, out.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and {r[0] for r in rows} == {"all", "under_3h"}
+    got, want = same_as_sql("a33_route_months", leg_tables("select k as o, k % 100 as s, k % 500 as days from range(30000) t(k)"))
+    assert got == want and got
+    assert entry.queries()["a33_route_months"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 4
+
+
 def test_trend_arrays_need_no_quantiles_of_routes(spark, same_as_sql):
     tables = leg_tables("select k as o, k % 100 as s, k % 500 as days from range(30000) t(k)")
     got, want = same_as_sql("a67_trend_arrays", tables)
