@@ -34,13 +34,43 @@ def rolling_event_features(targets: DataFrame, events: DataFrame, keys: Sequence
     targets are shuffled once, by key and block of the longest window; every
     window sorts them within their partitions.
     """
-    if not keys or not windows or min(windows) <= 0:
+    family = (prefix, list(keys), event_time, value)
+    aim = targets.select(*dict.fromkeys([id_column, *keys, cutoff])).dropna(subset=[*keys, cutoff])
+    out = rolling_families(targets, events, [family], id_column, cutoff, windows, late, aim)
+    return out.select(F.col(id_column).cast("long").alias(id_column), *[c for c in out.columns if c.startswith(f"{prefix}_") and c not in aim.columns])
+
+
+def rolling_families(targets: DataFrame, events: DataFrame, families: Sequence[tuple[str, list[str], str, str]], id_column: str = "id", cutoff: str = "cutoff", windows: Sequence[int] = (1, 6, 24), late: float = 15.0, onto: DataFrame | None = None) -> DataFrame:
+    """The columns of ``rolling_event_features`` for each family (prefix, keys, event time, value), beside those of ``onto`` (the targets).
+
+    A row is there for each target; columns of a family are null where the
+    cutoff or one of its keys is.  What all families have seen of a target is
+    brought together by one shuffle, own events by another; families that
+    read the same columns are worked out once.
+    """
+    if not families or not all(keys for _, keys, _, _ in families) or not windows or min(windows) <= 0:
         raise ValueError("keys and positive windows are needed")
+    read = list(dict.fromkeys((tuple(keys), time, value) for _, keys, time, value in families))
+    seen = reduce(DataFrame.unionByName, [_sides(targets, events, keys, time, value, id_column, cutoff, windows, late).withColumn("f", F.lit(f)) for f, (keys, time, value) in enumerate(read)])
+    cell = lambda f, w, s, c: F.max(F.when((F.col("f") == f) & (F.col("w") == w) & (F.col("side") == s), F.col(c))).alias(f"_{c}{w}{s}{f}")
+    flat = seen.repartition("_id").groupBy("_id").agg(*[cell(f, w, s, c) for f in range(len(read)) for w in windows for s in "fb" for c in "naqlm"])
+    own = events.select(F.col(id_column).cast("long").alias("_id"), *[c for f, (keys, time, value) in enumerate(read) for c in (*[F.col(k).alias(f"_k{i}_{f}") for i, k in enumerate(keys)], _micros(time).alias(f"_t{f}"), F.col(value).cast("double").alias(f"_v{f}"))])
+    base, kinds = targets if onto is None else onto, dict(targets.dtypes)
+    known_key = lambda k: F.col(k).isNotNull() & ~F.isnan(k) if kinds[k] in ("double", "float") else F.col(k).isNotNull()  # noqa: E731  as dropna
+    known = base.withColumns({"_id": F.col(id_column).cast("long"), "_c": _micros(cutoff)}).join(own, "_id", "left").join(flat, "_id", "left")
+    out = {}
+    for prefix, keys, time, value in families:
+        f = read.index((tuple(keys), time, value))
+        here = reduce(lambda a, b: a & b, map(known_key, keys), F.col("_c").isNotNull())
+        out |= {name: F.when(here, c) for name, c in _figures(prefix, f, keys, windows, late).items()}
+    return known.select(*base.columns, *[c.alias(name) for name, c in out.items()])
+
+
+def _sides(targets: DataFrame, events: DataFrame, keys: Sequence[str], event_time: str, value: str, id_column: str, cutoff: str, windows: Sequence[int], late: float) -> DataFrame:
+    """For each target, window and side of the window's cut: count, mean, centred squares, late ones and last time of the events there."""
     keys, longest = list(keys), max(windows) * HOUR
-    own = events.select(F.col(id_column).alias("_id"), *keys, _micros(event_time).alias("_t"), F.col(value).cast("double").alias("_v")).where("_t is not null and _v is not null")
-    own = own.dropna(subset=keys)
-    aim = targets.select(F.col(id_column).alias("_id"), *keys, _micros(cutoff).alias("_c")).where("_c is not null")
-    aim = aim.dropna(subset=keys)
+    own = events.select(*keys, _micros(event_time).alias("_t"), F.col(value).cast("double").alias("_v")).where("_t is not null and _v is not null").dropna(subset=keys)
+    aim = targets.select(F.col(id_column).alias("_id"), *keys, _micros(cutoff).alias("_c")).where("_c is not null").dropna(subset=keys)
     ends = F.explode(F.array(*[F.struct((F.col("_c") - w * HOUR).alias("t"), F.lit(w).alias("w")) for w in windows], F.struct(F.col("_c").alias("t"), F.lit(0).alias("w")))).alias("p")
     probes = aim.select(*keys, F.col("_id").cast("long").alias("_id"), ends).select(*keys, "_id", F.col("p.t").alias("_t"), F.lit(None).cast("double").alias("_v"), F.col("p.w").alias("_w"))
     line = own.select(*keys, F.lit(None).cast("long").alias("_id"), "_t", "_v", F.lit(-1).alias("_w")).unionByName(probes)
@@ -56,24 +86,23 @@ def rolling_event_features(targets: DataFrame, events: DataFrame, keys: Sequence
             run = Window.partitionBy(*keys, "_b", "_block").orderBy(F.asc("_t") if forwards else F.desc("_t"), "_o").rowsBetween(Window.unboundedPreceding, 0)
             seen = some.select("_id", "_w", F.count("_v").over(run).alias("n"), F.avg("_v").over(run).alias("a"), F.var_pop("_v").over(run).alias("q"), F.count_if(F.col("_v") > late).over(run).alias("l"), F.max(F.when(F.col("_v").isNotNull(), F.col("_t"))).over(run).alias("m"))
             parts.append(seen.where("_w >= 0").select("_id", F.lit(w).alias("w"), F.lit("f" if forwards else "b").alias("side"), "n", "a", (F.col("q") * F.col("n")).alias("q"), "l", "m"))
-    both = reduce(DataFrame.unionByName, parts)
-    side = lambda w, s, c: F.max(F.when((F.col("w") == w) & (F.col("side") == s), F.col(c)))
-    flat = both.groupBy("_id").agg(*[side(w, s, c).alias(f"{c}{w}{s}") for w in windows for s in "fb" for c in "naqlm"])
-    self_event = own.select(F.col("_id").cast("long").alias("_id"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_t", "_v")
-    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
-    known = aim.withColumn("_id", F.col("_id").cast("long")).join(self_event, "_id", "left").join(flat, "_id", "left")
-    out = {}
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _figures(prefix: str, f: int, keys: Sequence[str], windows: Sequence[int], late: float) -> dict[str, Column]:
+    """A family's columns from what was seen on both sides and the target's own event."""
+    out, t, v = {}, F.col(f"_t{f}"), F.col(f"_v{f}")
+    same = [F.col(k) == F.col(f"_k{i}_{f}") for i, k in enumerate(keys)]
     for w in windows:
-        mine = F.coalesce((F.col("_t") <= F.col("_c")) & (F.col("_t") >= F.col("_c") - w * HOUR), F.lit(False))
-        for s in same:
-            mine = mine & F.coalesce(s, F.lit(False))
-        n, mean, squares = _without(mine, F.col("_v"), *_merged(*[F.coalesce(F.col(f"{c}{w}{s}"), num(0)) for s in "bf" for c in "naq"]))
-        late_n = F.coalesce(F.col(f"l{w}f"), F.lit(0)) + F.coalesce(F.col(f"l{w}b"), F.lit(0)) - F.when(mine & (F.col("_v") > late), 1).otherwise(0)
+        inside = v.isNotNull() & (t <= F.col("_c")) & (t >= F.col("_c") - w * HOUR)
+        mine = F.coalesce(reduce(lambda a, b: a & b, same, inside), F.lit(False))
+        at = lambda c, s: F.col(f"_{c}{w}{s}{f}")  # noqa: B023, E731
+        n, mean, squares = _without(mine, v, *_merged(*[F.coalesce(at(c, s), num(0)) for s in "bf" for c in "naq"]))
+        late_n = F.coalesce(at("l", "f"), F.lit(0)) + F.coalesce(at("l", "b"), F.lit(0)) - F.when(mine & (v > late), 1).otherwise(0)
         some = n > 0
         out |= {f"{prefix}_{w}h_count": n.cast("long"), f"{prefix}_{w}h_mean": F.when(some, mean), f"{prefix}_{w}h_std": F.when(some, F.sqrt(F.greatest(num(0), squares / n))), f"{prefix}_{w}h_late_rate": F.try_divide(late_n.cast("double"), n), f"{prefix}_{w}h_self_removed": mine.cast("int")}
-        out[f"{prefix}_{w}h_max_event_time"] = F.timestamp_micros(F.greatest(F.col(f"m{w}f"), F.col(f"m{w}b")))
-    own_id = F.col("_id").alias(id_column)
-    return known.select(own_id, *[c.alias(k) for k, c in out.items()])
+        out[f"{prefix}_{w}h_max_event_time"] = F.timestamp_micros(F.greatest(at("m", "f"), at("m", "b")))
+    return out
 
 
 def _merged(n1: Column, a1: Column, q1: Column, n2: Column, a2: Column, q2: Column) -> tuple[Column, Column, Column]:
@@ -112,15 +141,18 @@ def rotation_features(targets: DataFrame, history: DataFrame, key: str, event_ti
 def scheduled_pressure(targets: DataFrame, schedule: DataFrame, id_column: str, origin: str, destination: str, departure: str, arrival: str) -> DataFrame:
     """Distinct movements scheduled in the departure hour at the origin, in the arrival hour at the destination, and their sum."""
 
-    def counts(place: str, time: str, name: str) -> DataFrame:
-        hour = F.date_trunc("hour", F.col(time))
-        return schedule.groupBy(F.col(place).alias("_p"), hour.alias("_h")).agg(F.count_distinct(id_column).alias(name))
+    return _with_pressure(targets, schedule, id_column, origin, destination, departure, arrival).select(id_column, "origin_pressure", "destination_pressure", "total_pressure")
 
-    out = targets
-    for place, time, name in ((origin, departure, "origin_pressure"), (destination, arrival, "destination_pressure")):
-        out = out.withColumn("_hour", F.date_trunc("hour", F.col(time))).join(counts(place, time, name), (F.col(place) == F.col("_p")) & (F.col("_hour") == F.col("_h")), "left").drop("_p", "_h", "_hour")
-    out = out.fillna(0, ["origin_pressure", "destination_pressure"])
-    return out.select(id_column, "origin_pressure", "destination_pressure", (F.col("origin_pressure") + F.col("destination_pressure")).alias("total_pressure"))
+
+def _with_pressure(targets: DataFrame, schedule: DataFrame, id_column: str, origin: str, destination: str, departure: str, arrival: str) -> DataFrame:
+    """Targets with the columns of ``scheduled_pressure``; the same place and time are counted once."""
+    ends, out = ((origin, departure), (destination, arrival)), targets
+    names = {end: f"_n{k}" for k, end in enumerate(dict.fromkeys(ends))}
+    for (place, time), name in names.items():
+        counts = schedule.groupBy(F.col(place).alias("_p"), F.date_trunc("hour", F.col(time)).alias("_h")).agg(F.count_distinct(id_column).alias(name))
+        out = out.withColumn("_hour", F.date_trunc("hour", F.col(time))).join(counts, (F.col(place) == F.col("_p")) & (F.col("_hour") == F.col("_h")), "left").drop("_p", "_h", "_hour")
+    there, here = (F.coalesce(F.col(names[end]), F.lit(0)) for end in ends)
+    return out.select(*targets.columns, there.alias("origin_pressure"), here.alias("destination_pressure"), (there + here).alias("total_pressure"))
 
 
 def leakage_audit(features: DataFrame, targets: DataFrame, id_column: str, cutoff: str, prefix: str, windows: Sequence[int] = (1, 6, 24), fail: bool = False) -> DataFrame:
@@ -137,6 +169,18 @@ def leakage_audit(features: DataFrame, targets: DataFrame, id_column: str, cutof
     return out
 
 
+def _family_audit(features: DataFrame, cutoff: str, prefixes: Sequence[str], windows: Sequence[int]) -> DataFrame:
+    """``leakage_audit`` of several families beside each other, from one pass."""
+    blocks = []
+    for k, prefix in enumerate(prefixes):
+        after = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"{prefix}_{w}h_max_event_time") > F.col(cutoff), F.lit(False)) for w in windows])
+        removed = reduce(lambda a, b: a + b, [F.col(f"{prefix}_{w}h_self_removed") for w in windows])
+        blocks.append((prefix, F.count(f"{prefix}_{windows[0]}h_count").alias(f"n{k}"), F.count_if(after).alias(f"a{k}"), F.coalesce(F.sum(removed), F.lit(0)).alias(f"r{k}")))
+    total = features.agg(*[c for _, *three in blocks for c in three])
+    rows = F.array(*[F.struct(F.lit(prefix).alias("block"), F.col(f"n{k}").alias("rows"), F.col(f"a{k}").alias("violations"), F.col(f"r{k}").alias("self_removed")) for k, (prefix, *_) in enumerate(blocks)])
+    return total.select(F.explode(rows).alias("b")).select("b.*")
+
+
 def recount(targets: DataFrame, events: DataFrame, keys: Sequence[str], event_time: str, value: str, hours: int, id_column: str = "id", cutoff: str = "cutoff") -> DataFrame:
     """``visible``: how many events each target could see in its window, by an interval join and not by running aggregates.
 
@@ -191,12 +235,9 @@ def standard_features(targets: DataFrame, events: DataFrame, roles: dict[str, st
     i, cut = roles["id"], roles["cutoff"]
     families = (("origin_departure", [roles["origin"]], roles["departure_time"], roles["departure_delay"]), ("destination_arrival", [roles["destination"]], roles["arrival_time"], roles["arrival_delay"]), ("route_arrival", list(dict.fromkeys([roles["origin"], roles["destination"]])), roles["arrival_time"], roles["arrival_delay"]), ("operator_departure", [roles["operator"]], roles["departure_time"], roles["departure_delay"]), ("operator_arrival", [roles["operator"]], roles["arrival_time"], roles["arrival_delay"]))
     places = [roles[k] for k in ("origin", "destination", "scheduled_departure", "scheduled_arrival")]
-    pressure = scheduled_pressure(targets, events, i, *places)
-    out = targets.join(pressure, i, "left")
-    audit = pressure_audit(pressure, targets, events, i, cut, *places, roles.get("known_time"))
-    for name, keys, time, value in families:
-        block = rolling_event_features(targets, events, keys, time, value, name, i, cut, windows)
-        audit = audit.unionByName(leakage_audit(block, targets, i, cut, name, windows))
-        out = out.join(block, i, "left")
+    pressed = _with_pressure(targets, events, i, *places)
+    audit = pressure_audit(pressed, targets, events, i, cut, *places, roles.get("known_time"))
+    out = rolling_families(targets, events, families, i, cut, windows, onto=pressed.select(i, *[c for c in pressed.columns if c != i]))
+    audit = audit.unionByName(_family_audit(out, cut, [name for name, *_ in families], windows))
     rotation = rotation_features(targets, events, roles["registration"], roles["arrival_time"], roles["arrival_delay"], roles["departure_delay"], i, cut)
     return out.join(rotation, i, "left"), audit

@@ -370,6 +370,42 @@ def test_planted_future_events_are_found(spark):
     assert check(p) == 0 and check(p, "filed") == 1 and check(p.withColumn("origin_pressure", F.lit(7))) == 1
 
 
+def test_families_are_brought_together_once(spark):
+    """All families by brute force, with null keys, delays and cutoffs; one join with own events and one with what was seen serve them all."""
+    import random
+
+    rng, start = random.Random(1), T(2022, 1, 1)
+    at = lambda: start + dt.timedelta(minutes=rng.randrange(0, 2000, 20))
+    some = lambda v: None if rng.random() < 0.1 else v
+    rows = [(i, some(rng.choice("AB")), some(rng.choice("XY")), rng.choice("PQ"), f"R{i % 5}", at(), at(), some(float(rng.randint(-20, 60))), some(float(rng.randint(-20, 60)))) for i in range(120)]
+    names = "id long, o string, d string, op string, reg string, dep timestamp, arr timestamp, dd double, ad double"
+    e = spark.createDataFrame(rows, names)
+    cuts = {r[0]: some(r[5] + dt.timedelta(minutes=rng.choice([-60, 0, 40]))) for r in rows[:50]}
+    t = e.join(spark.createDataFrame(list(cuts.items()), "id long, cutoff timestamp"), "id")
+    roles = {"id": "id", "cutoff": "cutoff", "origin": "o", "destination": "d", "operator": "op", "registration": "reg", "departure_time": "dep", "arrival_time": "arr", "departure_delay": "dd", "arrival_delay": "ad", "scheduled_departure": "dep", "scheduled_arrival": "arr"}
+    out, audit = pointintime.standard_features(t, e, roles, windows=(1, 6))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 5  # two of pressure, own events, families, rotation
+    got = {r["id"]: r for r in out.collect()}
+    families = {"origin_departure": ((1,), 5, 7), "destination_arrival": ((2,), 6, 8), "route_arrival": ((1, 2), 6, 8), "operator_departure": ((3,), 5, 7), "operator_arrival": ((3,), 6, 8)}
+    seen = {f: [0, 0] for f in families}
+    assert len(got) == 50
+    for x in rows[:50]:
+        for f, (keys, time, value) in families.items():
+            known = cuts[x[0]] is not None and all(x[k] is not None for k in keys)
+            seen[f][0] += known
+            for w in (1, 6):
+                if not known:
+                    assert got[x[0]][f"{f}_{w}h_count"] is None and got[x[0]][f"{f}_{w}h_self_removed"] is None
+                    continue
+                inside = [y for y in rows if y[value] is not None and all(y[k] == x[k] for k in keys) and cuts[x[0]] - dt.timedelta(hours=w) <= y[time] <= cuts[x[0]]]
+                own, r = [y[value] for y in inside if y[0] != x[0]], got[x[0]]
+                seen[f][1] += len(inside) - len(own)
+                assert (r[f"{f}_{w}h_count"], r[f"{f}_{w}h_self_removed"]) == (len(own), len(inside) - len(own))
+                assert r[f"{f}_{w}h_mean"] == (pytest.approx(sum(own) / len(own)) if own else None)
+                assert r[f"{f}_{w}h_late_rate"] == (pytest.approx(sum(v > 15 for v in own) / len(own)) if own else None)
+    assert {r["block"]: [r["rows"], r["self_removed"]] for r in audit.collect() if r["block"] != "pressure" and r["violations"] == 0} == seen
+
+
 def test_baselines_of_all_minimums(spark):
     import random
 
